@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_classifier, quality_rules, sampled_segmentation, token_counts, toxicity
+from . import decontamination, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op2(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op6(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,14 @@ def op8_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_segmentation.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op3_token_counts, op4_language_id, op6_quality_rules, op7_toxicity, op8_sampled_segmentation)}
-ORACLES: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_quality_classifier, op2_simhash, op3_token_counts, op4_language_id, op5_substring_dedup,
+    op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op10_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+#: Hash functions, classifiers, tokenizers, samplers and BM25 retrieval have no SQL; those queries are tested by brute force.
+ORACLES: dict[str, str] = {"op5_substring_dedup": substring_dedup.ORACLE}
