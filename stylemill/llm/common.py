@@ -99,5 +99,8 @@ def offsets(lengths: list[int] | np.ndarray) -> np.ndarray:
 
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]] along the first axis; 0 for empty segments."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    out = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(values, bounds[:-1][full], axis=0)
+    return out

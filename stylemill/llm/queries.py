@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
+from . import decontamination, katz, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -42,13 +42,17 @@ def op8_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_segmentation.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 _ALL = (
     op1_quality_classifier, op2_simhash, op3_token_counts, op4_language_id, op5_substring_dedup,
-    op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op10_decontamination,
+    op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op9_katz, op10_decontamination,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Hash functions, classifiers, tokenizers, samplers and BM25 retrieval have no SQL; those queries are tested by brute force.
