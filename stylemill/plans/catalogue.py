@@ -5,6 +5,83 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions import lexicons as L
+from ..functions import text as T
+from ..operators import measure as M
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as profile, doc_id, text; its sources are the authors."""
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("profile"), "doc_id", "text")
+
+
+def over_corpus(fn: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf_dir: fn(corpus(spark, sf_dir), *args)
+
+
+def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, rhythm and comma density of each source in one scan of the sentences and one of the documents."""
+    docs = corpus(spark, sf_dir)
+    n = F.count("*")
+    shares = [M.r6(F.count_if((F.col("words") >= a) & (F.lit(True) if b is None else F.col("words") <= b)) / n).alias(f"h{i}") for i, (a, b) in enumerate(L.SENTENCE_BINS)]
+    rhythm = M.sentence_rows(docs).groupBy("profile").agg(n.alias("sentences"), M.r6(F.avg("words")).alias("mean"), M.r6(F.stddev_pop("words")).alias("stdev"), *shares)
+    size = docs.groupBy("profile").agg(n.alias("documents"), F.sum(T.word_count("text")).alias("words"), F.sum(T.occurrences("text", ",")).alias("commas"))
+    return size.join(rhythm, "profile").select("profile", "documents", "words", "sentences", "mean", "stdev", *[f"h{i}" for i in range(5)], M.r6(F.col("commas") / F.greatest(F.lit(1), "words") * 100).alias("comma_density"))
+
+
+def normalised_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import rewrite
+
+    return corpus(spark, sf_dir).select("doc_id", F.md5(rewrite.straight_quotes(rewrite.plain_dashes("text"))).alias("text_md5"))
+
+
+PRESENT = {"articles": ["the", "a", "la", "der"], "prepositions": ["of", "in", "de", "en"]}
+QUERIES: dict[str, Query] = {
+    "source_profile": source_profile,
+    "doc_size_stats": over_corpus(M.document_sizes),
+    "source_totals": over_corpus(M.totals),
+    "sentence_len_stats": over_corpus(M.sentence_lengths),
+    "sentence_hist": over_corpus(M.sentence_histogram),
+    "paragraph_hist": over_corpus(M.paragraph_histogram),
+    "one_sentence_rate": over_corpus(M.one_sentence_rate),
+    "punct_rates": over_corpus(M.punctuation_rates),
+    "comma_density": over_corpus(M.comma_density),
+    "contraction_rate": over_corpus(M.contraction_rate),
+    "oxford_signal": over_corpus(M.oxford_signal),
+    "spelling_variant": over_corpus(M.spelling_variant),
+    "function_word_rates": over_corpus(M.function_words),
+    "function_word_top20": over_corpus(M.function_word_top),
+    "stance_rates": over_corpus(M.category_rates, L.STANCE),
+    "epistemic_rates": over_corpus(M.category_rates, L.EPISTEMIC),
+    "avoidance_rates": over_corpus(M.category_rates, L.AVOIDANCE),
+    "lexicon_rates_present": over_corpus(M.category_rates, PRESENT),
+    "syntax_texture": over_corpus(M.syntax_texture),
+    "rhetoric_moves": over_corpus(M.rhetoric_moves),
+    "transition_openers": over_corpus(M.transition_openers),
+    "discourse_positions": over_corpus(M.discourse_positions),
+    "sentence_openers_top20": over_corpus(M.sentence_openers),
+    "paragraph_cadence": over_corpus(M.paragraph_cadence),
+    "bigrams_top30": over_corpus(M.top_ngrams, 2),
+    "trigrams_top30": over_corpus(M.top_ngrams, 3),
+    "repetition_rates": over_corpus(M.repetition_rates),
+    "lexical_diversity": over_corpus(M.lexical_diversity),
+    "burstiness": over_corpus(M.burstiness),
+    "punct_entropy": over_corpus(M.punctuation_entropy),
+    "function_word_entropy": over_corpus(M.function_word_entropy),
+    "char_trigram_entropy": over_corpus(M.char_trigram_entropy),
+    "cap_ratio": over_corpus(M.capitalisation),
+    "absent_common_words": over_corpus(M.absent_common_words),
+    "rare_words": over_corpus(M.rare_words),
+    "fiction_flags": over_corpus(M.fiction_flags),
+    "emdash_quote_normalised": normalised_marks,
+}
+ORACLES: dict[str, str] = dict(sql.MEASURES)
