@@ -121,19 +121,22 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = lattice.vocabulary(), model.value
-        rows: dict[bytes, int] = {}
+        rows: dict[bytes, int] = {}  # of words as they stand; many share their letters and so a row of the table
+        known: dict[str, int] = {}
         table = np.zeros((0, len(languages)))
         for batch in batches:
             words = [t.split() for t in texts(batch)]
             if len(rows) > 200_000:
-                rows, table = {}, table[:0]
-            fresh = list(set().union(*words) - rows.keys()) if words else []
-            for i in range(0, len(fresh), WORDS):
-                group = fresh[i : i + WORDS]
-                cut = [parts(normalise(w)) for w in group]
+                rows, known, table = {}, {}, table[:0]
+            fresh = {w: normalise(w) for w in set().union(*words) - rows.keys()} if words else {}
+            new = list(set(fresh.values()) - known.keys())
+            for i in range(0, len(new), WORDS):
+                group = new[i : i + WORDS]
+                cut = [parts(w) for w in group]
                 flat = lattice.log_likelihood([x for c in cut for x in c], v, p)
-                rows.update(zip(group, range(len(table), len(table) + len(group)), strict=True))
+                known.update(zip(group, range(len(table), len(table) + len(group)), strict=True))
                 table = np.concatenate([table, segment_sum(flat, offsets([len(c) for c in cut]))])
+            rows.update((w, known[s]) for w, s in fresh.items())
             pred, score, margin = [], [], []
             for w in words:
                 total = table[np.fromiter(map(rows.__getitem__, w), np.int64, len(w))].sum(0)
