@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..operators import markdown, profile, rewrite, select, windows
 from ..operators import measure as M
 from . import sql
 
@@ -39,11 +40,94 @@ def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalised_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import rewrite
-
     return corpus(spark, sf_dir).select("doc_id", F.md5(rewrite.straight_quotes(rewrite.plain_dashes("text"))).alias("text_md5"))
 
 
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", T.title("html").alias("title"))
+
+
+def voice_filtered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "pages").select("page_id", markdown.voice_filter("html").alias("text"))
+    return x.select("page_id", T.word_count("text").cast("long").alias("words"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the voice filter that is a chain of expressions: mathematics, tags and entities."""
+    x = read(spark, sf_dir, "pages").select("page_id", T.strip_entities(T.strip_html(T.strip_latex(T.strip_inline_code("html")))).alias("text"))
+    return x.select("page_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def conversation_role_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "conversations").select(F.col("role").alias("profile"), F.col("conv_id").alias("doc_id"), "text")
+    return M.totals(x).join(M.comma_density(x), "profile").join(M.sentence_lengths(x).select("profile", "mean", "stdev"), "profile")
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.measurements(corpus(spark, sf_dir))
+
+
+def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the profile of its source."""
+    docs = corpus(spark, sf_dir)
+    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text")).withColumnRenamed("profile", "id")
+    own = own.join(docs.select(F.col("doc_id").cast("string").alias("id"), "profile"), "id")
+    return profile.compliance(own, profile.measurements(docs))
+
+
+def compliance_doc_vs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = compliance(spark, sf_dir)
+    return x.select(F.col("id").cast("long").alias("doc_id"), "profile", M.r6("score").alias("score"), F.size("deltas").alias("deltas"))
+
+
+def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.match_probability(compliance(spark, sf_dir))
+
+
+def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.similarity(profiles(spark, sf_dir))
+
+
+def profile_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(spark, sf_dir).select("a", "b", "similarity", "confidence")
+
+
+def worst_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.worst(similarity_components(spark, sf_dir))
+
+
+def kl_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source's function words from those of the whole corpus."""
+    docs = corpus(spark, sf_dir)
+    own = profile.measurements(docs, repetition=False).select("profile", "function_words")
+    whole = profile.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.col("function_words").alias("q"))
+    x = own.withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")  # a single row
+    return x.select("profile", M.r6(profile.kl_divergence(F.col("function_words"), F.col("q"))).alias("kl"))
+
+
+def same_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose prose is the same but for marks and case, with the least id that has it."""
+    x = corpus(spark, sf_dir).select("doc_id", F.md5(T.prose_key("text")).alias("key"))
+    groups = x.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    return x.join(groups, "key").select("doc_id", "first_doc", "n")
+
+
+def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = markdown.chunk_plan(corpus(spark, sf_dir), tokens=256, roster=3)
+    return x.select("doc_id", "chunk_no", "est_tokens", "model_no", F.md5("text").alias("text_md5"))
+
+
+def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages masked and restored: how many masks, and whether nothing changed."""
+    x = read(spark, sf_dir, "pages").select("page_id", "html", markdown.mask("html").alias("m"))
+    return x.select("page_id", F.size("m.originals").alias("masks"), (markdown.restore("m.text", "m.originals") == F.col("html")).alias("same"))
+
+
+def british_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    swap = markdown.rows(lambda t: rewrite.guarded_spelling(t, "british"))
+    return corpus(spark, sf_dir).select("doc_id", F.md5(swap("text")).alias("text_md5"))
+
+
 PRESENT = {"articles": ["the", "a", "la", "der"], "prepositions": ["of", "in", "de", "en"]}
 QUERIES: dict[str, Query] = {
     "source_profile": source_profile,
@@ -83,5 +167,24 @@ QUERIES: dict[str, Query] = {
     "rare_words": over_corpus(M.rare_words),
     "fiction_flags": over_corpus(M.fiction_flags),
     "emdash_quote_normalised": normalised_marks,
+    "page_titles": page_titles,
+    "voice_filtered_pages": voice_filtered_pages,
+    "stripped_pages": stripped_pages,
+    "conversation_role_profiles": conversation_role_profiles,
+    "baseline_windows": over_corpus(windows.baseline_windows),
+    "baseline_quantiles": over_corpus(windows.baseline_quantiles),
+    "excerpts": over_corpus(select.excerpts),
+    "extractive_summary": over_corpus(select.extractive_summary),
+    "sampled_sentences": over_corpus(select.sampled_sentences),
+    "compliance_doc_vs_source": compliance_doc_vs_source,
+    "match_probability": match_probability,
+    "profile_similarity_pairs": profile_similarity_pairs,
+    "similarity_components": similarity_components,
+    "worst_components": worst_components,
+    "kl_function_words": kl_function_words,
+    "near_duplicate_docs": same_prose,
+    "chunk_plan": chunk_plan,
+    "mask_round_trip": mask_round_trip,
+    "british_spelling": british_spelling,
 }
 ORACLES: dict[str, str] = dict(sql.MEASURES)

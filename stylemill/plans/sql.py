@@ -126,3 +126,17 @@ MEASURES: dict[str, str] = {
 _h = bins("s", "words", L.SENTENCE_BINS)
 MEASURES["sentence_hist"] = "WITH " + D + ",\n" + S0 + ",\n" + S + ",\n" + _h
 MEASURES["paragraph_hist"] = "WITH " + D + f",\np AS (SELECT profile, len({sentences('text')}) AS n FROM d WHERE trim(text) <> ''),\n" + bins("p", "n", L.PARAGRAPH_BINS)
+
+FUNCTION_SHARE = "b AS (SELECT profile, word, n / nullif(sum(n) OVER (PARTITION BY profile), 0) AS p FROM f)"
+_RARE_OK = f"token NOT IN ({listed(L.STOP_WORDS)}) AND regexp_matches(token, '^[a-z]{{4,}}$') AND NOT regexp_matches(token, '^[ivxlcdm]+$') AND NOT (length(token) >= 8 AND len(list_filter(range(3, length(token) // 2 + 1), lambda k: length(token) % k = 0 AND repeat(substr(token, 1, CAST(k AS INT)), CAST(length(token) // k AS INT)) = token)) > 0) AND NOT (length(token) >= 12 AND regexp_matches(token, '^[^aeiouy]{{5}}'))"
+MEASURES |= {
+    "page_titles": r"WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages) SELECT page_id, coalesce(nullif(trim(regexp_replace(t, '\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_replace(h, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '')) AS title FROM p",
+    "stripped_pages": r"WITH a AS (SELECT page_id, regexp_replace(html, '``[^`\n]+``|`[^`\n]+`', '', 'g') AS t FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)\\\[.*?\\\]', chr(10), 'g'), '(?s)\\\(.*?\\\)', '', 'g'), '(?s)\$\$.*?\$\$', chr(10), 'g'), '\$[^$]*\$', '', 'g'), '\\[A-Za-z]+(?:\{[^}]*\})?', '', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<[A-Za-z][^>]*>.*?</[A-Za-z][^>]*>', chr(10), 'g'), '(?is)<!--.*?-->', '', 'g'), '<[A-Za-z/][^>]*>', '', 'g'), '&[A-Za-z0-9#]+;', '', 'g') AS t FROM b) SELECT page_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_md5 FROM c",
+    "near_duplicate_docs": r"WITH k AS (SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '``[^`\n]+``|`[^`\n]+`', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), 'https?://\S+', ' ', 'g')), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS key FROM documents), g AS (SELECT key, min(doc_id) AS first_doc, count(*) AS n FROM k GROUP BY key HAVING count(*) > 1) SELECT doc_id, first_doc, n FROM k JOIN g USING (key)",
+    "conversation_role_profiles": MEASURES["source_totals"].replace("source AS profile, doc_id, text FROM documents", "role AS profile, conv_id AS doc_id, text FROM conversations").replace("SELECT profile, count(*)", "SELECT * FROM (SELECT profile, count(*)") + ") JOIN (" + MEASURES["comma_density"].replace("source AS profile, doc_id, text FROM documents", "role AS profile, conv_id AS doc_id, text FROM conversations") + ") USING (profile) JOIN (SELECT profile, mean, stdev FROM (" + MEASURES["sentence_len_stats"].replace("source AS profile, doc_id, text FROM documents", "role AS profile, conv_id AS doc_id, text FROM conversations") + ")) USING (profile)",
+    "kl_function_words": with_(D, WT, TOK, FWC, "r AS (SELECT profile, word, n * 1000.0 / words + 1e-9 AS p FROM f)", "q0 AS (SELECT word, sum(n) * 1000.0 / (SELECT sum(words) FROM wt) + 1e-9 AS q FROM f GROUP BY word)", "x AS (SELECT profile, p / sum(p) OVER (PARTITION BY profile) AS p, q / sum(q) OVER (PARTITION BY profile) AS q FROM r JOIN q0 USING (word))", select="SELECT profile, round(sum(p * log2(p / q)), 6) AS kl FROM x GROUP BY profile"),
+    "extractive_summary": with_(D, f"s AS (SELECT doc_id, unnest(range(0, len(s))) AS sent_no, unnest(s) AS sentence FROM (SELECT doc_id, {sentences('text')} AS s FROM d))", f"t AS (SELECT doc_id, sent_no, unnest({words('lower(sentence)')}) AS token FROM s)", f"c AS (SELECT doc_id, sent_no, token, count(*) AS n FROM t WHERE token NOT IN ({listed(L.STOP_WORDS)}) AND length(token) > 2 GROUP BY ALL)", "f AS (SELECT doc_id, token, sum(n) AS f FROM c GROUP BY ALL)", "x AS (SELECT doc_id, sent_no, sum(n * f) AS score FROM c JOIN f USING (doc_id, token) GROUP BY ALL)", select="SELECT doc_id, CAST(sent_no AS INT) AS sent_no, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_no) AS rank FROM x) WHERE rank <= 2"),
+    "sampled_sentences": with_(D, f"s AS (SELECT doc_id, len(s) AS n, unnest(range(0, len(s))) AS sent_no, unnest(s) AS sentence FROM (SELECT doc_id, {sentences('text')} AS s FROM d))", select="SELECT doc_id, CAST(sent_no AS INT) AS sent_no, sentence FROM s WHERE sent_no % greatest(1, n // 24) = 0"),
+    "rare_words": with_(D, WT, f"t AS (SELECT profile, unnest({words('text')}) AS t FROM d)", "c AS (SELECT profile, lower(t) AS token, count(*) AS n, count(*) FILTER (WHERE regexp_matches(substr(t, 1, 1), '[A-Z]')) AS caps FROM t GROUP BY ALL)", f"x AS (SELECT profile, words, token, n, CAST(caps AS DOUBLE) / n AS cap, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM c JOIN wt USING (profile) WHERE n <= least(5, greatest(2, floor(words * 0.0001))) AND {_RARE_OK})", "y AS (SELECT *, row_number() OVER (PARTITION BY profile, substr(token, 1, 1) ORDER BY n, cap, h, token) AS rd FROM x)", "z AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY rd, substr(token, 1, 1)) AS k FROM y)", select=f"SELECT profile, token, n, {rate('n')} AS rate, row_number() OVER (PARTITION BY profile ORDER BY cap, n, h, token) AS rank FROM z WHERE k <= 40"),
+    "fiction_flags": with_(D, WT, f"q AS (SELECT profile, doc_id, list_filter(list_transform(regexp_extract_all(text, '\"[^\"]+\"|“[^”]+”'), lambda x: substr(x, 2, length(x) - 2)), lambda x: len({words('x')}) >= 2) AS q, substr(trim(text), 1, 1) IN ('\"', '“') AS opens, trim(text) <> '' AS there FROM d)", f"c AS (SELECT profile, CAST(sum(len(q)) AS BIGINT) AS spans, CAST(sum(list_sum(list_transform(q, lambda x: len({words('x')})))) AS BIGINT) AS quoted, count(*) FILTER (WHERE there) AS paras, count(*) FILTER (WHERE opens) AS op FROM q GROUP BY profile)", "r AS (SELECT profile, coalesce(spans, 0) AS spans, coalesce(quoted, 0) AS quoted, CAST(coalesce(quoted, 0) AS DOUBLE) / greatest(1, words) AS qr, CAST(op AS DOUBLE) / greatest(1, paras) AS pr FROM c JOIN wt USING (profile))", select="SELECT profile, spans, quoted, round(qr, 6) AS quoted_ratio, round(pr, 6) AS quote_para_ratio, (spans >= 6 AND qr >= 0.03) OR (pr >= 0.2 AND qr >= 0.03) OR qr >= 0.08 AS fiction FROM r"),
+}

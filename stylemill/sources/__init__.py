@@ -1 +1 @@
-"""Writing-style analytics on Spark."""
+"""Readers and writers."""

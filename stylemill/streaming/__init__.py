@@ -1 +1 @@
-"""Writing-style analytics on Spark."""
+"""Measurements over streams."""
