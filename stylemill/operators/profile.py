@@ -36,23 +36,28 @@ def _total(values: str, square: bool = False) -> Column:
 
 def counts(docs: DataFrame) -> DataFrame:
     """profile and the additive counts of each document, by name."""
+    listed = sorted({t for lexicon in (L.STANCE, L.EPISTEMIC, L.AVOIDANCE, {"": L.SUBORDINATORS}) for terms in lexicon.values() for t in terms})
+    some = lambda text, terms: reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    # each step computes once what the next one uses many times
     x = docs.select("profile", "text", F.lower("text").alias("low"), T.lower_words("text").alias("w"), T.sentences("text").alias("s"), T.paragraphs("text").alias("p"))
-    size = lambda s: T.word_count(s).cast("long")
     x = x.select(
-        "profile", "text", "low", "w", F.transform("s", lambda s: F.struct(F.lower(s).alias("low"), T.lower_words(s).alias("w"))).alias("s"),
-        F.transform("s", size).alias("len"), F.transform("p", T.sentences).alias("ps"),
+        "profile", "text", "low", F.size("w").alias("nw"), F.filter("w", lambda t: t.isin(listed)).alias("w"),
+        F.transform("s", lambda s: F.struct(F.lower(s).alias("low"), T.lower_words(s).alias("w"))).alias("s"), F.transform("p", T.sentences).alias("ps"),
+    )
+    x = x.select(
+        "profile", "text", "low", "nw", "w", "ps", F.transform("s", lambda s: F.size(s["w"]).cast("long")).alias("len"),
+        F.transform("s", lambda s: F.struct(s["low"], F.size(s["w"]).alias("n"), F.array_join(F.slice(s["w"], 1, 3), " ").alias("start"), F.array_join(F.slice(s["w"], 2, F.greatest(F.size(s["w"]) - 1, F.lit(0))), " ").alias("rest"))).alias("s"),
     )
+    size = lambda s: T.word_count(s).cast("long")
     x = x.select("*", F.transform("ps", lambda p: F.size(p).cast("long")).alias("plen"), F.transform(F.filter("ps", lambda p: F.size(p) > 0), lambda p: F.struct(size(F.element_at(p, 1)).alias("o"), size(F.element_at(p, -1)).alias("c"))).alias("cad"))
-    start = lambda s: F.array_join(F.slice(s["w"], 1, 3), " ").isin(L.TRANSITIONS)
-    rest = lambda s: F.array_join(F.slice(s["w"], 2, F.greatest(F.size(s["w"]) - 1, F.lit(0))), " ")
-    some = lambda text, terms: reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
-    spoken = F.filter("s", lambda s: F.size(s["w"]) > 0)
+    start = lambda s: s["start"].isin(L.TRANSITIONS)
+    spoken = F.filter("s", lambda s: s["n"] > 0)
     named = {
-        "words": F.size("w"), "sentences": F.size("len"), "len1": _total("len"), "len2": _total("len", True), "paragraphs": F.size("plen"),
+        "words": F.col("nw"), "sentences": F.size("len"), "len1": _total("len"), "len2": _total("len", True), "paragraphs": F.size("plen"),
         "one": F.size(F.filter("plen", lambda x: x == 1)), "contractions": F.coalesce(F.regexp_count("text", F.lit(r"(?U)\b\w+(?:n't|'re|'ve|'ll|'d|'m|'s)\b")), F.lit(0)),
         "ands": T.occurrences("low", " and "), "comma_ands": T.occurrences("low", ", and "),
         "appositives": F.coalesce(F.regexp_count("low", F.lit(r"(?U),\s+(?:a|an|the|which|who|that)\b")), F.lit(0)), "subordinators": _among(L.SUBORDINATORS),
-        "starts": F.size(F.filter(spoken, start)), "mids": F.size(F.filter(spoken, lambda s: ~start(s) & some(rest(s), L.TRANSITIONS))),
+        "starts": F.size(F.filter(spoken, start)), "mids": F.size(F.filter(spoken, lambda s: ~start(s) & some(s["rest"], L.TRANSITIONS))),
         "openings": F.size("cad"), "o1": F.aggregate("cad", F.lit(0).cast("long"), lambda a, x: a + x["o"]), "o2": F.aggregate("cad", F.lit(0).cast("long"), lambda a, x: a + x["o"] * x["o"]),
         "c1": F.aggregate("cad", F.lit(0).cast("long"), lambda a, x: a + x["c"]), "c2": F.aggregate("cad", F.lit(0).cast("long"), lambda a, x: a + x["c"] * x["c"]),
     }
@@ -65,10 +70,6 @@ def counts(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("s", lambda s: some(s["low"], terms)))
 
     named |= {f"rh_{k}": marked(t) for k, t in L.RHETORIC.items()}
-    # one pass over the tokens for all function words: how often each occurs, in the list's order
-    fw = F.filter("w", lambda x: x.isin(L.FUNCTION_WORDS))
-    x = x.select("*", fw.alias("fw"))
-    named |= {f"fw_{k}": F.size("fw") - F.size(F.array_remove("fw", k)) for k in L.FUNCTION_WORDS}
     return x.select("profile", *[c.cast("long").alias(k) for k, c in named.items()])
 
 
@@ -81,7 +82,7 @@ def _share(keys: list[str]) -> Column:
     return F.array(*[F.when(total > 0, F.col(k) / total).otherwise(0.0) for k in keys])
 
 
-def measurements(docs: DataFrame, repetition: bool = True) -> DataFrame:
+def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True) -> DataFrame:
     """profile, words and an array<double> for each section."""
     c = counts(docs)
     x = c.groupBy("profile").agg(*[F.sum(k).alias(k) for k in c.columns if k != "profile"])
@@ -98,9 +99,13 @@ def measurements(docs: DataFrame, repetition: bool = True) -> DataFrame:
         rates([f"ep_{k}" for k in L.EPISTEMIC]).alias("epistemic_profile"),
         F.array(ratio("o1", "openings"), _deviation("openings", "o1", "o2"), ratio("c1", "openings"), _deviation("openings", "c1", "c2")).alias("paragraph_cadence"),
         rates(["subordinators", "par", "appositives"]).alias("syntax_texture"), rates([f"av_{k}" for k in L.AVOIDANCE]).alias("lexical_avoidance"),
-        rates(["starts", "mids"]).alias("discourse_markers"), rates([f"fw_{k}" for k in L.FUNCTION_WORDS]).alias("function_words"),
+        rates(["starts", "mids"]).alias("discourse_markers"),
         ratio("len1", "sentences").alias("sentence_mean"), _deviation("sentences", "len1", "len2").alias("sentence_stdev"),
     )
+    if function_words:
+        listed = F.array_sort(F.collect_list(F.struct("place", "n")))  # a row for each word of the list
+        fw = M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw"))
+        x = x.join(fw, "profile").withColumn("function_words", F.transform("fw", lambda n: M.rate(n, F.col("words")))).drop("fw")
     if not repetition:
         return x
     r = M.repetition_rates(docs).select("profile", F.array("bigram_repeat_rate", "trigram_repeat_rate").alias("repetition"))
