@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -22,12 +20,52 @@ MARK = "▁"
 LONGEST = 48
 
 
+class Trie:
+    """All places at which any of some strings occurs in a text; all of them step through the text together."""
+
+    def __init__(self, strings: list[str]):
+        chars = sorted({c for s in strings for c in s})
+        self.cls = np.zeros(0x110000, np.int32)  # 0: in none of the strings
+        self.cls[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width, self.longest = len(chars) + 1, max(map(len, strings))
+        states, keys, after = {"": 0}, [], []
+        for s in strings:
+            for k in range(1, len(s) + 1):
+                if s[:k] not in states:
+                    states[s[:k]] = len(states)
+                    keys.append(states[s[: k - 1]] * self.width + int(self.cls[ord(s[k - 1])]))
+                    after.append(states[s[:k]])
+        order = np.argsort(keys)
+        self.keys, self.after = np.array(keys, np.int64)[order], np.array(after, np.int64)[order]
+        self.string = np.full(len(states), -1, np.int64)
+        self.string[[states[s] for s in strings]] = np.arange(len(strings))
+
+    def find(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, length, string) of every occurrence."""
+        c = self.cls[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+        begin = np.flatnonzero(c)
+        state, out = np.zeros(len(begin), np.int64), [(begin[:0], begin[:0], begin[:0])]
+        for n in range(self.longest):
+            key = state * self.width + c[begin + n]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = self.keys[i] == key
+            begin, state = begin[on], self.after[i[on]]
+            whole = self.string[state] >= 0
+            out.append((begin[whole], np.full(int(whole.sum()), n + 1), self.string[state[whole]]))
+            inside = begin + n + 1 < len(c)
+            begin, state = begin[inside], state[inside]
+            if not len(begin):
+                break
+        a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return a, b, d
+
+
 @dataclass
 class Vocabulary:
     pieces: list[str]
     ids: np.ndarray  # the model's id of each piece; the last stands for fallbacks
     log_prior: np.ndarray  # Zipf-Mandelbrot over the public merge ranks
-    automaton: ahocorasick.Automaton
+    trie: Trie
     byte_ids: np.ndarray
 
 
@@ -36,13 +74,9 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and sp.id_to_piece(i).strip(MARK) or sp.id_to_piece(i) == MARK]
     pieces = [sp.id_to_piece(i) for i in ids]
-    automaton = ahocorasick.Automaton()
-    for k, p in enumerate(pieces):
-        automaton.add_word(p, k * 64 + len(p))
-    automaton.make_automaton()
     weight = 1 / (np.arange(len(pieces)) + 2.7)
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-    return Vocabulary(pieces, np.array([*ids, -1]), np.log(np.append(weight, weight[-1] / 8) / (weight.sum() + weight[-1] / 8)), automaton, byte_ids)
+    return Vocabulary(pieces, np.array([*ids, -1]), np.log(np.append(weight, weight[-1] / 8) / (weight.sum() + weight[-1] / 8)), Trie(pieces), byte_ids)
 
 
 @dataclass
@@ -61,9 +95,7 @@ def build(words: list[str], v: Vocabulary) -> Lattices:
     size = np.array([len(w) for w in words], np.int64)
     joined = "\n".join(words)
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    found = np.fromiter(chain.from_iterable(v.automaton.iter(joined)), np.int64).reshape(-1, 2)
-    length, piece = found[:, 1] & 63, found[:, 1] >> 6
-    begin = found[:, 0] - length + 1
+    begin, length, piece = v.trie.find(joined)
     single = np.zeros(len(joined) + 1, bool)
     single[begin[length == 1]] = True
     single[first[1:] - 1] = True  # the line feeds between words
@@ -79,13 +111,14 @@ def build(words: list[str], v: Vocabulary) -> Lattices:
 
 #: Node weights are kept within the floats' range by this factor for each character.
 STEP = 40.0
+POWERS = STEP ** np.arange(LONGEST + 1)
 
 
 def forward(lat: Lattices, p: np.ndarray) -> np.ndarray:
     """alpha[position, word, model], times STEP to the position. p: [piece, model]."""
     out = np.zeros((int(lat.size.max(initial=0)) + 1, len(lat.size), p.shape[1]))
     out[0] = 1
-    scaled = STEP ** (lat.end - lat.start)
+    scaled = POWERS[lat.end - lat.start]
     order = np.argsort(lat.end * len(lat.size) + lat.word)
     word, start, end, piece, scaled = lat.word[order], lat.start[order], lat.end[order], lat.piece[order], scaled[order]
     bounds = np.searchsorted(end, np.arange(len(out) + 1))
@@ -102,7 +135,7 @@ def backward(lat: Lattices, p: np.ndarray) -> np.ndarray:
     """beta[position, word, model], times STEP to the characters left."""
     out = np.zeros((int(lat.size.max(initial=0)) + 1, len(lat.size), p.shape[1]))
     out[lat.size, np.arange(len(lat.size))] = 1
-    scaled = STEP ** (lat.end - lat.start)
+    scaled = POWERS[lat.end - lat.start]
     order = np.argsort(lat.start * len(lat.size) + lat.word)
     word, start, end, piece, scaled = lat.word[order], lat.start[order], lat.end[order], lat.piece[order], scaled[order]
     bounds = np.searchsorted(start, np.arange(len(out) + 1))

@@ -12,7 +12,7 @@ replacement. The largest value left, kappa, gives each sample's inclusion score
 All draws are hashes of (row key, sample, position): they depend neither on partitioning nor on other rows.
 
 An empty or null text has one segmentation, the empty one. Texts with fewer than k segmentations return them all.
-Pre-tokens of over lattice.LONGEST characters are cut into parts of that length. A text that holds the word mark itself
+Pre-tokens end between letters and other characters; those of over lattice.LONGEST characters are cut into such lengths. A text that holds the word mark itself
 decodes to a space there, as the library has it, and round_trip is false. Repeated rows get equal samples.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,56 +33,112 @@ from .common import documents, map_batches, mix, offsets, texts
 from .toxicity import by_size
 
 SAMPLES, SEED, GROUP = 2, 2024, 1_500_000
-_PRE = re.compile(" *[^ \n]+| +|\n")
+_M = lattice.MARK
+_PRE = re.compile(rf"{_M}*(?:[^\W\d_]+|(?:[^\w{_M}\n]|[\d_])+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
 def pre_tokens(text: str) -> list[str]:
-    """Runs of spaces, as word marks, with what follows; and line feeds. The library's leading space comes first."""
-    return [x[i : i + lattice.LONGEST] for x in _PRE.findall(" " + text) for x in [x.replace(" ", lattice.MARK)] for i in range(0, len(x), lattice.LONGEST)] if text else []
-
+    """Runs of letters, and of other characters, with the spaces before them as word marks; and line feeds. The library's leading space comes first."""
+    if not text:
+        return []
+    out = _PRE.findall(lattice.MARK + text.replace(" ", lattice.MARK))
+    if max(map(len, out)) > lattice.LONGEST:
+        out = [x[i : i + lattice.LONGEST] for x in out for i in range(0, len(x), lattice.LONGEST)]
+    return out
+
+
+class Nodes(dict):
+    """word -> its number, and the edges of all nodes of the words met so far with their conditional probabilities.
+
+    A node has its edges from the likeliest on, so a draw seldom looks at more than one. Started anew when the words are many.
+    """
+
+    #: by word; `first` by node, with the number of edges at its end; the others by edge
+    KINDS = {"base": np.int64, "size": np.int64, "first": np.int64, "node": np.int32, "end": np.int32, "piece": np.int32, "prob": np.float64, "cum": np.float64, "log": np.float64}
+
+    def __init__(self, v: lattice.Vocabulary, most: int = 100_000):
+        super().__init__()
+        self.v, self.most = v, most
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.zeros(int(name == "first"), kind))
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = len(self)
+        self.fresh.append(word)
+        return out
 
-class Nodes:
-    """The edges of all nodes of some words' lattices with their conditional probabilities."""
+    def numbers(self, units: list[list[str]]) -> np.ndarray:
+        """The numbers of all units of some texts, which the arrays then know."""
+        if len(self) > self.most:
+            self.restart()
+        out = np.fromiter(chain.from_iterable(map(self.__getitem__, u) for u in units), np.int64)
+        new = [self.learned(self.fresh[i : i + 8000]) for i in range(0, len(self.fresh), 8000)]
+        self.fresh = []
+        for name, kind in self.KINDS.items():
+            own = [getattr(self, name)]
+            nodes, edges = len(self.first) - 1, len(self.node)
+            for part in new:
+                shift = nodes if name in ("base", "node") else edges if name == "first" else 0
+                own.append((part[name] + shift).astype(kind) if shift else part[name].astype(kind))
+                nodes, edges = nodes + len(part["first"]), edges + len(part["node"])
+            setattr(self, f"_{name}", np.concatenate([own[0][:-1], *own[1:], [edges]]) if name == "first" else np.concatenate(own))
+        for name in self.KINDS:
+            setattr(self, name, self.__dict__.pop(f"_{name}"))
+        return out
 
-    def __init__(self, words: list[str], v: lattice.Vocabulary):
-        lat = lattice.build(words, v)
-        p = np.exp(v.log_prior)[:, None]
+    def learned(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The arrays of some words on their own."""
+        lat = lattice.build(words, self.v)
+        p = np.exp(self.v.log_prior)[:, None]
         beta = lattice.backward(lat, p)[:, :, 0]
-        self.base = np.concatenate([[0], np.cumsum(lat.size)])[:-1]  # a node for each character; the last is the word's end
-        self.size, self.end, self.piece = lat.size, lat.end, lat.piece
-        self.node = self.base[lat.word] + lat.start
-        prob = p[lat.piece, 0] * lattice.STEP ** (lat.end - lat.start).astype(float) * beta[lat.end, lat.word] / np.maximum(beta[lat.start, lat.word], 1e-300)
-        self.first = np.searchsorted(self.node, np.arange(int(lat.size.sum()) + 1))
-        total = np.add.reduceat(prob, self.first[:-1]) if len(prob) else np.zeros(0)
-        self.prob = prob / np.where(total > 0, total, 1)[self.node]
-        cum = np.cumsum(self.prob)
-        before = np.concatenate([[0.0], cum])[self.first[:-1]]
-        self.key = self.node + np.minimum(cum - before[self.node], 1.0)
-        last = self.first[1:] - 1
-        self.key[last] = self.node[last] + 1.0
+        base = offsets(lat.size)[:-1]  # a node for each character; the last is the word's end
+        node = base[lat.word] + lat.start
+        first = np.searchsorted(node, np.arange(int(lat.size.sum()) + 1))
+        prob = p[lat.piece, 0] * lattice.POWERS[lat.end - lat.start] * beta[lat.end, lat.word] / np.maximum(beta[lat.start, lat.word], 1e-300)
+        order = np.argsort(node - np.minimum(prob, 1) / 2, kind="stable")
+        prob, end, piece = prob[order], lat.end[order], lat.piece[order]
+        total = np.add.reduceat(prob, first[:-1])
+        prob /= np.where(total > 0, total, 1)[node]
+        cum = np.cumsum(prob)
+        cum -= np.concatenate([[0.0], cum])[first[:-1]][node]
+        cum[first[1:] - 1] = 2.0
         with np.errstate(divide="ignore"):
-            self.log = np.log(self.prob)
+            log = np.log(prob)
+        return {"base": base, "size": lat.size, "first": first[:-1], "node": node, "end": end, "piece": piece, "prob": prob, "cum": cum, "log": log}
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """An edge of each node."""
+        edge = self.first[node]
+        open_ = np.flatnonzero(self.cum[edge] <= u)
+        while len(open_):
+            edge[open_] += 1
+            open_ = open_[self.cum[edge[open_]] <= u[open_]]
+        return edge
 
     def walk(self, word: np.ndarray, position: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path of each word from its position to its end: the edges and which walk they belong to, in order."""
         walk, edges, owners, at = np.flatnonzero(position < self.size[word]), [], [], position.copy()
         base, size, step = self.base[word], self.size[word], 0
+        steps = np.zeros(len(word), np.int64)
         while len(walk):
-            node = base[walk] + at[walk]
             u = (mix(seed[walk] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge = np.minimum(np.searchsorted(self.key, node + u, side="right"), self.first[node + 1] - 1)
-            edge = np.maximum(edge, self.first[node])
+            edge = self.draw(base[walk] + at[walk], u)
             edges.append(edge)
             owners.append(walk)
             at[walk] = self.end[edge]
+            steps[walk] += 1
             walk = walk[at[walk] < size[walk]]
             step += 1
-        if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(edges)[order], owner[order]
+        place, out = offsets(steps), np.zeros(int(steps.sum()), np.int64)
+        for k, (e, w) in enumerate(zip(edges, owners, strict=True)):
+            out[place[w] + k] = e
+        return out, np.repeat(np.arange(len(word)), steps)
 
 
 def exponential(seed: np.ndarray) -> np.ndarray:
@@ -119,11 +176,9 @@ def truncated(location: np.ndarray, bound: np.ndarray, e: np.ndarray) -> np.ndar
     return -np.logaddexp(-bound, np.log(np.maximum(e, 1e-300)) - location)
 
 
-def sample(units: list[list[str]], keys: np.ndarray, k: int, v: lattice.Vocabulary) -> tuple[Nodes, list[tuple[Path, np.ndarray]], np.ndarray]:
+def sample(units: list[list[str]], keys: np.ndarray, k: int, nodes: Nodes) -> tuple[list[tuple[Path, np.ndarray]], np.ndarray]:
     """Up to k distinct paths of each text: (path, which texts have it) for each rank, and kappa."""
-    index: dict[str, int] = {}
-    word = np.array([index.setdefault(x, len(index)) for u in units for x in u], np.int64)
-    nodes, ub, n = Nodes(list(index), v), offsets([len(u) for u in units]), len(units)
+    word, ub, n = nodes.numbers(units), offsets([len(u) for u in units]), len(units)
     text = np.repeat(np.arange(n), np.diff(ub))
     local = (np.arange(len(word)) - ub[text]).astype(np.uint64)
 
@@ -173,7 +228,7 @@ def sample(units: list[list[str]], keys: np.ndarray, k: int, v: lattice.Vocabula
         joined = [(np.concatenate([head[d], edges[tail[0, d] : tail[1, d]]]), np.concatenate([head_unit[d], unit[tail[0, d] : tail[1, d]]])) if there[d] else (head[d], head_unit[d]) for d in range(n)]
         bounds = offsets([len(x) for x, _ in joined])
         out.append((Path(nodes, np.concatenate([x for x, _ in joined]), np.concatenate([x for _, x in joined]), bounds, own, np.where(there, value, 0.0), seeds(rank, 1)), there))
-    return nodes, out, np.stack([p.best() for p, _ in out]).max(0)
+    return out, np.stack([p.best() for p, _ in out]).max(0)
 
 
 def piece_ids(pieces: np.ndarray, chars: str, lengths: np.ndarray, v: lattice.Vocabulary) -> np.ndarray:
@@ -205,23 +260,24 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = lattice.vocabulary()
-        table = decoder(v)
+        table, nodes = decoder(v), Nodes(v)
         for batch in batches:
             doc_ids, at = batch.column("doc_id").to_pylist(), 0
             for group in by_size(texts(batch), GROUP):
                 names, at = doc_ids[at : at + len(group)], at + len(group)
                 keys = np.array([xxhash.xxh64_intdigest(str(x), seed) for x in names], np.uint64)
                 units = [pre_tokens(t.decode("utf-8", "replace")) for t in group]
-                nodes, paths, kappa = sample(units, keys, k, v)
+                paths, kappa = sample(units, keys, k, nodes)
                 rows = []
                 for d, (name, t) in enumerate(zip(names, group, strict=True)):
-                    chars = "".join(units[d])
                     for rank, (p, there) in enumerate(paths):
                         if not there[d]:
                             continue
                         e = p.edges[p.bounds[d] : p.bounds[d + 1]]
-                        start = nodes.node[e] - nodes.base[np.searchsorted(nodes.base, nodes.node[e], side="right") - 1] if (nodes.piece[e] == len(v.pieces)).any() else None
-                        ids = piece_ids(nodes.piece[e], chars, nodes.end[e] - start, v) if start is not None else v.ids[nodes.piece[e]]
+                        ids = v.ids[nodes.piece[e]]
+                        if (ids < 0).any():
+                            start = nodes.node[e] - nodes.base[np.searchsorted(nodes.base, nodes.node[e], side="right") - 1]
+                            ids = piece_ids(nodes.piece[e], "".join(units[d]), nodes.end[e] - start, v)
                         x = float(p.total[d] - kappa[d])
                         inclusion = 0.0 if not np.isfinite(kappa[d]) else x - np.exp(x) / 2 if x < -20 else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))))
                         rows.append((name, rank + 1, len(ids), float(p.total[d]), float(p.value[d]), float(inclusion), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), decode(ids.tolist(), table) == t, ids.astype(np.int32)))

@@ -185,7 +185,8 @@ def test_lattice_sums_all_segmentations():
 
 def test_samples_are_distinct_draws_without_replacement():
     v, n = lattice.vocabulary(), 8000
-    _, paths, kappa = sampled_segmentation.sample([sampled_segmentation.pre_tokens("then a")] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), 3, v)
+    nodes = sampled_segmentation.Nodes(v)
+    paths, kappa = sampled_segmentation.sample([sampled_segmentation.pre_tokens("then a")] * n, np.arange(n).astype(np.uint64) * np.uint64(7919), 3, nodes)
     draws = [[tuple(p.edges[p.bounds[d] : p.bounds[d + 1]]) for d in range(n)] for p, _ in paths]
     prob = {x: math.exp(p.total[d]) for (p, _), own in zip(paths, draws, strict=True) for d, x in enumerate(own)}
     assert abs(sum(prob.values()) - 1) < 1e-3 and all(len({a, b, c}) == 3 for a, b, c in zip(*draws, strict=True))
