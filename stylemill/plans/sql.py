@@ -140,3 +140,133 @@ MEASURES |= {
     "rare_words": with_(D, WT, f"t AS (SELECT profile, unnest({words('text')}) AS t FROM d)", "c AS (SELECT profile, lower(t) AS token, count(*) AS n, count(*) FILTER (WHERE regexp_matches(substr(t, 1, 1), '[A-Z]')) AS caps FROM t GROUP BY ALL)", f"x AS (SELECT profile, words, token, n, CAST(caps AS DOUBLE) / n AS cap, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS h FROM c JOIN wt USING (profile) WHERE n <= least(5, greatest(2, floor(words * 0.0001))) AND {_RARE_OK})", "y AS (SELECT *, row_number() OVER (PARTITION BY profile, substr(token, 1, 1) ORDER BY n, cap, h, token) AS rd FROM x)", "z AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY rd, substr(token, 1, 1)) AS k FROM y)", select=f"SELECT profile, token, n, {rate('n')} AS rate, row_number() OVER (PARTITION BY profile ORDER BY cap, n, h, token) AS rank FROM z WHERE k <= 40"),
     "fiction_flags": with_(D, WT, f"q AS (SELECT profile, doc_id, list_filter(list_transform(regexp_extract_all(text, '\"[^\"]+\"|“[^”]+”'), lambda x: substr(x, 2, length(x) - 2)), lambda x: len({words('x')}) >= 2) AS q, substr(trim(text), 1, 1) IN ('\"', '“') AS opens, trim(text) <> '' AS there FROM d)", f"c AS (SELECT profile, CAST(sum(len(q)) AS BIGINT) AS spans, CAST(sum(list_sum(list_transform(q, lambda x: len({words('x')})))) AS BIGINT) AS quoted, count(*) FILTER (WHERE there) AS paras, count(*) FILTER (WHERE opens) AS op FROM q GROUP BY profile)", "r AS (SELECT profile, coalesce(spans, 0) AS spans, coalesce(quoted, 0) AS quoted, CAST(coalesce(quoted, 0) AS DOUBLE) / greatest(1, words) AS qr, CAST(op AS DOUBLE) / greatest(1, paras) AS pr FROM c JOIN wt USING (profile))", select="SELECT profile, spans, quoted, round(qr, 6) AS quoted_ratio, round(pr, 6) AS quote_para_ratio, (spans >= 6 AND qr >= 0.03) OR (pr >= 0.2 AND qr >= 0.03) OR qr >= 0.08 AS fiction FROM r"),
 }
+_PLAIN = "regexp_replace(lower(text), '[À-ɏ]', 'z', 'g')"  # so that an accented letter is no word boundary
+MEASURES["excerpts"] = with_(
+    D,
+    f"p AS (SELECT profile, doc_id, trim(text) AS text, len({words('text')}) AS n, length(trim(text)) AS size FROM d WHERE length(trim(text)) >= 200)",
+    "s AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE (CASE WHEN n < 60 THEN 0.3 WHEN n > 280 THEN 0.6 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '^\\s*[-*+]\\s+') OR regexp_matches(text, '^\\s*\\d+\\.\\s+') THEN 0.5 ELSE 1.0 END) * (CASE WHEN CAST(len(regexp_extract_all(text, '\\p{Lu}')) AS DOUBLE) / size > 0.2 THEN 0.7 ELSE 1.0 END) * (CASE WHEN CAST(len(regexp_extract_all(text, '\\p{Nd}')) AS DOUBLE) / size > 0.08 THEN 0.7 ELSE 1.0 END) * (CASE WHEN regexp_matches(" + _PLAIN + ", '\\b(?:ibid|supra|infra|cf|op\\.|cit|pp?)\\b') THEN 0.4 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '\\[[0-9,\\s]+\\]') THEN 0.5 ELSE 1.0 END) END AS score FROM p)",
+    "r AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(size) OVER (PARTITION BY profile ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WINDOW w AS (PARTITION BY profile ORDER BY score DESC, doc_id))",
+    select="SELECT profile, rank, doc_id, 0 AS para_no, round(score, 6) AS score, substr(text, 1, CAST(6000 - before AS INT)) AS excerpt FROM r WHERE before < 6000",
+)
+_MARKS = {"commas": ",", "semicolons": ";", "colons": ":", "exclamations": "!", "questions": "?", "open": "(", "close": ")", "double": '"', "single": "'", "em_dashes": "—"}
+
+
+def _spread(v: str) -> tuple[str, str]:
+    """Mean and population deviation of a list; 0 if it is empty."""
+    return f"coalesce(list_avg({v}), 0.0)", f"coalesce(list_stddev_pop({v}), 0.0)"
+
+
+def _again(n: int) -> str:
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"CASE WHEN len(w) >= {n} THEN 1.0 - CAST(len(list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}))) AS DOUBLE) / (len(w) - {n - 1}) ELSE 0.0 END"
+
+
+_SM, _SD = _spread("sl")
+_PM, _PD = _spread("pl")
+WINDOW_METRICS = {
+    "token_count": "CAST(len(w) AS DOUBLE)", "type_token_ratio": "CAST(len(list_distinct(w)) AS DOUBLE) / len(w)", "avg_word_length": "CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w)",
+    "sentence_length_mean": _SM, "sentence_length_stdev": _SD, "sentence_burstiness": f"CASE WHEN {_SM} > 0 THEN {_SD} / {_SM} ELSE 0.0 END",
+    "paragraph_length_mean": _PM, "paragraph_length_stdev": _PD, "paragraph_burstiness": f"CASE WHEN {_PM} > 0 THEN {_PD} / {_PM} ELSE 0.0 END",
+    "one_sentence_paragraph_rate": "CAST(len(list_filter(pl, lambda x: x = 1)) AS DOUBLE) / greatest(1, len(pl))", "bigram_repeat_rate": _again(2), "trigram_repeat_rate": _again(3),
+    "punctuation_variety": "CAST(len(list_filter(m, lambda x: x > 0)) AS DOUBLE)",
+    "punctuation_entropy": "coalesce(-list_sum(list_transform(list_filter(m, lambda x: x > 0), lambda x: x / list_sum(m) * log2(x / list_sum(m)))), 0.0)",
+    **{f"punctuation_{k}_per_1000w": f"m[{i}] * 1000.0 / len(w)" for i, k in enumerate(_MARKS, 1) if k in ("commas", "semicolons", "colons", "exclamations", "questions", "em_dashes")},
+    "comma_density_per_100w": "m[1] * 100.0 / len(w)",
+}
+_WINDOWS = ",\n".join([
+    D, f"c AS (SELECT profile, doc_id, trim(text) AS text, len({words('text')}) AS n FROM d)",
+    "o AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY doc_id) AS i, sum(n) OVER (PARTITION BY profile ORDER BY doc_id) AS upto FROM c WHERE n > 0)",
+    "e AS (SELECT a.profile, a.i, min(b.i) FILTER (WHERE b.upto - a.upto + a.n >= 400) + 1 AS next, coalesce(min(b.i) FILTER (WHERE b.upto - a.upto + a.n >= 800), max(b.i)) AS last, max(b.upto) FILTER (WHERE b.i <= 1000000) - a.upto + a.n AS rest FROM o a JOIN o b ON a.profile = b.profile AND b.i >= a.i GROUP BY a.profile, a.i, a.upto, a.n)",
+    "st AS (SELECT profile, i, last, 0 AS window_no FROM e WHERE i = 1 AND rest >= 250 UNION ALL SELECT e.profile, e.i, e.last, st.window_no + 1 FROM st JOIN e p ON p.profile = st.profile AND p.i = st.i JOIN e ON e.profile = st.profile AND e.i = p.next WHERE e.rest >= 250 AND st.window_no < 199)",
+    "t AS (SELECT st.profile, window_no, string_agg(o.text, chr(10) || chr(10) ORDER BY o.i) AS text, list(o.text ORDER BY o.i) AS paras FROM st JOIN o ON o.profile = st.profile AND o.i BETWEEN st.i AND st.last GROUP BY st.profile, window_no)",
+    f"x AS (SELECT profile, window_no, {words('lower(text)')} AS w, list_transform({sentences('text')}, lambda s: len({words('s')})) AS sl, list_transform(paras, lambda q: len({sentences('q')})) AS pl, [{', '.join(f'CAST({count_of("text", m)} AS DOUBLE)' for m in _MARKS.values())}] AS m FROM t)",
+    "l AS (SELECT profile, window_no, regexp_replace(lower(text), '[^a-zA-Z]+', '', 'g') AS s FROM t)",
+    "g AS (SELECT profile, window_no, substr(s, i, 3) AS q, count(*) AS n FROM (SELECT profile, window_no, s, unnest(range(1, length(s) - 1)) AS i FROM l WHERE length(s) >= 3) GROUP BY ALL)",
+    "h AS (SELECT profile, window_no, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS char_trigram_entropy FROM g GROUP BY ALL)",
+    "metrics AS (SELECT x.profile, x.window_no, " + ", ".join(f"{e} AS {k}" for k, e in WINDOW_METRICS.items()) + ", coalesce(char_trigram_entropy, 0.0) AS char_trigram_entropy FROM x LEFT JOIN h ON h.profile = x.profile AND h.window_no = x.window_no)",
+])
+_ALL = [*WINDOW_METRICS, "char_trigram_entropy"]
+MEASURES["baseline_windows"] = f"WITH RECURSIVE {_WINDOWS}\nSELECT profile, window_no, " + ", ".join(f"round({k}, 6) AS {k}" for k in _ALL) + " FROM metrics"
+MEASURES["baseline_quantiles"] = (
+    f"WITH RECURSIVE {_WINDOWS},\nlong AS (" + " UNION ALL ".join(f"SELECT profile, '{k}' AS metric, {k} AS value FROM metrics" for k in _ALL) + ")\n"
+    "SELECT profile, metric, round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, "
+    + ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100)}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + ", count(*) AS n FROM long GROUP BY profile, metric"
+)
+
+
+def _vectors(name: str, key: str) -> str:
+    """CTEs name_v(key, words, section lists...): the measurement vectors of the groups of documents with equal keys."""
+    among = lambda terms: f"len(list_filter(w, lambda x: x IN ({listed(terms)})))"
+    inside = lambda v, b: f"len(list_filter({v}, lambda x: x >= {b[0]}" + (f" AND x <= {b[1]}" if b[1] is not None else "") + "))"
+    start = "array_to_string(x[1:3], ' ')"
+    rest = "array_to_string(x[2:len(x)], ' ')"
+    named = {
+        "words": "len(w)", "sn": "len(sl)", "pn": "CAST(there AS INT)", "one": "CAST(there AND len(s) = 1 AS INT)",
+        "con": "len(regexp_extract_all(text, '\\b\\w+(?:n''t|''re|''ve|''ll|''d|''m|''s)\\b'))", "ands": count_of("low", " and "), "cands": count_of("low", ", and "),
+        "app": "len(regexp_extract_all(regexp_replace(low, '[À-ɏ]', 'z', 'g'), ',\\s+(?:a|an|the|which|who|that)\\b'))", "sub": among(L.SUBORDINATORS),
+        "starts": f"len(list_filter(sw, lambda x: len(x) > 0 AND {start} IN ({listed(L.TRANSITIONS)})))", "mids": f"len(list_filter(sw, lambda x: len(x) > 0 AND {start} NOT IN ({listed(L.TRANSITIONS)}) AND {contains_any(rest, L.TRANSITIONS)}))",
+        "op": "CAST(len(sl) > 0 AS INT)", "o1": "coalesce(sl[1], 0)", "o2": "coalesce(sl[1] * sl[1], 0)", "c1": "coalesce(sl[len(sl)], 0)", "c2": "coalesce(sl[len(sl)] * sl[len(sl)], 0)",
+    }
+    named |= {f"sh{i}": inside("sl", b) for i, b in enumerate(L.SENTENCE_BINS)}
+    named |= {f"ph{i}": f"CAST(there AND len(s) >= {a}" + (f" AND len(s) <= {b}" if b is not None else "") + " AS INT)" for i, (a, b) in enumerate(L.PARAGRAPH_BINS)}
+    named |= {f"pu_{k}": count_of("text", m) for k, m in L.PUNCTUATION.items()}
+    for p, lexicon in (("st", L.STANCE), ("ep", L.EPISTEMIC), ("av", L.AVOIDANCE)):
+        named |= {f"{p}_{k}": among(t) for k, t in lexicon.items()}
+    named |= {f"rh_{k}": f"len(list_filter(s, lambda x: {contains_any('lower(x)', t)}))" for k, t in L.RHETORIC.items()}
+    per = lambda c: f"CASE WHEN words > 0 THEN CAST({c} AS DOUBLE) / words * 1000.0 ELSE 0.0 END"
+    over = lambda a, b: f"CAST({a} AS DOUBLE) / greatest(1, {b})"
+    lists = lambda xs: "[" + ", ".join(xs) + "]"
+    share = lambda p: lists([f"CASE WHEN {p}0 + {p}1 + {p}2 + {p}3 + {p}4 > 0 THEN CAST({p}{i} AS DOUBLE) / ({p}0 + {p}1 + {p}2 + {p}3 + {p}4) ELSE 0.0 END" for i in range(5)])
+    sd = lambda a, b: f"CASE WHEN op > 0 THEN sqrt(greatest(0.0, CAST(op * {b} - {a} * {a} AS DOUBLE) / (op * op))) ELSE 0.0 END"
+    repeat = lambda n: f"(SELECT k, CAST(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS DOUBLE) / greatest(1, sum(n)) AS r FROM {name}_g{n} GROUP BY k)"
+    gram = lambda n: grams(n, f"{name}_g{n}").replace("SELECT profile", "SELECT k").replace("(SELECT profile, w", "(SELECT k, w").replace("FROM d)", f"FROM {name}_b)")
+    sections = {
+        "sentence": share("sh"), "paragraph": share("ph"), "one_sentence": lists([over("one", "pn")]), "punctuation": lists([per(f"pu_{k}") for k in L.PUNCTUATION]),
+        "orthography": lists([over("con", "words"), over("cands", "ands")]), "stance": lists([per(f"st_{k}") for k in L.STANCE]),
+        "rhetoric_moves": lists([per(f"rh_{k}") for k in L.RHETORIC] + [over("rh_claim", "rh_evidence")]), "epistemic_profile": lists([per(f"ep_{k}") for k in L.EPISTEMIC]),
+        "paragraph_cadence": lists(["CASE WHEN op > 0 THEN CAST(o1 AS DOUBLE) / op ELSE 0.0 END", sd("o1", "o2"), "CASE WHEN op > 0 THEN CAST(c1 AS DOUBLE) / op ELSE 0.0 END", sd("c1", "c2")]),
+        "syntax_texture": lists([per("sub"), per("pu_parentheses_open + pu_parentheses_close"), per("app")]), "lexical_avoidance": lists([per(f"av_{k}") for k in L.AVOIDANCE]),
+        "discourse_markers": lists([per("starts"), per("mids")]), "repetition": "[round(coalesce(r2, 0.0), 6), round(coalesce(r3, 0.0), 6)]",
+    }
+    return ",\n".join([
+        f"{name}_b AS (SELECT {key} AS k, text, lower(text) AS low, {words('lower(text)')} AS w, {sentences('text')} AS s, trim(text) <> '' AS there FROM d)",
+        f"{name}_c AS (SELECT *, list_transform(s, lambda x: len({words('x')})) AS sl, list_transform(s, lambda x: {words('lower(x)')}) AS sw FROM {name}_b)",
+        f"{name}_n AS (SELECT k, " + ", ".join(f"sum({e}) AS {c}" for c, e in named.items()) + f" FROM {name}_c GROUP BY k)",
+        *[gram(n).replace("SELECT k, w, unnest", "SELECT k, w, unnest").replace(f"FROM (SELECT profile, {words('lower(text)')} AS w", "FROM (SELECT k, w") for n in (2, 3)],
+        f"{name}_v AS (SELECT n.k, words, " + ", ".join(f"{e} AS {s}" for s, e in sections.items()) + f" FROM {name}_n n LEFT JOIN (SELECT k, r AS r2 FROM {repeat(2)}) a ON a.k = n.k LEFT JOIN (SELECT k, r AS r3 FROM {repeat(3)}) b ON b.k = n.k)",
+    ])
+
+
+_zip = lambda a, b, f: f"list_transform(range(1, len({a}) + 1), lambda i: {f.format(f'{a}[i]', f'{b}[i]')})"
+_close = lambda d: f"greatest(0.0, 1.0 - least(1.0, {d}))"
+_off = lambda s: _zip(f"o.{s}", f"t.{s}", "abs({0} - {1}) / greatest(abs({1}), 1.0)")
+_half = lambda s: f"(list_sum({_zip(f'o.{s}', f't.{s}', 'abs({0} - {1})')}) / 2.0)"
+_RATES = ("punctuation", "stance", "rhetoric_moves", "epistemic_profile", "paragraph_cadence", "syntax_texture", "lexical_avoidance", "discourse_markers", "repetition")
+_ONE = "abs(o.one_sentence[1] - t.one_sentence[1])"
+_PARTS = [_close(_half("sentence")), f"({_close(_half('paragraph'))} + {_close(_ONE)}) / 2", f"list_avg(list_transform({_off('orthography')}, lambda x: {_close('x')}))", *[_close(f"list_avg({_off(s)})") for s in _RATES]]
+_LIMIT = {"punctuation": 0.5, "orthography": 0.5}
+_DELTAS = " + ".join([f"CAST({_half(s)} > 0.15 AS INT)" for s in ("sentence", "paragraph")] + [f"CAST({_ONE} > 0.1 AS INT)"] + [f"len(list_filter({_off(s)}, lambda x: x > {_LIMIT.get(s, 0.6)}))" for s in (*_RATES, "orthography")])
+_SCORED = f"WITH {D},\n{_vectors('o', 'doc_id')},\n{_vectors('t', 'profile')},\nz AS (SELECT o.k AS doc_id, t.k AS profile, o.words, ({' + '.join(_PARTS)}) / {len(_PARTS)} AS score, {_DELTAS} AS deltas FROM o_v o JOIN d ON d.doc_id = o.k JOIN t_v t ON t.k = d.profile)\n"
+MEASURES["compliance_doc_vs_source"] = _SCORED + "SELECT doc_id, profile, round(score, 6) AS score, CAST(deltas AS INT) AS deltas FROM z"
+_P = "0.5 + (1.0 - exp(-words / 250)) * (1.0 / (1.0 + exp(-(score - 0.59) / 0.12)) - 0.5)"
+MEASURES["match_probability"] = _SCORED + f"SELECT CAST(doc_id AS VARCHAR) AS id, profile, CAST(words AS BIGINT) AS words, round(score, 6) AS score, round({_P}, 6) AS probability, round(greatest(0.0, {_P} - exp(-words / 250) * 0.5), 6) AS low, round(least(1.0, {_P} + exp(-words / 250) * 0.5), 6) AS high FROM z"
+
+
+def _jsd(s: str) -> str:
+    pos = lambda v: f"CASE WHEN list_sum({v}) > 0 THEN list_transform({v}, lambda x: x / list_sum({v})) ELSE list_transform({v}, lambda x: 1.0 / len({v})) END"
+    one = "CASE WHEN {0} > 0 THEN {0} * log2(({0} + 1e-12) / (({0} + {1}) / 2 + 1e-12)) ELSE 0.0 END"
+    a, b = f"({pos(f'a.{s}')})", f"({pos(f'b.{s}')})"
+    return f"greatest(0.0, 1.0 - least(1.0, greatest(0.0, list_sum({_zip(a, b, f'0.5 * ({one} + {one.format(chr(123) + "1" + chr(125), chr(123) + "0" + chr(125))})')}))))"
+
+
+_alike = lambda s: f"list_avg({_zip(f'a.{s}', f'b.{s}', '1.0 / (1.0 + abs({0} - {1}) / greatest((abs({0}) + abs({1})) / 2.0, 1e-9))')})"
+_SIM = {
+    "function_words_distribution": _jsd("fw"), "sentence_histogram": _jsd("sentence"), "paragraph_histogram": _jsd("paragraph"), "punctuation_rates": _alike("punctuation"),
+    "stance_signals": _alike("stance"), "rhetoric_moves": _alike("rhetoric_moves"), "syntax_texture": _alike("syntax_texture"), "paragraph_cadence": _alike("paragraph_cadence"),
+    "repetition": _alike("repetition"), "lexicon_preferred_overlap": "1.0", "lexicon_avoid_overlap": "1.0",
+}
+_PAIRS = f"WITH {D},\n{WT},\n{TOK},\n{FWC},\n{_vectors('t', 'profile')},\nfl AS (SELECT profile, list(n * 1000.0 / words ORDER BY place) AS fw FROM f GROUP BY profile),\nv AS (SELECT t_v.*, fw FROM t_v JOIN fl ON fl.profile = t_v.k),\ns AS (SELECT a.k AS a, b.k AS b, least(a.words, b.words) AS least_words, " + ", ".join(f"{e} AS {k}" for k, e in _SIM.items()) + " FROM v a JOIN v b ON a.k < b.k),\nq AS (SELECT *, " + " + ".join(f"least(1.0, {k}) * {w}" for k, w in L.SIMILARITY_WEIGHTS.items()) + f" AS total, least(1.0, 0.6 + 0.4 * (1.0 - exp(-least_words / 20000.0))) AS sure FROM s)\n"
+_TOTAL = f"round(total / {sum(L.SIMILARITY_WEIGHTS.values())!r}, 6) AS similarity, round(sure, 6) AS confidence"
+MEASURES["profile_similarity_pairs"] = _PAIRS + f"SELECT a, b, {_TOTAL} FROM q"
+MEASURES["similarity_components"] = _PAIRS + "SELECT a, b, " + ", ".join(f"round({k}, 6) AS {k}" for k in _SIM) + f", {_TOTAL} FROM q"
+MEASURES["worst_components"] = _PAIRS + "SELECT a, b, CAST(rank - 1 AS INT) AS rank, component, value FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY value, component) AS rank FROM (" + " UNION ALL ".join(f"SELECT a, b, '{k}' AS component, round({k}, 6) AS value FROM q" for k in _SIM) + ")) WHERE rank <= 5"
