@@ -126,9 +126,9 @@ def extend(window: int, block: int, n_parts: int, whole_rows: bool):
         at, h = w.windows(block)
         own, n, aligned = group_any(h, w.place[at] % block == 0)
         seed = (n > 1) & aligned
-        part = (own >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24)
-        for p, d in ((p, d) for p, d in parts_of(held)):
-            i = np.flatnonzero(part == p)
+        order, cut = part_bounds(own, n_parts)
+        for p, d in parts_of(held):
+            i = order[cut[p] : cut[p + 1]]
             seed[i] |= member(own[i] & _LOW, d)
         hits = np.zeros(len(w.hashes) + 1, np.int64)
         hits[at[seed[np.searchsorted(own, h)]] + 1] = 1
@@ -145,7 +145,9 @@ def extend(window: int, block: int, n_parts: int, whole_rows: bool):
             ids = least_ids(batch)
             own, _, least = group_least(h, ids[w.doc[at]])
             order, cut = part_bounds(spread(own), n_parts)
-            out = [(key, key, "rows", pack_rows(batch.take(pa.array(np.flatnonzero(touched)))))]
+            # the same places among the words of the documents that go on
+            kept = offsets(np.diff(w.bounds)[touched])[np.cumsum(touched)[w.doc[at]] - 1] + w.place[at]
+            out = [(key, key, "rows", pack_rows(batch.take(pa.array(np.flatnonzero(touched))))), (key, key, "places", pack(kept.astype(np.uint64)))]
             for p in np.flatnonzero(np.diff(cut)):
                 i = np.sort(order[cut[p] : cut[p + 1]])
                 out.append((int(p), key, "window", pack(own[i], least[i])))
@@ -195,8 +197,8 @@ def cover(window: int, whole_rows: bool):
     def run(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
         batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
         w = Words(batch, Memo(xxhash.xxh64_intdigest, 200_000))
-        at, h = w.windows(window)
-        ids = least_ids(batch)[w.doc[at]]
+        at = unpack(next(d for _, kind, d in held if kind == "places"))[0].astype(np.int64)
+        h, ids = rolling(w.hashes, window)[at], least_ids(batch)[w.doc[at]]
         own, inverse, least = group_least(h, ids)
         elsewhere = np.zeros(len(own), bool)
         for _, kind, d in held:
