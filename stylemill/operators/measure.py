@@ -249,6 +249,30 @@ def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
     return docs.select("profile").distinct().join(one(2, "bigram_repeat_rate"), "profile", "left").join(one(3, "trigram_repeat_rate"), "profile", "left").na.fill(0.0)
 
 
+def document_repetition(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
+    """A23 where each profile is one document: its n-grams are sorted within the row, so nothing is shuffled.
+
+    In sorted order, an n-gram occurs three times or more if one of the runs of three around it is all alike.
+    """
+    stop = L.STOP_WORDS if stop is None else stop
+
+    def sorted_grams(n: int) -> Column:
+        parts = [F.slice("w", k + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))) for k in range(n)]
+        words = F.transform(F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)]), lambda g: F.array(*[g[f"w{k}"] for k in range(n)]))
+        return F.array_sort(F.transform(F.filter(words, lambda g: F.size(F.filter(g, lambda x: x.isin(stop))) < n - 1), lambda g: F.array_join(g, " ")))
+
+    def share(s: str) -> Column:
+        def thrice(i: Column) -> Column:
+            at = lambda k: F.get(F.col(s), i + k)
+            return F.coalesce(at(0) == at(2), F.lit(False)) | F.coalesce(at(-1) == at(1), F.lit(False)) | F.coalesce(at(-2) == at(0), F.lit(False))
+
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return r6(F.size(F.filter(places, thrice)) / F.greatest(F.lit(1), F.size(s)))
+
+    x = docs.select("profile", T.lower_words("text").alias("w")).select("profile", sorted_grams(2).alias("two"), sorted_grams(3).alias("three"))
+    return x.select("profile", share("two").alias("bigram_repeat_rate"), share("three").alias("trigram_repeat_rate"))
+
+
 def lexical_diversity(docs: DataFrame) -> DataFrame:
     """Type-token measures, Yule's K, Simpson's D and mean word length, from one frequency table."""
     x = token_counts(docs).groupBy("profile").agg(

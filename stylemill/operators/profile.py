@@ -82,8 +82,8 @@ def _share(keys: list[str]) -> Column:
     return F.array(*[F.when(total > 0, F.col(k) / total).otherwise(0.0) for k in keys])
 
 
-def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True) -> DataFrame:
-    """profile, words and an array<double> for each section."""
+def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False) -> DataFrame:
+    """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row."""
     c = counts(docs)
     x = c.groupBy("profile").agg(*[F.sum(k).alias(k) for k in c.columns if k != "profile"])
     words = F.col("words")
@@ -108,7 +108,7 @@ def measurements(docs: DataFrame, repetition: bool = True, function_words: bool
         x = x.join(fw, "profile").withColumn("function_words", F.transform("fw", lambda n: M.rate(n, F.col("words")))).drop("fw")
     if not repetition:
         return x
-    r = M.repetition_rates(docs).select("profile", F.array("bigram_repeat_rate", "trigram_repeat_rate").alias("repetition"))
+    r = (M.document_repetition if single else M.repetition_rates)(docs).select("profile", F.array("bigram_repeat_rate", "trigram_repeat_rate").alias("repetition"))
     return x.join(r, "profile", "left").withColumn("repetition", F.coalesce("repetition", F.array(F.lit(0.0), F.lit(0.0))))
 
 

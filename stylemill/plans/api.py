@@ -30,7 +30,7 @@ def rate(texts: DataFrame, profiles: DataFrame, filtered: bool = False, top: int
     filtered: the texts' voice is filtered first, as it is when a profile is built from files.
     """
     t = texts.withColumn("text", markdown.voice_filter("text")) if filtered else texts
-    own = profile.measurements(t.select(F.col("id").alias("profile"), F.monotonically_increasing_id().alias("doc_id"), "text"), function_words=False)
+    own = profile.measurements(t.select(F.col("id").alias("profile"), F.monotonically_increasing_id().alias("doc_id"), "text"), function_words=False, single=True)
     own = own.withColumnRenamed("profile", "id").join(texts.select("id", "profile"), "id")
     scored = profile.compliance(own, profiles)
     return profile.match_probability(scored).join(scored.select("id", F.slice("deltas", 1, top).alias("deltas")), "id")

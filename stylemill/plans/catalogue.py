@@ -70,7 +70,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the profile of its source."""
     docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False).withColumnRenamed("profile", "id")
+    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False, single=True).withColumnRenamed("profile", "id")
     own = own.join(docs.select(F.col("doc_id").cast("string").alias("id"), "profile"), "id")
     return profile.compliance(own, profile.measurements(docs, function_words=False))
 
