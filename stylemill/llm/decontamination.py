@@ -5,11 +5,12 @@ of L words lies whole in one passage. Every passage is a query of its distinct t
 divided by an item's score for its own text, so one threshold holds for all items: a passage retrieves the items of
 which it has at least RETRIEVE of the BM25 weight. The postings of each term are cut into blocks of BLOCK items with their
 largest impact; a block whose bound for a passage stays below the threshold is skipped unread, for all passages of a
-batch at once, and what is left is searched by WAND with cursors, pivots and block bounds.
+batch at once, and what is left is searched by WAND with cursors, pivots and block bounds. The most frequent terms, which
+no item owes more than COMMON of its score, enter those first bounds as one number for each block.
 
-A retrieved item is a leak if OVERLAP of the five-word shingles of its question, and as many of its answer, occur in the
-passage. An item's answer is its last sentence, the question what comes before it; an item of a single sentence is all
-question. Parts of fewer than five words count as one shingle.
+A retrieved item is a leak if OVERLAP of its five-word shingles occur in the passage, or OVERLAP of its question's and of
+its answer's. An item's answer is its last sentence, the question what comes before it; an item of a single sentence is
+all question. Parts of fewer than five words count as one shingle. The overlaps of question and answer are reported.
 
 The index is broadcast while the items' texts are no more than ITEM_BYTES together; a larger benchmark is searched in
 blocks of that size, one after the other. Items without a word are never leaked. Null and empty texts have no passage;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, map_batches, offsets, texts
 from .toxicity import by_size
 
-K1, B, BLOCK, RETRIEVE, OVERLAP, SHINGLE, LEAST, ITEM_BYTES = 0.9, 0.4, 8, 0.6, 0.8, 5, 32, 8 << 20
+K1, B, BLOCK, RETRIEVE, OVERLAP, SHINGLE, LEAST, ITEM_BYTES, COMMON = 0.9, 0.4, 8, 0.6, 0.8, 5, 32, 8 << 20, 0.2
 _STRIP = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -69,6 +70,16 @@ class Index:
         self.blocks = np.zeros((len(self.terms), -(-n // BLOCK) or 1), np.float32)
         for t, (ids, impacts) in enumerate(self.postings):
             np.maximum.at(self.blocks[t], np.array(ids) // BLOCK, np.array(impacts, np.float32) * np.float32(1 + 1e-6))
+        # the most frequent terms, as long as no item owes them more than COMMON of its score: what all of them together may
+        # add to a block's items is one number, and only the other terms are looked up for every passage
+        share, self.common = np.zeros(max(n, 1)), np.zeros(len(self.terms), bool)
+        for t in sorted(range(len(self.terms)), key=lambda t: -len(self.postings[t][0])):
+            more = share.copy()
+            more[self.postings[t][0]] += self.postings[t][1]
+            if more.max() > COMMON:
+                break
+            share, self.common[t] = more, True
+        self.spare = np.maximum.reduceat(share, np.arange(0, len(share), BLOCK)).astype(np.float32) * np.float32(1 + 1e-6)
         self.longest = max([LEAST, *(len(x[1]) for x in self.items)])
 
     def wand(self, query: list[int], open_blocks: set[int]) -> list[tuple[int, float]]:
@@ -109,20 +120,20 @@ class Index:
             s = np.arange(a, max(a + 1, b - self.longest), self.longest) if b > a else np.zeros(0, np.int64)
             text.append(np.full(len(s), d)), start.append(s), end.append(np.minimum(s + size, b))
         text, start, end = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (text, start, end))
-        known = np.flatnonzero(words >= 0)
-        lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)
+        rare = np.flatnonzero((words >= 0) & ~self.common[words]) if len(self.terms) else np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(rare, start), np.searchsorted(rare, end)
         passage = np.repeat(np.arange(len(start)), hi - lo)
-        at = known[np.arange(len(passage)) - np.repeat(offsets(hi - lo)[:-1], hi - lo) + np.repeat(lo, hi - lo)]
+        at = rare[np.arange(len(passage)) - np.repeat(offsets(hi - lo)[:-1], hi - lo) + np.repeat(lo, hi - lo)]
         key = np.unique(passage * np.int64(len(self.terms) + 1) + words[at])
         passage, t = key // (len(self.terms) + 1), key % (len(self.terms) + 1)
         out = []
         if len(key):
             first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            bound = np.add.reduceat(self.blocks[t], first, axis=0)
-            ends = np.append(first[1:], len(t))
+            bound = np.add.reduceat(self.blocks[t], first, axis=0) + self.spare
             for i in np.flatnonzero((bound >= RETRIEVE).any(1)):
                 p = passage[first[i]]
-                for item, score in self.wand(t[first[i] : ends[i]].tolist(), set(np.flatnonzero(bound[i] >= RETRIEVE).tolist())):
+                query = np.unique(words[start[p] : end[p]])
+                for item, score in self.wand(query[query >= 0].tolist(), set(np.flatnonzero(bound[i] >= RETRIEVE).tolist())):
                     out.append((int(text[p]), int(start[p]), int(end[p]), item, score))
         return out
 
@@ -171,10 +182,10 @@ def search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 for d, a, b, item, score in index.search(words, bounds):
                     k = coded[d][1][a - bounds[d] : b - bounds[d]]
                     passage = [term(split[d][i]) for i in k]
-                    item_id, _, q, ans = index.items[item]
+                    item_id, whole, q, ans = index.items[item]
                     s = shingles(passage)
                     x, y = overlap(q, s, passage), overlap(ans, s, passage)
-                    if x >= OVERLAP and y >= OVERLAP:
+                    if x >= OVERLAP and y >= OVERLAP or overlap(shingles(whole), s, passage) >= OVERLAP:
                         rows.append((own[d], item_id, score, x, y))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
