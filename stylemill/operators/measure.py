@@ -121,9 +121,8 @@ def oxford_signal(docs: DataFrame) -> DataFrame:
 
 def spelling_variant(docs: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """A10: evidence for US or Canadian and British spellings."""
-    terms = lexicon(docs, {"us": [a for a, _ in pairs or L.SPELLING_PAIRS], "canadian": [b for _, b in pairs or L.SPELLING_PAIRS]})
-    hits = tokens(docs).join(terms, "token").groupBy("profile").agg(F.count_if(F.col("category") == "us").alias("us"), F.count_if(F.col("category") == "canadian").alias("ca"))
-    x = docs.select("profile").distinct().join(hits, "profile", "left").select("profile", F.coalesce("us", F.lit(0)).alias("us_hits"), F.coalesce("ca", F.lit(0)).alias("canadian_hits"))
+    x = category_rates(docs, {"us": [a for a, _ in pairs or L.SPELLING_PAIRS], "canadian": [b for _, b in pairs or L.SPELLING_PAIRS]})
+    x = x.groupBy("profile").agg(*[F.max(F.when(F.col("category") == c, F.col("hits"))).alias(f"{c}_hits") for c in ("us", "canadian")])
     total = F.col("us_hits") + F.col("canadian_hits")
     variant = F.when(total < 3, "unknown").when(F.col("us_hits") > F.col("canadian_hits"), "us").when(F.col("canadian_hits") > F.col("us_hits"), "canadian").otherwise("unknown")
     sure = F.when(total < 3, "low").when((total >= 8) & (F.abs(F.col("us_hits") - F.col("canadian_hits")) >= 4), "high").otherwise("medium")
@@ -131,12 +130,25 @@ def spelling_variant(docs: DataFrame, pairs: list[tuple[str, str]] | None = None
 
 
 def category_rates(docs: DataFrame, categories: dict[str, list[str]]) -> DataFrame:
-    """Hits and rates of each category of terms; categories without hits are there with 0."""
-    terms = lexicon(docs, categories)
-    hits = tokens(docs).join(terms, "token").groupBy("profile", "category").agg(F.count("*").alias("hits"))
-    names = F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
-    base = word_totals(docs).select("profile", "words", names)
-    x = base.join(hits, ["profile", "category"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """Hits and rates of each category of terms; categories without hits are there with 0.
+
+    Words that are in no category are dropped within the row. What is left of a few categories is counted there too, in one
+    scan and with a row for each profile to shuffle; the words of many categories are counted by a join instead.
+    """
+    listed = sorted({t for terms in categories.values() for t in terms})
+    x = docs.select("profile", T.lower_words("text").alias("w")).select("profile", F.size("w").alias("words"), F.filter("w", lambda t: t.isin(listed)).alias("w"))
+    if len(categories) <= 16:
+
+        def hits_of(terms: list[str]) -> Column:
+            return F.sum(F.size(F.filter("w", lambda t: t.isin(terms))))
+
+        wide = x.groupBy("profile").agg(F.sum("words").alias("words"), *[hits_of(t).alias(c) for c, t in categories.items()])
+        x = wide.unpivot(["profile", "words"], list(categories), "category", "hits")
+    else:
+        found = x.select("profile", F.explode("w").alias("token")).join(lexicon(docs, categories), "token").groupBy("profile", "category").agg(F.count("*").alias("hits"))
+        names = F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
+        base = word_totals(docs).select("profile", "words", names)
+        x = base.join(found, ["profile", "category"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return x.select("profile", "category", "hits", r6(rate(F.col("hits"), F.col("words"))).alias("rate"))
 
 
