@@ -83,7 +83,7 @@ def expectation(counts: DataFrame, languages: list[str], p: np.ndarray) -> np.nd
                 q = p[lat.piece, own[lat.word]]
                 a, b = lattice.forward(lat, p), lattice.backward(lat, p)
                 z = b[0, np.arange(len(own)), own]
-                scaled = lattice.STEP ** (lat.end - lat.start).astype(float)
+                scaled = lattice.POWERS[lat.end - lat.start]
                 share = a[lat.start, lat.word, own[lat.word]] * q * scaled * b[lat.end, lat.word, own[lat.word]] / np.maximum(z[lat.word], 1e-300)
                 total += np.bincount(lat.piece * len(languages) + own[lat.word], share * m[lat.word], len(total))
         hit = np.flatnonzero(total)

@@ -37,6 +37,8 @@ class Trie:
                     after.append(states[s[:k]])
         order = np.argsort(keys)
         self.keys, self.after = np.array(keys, np.int64)[order], np.array(after, np.int64)[order]
+        self.root = np.zeros(self.width, np.int64)
+        self.root[self.keys[self.keys < self.width]] = self.after[self.keys < self.width]
         self.string = np.full(len(states), -1, np.int64)
         self.string[[states[s] for s in strings]] = np.arange(len(strings))
 
@@ -46,10 +48,14 @@ class Trie:
         begin = np.flatnonzero(c)
         state, out = np.zeros(len(begin), np.int64), [(begin[:0], begin[:0], begin[:0])]
         for n in range(self.longest):
-            key = state * self.width + c[begin + n]
-            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = self.keys[i] == key
-            begin, state = begin[on], self.after[i[on]]
+            if n == 0:
+                state = self.root[c[begin]]
+                begin, state = begin[state > 0], state[state > 0]
+            else:
+                key = state * self.width + c[begin + n]
+                i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                on = self.keys[i] == key
+                begin, state = begin[on], self.after[i[on]]
             whole = self.string[state] >= 0
             out.append((begin[whole], np.full(int(whole.sum()), n + 1), self.string[state[whole]]))
             inside = begin + n + 1 < len(c)

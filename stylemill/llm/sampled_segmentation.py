@@ -32,7 +32,7 @@ from . import lattice
 from .common import documents, map_batches, mix, offsets, texts
 from .toxicity import by_size
 
-SAMPLES, SEED, GROUP = 2, 2024, 1_500_000
+SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 1_500_000, 80.0
 _M = lattice.MARK
 _PRE = re.compile(rf"{_M}*(?:[^\W\d_]+|(?:[^\w{_M}\n]|[\d_])+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -54,10 +54,10 @@ class Nodes(dict):
     A node has its edges from the likeliest on, so a draw seldom looks at more than one. Started anew when the words are many.
     """
 
-    #: by word; `first` by node, with the number of edges at its end; the others by edge
-    KINDS = {"base": np.int64, "size": np.int64, "first": np.int64, "node": np.int32, "end": np.int32, "piece": np.int32, "prob": np.float64, "cum": np.float64, "log": np.float64}
+    #: base and size by word; first by node; the others by edge
+    KINDS = {"base": np.int64, "size": np.uint8, "first": np.int64, "node": np.int32, "end": np.uint8, "piece": np.uint16, "cum": np.float64, "log": np.float64}
 
-    def __init__(self, v: lattice.Vocabulary, most: int = 100_000):
+    def __init__(self, v: lattice.Vocabulary, most: int = 200_000):
         super().__init__()
         self.v, self.most = v, most
         self.restart()
@@ -65,8 +65,19 @@ class Nodes(dict):
     def restart(self) -> None:
         self.clear()
         self.fresh: list[str] = []
-        for name, kind in self.KINDS.items():
-            setattr(self, name, np.zeros(int(name == "first"), kind))
+        self.room = {name: np.zeros(1024, kind) for name, kind in self.KINDS.items()}
+        for name in self.KINDS:
+            setattr(self, name, self.room[name][:0])
+        self.append("first", np.zeros(1, np.int64))
+
+    def append(self, name: str, values: np.ndarray) -> None:
+        n = len(getattr(self, name))
+        if n + len(values) > len(self.room[name]):
+            wider = np.zeros((n + len(values)) * 5 // 4, self.KINDS[name])
+            wider[:n] = self.room[name][:n]
+            self.room[name] = wider
+        self.room[name][n : n + len(values)] = values
+        setattr(self, name, self.room[name][: n + len(values)])
 
     def __missing__(self, word: str) -> int:
         self[word] = out = len(self)
@@ -78,22 +89,12 @@ class Nodes(dict):
         if len(self) > self.most:
             self.restart()
         out = np.fromiter(chain.from_iterable(map(self.__getitem__, u) for u in units), np.int64)
-        new = [self.learned(self.fresh[i : i + 8000]) for i in range(0, len(self.fresh), 8000)]
+        for i in range(0, len(self.fresh), 8000):
+            self.learn(self.fresh[i : i + 8000])
         self.fresh = []
-        for name, kind in self.KINDS.items():
-            own = [getattr(self, name)]
-            nodes, edges = len(self.first) - 1, len(self.node)
-            for part in new:
-                shift = nodes if name in ("base", "node") else edges if name == "first" else 0
-                own.append((part[name] + shift).astype(kind) if shift else part[name].astype(kind))
-                nodes, edges = nodes + len(part["first"]), edges + len(part["node"])
-            setattr(self, f"_{name}", np.concatenate([own[0][:-1], *own[1:], [edges]]) if name == "first" else np.concatenate(own))
-        for name in self.KINDS:
-            setattr(self, name, self.__dict__.pop(f"_{name}"))
         return out
 
-    def learned(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The arrays of some words on their own."""
+    def learn(self, words: list[str]) -> None:
         lat = lattice.build(words, self.v)
         p = np.exp(self.v.log_prior)[:, None]
         beta = lattice.backward(lat, p)[:, :, 0]
@@ -102,7 +103,11 @@ class Nodes(dict):
         first = np.searchsorted(node, np.arange(int(lat.size.sum()) + 1))
         prob = p[lat.piece, 0] * lattice.POWERS[lat.end - lat.start] * beta[lat.end, lat.word] / np.maximum(beta[lat.start, lat.word], 1e-300)
         order = np.argsort(node - np.minimum(prob, 1) / 2, kind="stable")
-        prob, end, piece = prob[order], lat.end[order], lat.piece[order]
+        piece = lat.piece.copy()
+        for i in np.flatnonzero(piece == len(self.v.pieces)):  # a character without a piece; if it is one byte, that byte's piece
+            c = ord(words[lat.word[i]][lat.start[i]])
+            piece[i] += 1 + c if c < 128 else 0
+        prob, end, piece = prob[order], lat.end[order], piece[order]
         total = np.add.reduceat(prob, first[:-1])
         prob /= np.where(total > 0, total, 1)[node]
         cum = np.cumsum(prob)
@@ -110,7 +115,9 @@ class Nodes(dict):
         cum[first[1:] - 1] = 2.0
         with np.errstate(divide="ignore"):
             log = np.log(prob)
-        return {"base": base, "size": lat.size, "first": first[:-1], "node": node, "end": end, "piece": piece, "prob": prob, "cum": cum, "log": log}
+        nodes, edges = len(self.first) - 1, len(self.node)
+        for name, values in {"base": base + nodes, "size": lat.size, "first": first[1:] + edges, "node": node + nodes, "end": end, "piece": piece, "cum": cum, "log": log}.items():
+            self.append(name, values)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node."""
@@ -124,7 +131,7 @@ class Nodes(dict):
     def walk(self, word: np.ndarray, position: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path of each word from its position to its end: the edges and which walk they belong to, in order."""
         walk, edges, owners, at = np.flatnonzero(position < self.size[word]), [], [], position.copy()
-        base, size, step = self.base[word], self.size[word], 0
+        base, size, step = self.base[word], self.size[word].astype(np.int64), 0
         steps = np.zeros(len(word), np.int64)
         while len(walk):
             u = (mix(seed[walk] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -155,19 +162,33 @@ class Path:
         run = np.concatenate([[0.0], np.cumsum(logs)])
         self.total = run[bounds[1:]] - run[bounds[:-1]]
         self.prefix = run[:-1] - run[bounds[:-1]][text]
-        t = np.arange(len(edges)) - bounds[:-1][text]
-        rest = 1 - nodes.prob[edges]
-        open_ = (t >= own[text]) & (rest > 1e-12)
         self.left = np.full(len(edges), -np.inf)
-        i = np.flatnonzero(open_)
-        self.left[i] = truncated(self.prefix[i] + np.log(rest[i]), value[text[i]], exponential(seed[text[i]] + t[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        self.text, self.logs, self.seed = text, logs, seed
+        self.place = np.arange(len(edges)) - bounds[:-1][text]
+        self.open = (self.place >= own[text]) & (logs < -1e-12)
+        self.full = np.zeros(len(bounds) - 1, bool)
+        self.draw(np.flatnonzero(self.open & (self.prefix > -LIGHT)))
+
+    def draw(self, i: np.ndarray) -> None:
+        location, text = self.prefix[i] + np.log(-np.expm1(self.logs[i])), self.text[i]
+        self.left[i] = truncated(location, self.value[text], exponential(self.seed[text] + self.place[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     def best(self) -> np.ndarray:
-        """The largest maximum left of each text; -inf for none."""
+        """The largest maximum left of each text; -inf for none.
+
+        A variable exceeds its location by 37 at most, so sets of paths of little mass matter only where all others are as light.
+        """
         out = np.full(len(self.bounds) - 1, -np.inf)
-        full = np.flatnonzero(np.diff(self.bounds))
-        if len(full):
-            out[full] = np.maximum.reduceat(self.left, self.bounds[:-1][full])
+        some = np.flatnonzero(np.diff(self.bounds))
+        if len(some):
+            out[some] = np.maximum.reduceat(self.left, self.bounds[:-1][some])
+        late = np.flatnonzero((out < 37 - LIGHT) & ~self.full)
+        if len(late):
+            self.full[late] = True
+            more = np.flatnonzero(self.open & (self.prefix <= -LIGHT) & np.isin(self.text, late))
+            if len(more):
+                self.draw(more)
+                return self.best()
         return out
 
 
@@ -208,12 +229,12 @@ def sample(units: list[list[str]], keys: np.ndarray, k: int, nodes: Nodes) -> tu
             gone = used.setdefault((int(source[d]), int(i)), [int(p.edges[i])])
             node = nodes.node[p.edges[i]]
             options = [x for x in range(nodes.first[node], nodes.first[node + 1]) if x not in gone]
-            mass = np.cumsum(nodes.prob[options])
+            mass = np.cumsum(np.exp(nodes.log[options]))
             r = draws[d : d + 1]
             u = float(mix(r ^ np.uint64(0xD1B54A32D192ED03))[0] >> np.uint64(11)) * 2.0**-53
             edge = options[min(int(np.searchsorted(mass, u * mass[-1], side="right")), len(options) - 1)]
             gone.append(edge)
-            rest = max(0.0, mass[-1] - nodes.prob[edge])
+            rest = max(0.0, mass[-1] - np.exp(nodes.log[edge]))
             e = exponential(r ^ np.uint64(0xA0761D6478BD642F))
             p.left[i] = truncated(np.array([p.prefix[i] + np.log(rest)]), value[d : d + 1], e)[0] if len(options) > 1 and rest > 1e-12 else -np.inf
             chosen[d], own[d] = edge, i - a + 1
@@ -231,27 +252,36 @@ def sample(units: list[list[str]], keys: np.ndarray, k: int, nodes: Nodes) -> tu
     return out, np.stack([p.best() for p, _ in out]).max(0)
 
 
-def piece_ids(pieces: np.ndarray, chars: str, lengths: np.ndarray, v: lattice.Vocabulary) -> np.ndarray:
-    """The model's ids; a fallback edge becomes the byte pieces of its character."""
-    out = v.ids[pieces]
-    bare = np.flatnonzero(out < 0)
-    if not len(bare):
-        return out
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    parts, last = [], 0
-    for i in bare:
-        parts += [out[last:i], v.byte_ids[list(chars[at[i]].encode())]]
-        last = i + 1
-    return np.concatenate([*parts, out[last:]])
+class Codec:
+    """Ids and bytes of the pieces of Nodes: the vocabulary's, the fallback for a longer character, the pieces of single bytes."""
 
+    def __init__(self, v: lattice.Vocabulary):
+        self.v = v
+        self.ids = np.concatenate([v.ids, v.byte_ids[:128]]).astype(np.int32)
+        strings = [x.replace(lattice.MARK, " ").encode() for x in v.pieces] + [b""] + [bytes([b]) for b in range(128)]
+        self.length = np.array([len(x) for x in strings])
+        self.at = offsets(self.length)
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.table = {int(i): x for i, x in zip(self.ids, strings, strict=True)} | {int(i): bytes([b]) for b, i in enumerate(v.byte_ids)}
 
-def decoder(v: lattice.Vocabulary) -> dict[int, bytes]:
-    return {int(i): p.replace(lattice.MARK, " ").encode() for i, p in zip(v.ids, v.pieces, strict=False)} | {int(i): bytes([b]) for b, i in enumerate(v.byte_ids)}
+    def decode_all(self, pieces: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all pieces, and where those of each text begin, with its leading space."""
+        n = self.length[pieces]
+        ends = offsets(n)
+        out = self.flat[np.repeat(self.at[pieces] - ends[:-1], n) + np.arange(ends[-1])]
+        return out.tobytes(), ends[bounds]
 
+    def with_bytes(self, pieces: np.ndarray, chars: str, lengths: np.ndarray) -> np.ndarray:
+        """The ids where a fallback stands for the byte pieces of its character."""
+        at, parts, last = np.concatenate([[0], np.cumsum(lengths)]), [], 0
+        for i in np.flatnonzero(pieces == len(self.v.pieces)):
+            parts += [self.ids[pieces[last:i]], self.v.byte_ids[list(chars[at[i]].encode())].astype(np.int32)]
+            last = i + 1
+        return np.concatenate([*parts, self.ids[pieces[last:]]])
 
-def decode(ids: list[int], table: dict[int, bytes]) -> bytes:
-    """The text: the pieces' bytes without the leading space."""
-    return b"".join(map(table.__getitem__, ids))[1:]
+    def decode(self, ids: list[int]) -> bytes:
+        """The text: the pieces' bytes without the leading space."""
+        return b"".join(map(self.table.__getitem__, ids))[1:]
 
 
 def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool = True) -> DataFrame:
@@ -260,7 +290,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = lattice.vocabulary()
-        table, nodes = decoder(v), Nodes(v)
+        codec, nodes = Codec(v), Nodes(v)
         for batch in batches:
             doc_ids, at = batch.column("doc_id").to_pylist(), 0
             for group in by_size(texts(batch), GROUP):
@@ -269,18 +299,21 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool =
                 units = [pre_tokens(t.decode("utf-8", "replace")) for t in group]
                 paths, kappa = sample(units, keys, k, nodes)
                 rows = []
-                for d, (name, t) in enumerate(zip(names, group, strict=True)):
-                    for rank, (p, there) in enumerate(paths):
-                        if not there[d]:
-                            continue
-                        e = p.edges[p.bounds[d] : p.bounds[d + 1]]
-                        ids = v.ids[nodes.piece[e]]
-                        if (ids < 0).any():
-                            start = nodes.node[e] - nodes.base[np.searchsorted(nodes.base, nodes.node[e], side="right") - 1]
-                            ids = piece_ids(nodes.piece[e], "".join(units[d]), nodes.end[e] - start, v)
-                        x = float(p.total[d] - kappa[d])
-                        inclusion = 0.0 if not np.isfinite(kappa[d]) else x - np.exp(x) / 2 if x < -20 else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))))
-                        rows.append((name, rank + 1, len(ids), float(p.total[d]), float(p.value[d]), float(inclusion), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), decode(ids.tolist(), table) == t, ids.astype(np.int32)))
+                for rank, (p, there) in enumerate(paths):
+                    pieces = nodes.piece[p.edges]
+                    ids, (text, begin) = codec.ids[pieces], codec.decode_all(pieces, p.bounds)
+                    bare = np.add.reduceat(np.append(pieces == len(v.pieces), False), p.bounds[:-1]) * (np.diff(p.bounds) > 0)
+                    x = p.total - kappa
+                    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+                        inclusion = np.where(np.isfinite(kappa), np.where(x < -20, x - np.exp(x) / 2, np.log(-np.expm1(-np.exp(np.minimum(x, 30.0))))), 0.0)
+                    for d in np.flatnonzero(there):
+                        own, back = ids[p.bounds[d] : p.bounds[d + 1]], text[begin[d] + 1 : begin[d + 1]]
+                        if bare[d]:
+                            e = p.edges[p.bounds[d] : p.bounds[d + 1]]
+                            start = nodes.node[e].astype(np.int64) - nodes.base[np.searchsorted(nodes.base, nodes.node[e], side="right") - 1]
+                            own = codec.with_bytes(nodes.piece[e], "".join(units[d]), nodes.end[e].astype(np.int64) - start)
+                            back = codec.decode(own.tolist())
+                        rows.append((names[d], rank + 1, len(own), float(p.total[d]), float(p.value[d]), float(inclusion[d]), hashlib.sha256(own.tobytes()).hexdigest(), back == group[d], own))
                 cols = list(zip(*rows, strict=True))[: 8 + with_ids]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=False)], names=[x.split()[0] for x in schema.split(", ")])
