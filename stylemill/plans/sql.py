@@ -146,7 +146,7 @@ MEASURES["excerpts"] = with_(
     f"p AS (SELECT profile, doc_id, trim(text) AS text, len({words('text')}) AS n, length(trim(text)) AS size FROM d WHERE length(trim(text)) >= 200)",
     "s AS (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE (CASE WHEN n < 60 THEN 0.3 WHEN n > 280 THEN 0.6 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '^\\s*[-*+]\\s+') OR regexp_matches(text, '^\\s*\\d+\\.\\s+') THEN 0.5 ELSE 1.0 END) * (CASE WHEN CAST(len(regexp_extract_all(text, '\\p{Lu}')) AS DOUBLE) / size > 0.2 THEN 0.7 ELSE 1.0 END) * (CASE WHEN CAST(len(regexp_extract_all(text, '\\p{Nd}')) AS DOUBLE) / size > 0.08 THEN 0.7 ELSE 1.0 END) * (CASE WHEN regexp_matches(" + _PLAIN + ", '\\b(?:ibid|supra|infra|cf|op\\.|cit|pp?)\\b') THEN 0.4 ELSE 1.0 END) * (CASE WHEN regexp_matches(text, '\\[[0-9,\\s]+\\]') THEN 0.5 ELSE 1.0 END) END AS score FROM p)",
     "r AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(size) OVER (PARTITION BY profile ORDER BY score DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s WINDOW w AS (PARTITION BY profile ORDER BY score DESC, doc_id))",
-    select="SELECT profile, rank, doc_id, 0 AS para_no, round(score, 6) AS score, substr(text, 1, CAST(6000 - before AS INT)) AS excerpt FROM r WHERE before < 6000",
+    select="SELECT profile, rank, doc_id, 0 AS para_no, round(CAST(score AS DOUBLE), 6) AS score, substr(text, 1, CAST(6000 - before AS INT)) AS excerpt FROM r WHERE before < 6000",
 )
 _MARKS = {"commas": ",", "semicolons": ";", "colons": ":", "exclamations": "!", "questions": "?", "open": "(", "close": ")", "double": '"', "single": "'", "em_dashes": "—"}
 
@@ -263,7 +263,7 @@ _alike = lambda s: f"list_avg({_zip(f'a.{s}', f'b.{s}', '1.0 / (1.0 + abs({0} -
 _SIM = {
     "function_words_distribution": _jsd("fw"), "sentence_histogram": _jsd("sentence"), "paragraph_histogram": _jsd("paragraph"), "punctuation_rates": _alike("punctuation"),
     "stance_signals": _alike("stance"), "rhetoric_moves": _alike("rhetoric_moves"), "syntax_texture": _alike("syntax_texture"), "paragraph_cadence": _alike("paragraph_cadence"),
-    "repetition": _alike("repetition"), "lexicon_preferred_overlap": "1.0", "lexicon_avoid_overlap": "1.0",
+    "repetition": _alike("repetition"), "lexicon_preferred_overlap": "CAST(1.0 AS DOUBLE)", "lexicon_avoid_overlap": "CAST(1.0 AS DOUBLE)",
 }
 _PAIRS = f"WITH {D},\n{WT},\n{TOK},\n{FWC},\n{_vectors('t', 'profile')},\nfl AS (SELECT profile, list(n * 1000.0 / words ORDER BY place) AS fw FROM f GROUP BY profile),\nv AS (SELECT t_v.*, fw FROM t_v JOIN fl ON fl.profile = t_v.k),\ns AS (SELECT a.k AS a, b.k AS b, least(a.words, b.words) AS least_words, " + ", ".join(f"{e} AS {k}" for k, e in _SIM.items()) + " FROM v a JOIN v b ON a.k < b.k),\nq AS (SELECT *, " + " + ".join(f"least(1.0, {k}) * {w}" for k, w in L.SIMILARITY_WEIGHTS.items()) + f" AS total, least(1.0, 0.6 + 0.4 * (1.0 - exp(-least_words / 20000.0))) AS sure FROM s)\n"
 _TOTAL = f"round(total / {sum(L.SIMILARITY_WEIGHTS.values())!r}, 6) AS similarity, round(sure, 6) AS confidence"
