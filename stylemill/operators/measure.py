@@ -308,11 +308,12 @@ def burstiness(docs: DataFrame) -> DataFrame:
     return s.join(p, "profile", "full").na.fill(0.0)
 
 
-def entropy(counts: DataFrame, n: str = "n") -> DataFrame:
+def entropy(counts: DataFrame, n: str = "n", exact: bool = False) -> DataFrame:
     """Shannon entropy in bits of the positive counts of each profile, in one aggregation."""
     c = F.col(n).cast("double")
     x = counts.where(F.col(n) > 0).groupBy("profile").agg(F.sum(c).alias("t"), F.sum(c * F.log2(c)).alias("cl"))
-    return x.select("profile", r6(F.log2("t") - F.col("cl") / F.col("t")).alias("entropy"))
+    bits = F.log2("t") - F.col("cl") / F.col("t")
+    return x.select("profile", (bits if exact else r6(bits)).alias("entropy"))
 
 
 def punctuation_entropy(docs: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def metrics(texts: DataFrame) -> DataFrame:
             out[f"punctuation_{k}_per_1000w"] = F.col("marks")[i] * 1000.0 / words
     out["comma_density_per_100w"] = F.col("marks")[0] * 100.0 / words
     rows = x.select("profile", "window_no", *[c.alias(k) for k, c in out.items()])
-    letters = M.char_trigram_entropy(texts.select(F.struct("profile", "window_no").alias("profile"), "text"))
+    letters = M.entropy(M.char_trigrams(texts.select(F.struct("profile", "window_no").alias("profile"), "text")), exact=True)
     letters = letters.select("profile.profile", "profile.window_no", F.col("entropy").alias("char_trigram_entropy"))
     return rows.join(letters, ["profile", "window_no"], "left").na.fill(0.0)
 

@@ -182,7 +182,7 @@ _WINDOWS = ",\n".join([
     f"x AS (SELECT profile, window_no, {words('lower(text)')} AS w, list_transform({sentences('text')}, lambda s: len({words('s')})) AS sl, list_transform(paras, lambda q: len({sentences('q')})) AS pl, [{', '.join(f'CAST({count_of("text", m)} AS DOUBLE)' for m in _MARKS.values())}] AS m FROM t)",
     "l AS (SELECT profile, window_no, regexp_replace(lower(text), '[^a-zA-Z]+', '', 'g') AS s FROM t)",
     "g AS (SELECT profile, window_no, substr(s, i, 3) AS q, count(*) AS n FROM (SELECT profile, window_no, s, unnest(range(1, length(s) - 1)) AS i FROM l WHERE length(s) >= 3) GROUP BY ALL)",
-    "h AS (SELECT profile, window_no, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS char_trigram_entropy FROM g GROUP BY ALL)",
+    "h AS (SELECT profile, window_no, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS char_trigram_entropy FROM g GROUP BY ALL)",
     "metrics AS (SELECT x.profile, x.window_no, " + ", ".join(f"{e} AS {k}" for k, e in WINDOW_METRICS.items()) + ", coalesce(char_trigram_entropy, 0.0) AS char_trigram_entropy FROM x LEFT JOIN h ON h.profile = x.profile AND h.window_no = x.window_no)",
 ])
 _ALL = [*WINDOW_METRICS, "char_trigram_entropy"]
