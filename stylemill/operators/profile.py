@@ -185,34 +185,32 @@ def compliance(measured: DataFrame, profiles: DataFrame, weights: dict[str, floa
     target = profiles.select("profile", *[F.col(s).alias(f"t_{s}") for s in SECTIONS])
     x = measured.join(target, "profile")
 
+    rates = [s for s in SECTIONS if s not in ("sentence", "paragraph", "one_sentence", "orthography")]
+    # how far each section is off, once; then the score and the deltas read it
+    off = {s: F.zip_with(F.col(s), F.col(f"t_{s}"), relative_difference).alias(f"off_{s}") for s in (*rates, "orthography")}
+    x = x.select(
+        "id", "profile", "words", *off.values(), F.abs(F.col("one_sentence")[0] - F.col("t_one_sentence")[0]).alias("one"),
+        *[(l1(F.col(s), F.col(f"t_{s}")) / 2.0).alias(f"half_{s}") for s in ("sentence", "paragraph")],
+    )
+
     def close(d: Column) -> Column:
         return F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), d))
 
-    def off(section: str) -> Column:
-        return F.zip_with(F.col(section), F.col(f"t_{section}"), relative_difference)
-
-    halves = {s: l1(F.col(s), F.col(f"t_{s}")) / 2.0 for s in ("sentence", "paragraph")}
-    one = F.abs(F.col("one_sentence")[0] - F.col("t_one_sentence")[0])
-    score = {"sentence": close(halves["sentence"]), "paragraph": (close(halves["paragraph"]) + close(one)) / 2, "orthography": _mean(F.transform(off("orthography"), close))}
-    tolerance = {"punctuation": 0.5, "orthography": 0.5}
-    rates = [s for s in SECTIONS if s not in ("sentence", "paragraph", "one_sentence", "orthography")]
-    score |= {s: close(_mean(off(s))) for s in rates}
+    score = {"sentence": close(F.col("half_sentence")), "paragraph": (close(F.col("half_paragraph")) + close(F.col("one"))) / 2, "orthography": _mean(F.transform("off_orthography", close))}
+    score |= {s: close(_mean(F.col(f"off_{s}"))) for s in rates}
     used = {s: float(weights.get(s, 1.0)) for s in score if float(weights.get(s, 1.0)) > 0}
-    total = sum(used.values())
-    value = reduce(lambda a, b: a + b, [score[s] * w for s, w in used.items()]) / total if used else F.lit(1.0)
-
-    def named(metric: Column, diff: Column) -> Column:
-        return F.struct(metric.alias("metric"), diff.alias("diff"))
+    value = reduce(lambda a, b: a + b, [score[s] * w for s, w in used.items()]) / sum(used.values()) if used else F.lit(1.0)
 
-    def beyond(rows: Column, limit: float) -> Column:
-        return F.filter(rows, lambda r: r["diff"] > limit)
+    def single(metric: str, diff: str, limit: float) -> Column:
+        return F.when(F.col(diff) > limit, F.array(F.struct(F.lit(metric).alias("metric"), F.col(diff).alias("diff")))).otherwise(F.array().cast("array<struct<metric:string,diff:double>>"))
 
-    def listed(s: str) -> Column:
-        return F.transform(off(s), lambda d, i: named(F.format_string(s + "[%d]", i), d))
+    def listed(section: str, limit: float) -> Column:
+        named = F.transform(f"off_{section}", lambda d, i: F.struct(F.concat(F.lit(section + "["), i.cast("string"), F.lit("]")).alias("metric"), d.alias("diff")))
+        return F.filter(named, lambda r: r["diff"] > limit)
 
-    single = [beyond(F.array(named(F.lit(n), d)), t) for n, d, t in (("sentence_length_histogram", halves["sentence"], 0.15), ("paragraph_length_histogram", halves["paragraph"], 0.15), ("one_sentence_paragraph_rate", one, 0.1))]
-    many = [beyond(listed(s), tolerance.get(s, 0.6)) for s in (*rates, "orthography")]
-    return x.select("id", "profile", "words", value.alias("score"), F.concat(*single, *many).alias("deltas"))
+    deltas = [single("sentence_length_histogram", "half_sentence", 0.15), single("paragraph_length_histogram", "half_paragraph", 0.15), single("one_sentence_paragraph_rate", "one", 0.1)]
+    deltas += [listed(s, 0.5 if s in ("punctuation", "orthography") else 0.6) for s in (*rates, "orthography")]
+    return x.select("id", "profile", "words", value.alias("score"), F.concat(*deltas).alias("deltas"))
 
 
 def match_probability(scored: DataFrame, threshold: float = 0.59, slope: float = 0.12, evidence: int = 250) -> DataFrame:
