@@ -170,7 +170,7 @@ def search(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         ids = Memo(lambda w: index.terms.get(x, -1) if (x := term(w)) else -2, 200_000)
         for batch in batches:
             names, rows, done = batch.column("doc_id").to_pylist(), [], 0
-            for group in by_size(texts(batch), 2_000_000):
+            for group in by_size(texts(batch), 1_000_000):
                 own, done = names[done : done + len(group)], done + len(group)
                 split = [t.split() for t in group]
                 coded = []

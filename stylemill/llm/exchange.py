@@ -21,6 +21,8 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches, tidy
+
 SCHEMA = "p long, batch long, kind string, data binary"
 _NAMES = ["p", "batch", "kind", "data"]
 _ZSTD = zstandard.ZstdCompressor(level=1)
@@ -113,8 +115,8 @@ def by_key(df: DataFrame, key: str, fn: Callable[[int, list[tuple[int, str, byte
         if held:
             yield from fn(now, held)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return df.repartition(parts(df), key).sortWithinPartitions(key).mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.repartition(parts(df), key).sortWithinPartitions(key).mapInArrow(tidy(run), schema)
 
 
 def parts(df: DataFrame) -> int:

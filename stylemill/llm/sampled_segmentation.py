@@ -32,7 +32,7 @@ from . import lattice
 from .common import documents, map_batches, mix, offsets, texts
 from .toxicity import by_size
 
-SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 1_500_000, 80.0
+SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 600_000, 80.0
 _M = lattice.MARK
 _PRE = re.compile(rf"{_M}*(?:[^\W\d_]+|(?:[^\w{_M}\n]|[\d_])+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -57,7 +57,7 @@ class Nodes(dict):
     #: base and size by word; first by node; the others by edge
     KINDS = {"base": np.int64, "size": np.uint8, "first": np.int64, "node": np.int32, "end": np.uint8, "piece": np.uint16, "cum": np.float64, "log": np.float64}
 
-    def __init__(self, v: lattice.Vocabulary, most: int = 200_000):
+    def __init__(self, v: lattice.Vocabulary, most: int = 150_000):
         super().__init__()
         self.v, self.most = v, most
         self.restart()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Memo, documents, map_batches, materialise, mix, offsets, rolling, texts
 from .exchange import SCHEMA, batch_key, by_key, gather, pack, pack_rows, part_bounds, parts, rows, unpack, unpack_rows
 
-WINDOW, BATCH_BYTES = 13, 6_000_000
+WINDOW, BATCH_BYTES = 13, 4_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 _LAST = np.iinfo(np.int64).max
 
