@@ -2,7 +2,8 @@
 
 Text that a general compressor shrinks far more, or far less, than prose of its length is rejected: zstandard
 ratios (compressed size / size) of the whole document and of each fixed chunk are held against limits that depend
-on the length, since a short text carries the format's overhead and offers few repeats.
+on the length, since a short text carries the format's overhead and offers few repeats. What is left after the last full
+chunk is a chunk too, with the limits of a document of its length, so every byte is in a chunk.
 
 Nulls and empty texts have no words and fail the base rule; a null doc_id stays null; repeated rows are judged alike.
 """
@@ -24,7 +25,7 @@ LEVEL = 3
 CHUNK = 4096
 #: (least bytes, lowest ratio kept, highest ratio kept) of a whole document; the last row whose bytes it reaches holds.
 DOCUMENT_BANDS = ((0, 0.30, 1.60), (256, 0.30, 0.95), (1024, 0.27, 0.85), (4096, 0.22, 0.75), (16384, 0.18, 0.70), (65536, 0.15, 0.68))
-#: The same for a chunk of CHUNK bytes, and the share of a document's chunks that may lie outside.
+#: The same for a chunk of CHUNK bytes, and the share of a document's bytes that may lie in chunks outside.
 CHUNK_BAND, CHUNK_SHARE = (0.24, 0.80), 0.34
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_chunks_out long"
@@ -53,15 +54,26 @@ def dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def limits(size: int) -> tuple[float, float]:
+    return next((a, b) for least, a, b in reversed(DOCUMENT_BANDS) if size >= least)
+
+
 def bands(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """Ratio of the whole text, its full chunks, those outside their band, and whether the text is kept."""
+    """Ratio of the whole text, its chunks, those outside their band, and whether the text is kept."""
     if not text:
         return 0.0, 0, 0, False
     ratio = len(zstd.compress(text)) / len(text)
-    low, high = next((a, b) for least, a, b in reversed(DOCUMENT_BANDS) if len(text) >= least)
-    chunks = [len(zstd.compress(text[i : i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
-    outside = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunks)
-    return ratio, len(chunks), outside, low <= ratio <= high and outside <= CHUNK_SHARE * len(chunks)
+    low, high = limits(len(text))
+    inside = low <= ratio <= high
+    if len(text) < CHUNK:  # the only chunk
+        return ratio, 1, int(not inside), inside
+    outside = bad = 0
+    for i in range(0, len(text), CHUNK):
+        chunk = text[i : i + CHUNK]
+        least, most = CHUNK_BAND if len(chunk) == CHUNK else limits(len(chunk))
+        if not least <= len(zstd.compress(chunk)) / len(chunk) <= most:
+            outside, bad = outside + 1, bad + len(chunk)
+    return ratio, -(-len(text) // CHUNK), outside, inside and bad <= CHUNK_SHARE * len(text)
 
 
 def measure(docs: DataFrame) -> DataFrame:
