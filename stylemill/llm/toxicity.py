@@ -3,10 +3,12 @@
 Words, lower-cased and stripped to letters, are hashed to embeddings; filters of several widths slide over the word
 sequence and the largest response of each filter over the whole text feeds a logistic output. A second output, on the
 mean embedding, guesses the language, learnt from the training rows' lang column; the decision threshold of each
-language is calibrated on rows kept from training, and shifts that language's logits so that 0.5 is its threshold.
+language is calibrated on all labelled rows but those trained on, and shifts that language's logits so that 0.5 is its
+threshold.
 
-The fit uses a bounded sample: at most SAMPLE labelled rows of each class, those with the least hash of their id.
-Scoring covers every whole text, partition by partition, without a shuffle.
+The fit uses a bounded sample: four fifths of at most SAMPLE labelled rows of each class, those with the least hash of their
+id. Calibration counts all others in bins of their logits, and weights each class so that it has its share of all labelled
+rows. Texts are read once for the logits, partition by partition, without a shuffle; only those numbers meet the labels.
 
 Null and empty texts get the score of a text without words; labels with nulls teach nothing; repeated rows are scored
 alike; without labels of both classes every score is the share of toxic labels.
@@ -23,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, fold, map_batches, offsets, texts
+from .common import Memo, documents, fold, map_batches, materialise, offsets, texts
 
 SAMPLE = 2000
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 15, 12, (1, 2, 3), 8, 10, 32, 0.02, 1e-2, 11
+#: Width of the bins of logits that the thresholds are found in.
+BIN = 0.01
 #: A word's embedding is the sum of those of the word itself and of its beginnings of these lengths, so that inflected forms share.
 STEMS = (4, 5, 7)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,7 +59,6 @@ class Net:
         self.p |= {f"b{w}": np.zeros(FILTERS) for w in WIDTHS}
         self.p["e"][0] = 0
         self.m, self.s, self.t = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
-        self.shift = np.zeros(n)
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return self.p["e"][rows].sum(1)
@@ -111,11 +114,6 @@ class Net:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.999**self.t)) + 1e-8)
         self.p["e"] *= 1 - DECAY
 
-    def scores(self, x: np.ndarray, bounds: np.ndarray, tables: dict) -> tuple[np.ndarray, np.ndarray]:
-        z, l, _ = self.forward(x, bounds, tables)
-        lang = l.argmax(1)
-        return 1 / (1 + np.exp(-np.clip(z - self.shift[lang], -30, 30))), lang
-
 
 class Lexicon(dict):
     """word -> row of the projected tables, which hold the words met so far; started anew when they are many."""
@@ -149,12 +147,12 @@ class Lexicon(dict):
         return np.concatenate(out), offsets([len(out[i]) + len(pad) for i in range(0, len(out), 2)])
 
 
-def fit(rows: list[tuple[np.ndarray, float, str | None]], seed: int = SEED) -> Net:
-    """rows: encoded text, label, language; a fifth of them sets the thresholds."""
+def fit(rows: list[tuple[np.ndarray, float, str | None]], seed: int = SEED) -> tuple[Net, np.ndarray]:
+    """rows: encoded text, label, language. The model and the places of the rows trained on, all but a fifth."""
     net = Net(sorted({r[2] for r in rows if r[2]}), seed)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
-    kept, train = order[: len(rows) // 5], order[len(rows) // 5 :]
+    train = order[len(rows) // 5 :]
     y = np.array([r[1] for r in rows])
     lang = np.array([net.languages.index(r[2]) if r[2] else -1 for r in rows], np.int64)
     for epoch in range(EPOCHS):
@@ -162,28 +160,42 @@ def fit(rows: list[tuple[np.ndarray, float, str | None]], seed: int = SEED) -> N
         for i in range(0, len(train), BATCH):
             k = train[i : i + BATCH]
             net.step(np.concatenate([rows[j][0] for j in k]), offsets([len(rows[j][0]) for j in k]), y[k], lang[k], RATE * (1 - epoch / EPOCHS))
-    z, guess = np.zeros(len(kept)), np.zeros(len(kept), np.int64)
-    for i in range(0, len(kept), BATCH):
-        k = kept[i : i + BATCH]
-        x = np.concatenate([rows[j][0] for j in k])
-        z[i : i + BATCH], l, _ = net.forward(np.arange(len(x)), offsets([len(rows[j][0]) for j in k]), net.project(net.embed(x)))
-        guess[i : i + BATCH] = l.argmax(1)
-    everywhere = threshold(z, y[kept])
-    for i in range(len(net.shift)):
-        own = guess == i
-        net.shift[i] = threshold(z[own], y[kept][own], everywhere) if y[kept][own].sum() >= 10 else everywhere
-    return net
-
-
-def threshold(z: np.ndarray, y: np.ndarray, default: float = 0.0) -> float:
-    """The logit with the best F1, in the middle of the gap it lies in."""
-    if not y.any() or y.all():
+    return net, train
+
+
+def threshold(at: np.ndarray, toxic: np.ndarray, clean: np.ndarray, default: float = 0.0) -> float:
+    """The logit with the best F1, in the middle of the gap it lies in; of logits `at`, with so many rows of each class."""
+    if not toxic.sum() or not clean.sum():
         return default
-    order = np.argsort(-z)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
+    order = np.argsort(-at)
+    at, hit = at[order], np.cumsum(toxic[order])
+    f1 = 2 * hit / (hit + np.cumsum(clean[order]) + toxic.sum())
     k = int(f1.argmax())
-    return float((z[order[k]] + z[order[k + 1]]) / 2) if k + 1 < len(z) else float(z[order[k]]) - 1e-6
+    return float((at[k] + at[k + 1]) / 2) if k + 1 < len(at) else float(at[k]) - BIN
+
+
+def logit_counts(scored: DataFrame, y: DataFrame, trained: DataFrame) -> DataFrame:
+    """y, lang, bin, n, seen: all labelled rows by label, guessed language and bin of the logit, and how many were trained on."""
+    at = F.floor(F.least(F.greatest("z", F.lit(-30.0)), F.lit(30.0)) / BIN).alias("bin")
+    both = scored.join(y, "doc_id").join(F.broadcast(trained.withColumn("seen", F.lit(1))), "doc_id", "left")
+    return both.groupBy("y", "lang", at).agg(F.count("*").alias("n"), F.count("seen").alias("seen"))
+
+
+def shifts(counts: list, n: int) -> list[float]:
+    """The threshold of each of n languages from logit_counts; that of all languages where under 10 toxic rows are left."""
+    c = np.array([(r.y, r.lang, r.bin, r.n, r.n - r.seen) for r in counts], float).reshape(-1, 5)
+    c[:, 0] = c[:, 0] > 0
+    total, left = ([c[c[:, 0] == y, k].sum() for y in (0, 1)] for k in (3, 4))
+    weight = np.array([t / m if m else 0.0 for t, m in zip(total, left, strict=True)])[c[:, 0].astype(int)] * c[:, 4]
+
+    def cut(own: np.ndarray, default: float) -> float:
+        at, place = np.unique(c[own & (c[:, 4] > 0), 2], return_inverse=True)
+        y, w = c[own & (c[:, 4] > 0), 0], weight[own & (c[:, 4] > 0)]
+        return threshold((at + 0.5) * BIN, np.bincount(place, w * y, len(at)), np.bincount(place, w * (1 - y), len(at)), default)
+
+    everywhere = cut(np.ones(len(c), bool), 0.0)
+    own = [c[:, 1] == i for i in range(n)]
+    return [cut(x, everywhere) if c[x & (c[:, 0] == 1), 4].sum() >= 10 else everywhere for x in own]
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, sample: int = SAMPLE) -> DataFrame:
@@ -204,25 +216,29 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     found.sort(key=lambda r: r.doc_id)
     rows = [(np.frombuffer(r.x, np.int32).reshape(-1, 1 + len(STEMS)), float(r.y), r.lang) for r in found]
     positive = sum(r[1] for r in rows)
-    net = fit(rows) if 0 < positive < len(rows) else None
-    share = positive / len(rows) if rows else 0.0
+    out = ["doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_guess"]
+    if not 0 < positive < len(rows):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(positive / len(rows) if rows else 0.0).alias("score"), F.lit(None).cast("string").alias("lang_guess")).select(*out)
+    net, train = fit(rows)
+    trained = spark.createDataFrame([(i,) for i in sorted({found[j].doc_id for j in train})], "doc_id long")
     model = spark.sparkContext.broadcast(net)  # BUCKETS x DIM numbers and a few filters
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
-        lexicon = Lexicon(net) if net else None
+        lexicon = Lexicon(model.value)
         for batch in batches:
-            t = texts(batch)
-            s, lang = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for group in by_size(t, 1_000_000):
-                p, g = net.scores(*lexicon.encode(group), lexicon.tables) if net else (np.full(len(group), share), np.full(len(group), -1))
-                s.append(p)
-                lang.append(g)
-            names = [net.languages[i] if net and 0 <= i < len(net.languages) else None for i in np.concatenate(lang)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(s), pa.float64()), pa.array(names, pa.string())], names=["doc_id", "score", "lang_guess"])
-
-    scored = map_batches(documents(docs), score, "doc_id long, score double, lang_guess string")
-    return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_guess")
+            z, lang = [np.zeros(0)], [np.zeros(0, np.int64)]
+            for group in by_size(texts(batch), 1_000_000):
+                x, bounds = lexicon.encode(group)
+                own, guess, _ = model.value.forward(x, bounds, lexicon.tables)
+                z.append(own)
+                lang.append(guess.argmax(1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.concatenate(z), pa.float64()), pa.array(np.concatenate(lang), pa.int64())], names=["doc_id", "z", "lang"])
+
+    scored = materialise(map_batches(documents(docs), score, "doc_id long, z double, lang long"))
+    cuts = shifts(logit_counts(scored, y, trained).collect(), max(1, len(net.languages)))
+    per = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("lang").cast("int") + 1)
+    z = F.least(F.greatest(F.col("z") - per(cuts), F.lit(-30.0)), F.lit(30.0))
+    return scored.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"), (per(net.languages) if net.languages else F.lit(None).cast("string")).alias("lang_guess")).select(*out)
 
 
 def by_size(batch: list[bytes], most: int) -> Iterator[list[bytes]]:
