@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lattice
-from .common import Memo, documents, fold, map_batches, materialise, offsets, segment_sum, texts
+from .common import Memo, documents, fold, map_batches, materialise, texts
 
-SAMPLE, ROUNDS, SMOOTH, WORDS = 3000, 2, 0.05, 4000
+SAMPLE, ROUNDS, SMOOTH = 3000, 2, 0.05
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -38,12 +38,8 @@ def normalise(word: bytes) -> str:
     return lattice.MARK + s.lower()
 
 
-def parts(word: str) -> list[str]:
-    return [word[i : i + lattice.LONGEST] for i in range(0, len(word), lattice.LONGEST)]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, part, n: how often each part of a word occurs in each language."""
+    """lang, word, n: how often each word occurs in each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = Memo(normalise, 200_000), {}
@@ -51,7 +47,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             keys, n = list(counts), list(counts.values())
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(n, pa.int64())], names=["lang", "part", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for t, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
@@ -62,9 +58,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield flush()
         yield flush()
 
-    rows = map_batches(documents(docs, "lang"), run, "lang string, part string, n long").where("part <> ''")
-    cut = F.expr(f"transform(sequence(1, length(part), {lattice.LONGEST}), i -> substr(part, i, {lattice.LONGEST}))")
-    return rows.select("lang", F.explode(cut).alias("part"), "n").groupBy("lang", "part").agg(F.sum("n").alias("n"))
+    rows = map_batches(documents(docs, "lang"), run, "lang string, word string, n long").where("word <> ''")
+    return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def expectation(counts: DataFrame, languages: list[str], p: np.ndarray) -> np.ndarray:
@@ -77,15 +72,10 @@ def expectation(counts: DataFrame, languages: list[str], p: np.ndarray) -> np.nd
         v, p = lattice.vocabulary(), shared.value
         total, known = np.zeros(size * len(languages)), {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            lang, n, words = np.array([known[x] for x in batch.column("lang").to_pylist()], np.int64), batch.column("n").to_numpy(), batch.column("part").to_pylist()
-            for i in range(0, len(words), WORDS):
-                lat, own, m = lattice.build(words[i : i + WORDS], v), lang[i : i + WORDS], n[i : i + WORDS]
-                q = p[lat.piece, own[lat.word]]
-                a, b = lattice.forward(lat, p), lattice.backward(lat, p)
-                z = b[0, np.arange(len(own)), own]
-                scaled = lattice.POWERS[lat.end - lat.start]
-                share = a[lat.start, lat.word, own[lat.word]] * q * scaled * b[lat.end, lat.word, own[lat.word]] / np.maximum(z[lat.word], 1e-300)
-                total += np.bincount(lat.piece * len(languages) + own[lat.word], share * m[lat.word], len(total))
+            lang, n, words = np.array([known[x] for x in batch.column("lang").to_pylist()], np.int64), batch.column("n").to_numpy(), batch.column("word").to_pylist()
+            for i, j in lattice.groups(words):
+                lat, own = lattice.build(words[i:j], v), lang[i:j]
+                total += np.bincount(lat.piece * len(languages) + own[lat.word], lattice.edge_shares(lat, p, own) * n[i:j][lat.word], len(total))
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["k", "n"])
 
@@ -129,13 +119,9 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
             if len(rows) > 200_000:
                 rows, known, table = {}, {}, table[:0]
             fresh = {w: normalise(w) for w in set().union(*words) - rows.keys()} if words else {}
-            new = list(set(fresh.values()) - known.keys())
-            for i in range(0, len(new), WORDS):
-                group = new[i : i + WORDS]
-                cut = [parts(w) for w in group]
-                flat = lattice.log_likelihood([x for c in cut for x in c], v, p)
-                known.update(zip(group, range(len(table), len(table) + len(group)), strict=True))
-                table = np.concatenate([table, segment_sum(flat, offsets([len(c) for c in cut]))])
+            new = sorted(set(fresh.values()) - known.keys(), key=len)
+            known.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+            table = np.concatenate([table, lattice.log_likelihood(new, v, p)])
             rows.update((w, known[s]) for w, s in fresh.items())
             pred, score, margin = [], [], []
             for w in words:

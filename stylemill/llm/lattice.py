@@ -2,11 +2,13 @@
 
 A word's lattice has a node before and after each character and an edge for each vocabulary piece that matches;
 characters without a piece of their own get a fallback edge. Many words are laid out in flat arrays, so that the
-recursions over their lattices run in numpy, one word position at a time.
+recursions over their lattices run in numpy, one word position at a time. Words are never cut: sums over those of more than
+SCALED characters run in logarithms, over shorter ones in scaled numbers, with the same results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -16,8 +18,10 @@ import sentencepiece
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Longer words are cut into parts of so many characters, which are segmented one after the other.
-LONGEST = 48
+#: Scaled numbers stay within the floats' range up to this many characters.
+SCALED = 48
+#: Words and (positions x words) of one group of lattices; a longer word is a group of its own.
+GROUP, CELLS = 4000, 400_000
 
 
 class Trie:
@@ -97,7 +101,7 @@ class Lattices:
 
 
 def build(words: list[str], v: Vocabulary) -> Lattices:
-    """words: of LONGEST characters at most, none of them a line feed."""
+    """words: none of them with a line feed among other characters."""
     size = np.array([len(w) for w in words], np.int64)
     joined = "\n".join(words)
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
@@ -117,47 +121,75 @@ def build(words: list[str], v: Vocabulary) -> Lattices:
 
 #: Node weights are kept within the floats' range by this factor for each character.
 STEP = 40.0
-POWERS = STEP ** np.arange(LONGEST + 1)
-
-
-def forward(lat: Lattices, p: np.ndarray) -> np.ndarray:
-    """alpha[position, word, model], times STEP to the position. p: [piece, model]."""
-    out = np.zeros((int(lat.size.max(initial=0)) + 1, len(lat.size), p.shape[1]))
-    out[0] = 1
-    scaled = POWERS[lat.end - lat.start]
-    order = np.argsort(lat.end * len(lat.size) + lat.word)
-    word, start, end, piece, scaled = lat.word[order], lat.start[order], lat.end[order], lat.piece[order], scaled[order]
-    bounds = np.searchsorted(end, np.arange(len(out) + 1))
-    for k in range(1, len(out)):
+POWERS = STEP ** np.arange(SCALED + 1)
+
+
+def groups(words: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive words whose lattices are built together."""
+    first, longest = 0, 0
+    for i, w in enumerate(words):
+        longest = max(longest, len(w))
+        if i > first and (i - first == GROUP or (i - first + 1) * longest > CELLS):
+            yield first, i
+            first, longest = i, len(w)
+    if words:
+        yield first, len(words)
+
+
+def _sums(lat: Lattices, p: np.ndarray, back: bool) -> tuple[np.ndarray, bool]:
+    """Sums over the paths that end (back: begin) at each [position, word, model], and whether they are logarithms.
+
+    Others are times STEP to the characters of the paths. p: [piece, model].
+    """
+    n = len(lat.size)
+    logs = bool(lat.size.max(initial=0) > SCALED)
+    out = np.full((int(lat.size.max(initial=0)) + 1, n, p.shape[1]), -np.inf if logs else 0.0)
+    out[lat.size if back else 0, np.arange(n)] = 0.0 if logs else 1.0
+    here, there = (lat.start, lat.end) if back else (lat.end, lat.start)
+    order = np.argsort(here * n + lat.word)
+    word, there = lat.word[order], there[order]
+    with np.errstate(divide="ignore"):
+        weight = np.log(p)[lat.piece[order]] if logs else p[lat.piece[order]] * POWERS[(lat.end - lat.start)[order], None]
+    bounds = np.searchsorted(here[order], np.arange(len(out) + 1))
+    for k in range(len(out) - 2, -1, -1) if back else range(1, len(out)):
         a, b = bounds[k], bounds[k + 1]
         if a < b:
             w = word[a:b]
             runs = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            out[k, w[runs]] = np.add.reduceat(out[start[a:b], w] * (p[piece[a:b]] * scaled[a:b, None]), runs, axis=0)
-    return out
-
-
-def backward(lat: Lattices, p: np.ndarray) -> np.ndarray:
-    """beta[position, word, model], times STEP to the characters left."""
-    out = np.zeros((int(lat.size.max(initial=0)) + 1, len(lat.size), p.shape[1]))
-    out[lat.size, np.arange(len(lat.size))] = 1
-    scaled = POWERS[lat.end - lat.start]
-    order = np.argsort(lat.start * len(lat.size) + lat.word)
-    word, start, end, piece, scaled = lat.word[order], lat.start[order], lat.end[order], lat.piece[order], scaled[order]
-    bounds = np.searchsorted(start, np.arange(len(out) + 1))
-    for k in range(len(out) - 2, -1, -1):
-        a, b = bounds[k], bounds[k + 1]
-        if a < b:
-            w = word[a:b]
-            runs = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            out[k, w[runs]] = np.add.reduceat(out[end[a:b], w] * (p[piece[a:b]] * scaled[a:b, None]), runs, axis=0)
-    return out
+            if logs:
+                out[k, w[runs]] = np.logaddexp.reduceat(out[there[a:b], w] + weight[a:b], runs, axis=0)
+            else:
+                out[k, w[runs]] = np.add.reduceat(out[there[a:b], w] * weight[a:b], runs, axis=0)
+    return out, logs
 
 
 def log_likelihood(words: list[str], v: Vocabulary, p: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations of each word, for each model."""
-    if not words:
-        return np.zeros((0, p.shape[1]))
-    lat = build(words, v)
-    total = forward(lat, p)[lat.size, np.arange(len(words))]
-    return np.log(np.maximum(total, 1e-300)) - (lat.size * np.log(STEP))[:, None]
+    parts = [np.zeros((0, p.shape[1]))]
+    for i, j in groups(words):
+        lat = build(words[i:j], v)
+        out, logs = _sums(lat, p, back=False)
+        total = out[lat.size, np.arange(j - i)]
+        parts.append(total if logs else np.log(np.maximum(total, 1e-300)) - (lat.size * np.log(STEP))[:, None])
+    return np.concatenate(parts)
+
+
+def edge_shares(lat: Lattices, p: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The probability of each edge among all segmentations of its word; model: that of each word."""
+    (a, logs), (b, _) = _sums(lat, p, back=False), _sums(lat, p, back=True)
+    own = model[lat.word]
+    z = b[0, np.arange(len(lat.size)), model][lat.word]
+    begin, rest = a[lat.start, lat.word, own], b[lat.end, lat.word, own]
+    if logs:
+        with np.errstate(divide="ignore"):
+            return np.exp(begin + np.log(p[lat.piece, own]) + rest - z)
+    return begin * p[lat.piece, own] * POWERS[lat.end - lat.start] * rest / np.maximum(z, 1e-300)
+
+
+def step_shares(lat: Lattices, p: np.ndarray) -> np.ndarray:
+    """The probability of each edge given the node it leaves, of one model: p[piece]."""
+    b, logs = _sums(lat, p[:, None], back=True)
+    b = b[:, :, 0]
+    if logs:
+        return np.exp(np.log(p)[lat.piece] + b[lat.end, lat.word] - b[lat.start, lat.word])
+    return p[lat.piece] * POWERS[lat.end - lat.start] * b[lat.end, lat.word] / np.maximum(b[lat.start, lat.word], 1e-300)

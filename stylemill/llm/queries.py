@@ -39,7 +39,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_segmentation.encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return sampled_segmentation.encode(table(spark, sf_dir, "documents"))
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ replacement. The largest value left, kappa, gives each sample's inclusion score
 All draws are hashes of (row key, sample, position): they depend neither on partitioning nor on other rows.
 
 An empty or null text has one segmentation, the empty one. Texts with fewer than k segmentations return them all.
-Pre-tokens end between letters and other characters; those of over lattice.LONGEST characters are cut into such lengths. A text that holds the word mark itself
-decodes to a space there, as the library has it, and round_trip is false. Repeated rows get equal samples.
+Pre-tokens end where no piece of the vocabulary goes on: between letters and other characters, before spaces, at line feeds; they
+are never cut, however long. A text that holds the word mark itself decodes to a space there, as the library has it, and
+round_trip is false. Repeated rows get equal samples; a null doc_id is a key like any other.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import documents, map_batches, mix, offsets, texts
 from .toxicity import by_size
 
 SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 600_000, 80.0
+#: The lattices held are started anew when they have so many edges.
+EDGES = 6_000_000
 _M = lattice.MARK
 _PRE = re.compile(rf"{_M}*(?:[^\W\d_]+|(?:[^\w{_M}\n]|[\d_])+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -42,10 +45,7 @@ def pre_tokens(text: str) -> list[str]:
     """Runs of letters, and of other characters, with the spaces before them as word marks; and line feeds. The library's leading space comes first."""
     if not text:
         return []
-    out = _PRE.findall(lattice.MARK + text.replace(" ", lattice.MARK))
-    if max(map(len, out)) > lattice.LONGEST:
-        out = [x[i : i + lattice.LONGEST] for x in out for i in range(0, len(x), lattice.LONGEST)]
-    return out
+    return _PRE.findall(lattice.MARK + text.replace(" ", lattice.MARK))
 
 
 class Nodes(dict):
@@ -55,7 +55,7 @@ class Nodes(dict):
     """
 
     #: base and size by word; first by node; the others by edge
-    KINDS = {"base": np.int64, "size": np.uint8, "first": np.int64, "node": np.int32, "end": np.uint8, "piece": np.uint16, "cum": np.float64, "log": np.float64}
+    KINDS = {"base": np.int64, "size": np.int64, "first": np.int64, "node": np.int32, "length": np.uint8, "piece": np.uint16, "cum": np.float64, "log": np.float64}
 
     def __init__(self, v: lattice.Vocabulary, most: int = 150_000):
         super().__init__()
@@ -86,28 +86,26 @@ class Nodes(dict):
 
     def numbers(self, units: list[list[str]]) -> np.ndarray:
         """The numbers of all units of some texts, which the arrays then know."""
-        if len(self) > self.most:
+        if len(self) > self.most or len(self.node) > EDGES:
             self.restart()
         out = np.fromiter(chain.from_iterable(map(self.__getitem__, u) for u in units), np.int64)
-        for i in range(0, len(self.fresh), 8000):
-            self.learn(self.fresh[i : i + 8000])
+        for i, j in lattice.groups(self.fresh):
+            self.learn(self.fresh[i:j])
         self.fresh = []
         return out
 
     def learn(self, words: list[str]) -> None:
         lat = lattice.build(words, self.v)
-        p = np.exp(self.v.log_prior)[:, None]
-        beta = lattice.backward(lat, p)[:, :, 0]
         base = offsets(lat.size)[:-1]  # a node for each character; the last is the word's end
         node = base[lat.word] + lat.start
         first = np.searchsorted(node, np.arange(int(lat.size.sum()) + 1))
-        prob = p[lat.piece, 0] * lattice.POWERS[lat.end - lat.start] * beta[lat.end, lat.word] / np.maximum(beta[lat.start, lat.word], 1e-300)
+        prob = lattice.step_shares(lat, np.exp(self.v.log_prior))
         order = np.argsort(node - np.minimum(prob, 1) / 2, kind="stable")
         piece = lat.piece.copy()
         for i in np.flatnonzero(piece == len(self.v.pieces)):  # a character without a piece; if it is one byte, that byte's piece
             c = ord(words[lat.word[i]][lat.start[i]])
             piece[i] += 1 + c if c < 128 else 0
-        prob, end, piece = prob[order], lat.end[order], piece[order]
+        prob, length, piece = prob[order], (lat.end - lat.start)[order], piece[order]
         total = np.add.reduceat(prob, first[:-1])
         prob /= np.where(total > 0, total, 1)[node]
         cum = np.cumsum(prob)
@@ -116,7 +114,7 @@ class Nodes(dict):
         with np.errstate(divide="ignore"):
             log = np.log(prob)
         nodes, edges = len(self.first) - 1, len(self.node)
-        for name, values in {"base": base + nodes, "size": lat.size, "first": first[1:] + edges, "node": node + nodes, "end": end, "piece": piece, "cum": cum, "log": log}.items():
+        for name, values in {"base": base + nodes, "size": lat.size, "first": first[1:] + edges, "node": node + nodes, "length": length, "piece": piece, "cum": cum, "log": log}.items():
             self.append(name, values)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -131,14 +129,14 @@ class Nodes(dict):
     def walk(self, word: np.ndarray, position: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path of each word from its position to its end: the edges and which walk they belong to, in order."""
         walk, edges, owners, at = np.flatnonzero(position < self.size[word]), [], [], position.copy()
-        base, size, step = self.base[word], self.size[word].astype(np.int64), 0
+        base, size, step = self.base[word], self.size[word], 0
         steps = np.zeros(len(word), np.int64)
         while len(walk):
             u = (mix(seed[walk] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             edge = self.draw(base[walk] + at[walk], u)
             edges.append(edge)
             owners.append(walk)
-            at[walk] = self.end[edge]
+            at[walk] += self.length[edge]
             steps[walk] += 1
             walk = walk[at[walk] < size[walk]]
             step += 1
@@ -243,7 +241,8 @@ def sample(units: list[list[str]], keys: np.ndarray, k: int, nodes: Nodes) -> tu
         begin = np.concatenate(at) if at else np.zeros(0, np.int64)
         position = np.zeros(len(begin), np.int64)
         if at:
-            position[offsets([len(x) for x in at])[:-1]] = nodes.end[chosen[there]]
+            left = chosen[there]
+            position[offsets([len(x) for x in at])[:-1]] = nodes.node[left] - nodes.base[word[[x[0] for x in at]]] + nodes.length[left]
         edges, unit = walks(rank, begin, position)
         tail = np.searchsorted(unit, np.stack([ub[:-1], ub[1:]]))
         joined = [(np.concatenate([head[d], edges[tail[0, d] : tail[1, d]]]), np.concatenate([head_unit[d], unit[tail[0, d] : tail[1, d]]])) if there[d] else (head[d], head_unit[d]) for d in range(n)]
@@ -310,8 +309,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool =
                         own, back = ids[p.bounds[d] : p.bounds[d + 1]], text[begin[d] + 1 : begin[d + 1]]
                         if bare[d]:
                             e = p.edges[p.bounds[d] : p.bounds[d + 1]]
-                            start = nodes.node[e].astype(np.int64) - nodes.base[np.searchsorted(nodes.base, nodes.node[e], side="right") - 1]
-                            own = codec.with_bytes(nodes.piece[e], "".join(units[d]), nodes.end[e].astype(np.int64) - start)
+                            own = codec.with_bytes(nodes.piece[e], "".join(units[d]), nodes.length[e].astype(np.int64))
                             back = codec.decode(own.tolist())
                         rows.append((names[d], rank + 1, len(own), float(p.total[d]), float(p.value[d]), float(inclusion[d]), hashlib.sha256(own.tobytes()).hexdigest(), back == group[d], own))
                 cols = list(zip(*rows, strict=True))[: 8 + with_ids]
