@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; whole texts travel in them, so they bound a Python worker's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: A join's key is hot if it has more than one in HOT of all rows.
+HOT = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +34,13 @@ def fold(doc_id: str | Column, folds: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a folder of our own."""
+    """A new folder under spark.checkpoint.dir; where that is unset, as in tests, under a folder of our own, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("stylemill.checkpoint.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="stylemill-")
             spark.conf.set("stylemill.checkpoint.dir", root)
     return f"{root.rstrip('/')}/stylemill-{uuid.uuid4().hex}"
@@ -46,7 +50,34 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stylemill_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the folders of tables from `materialise` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "stylemill_path", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined by `key` with a table of one row a key, whose column n says how many of the `total` rows have it.
+
+    Keys of over total / HOT rows, fewer than HOT of them, are broadcast and their rows stay where they are; only the others are
+    shuffled, so no task gets more than that of one key. rows should be a stored table: both branches read it.
+    """
+    most = max(1, total // HOT)
+    others = [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") > most).select(key, F.struct(*others).alias("_hot"))
+    both = rows.join(F.broadcast(hot), key, "left")
+    there = both.where("_hot is not null").select(*rows.columns, "_hot.*")
+    rest = both.where("_hot is null").drop("_hot").join(table.where(F.col("n") <= most).drop("n"), key, how)
+    return there.unionByName(rest.select(*rows.columns, *others))
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -4,14 +4,13 @@ A document's fingerprint has a bit for each of 64 positions: set if it is set in
 document's shingles. Fingerprints that differ in at most `distance` bits are linked; the components of the links are
 the groups of near-duplicates.
 
-Equal fingerprints are one node. The index has two levels. Upper: the 64 bits are cut into BLOCKS blocks, and a node
-is entered once for each choice of BLOCKS - distance blocks, under the bits of those blocks; two nodes that differ in at
-most `distance` bits agree on at least one choice, so no link is lost, and what is left open below an entry is at most 22
-bits, which bounds a group at 2^22 distinct nodes. Lower: the nodes of a group are sorted by the Gray rank of their open
-bits, so that neighbours in the order share long bit patterns; a tree over the order keeps in each node the bits that
-everything below it shares, and a search accumulates a query's differences from them on the way down and prunes whole
-groups once they exceed the distance. A node has few neighbours within the distance among the open bits (at most
-253), so links grow with the rows, and of each group only a spanning forest is passed on.
+Equal fingerprints are one node. The index is one hierarchy over the codes sorted by Gray rank, in which neighbours share long
+bit patterns. Its upper nodes are the runs of that order which share their leading bits: as many bits as it takes for no run to
+hold more than NODE codes, whatever their number. A code goes down to every upper node from whose bits it differs in at
+most `distance`; all others are pruned unseen. (Of two runs, codes of the later one go to the earlier; so a code goes to about
+half of 1 + d + d(d-1)/2 runs at depth d.) Below, a tree over a run keeps in each node the bits that everything below it
+shares; a search accumulates a query's differences from them on the way down and prunes whole groups once they exceed the
+distance. A task holds one run, whose visitors stream past in batches; of each, only a spanning forest is passed on.
 
 Null and empty texts have the fingerprint zero and are linked like any other; a null doc_id never represents a group;
 repeated rows are repeated in the result.
@@ -25,13 +24,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialise, offsets, texts
+from .common import documents, join_hot, map_batches, materialise, offsets, small_batches, texts
 from .graph import components
 
-BLOCKS, DISTANCE, SHINGLE, SEED, FAN = 6, 2, 3, 42, 4
+DISTANCE, SHINGLE, SEED, FAN, CHUNK = 2, 3, 42, 4, 2048
+#: Codes below an upper node at most, and how many leading bits upper nodes have at most.
+NODE, DEEPEST = 1 << 14, 28
 
 
 def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -67,13 +68,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(documents(docs), run, "doc_id long, fp long")
 
 
-def masks(distance: int = DISTANCE) -> list[int]:
-    """The bits held equal by each entry of the upper level, as signed longs."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [int(np.uint64(sum(c)).view(np.int64)) for c in combinations(block, BLOCKS - distance)]
-
-
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The position of each code in the reflected Gray order."""
     out = x.copy()
@@ -109,62 +103,107 @@ class GrayTree:
         return q, self.order[node]
 
 
-def forest(codes: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, least id of its part) of the members that links within the group join to a smaller id."""
-    if len(codes) == 2:
-        near = int(codes[0] ^ codes[1]).bit_count() <= distance
-        return (ids.max(keepdims=True), ids.min(keepdims=True)) if near else (ids[:0], ids[:0])
-    tree, label = GrayTree(codes), ids.copy()
-    pairs = [tree.within(codes[i : i + 2048], distance) for i in range(0, len(codes), 2048)]
-    a = np.concatenate([q + 2048 * i for i, (q, _) in enumerate(pairs)])
-    b = np.concatenate([n for _, n in pairs])
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place of each place's part, after the parts of a[i] and b[i] have become one."""
     while True:
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        if (new == label).all():
-            break
-        label = new
-    return ids[label < ids], label[label < ids]
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def forest(codes: np.ndarray, ids: np.ndarray, distance: int, tree: GrayTree) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its part) of what links between these codes and those of the tree join to a smaller id.
+
+    ids: of the tree's codes, then of these. Few queries search at a time, and their links are united before the next.
+    """
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    label, first = np.arange(len(ids)), len(ids) - len(codes)
+    for i in range(0, len(codes), CHUNK):
+        q, near = tree.within(codes[i : i + CHUNK], distance)
+        label = unite(label, place[first + i + q], place[near])
+    moved = np.flatnonzero(label < np.arange(len(ids)))
+    return ids[order[moved]], ids[order[label[moved]]]
+
+
+def flips(depth: int, distance: int) -> list[int]:
+    """All codes of `depth` bits with at most `distance` set."""
+    return [sum(1 << b for b in c) for k in range(min(depth, distance) + 1) for c in combinations(range(depth), k)]
+
+
+def prefix(fp: str | Column, depth: int) -> Column:
+    return F.shiftrightunsigned(fp, 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def upper_depth(nodes: DataFrame) -> int:
+    """The least depth, by steps of two, at which no upper node covers more than NODE codes; DEEPEST at most."""
+    n = nodes.count()
+    depth = max(0, (n // NODE).bit_length())
+    while depth < DEEPEST and nodes.groupBy(prefix("fp", depth).alias("k")).count().agg(F.max("count")).first()[0] > NODE:
+        depth += 2
+    return min(depth, DEEPEST)
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """nodes: fp, rep (distinct fingerprints and the least doc_id of each). Links (a, b) between reps that span all groups."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(distance))])
-    entries = nodes.where("rep is not null").select(F.explode(keys).alias("k"), "fp", "rep")
+    nodes = nodes.where("rep is not null")
+    depth = upper_depth(nodes)
+    # the upper nodes a code may have a partner below: its differences from their bits are within the distance. Of two codes
+    # the one with the larger prefix goes to the other's node.
+    at = F.explode(F.array(*[prefix("fp", depth).bitwiseXOR(F.lit(x).cast("long")) for x in flips(depth, distance)])).alias("k")
+    entries = nodes.select(at, "fp", "rep").withColumn("visits", F.col("k") < prefix("fp", depth)).where(F.col("k") <= prefix("fp", depth))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
-
-        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            k = t.column("k").to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])) if len(k) else np.zeros(1, np.int64)
-            fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i in np.flatnonzero(np.diff(cut) > 1):
-                x, y = forest(fp[cut[i] : cut[i + 1]], rep[cut[i] : cut[i + 1]], distance)
-                a.append(x), b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        now, members, tree, own = None, [], None, np.zeros(0, np.int64)
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([carry, t]) if carry is not None else t
-            k = t.column("k").to_numpy()
-            last = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            yield from found(t.slice(0, last))
-            carry = t.slice(last)
-        if carry is not None:
-            yield from found(carry)
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            """The members of an upper node are all there: the tree over them, and the links among them."""
+            nonlocal tree, own, members
+            codes, own = (np.concatenate(x) for x in zip(*members, strict=True))
+            members, tree = [], GrayTree(codes)
+            yield out(*forest(codes, np.concatenate([own, own]), distance, tree))
 
-    return entries.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            k, fp, rep, visits = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "fp", "rep", "visits"))
+            if not len(k):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (visits[1:] != visits[:-1]), [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if k[a] != now:
+                    if members:
+                        yield from closed()
+                    now, members, tree = k[a], [], None
+                if not visits[a]:
+                    members.append((fp[a:b].view(np.uint64), rep[a:b]))
+                    continue
+                if members:
+                    yield from closed()
+                if tree is not None:
+                    yield out(*forest(fp[a:b].view(np.uint64), np.concatenate([own, rep[a:b]]), distance, tree))
+        if members:
+            yield from closed()
+
+    small_batches(nodes.sparkSession)
+    return entries.repartition("k").sortWithinPartitions("k", "visits").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable) for each document."""
     fps = materialise(fingerprints(docs))
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes, distance))
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    found = components(links(nodes.select("fp", "rep"), distance))
+    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_hot(fps, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def op2(docs: DataFrame) -> DataFrame:
