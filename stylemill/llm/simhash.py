@@ -6,7 +6,7 @@ the groups of near-duplicates.
 
 Equal fingerprints are one node. The index is one hierarchy over the codes sorted by Gray rank, in which neighbours share long
 bit patterns. Its upper nodes are the runs of that order which share their leading bits: as many bits as it takes for no run to
-hold more than NODE codes, whatever their number. A code goes down to every upper node from whose bits it differs in at
+hold more than NODE codes, whatever their number, and DEPTH at least. A code goes down to every upper node from whose bits it differs in at
 most `distance`; all others are pruned unseen. (Of two runs, codes of the later one go to the earlier; so a code goes to about
 half of 1 + d + d(d-1)/2 runs at depth d.) Below, a tree over a run keeps in each node the bits that everything below it
 shares; a search accumulates a query's differences from them on the way down and prunes whole groups once they exceed the
@@ -31,8 +31,8 @@ from .common import documents, join_hot, map_batches, materialise, offsets, smal
 from .graph import components
 
 DISTANCE, SHINGLE, SEED, FAN, CHUNK = 2, 3, 42, 4, 2048
-#: Codes below an upper node at most, and how many leading bits upper nodes have at most.
-NODE, DEEPEST = 1 << 14, 28
+#: Leading bits of the upper nodes, at least and at most, and how many codes one has below it before they get more.
+DEPTH, DEEPEST, NODE = 6, 28, 1 << 18
 
 
 def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -142,12 +142,11 @@ def prefix(fp: str | Column, depth: int) -> Column:
 
 
 def upper_depth(nodes: DataFrame) -> int:
-    """The least depth, by steps of two, at which no upper node covers more than NODE codes; DEEPEST at most."""
-    n = nodes.count()
-    depth = max(0, (n // NODE).bit_length())
-    while depth < DEEPEST and nodes.groupBy(prefix("fp", depth).alias("k")).count().agg(F.max("count")).first()[0] > NODE:
+    """The least depth from DEPTH on, by steps of two, at which no upper node covers more than NODE codes; DEEPEST at most."""
+    depth = DEPTH
+    while depth < DEEPEST and (nodes.groupBy(prefix("fp", depth).alias("k")).count().agg(F.max("count")).first()[0] or 0) > NODE:
         depth += 2
-    return min(depth, DEEPEST)
+    return depth
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:

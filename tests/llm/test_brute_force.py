@@ -89,13 +89,14 @@ def test_gray_tree_finds_all_pairs():
 def test_links_through_upper_nodes_find_all_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "NODE", 8)
     monkeypatch.setattr(simhash, "CHUNK", 5)
+    monkeypatch.setattr(simhash, "DEPTH", 2)
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 60).astype(np.uint64)
     codes = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(6)]))
     codes = np.concatenate([codes, codes[:1] ^ np.uint64(7)])
     ids = rng.permutation(len(codes))
     nodes = spark.createDataFrame([(int(c.view(np.int64)), int(i)) for c, i in zip(codes, ids, strict=True)], "fp long, rep long")
-    assert simhash.upper_depth(nodes) >= 6
+    assert simhash.upper_depth(nodes) > simhash.DEPTH
     near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
     label = ids.copy()
     while (label != (new := np.where(near, label[None, :], 1 << 30).min(1))).any():
