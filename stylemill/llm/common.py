@@ -106,14 +106,14 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
-def rolling(word_hashes: np.ndarray, n: int) -> np.ndarray:
+def rolling(word_hashes: np.ndarray, n: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """64-bit hashes of all n-word windows from the words' hashes: a polynomial, then a mix of its bits."""
     if len(word_hashes) < n:
         return np.zeros(0, np.uint64)
     m = len(word_hashes) - n + 1
     out = np.zeros(m, np.uint64)
     for k in range(n):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= np.uint64(factor)
         out += word_hashes[k : k + m]
     return mix(out)
 

@@ -1,10 +1,13 @@
-"""Packed exchanges between batches of documents and parts of a key space.
+"""Lookups of many keys for each document, with the keys of a batch of documents in one row for each part of the key space.
 
 Looking up something for each word of a corpus would shuffle a row for each word. Instead a task gathers documents into
-batches of about a million words, sends each part of the key space one blob of the batch's distinct keys (sorted, as
-differences, compressed: about three bytes a key), and gets one blob back. The batch's own rows travel beside them,
-compressed, so whoever gets the answers has the texts at hand. A key occurs once for each batch, however often it occurs
-in the corpus, so frequent keys load no part more than others.
+batches of about 4 MB, and sends each part of the key space one row with the batch's distinct keys (sorted, as differences,
+compressed), and gets one row back. The batch's own rows travel beside them, compressed, so whoever gets the answers has the
+texts at hand. A key occurs once for each batch, however often it occurs in the corpus, so frequent keys load no part
+more than others. A batch never has more of these rows than it has distinct keys.
+
+The parts follow the input: as many as shuffle partitions, or one for each PART_BYTES of text where that is more, so that
+what a task holds of one part does not grow with the corpus. Each part and each batch has a partition of its own number.
 
 Rows of an exchange: p (the part, or the batch's number where the row is for a batch), batch, kind, data.
 """
@@ -17,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches, tidy
 
+#: Bytes of text whose keys are one part.
+PART_BYTES = 64 << 20
 SCHEMA = "p long, batch long, kind string, data binary"
 _NAMES = ["p", "batch", "kind", "data"]
 _ZSTD = zstandard.ZstdCompressor(level=1)
@@ -89,18 +94,23 @@ def gather(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -
 
 
 def batch_key(number: int) -> int:
-    """The number of a task's batch as a hash of the task's partition and the number, the same if the task runs again."""
-    return int(np.uint64(xxhash.xxh64_intdigest(f"{TaskContext.get().partitionId()} {number}")).view(np.int64))
+    """The number of a task's batch: the task's partition and the place there, the same if the task runs again."""
+    return (number << 32) + TaskContext.get().partitionId()
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each of some 64-bit hashes, by its upper bits."""
+    return (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
 
 
-def part_bounds(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The part of each of some 64-bit hashes, by its upper bits: an order of the keys and where each part begins in it."""
-    part = (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)
-    order = np.lexsort((keys, part))
-    return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """(part, where its keys are) of sorted keys."""
+    cut = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+    for p in np.flatnonzero(np.diff(cut)):
+        yield int(p), slice(int(cut[p]), int(cut[p + 1]))
 
 
-def by_key(df: DataFrame, key: str, fn: Callable[[int, list[tuple[int, str, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def by_key(df: DataFrame, key: str, n_parts: int, fn: Callable[[int, list[tuple[int, str, bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn(key, its rows as (batch, kind, data)) for each value of p or batch, whose rows one task reads one key at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +126,10 @@ def by_key(df: DataFrame, key: str, fn: Callable[[int, list[tuple[int, str, byte
             yield from fn(now, held)
 
     small_batches(df.sparkSession)
-    return df.repartition(parts(df), key).sortWithinPartitions(key).mapInArrow(tidy(run), schema)
+    return df.repartitionById(n_parts, F.pmod(key, F.lit(n_parts)).cast("int")).sortWithinPartitions(key).mapInArrow(tidy(run), schema)
 
 
-def parts(df: DataFrame) -> int:
-    """As many parts of the key space as the session has shuffle partitions."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def parts(docs: DataFrame) -> int:
+    """The number of parts for the texts of these documents."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))

@@ -1,17 +1,23 @@
 """LM scoring by Katz backoff with Good-Turing discounts and exactly normalised backoff weights.
 
-Tokens are a text's words (A-Z lower-cased) and one end. P(v | u) recurses from bigrams to unigrams to words: the HEAD most
-frequent training words are classes of their own, all others form one class, so that a bigram is an exact small number;
-within that class a word, and everything unknown, has its share of the smoothed unigram distribution.
+Tokens are a text's words (A-Z lower-cased) and one end; every word of the training documents is a history and a successor of
+its own, known by 63 bits of its hash. P(v | u) recurses from bigrams to smoothed unigrams:
 
-    P(v | u) = d(c) c(u, v) / c(u)            if the class bigram was seen c times in training, d(c) = 1 for c > 5
-             = alpha(u) P(class of v)         else, alpha(u) spreading exactly what the discounts freed
-             x P(v) / P(class of v)           for words without a class of their own
+    P(v | u) = d(c) c(u, v) / c(u)   if the bigram was seen c times in training; d(c) = 1 for c > 5
+             = alpha(u) P(v)         else, alpha(u) spreading exactly what the discounts freed over what was not seen after u
+    P(v)     = (c(v) + 0.1) / (N + 0.1 (V + 1))
 
-Counts come from all training documents. Batches of documents send the distinct class bigrams and rare words they hold,
-with their counts, to the part of the key space each belongs to (exchange.py); a part adds up the table of its n-grams
-and answers each batch with the totals. Only what is bounded by HEAD is collected and broadcast: the head's counts, the
-counts of counts up to 6 and one backoff weight for each class.
+A history all of whose bigrams are frequent frees nothing; one more count is made room for there, c(u) + 1. A history that was
+never seen has alpha 1.
+
+Counts come from all training documents, and nothing of theirs is collected or broadcast but N, V and the counts of counts. They
+stay in tables partitioned by key, which batches of documents look up (exchange.py):
+
+1. Each batch sends its distinct words and bigrams, with their training counts here, to the parts they belong to. A part adds up
+   its table of n-grams and answers each batch with the totals. One batch of those with a bigram is told that it leads for it.
+2. With the totals at hand, a batch scores all tokens but for what backoff weights decide, and sends the parts of its histories
+   what the bigrams it leads for add to them: the counts of the successors, and how many have counts of 1 to 5. A part adds them
+   up by history, which are the backoff weights, and answers those who asked: the batches with unseen bigrams.
 
 Null texts are empty: their score is that of the end alone. A null doc_id counts as held out; repeated rows of training
 documents are counted as often as they occur. Batches follow the order of rows, so the input should be a stored table.
@@ -20,9 +26,7 @@ documents are counted as often as they occur. Batches follow the order of rows,
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,230 +35,181 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, map_batches, materialise, mix, offsets, segment_sum, texts
-from .exchange import SCHEMA, batch_key, by_key, gather, pack, pack_rows, part_bounds, parts, rows, unpack, unpack_rows
-
-HEAD, CUTOFF, DELTA, BATCH_BYTES = 1 << 16, 5, 0.1, 4_000_000
-END, RARE = b" ", 0  # no word is a space
-_TAIL = np.uint64(1 << 63)
-
+from .exchange import SCHEMA, batch_key, by_key, by_part, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) >> 1
-
-
-def in_training(ids: list, folds: int) -> np.ndarray:
-    return np.array([x is not None and zlib.crc32(str(x).encode()) % folds != 0 for x in ids], bool)
+CUTOFF, DELTA, BATCH_BYTES = 5, 0.1, 4_000_000
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_ONE = np.uint64(1)
 
 
-def unigrams(docs: DataFrame, folds: int) -> DataFrame:
-    """h, n: the training count of each word, by its hash."""
+def word_key(word: bytes) -> int:
+    """Keys of words are odd, those of bigrams even."""
+    return xxhash.xxh64_intdigest(word) | 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(map(word_hash, counts), pa.int64()), pa.array(counts.values(), pa.int64())], names=["h", "n"])
-            counts.clear()
-            return out
+#: No word holds a space.
+END, START = np.uint64(word_key(b" ")), np.uint64(word_key(b"  "))
 
-        for batch in batches:
-            train = in_training(batch.column("doc_id").to_pylist(), folds)
-            for t in (t for t, own in zip(texts(batch), train, strict=True) if own):
-                counts.update(t.lower().split())
-                counts[END] += 1
-                if len(counts) > 300_000:
-                    yield flush()
-        yield flush()
 
-    return map_batches(documents(docs), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def in_training(ids: list, folds: int) -> np.ndarray:
+    return np.array([x is not None and zlib.crc32(str(x).encode()) % folds != 0 for x in ids], bool)
 
 
-@dataclass
-class Head:
-    """The class and count of each frequent word; training tokens and distinct words."""
+class Tokens:
+    """The tokens of a batch, laid end to end, and the distinct keys of their words and bigrams."""
 
-    classes: dict[int, int]
-    counts: np.ndarray  # by class; [RARE] is 0
-    tokens: int
-    types: int
+    def __init__(self, batch: pa.RecordBatch, folds: int, memo: Memo):
+        split = [t.lower().split() for t in texts(batch)]
+        end = np.array([END], np.uint64)
+        code = np.concatenate([np.zeros(0, np.uint64), *(x for w in split for x in (np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)), end))])
+        self.bounds, n = offsets([len(w) + 1 for w in split]), len(code)
+        self.before = np.concatenate([code[:0], [START], code[:-1]])[:n].astype(np.uint64)  # the history of each token
+        self.before[self.bounds[:-1]] = START
+        bigram = mix(self.before * np.uint64(0x9E3779B97F4A7C15) + code) & ~_ONE
+        self.train = in_training(batch.column("doc_id").to_pylist(), folds)
+        own = np.repeat(self.train, np.diff(self.bounds))
+        self.keys, self.first, place = np.unique(np.concatenate([bigram, code]), return_index=True, return_inverse=True)
+        self.bigram, self.word = place[:n], place[n:]
+        self.history = np.concatenate([[0], self.word[:-1]])[:n]  # the place of the history's word; of the start, that of an end, as frequent
+        self.history[self.bounds[:-1]] = self.word[self.bounds[1:] - 1]
+        self.counts = np.bincount(place, np.concatenate([own, own]), len(self.keys)).astype(np.int64)
 
-    def __post_init__(self):
-        self.total = self.tokens + DELTA * (self.types + 1)
-        self.prior = (self.counts + DELTA) / self.total
-        self.prior[RARE] = (self.tokens - self.counts.sum() + DELTA * (self.types + 1 - len(self.classes))) / self.total
 
+def requests(docs: DataFrame, folds: int, n_parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(word_key, 200_000)
+        for number, batch in enumerate(gather(batches, BATCH_BYTES)):
+            t, key = Tokens(batch, folds, memo), batch_key(number)
+            yield rows([(key, key, "rows", pack_rows(batch)), *((p, key, "need", pack(t.keys[i], t.counts[i])) for p, i in by_part(t.keys, n_parts))])
 
-def head(table: DataFrame, most: int) -> Head:
-    """The most frequent words, as many whole steps of frequency as fit into `most`; found by a histogram of the counts."""
-    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(1024 + F.floor(F.log2(F.col("n") / 1024) * 256)).alias("step")
-    hist = sorted((r.step, r.types, r.tokens) for r in table.groupBy(step).agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).collect())
-    least, size = None, 0
-    for s, types, _ in reversed(hist):
-        if size + types > most:
-            break
-        least, size = s, size + types
-    chosen = sorted(((-r.n, r.h) for r in table.where(step >= least).collect())) if least is not None else []
-    return Head({h: i + 1 for i, (_, h) in enumerate(chosen)}, np.array([0.0] + [-float(n) for n, _ in chosen]), sum(x[2] for x in hist), sum(x[1] for x in hist))
+    return map_batches(docs, run, SCHEMA)
 
 
-class Tokens:
-    """The tokens of a batch, laid end to end: classes, histories, and the keys whose counts are needed."""
+def totals(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Adds up a part's table of n-grams; answers each batch with twice the total of each key, plus one if it leads for it."""
+    got = sorted((b, *unpack(d)) for b, kind, d in held if kind == "need")
+    for b, kind, d in held:
+        if kind != "need":
+            yield rows([(p, b, kind, d)])
+    if not got:
+        return
+    keys, first, inverse = np.unique(np.concatenate([k for _, k, _ in got]), return_index=True, return_inverse=True)
+    n = np.bincount(inverse, np.concatenate([c for _, _, c in got]), len(keys)).astype(np.int64)
+    answer = 2 * n[inverse]
+    answer[first] += 1
+    at = offsets([len(k) for _, k, _ in got])
+    yield rows([(p, b, "count", pack(np.array([p], np.int64), answer[at[i] : at[i + 1]])) for i, (b, _, _) in enumerate(got)])
+    word = keys & _ONE == 1
+    yield rows([(p, 0, "total", pack(np.array([n[word].sum(), (n[word] > 0).sum(), *((n[~word] == r).sum() for r in range(1, CUTOFF + 2))], np.int64)))])
 
-    def __init__(self, batch: pa.RecordBatch, model: Head, folds: int, memo: Memo | None = None):
-        memo = memo if memo is not None else coder(model)
-        split = [t.lower().split() for t in texts(batch)]
-        end = np.array([memo[END]], np.uint64)
-        code = [x for w in split for x in (np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)), end)]
-        self.bounds = offsets([len(w) + 1 for w in split])
-        code = np.concatenate([np.zeros(0, np.uint64), *code])
-        self.rare = code >= _TAIL
-        self.cls = np.where(self.rare, RARE, code).astype(np.int64)
-        self.before = np.concatenate([[0], self.cls[:-1]]) if len(code) else self.cls
-        self.before[self.bounds[:-1]] = len(model.counts)  # the start has the next class
-        self.bigram = (self.before * (len(model.counts) + 1) + self.cls).astype(np.uint64)
-        self.tail = code[self.rare]
-        self.train = in_training(batch.column("doc_id").to_pylist(), folds)
-        own = np.repeat(self.train, np.diff(self.bounds))
-        # all distinct keys, the place of each bigram and each rare word among them, and their training counts here
-        self.keys, place = np.unique(np.concatenate([self.bigram, self.tail]), return_inverse=True)
-        self.place, self.tail_place = place[: len(code)], place[len(code) :]
-        self.counts = np.bincount(place, np.concatenate([own, own[self.rare]]), len(self.keys)).astype(np.uint32)
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Good-Turing discounts, Katz's way, from the counts of counts n[1..CUTOFF+1]; where they aren't in (0, 1), (r - 1/2) / r."""
+    d = np.ones(CUTOFF + 2)
+    common = (CUTOFF + 1) * n[CUTOFF + 1] / n[1] if n[1] else 1.0
+    for r in range(1, CUTOFF + 1):
+        x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
+        d[r] = x if 0 < x < 1 else (r - 0.5) / r
+    return d
 
-def coder(model: Head) -> Memo:
-    """A word's class, or its hash with the upper bit set."""
 
-    def code(word: bytes) -> int:
-        h = word_hash(word)
-        return model.classes.get(h) or h | 1 << 63
+class Model:
+    """What is known of the whole corpus: N, V and the discounts."""
 
-    return Memo(code, 200_000)
+    def __init__(self, tokens: int, types: int, counts_of_counts: list[int]):
+        self.tokens, self.types = tokens, types
+        self.total = tokens + DELTA * (types + 1)
+        self.discount = discounts(np.array([0.0, *counts_of_counts]))
 
+    def share(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of (freed counts / unseen mass) of each history, and whether it has to make room for one more count.
 
-def requests(docs: DataFrame, model, folds: int, n_parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = coder(model.value)
-        for number, batch in enumerate(gather(batches, BATCH_BYTES)):
-            t, key = Tokens(batch, model.value, folds, memo), batch_key(number)
-            out = [(key, key, "rows", pack_rows(batch))]
-            for p, i in by_part(t.keys, n_parts):
-                out.append((p, key, "need", pack(t.keys[i], t.counts[i])))
-            yield rows(out)
+        sums: for each history the training counts of what was seen after it, how many words that is, how many bigrams have counts 1 to CUTOFF.
+        """
+        freed = sum(sums[:, 1 + r] * r * (1 - self.discount[r]) for r in range(1, CUTOFF + 1))
+        room = sums[:, 2:].sum(1) == 0
+        unseen = (self.tokens - sums[:, 0] + DELTA * (self.types + 1 - sums[:, 1])) / self.total
+        return np.log10(np.where(room, 1.0, freed) / unseen), room
 
-    return map_batches(docs, run, SCHEMA)
 
+def first_scores(model: Model, folds: int, n_parts: int):
+    def run(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+        key = held[0][0]
+        batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
+        t = Tokens(batch, folds, Memo(word_key, 200_000))
+        answers = {int(x[0][0]): x[1] for _, kind, d in held if kind == "count" for x in [unpack(d)]}
+        n = np.concatenate([np.zeros(0, np.int64), *(answers[p] for p, _ in by_part(t.keys, n_parts))])
+        leads, n = n & 1 == 1, n >> 1
+        c, cw, cu = n[t.bigram], n[t.word], n[t.history]
+        word, seen = np.log10((cw + DELTA) / model.total), c > 0
+        x = np.where(seen, np.log10(model.discount[np.minimum(c, CUTOFF + 1)] * np.maximum(c, 1)), word)
+        # a history with a bigram of a count up to CUTOFF frees something; of the others, and where a bigram is new, its part knows
+        history = np.where(t.before == START, len(n), t.history)
+        frees = np.bincount(history, seen & (c <= CUTOFF), len(n) + 1) > 0
+        pending = np.flatnonzero((cu > 0) & ~(seen & frees[history]))
+        x -= np.where(seen & frees[history], np.log10(np.maximum(cu, 1)), 0.0)
+        ask, first, place = np.unique(t.before[pending], return_index=True, return_inverse=True)
+        size, per = np.diff(t.bounds), lambda v: segment_sum(v, t.bounds)
+        doc = np.repeat(np.arange(len(size)), size)
+        state = pa.RecordBatch.from_arrays(
+            [batch.column("doc_id").cast(pa.int64()), pa.array(~t.train), pa.array(size), pa.array(per((cw > 0).astype(float)).round().astype(np.int64)), pa.array(np.full(len(size), model.tokens, np.int64)), pa.array(per(word)), pa.array(per(x))],
+            names=[f.split()[0] for f in RESULT.split(", ")],
+        )
+        out = [(key, key, "state", pack_rows(state)), (key, key, "pending", pack(doc[pending].astype(np.int32), place.astype(np.int32), seen[pending].astype(np.uint8), cu[pending][first]))]
+        led = t.first[(t.keys & _ONE == 0) & leads & (n > 0)]  # a token with each bigram that this batch leads for
+        own, inverse = np.unique(t.before[led], return_inverse=True)
+        sums = [np.bincount(inverse, w, len(own)).astype(np.int64) for w in (cw[led], np.ones(len(led)), *(c[led] == r for r in range(1, CUTOFF + 1)))]
+        out += [(p, key, "history", pack(own[i], *(s[i] for s in sums))) for p, i in by_part(own, n_parts)]
+        out += [(p, key, "ask", pack(ask[i])) for p, i in by_part(ask, n_parts)]
+        yield rows(out)
 
-def by_part(keys: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places of its keys in ascending order) of sorted keys."""
-    order, cut = part_bounds(mix(keys), n_parts)
-    for p in np.flatnonzero(np.diff(cut)):
-        yield int(p), np.sort(order[cut[p] : cut[p + 1]])
+    return run
 
 
-def totals(model):
+def backoff_weights(model: Model):
     def run(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
-        """Adds up a part's table of n-grams; answers each batch; and sums what each history's backoff weight needs."""
-        got = [(b, *unpack(d)) for b, kind, d in held if kind == "need"]
+        """Adds up a part's histories; answers each batch that asked with their weights."""
         for b, kind, d in held:
-            if kind != "need":
+            if kind not in ("history", "ask"):
                 yield rows([(p, b, kind, d)])
-        if not got:
-            return
-        size = len(model.value.counts) + 1
-        keys, inverse = np.unique(np.concatenate([k for _, k, _ in got]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([c for _, _, c in got]), len(keys)).astype(np.uint32)
-        at = offsets([len(k) for _, k, _ in got])
-        yield rows([(p, b, "count", pack(np.array([p], np.int64), n[inverse[at[i] : at[i + 1]]])) for i, (b, _, _) in enumerate(got)])
-        seen = (keys < _TAIL) & (n > 0)
-        u, v, c = keys[seen] // np.uint64(size), (keys[seen] % np.uint64(size)).astype(np.int64), n[seen]
-        own, place = np.unique(u, return_inverse=True)
-        sums = [np.bincount(place, w, len(own)) for w in (c, model.value.prior[v], *(c == r for r in range(1, CUTOFF + 2)))]
-        if len(own):
-            yield rows([(p, 0, "history", pack(own, *(x.astype(np.float64) for x in sums)))])
+        got = [unpack(d) for _, kind, d in held if kind == "history"]
+        asked = [(b, *unpack(d)) for b, kind, d in held if kind == "ask"]
+        if asked:
+            keys, inverse = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            sums = np.stack([np.bincount(inverse, np.concatenate([g[k] for g in got]), len(keys)) for k in range(1, CUTOFF + 3)], axis=1)
+            share, room = model.share(sums)
+            at = [np.searchsorted(keys, k) for _, k in asked]
+            yield rows([(p, b, "weight", pack(np.array([p], np.int64), share[i], room[i].astype(np.uint8))) for (b, _), i in zip(asked, at, strict=True)])
 
     return run
 
 
-@dataclass
-class Backoff:
-    """d by count up to CUTOFF; for each history what its counts are divided by, and log10 of its backoff weight."""
-
-    discount: np.ndarray
-    divisor: np.ndarray
-    log_alpha: np.ndarray
+def last_scores(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    state = unpack_rows(next(d for _, kind, d in held if kind == "state"))
+    doc, place, seen, count = unpack(next(d for _, kind, d in held if kind == "pending"))
+    if len(doc):
+        answers = sorted(((int(x[0][0]), x[1], x[2]) for _, kind, d in held if kind == "weight" for x in [unpack(d)]), key=lambda x: x[0])
+        share, room = (np.concatenate([x[k] for x in answers]) for k in (1, 2))
+        weight = np.where(seen > 0, 0.0, share[place]) - np.log10(count + room)[place]
+        score = state.column("score").to_numpy() + np.bincount(doc, weight, state.num_rows)
+        state = state.set_column(state.schema.get_field_index("score"), "score", pa.array(score))
+    yield state
 
-    def log10(self, u: np.ndarray, count: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """log10 P(class v | class u) from the bigram's count and the class's prior."""
-        d = self.discount[np.minimum(count, CUTOFF + 1)]
-        with np.errstate(divide="ignore"):
-            return np.where(count > 0, np.log10(np.maximum(d * count, 1e-300) / self.divisor[u]), self.log_alpha[u] + np.log10(prior))
 
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Good-Turing discounts, Katz's way, from the counts of counts n[1..CUTOFF+1]; where they aren't in (0, 1), (r - 1/2) / r."""
-    d = np.ones(CUTOFF + 2)
-    common = (CUTOFF + 1) * n[CUTOFF + 1] / n[1] if n[1] else 1.0
-    for r in range(1, CUTOFF + 1):
-        x = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
-        d[r] = x if 0 < x < 1 else (r - 0.5) / r
-    return d
-
-
-def backoff(sums: np.ndarray, n: np.ndarray) -> Backoff:
-    """sums: for each history its count, the prior of what was seen after it, and how many bigrams have counts 1 to CUTOFF."""
-    d = discounts(n)
-    count, prior = sums[:, 0], np.minimum(sums[:, 1], 1.0)
-    freed = sum(sums[:, 1 + r] * r * (1 - d[r]) for r in range(1, CUTOFF + 1))
-    open_ = 1 - prior > 1e-9
-    divisor = np.where(count > 0, count, 1.0)
-    # without a discounted count, one more is made room for; with nothing unseen, the seen share everything
-    extra = open_ & (freed <= 0) & (count > 0)
-    divisor = np.where(extra, count + 1, divisor)
-    divisor = np.where(~open_ & (count > 0), count - freed, divisor)
-    left = np.where(extra, 1 / divisor, freed / divisor)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        alpha = np.where(count > 0, np.where(open_, left / (1 - prior), 0.0), 1.0)
-        return Backoff(d, divisor, np.log10(alpha))
-
-
-def score(docs: DataFrame, folds: int = 10, most: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document."""
     docs = documents(docs)
-    sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(head(materialise(unigrams(docs, folds)), most))  # at most `most` words
-    n_parts, tokens = parts(docs), model.value.tokens
-    table = materialise(by_key(requests(docs, model, folds, n_parts), "p", totals(model), SCHEMA))
-    columns = ["c", "prior", *(f"n{r}" for r in range(1, CUTOFF + 2))]
+    n_parts = parts(docs)
+    table = materialise(by_key(requests(docs, folds, n_parts), "p", n_parts, totals, SCHEMA))
+    names = ["tokens", "types", *(f"n{r}" for r in range(1, CUTOFF + 2))]
 
-    def histories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d in b.column("data").to_pylist():
-                u, *x = unpack(d)
-                yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), *map(pa.array, x)], names=["u", *columns])
-
-    summed = table.where("kind = 'history'").mapInArrow(histories, "u long, " + ", ".join(f"{c} double" for c in columns)).groupBy("u").agg(*[F.sum(c).alias(c) for c in columns])
-    sums = np.zeros((len(model.value.counts) + 1, len(columns)))
-    for r in summed.collect():  # a row for each class
-        sums[r.u] = r[1:]
-    weights = sc.broadcast(backoff(sums, np.concatenate([[0.0], sums[:, 2:].sum(0)])))
-
-    def finish(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
-        m, w = model.value, weights.value
-        batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
-        t = Tokens(batch, m, folds)
-        answers = {int(x[0][0]): x[1] for _, kind, d in held if kind == "count" for x in [unpack(d)]}
-        n = np.zeros(len(t.keys), np.int64)
-        for p, i in by_part(t.keys, n_parts):
-            n[i] = answers[p]
-        count = m.counts[t.cls]
-        count[t.rare] = n[t.tail_place]
-        word = np.log10((count + DELTA) / m.total)
-        logs = w.log10(t.before, n[t.place], m.prior[t.cls]) + np.where(t.rare, word - np.log10(m.prior[RARE]), 0.0)
-        per = lambda x: segment_sum(x, t.bounds)
-        size = np.diff(t.bounds)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(~t.train), pa.array(size), pa.array(per((count > 0).astype(float)).round().astype(np.int64)), pa.array(np.full(len(size), tokens, np.int64)), pa.array(per(word)), pa.array(per(logs))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in unpack(d)[0].tolist()], names=names)
 
-    return by_key(table.where("kind in ('rows', 'count')"), "batch", finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    known = table.where("kind = 'total'").mapInArrow(unpacked, ", ".join(f"{c} long" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    model = Model(known.tokens, known.types, list(known[2:]))
+    looked_up = by_key(table.where("kind in ('rows', 'count')"), "batch", n_parts, first_scores(model, folds, n_parts), SCHEMA)
+    weighed = by_key(looked_up, "p", n_parts, backoff_weights(model), SCHEMA)
+    return by_key(weighed, "batch", n_parts, last_scores, RESULT)

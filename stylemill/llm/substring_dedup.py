@@ -7,11 +7,12 @@ document is cut into blocks of 7 that don't overlap. So:
 1. Each batch of documents indexes its blocks and probes with every rolling 7-word window: both are sent, as distinct
    hashes, to the part of the key space they belong to (see exchange.py), which answers with those that are a block
    somewhere and occur in two batches or more. What meets within one batch is found there.
-2. Hits are extended: every 13-word window with a hit among its seven 7-word windows is looked up by its own hash; the
+2. Hits are extended: every 13-word window with a hit among its seven 7-word windows is looked up by its own hashes; the
    part it belongs to knows the least doc_id of each batch, and answers which windows start in a smaller one elsewhere.
    Windows that overlap make up the maximal exact repeats; their words go.
 
-Hashes of the first step (32 bits and the part) only choose candidates. Those of the second have 64 bits and the part's.
+Hashes of the first step (32 bits and the part) only choose candidates. Those of the second decide: 96 bits, of two
+polynomials over the words' 64-bit hashes, which leave a chance of a thousandth for one false match among 10^13 windows.
 A repeat is sent once for each batch, so passages that many documents share are no larger than others; nothing is
 capped, and no pairs of documents are made.
 
@@ -30,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, map_batches, materialise, mix, offsets, rolling, texts
-from .exchange import SCHEMA, batch_key, by_key, gather, pack, pack_rows, part_bounds, parts, rows, unpack, unpack_rows
+from .common import Memo, documents, map_batches, materialise, offsets, rolling, texts
+from .exchange import SCHEMA, batch_key, by_key, by_part, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
 
 WINDOW, BATCH_BYTES = 13, 4_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -68,12 +69,9 @@ def probes(docs: DataFrame, block: int, n_parts: int) -> DataFrame:
             w, key = Words(batch, memo), batch_key(number)
             at, h = w.windows(block)
             own, _, aligned = group_any(h, w.place[at] % block == 0)
-            order, cut = part_bounds(own, n_parts)
             out = [(key, key, "rows", pack_rows(batch))]
-            for p in np.flatnonzero(np.diff(cut)):
-                i = order[cut[p] : cut[p + 1]]
-                low = np.unique((own[i] & _LOW) << np.uint64(1) | aligned[i])
-                out.append((int(p), key, "probe", pack(low)))
+            for p, i in by_part(own, n_parts):
+                out.append((p, key, "probe", pack(np.unique((own[i] & _LOW) << np.uint64(1) | aligned[i]))))
             yield rows(out)
 
     return map_batches(docs, run, SCHEMA)
@@ -90,7 +88,7 @@ def shared_blocks(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.Rec
         keys, n = np.unique(np.concatenate(own), return_counts=True)
         block = np.unique(np.concatenate([x[x & np.uint64(1) == 1] >> np.uint64(1) for _, x in got]))
         hit = np.intersect1d(keys[n > 1], block, assume_unique=True)
-        out = [(p, b, "shared", pack(x)) for (b, _), x in zip(got, (np.intersect1d(o, hit, assume_unique=True) for o in own), strict=True) if len(x)]
+        out = [(p, b, "shared", pack(np.array([p], np.int64), x)) for (b, _), x in zip(got, (np.intersect1d(o, hit, assume_unique=True) for o in own), strict=True) if len(x)]
         if out:
             yield rows(out)
 
@@ -105,17 +103,19 @@ def least_ids(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([_LAST if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
 
 
-def group_least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the place of each row's key among them, and the least id of each."""
-    own, inverse = np.unique(keys, return_inverse=True)
-    least = np.full(len(own), _LAST)
-    np.minimum.at(least, inverse, ids)
-    return own, inverse, least
+def check(hashes: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits of each window."""
+    return (rolling(hashes, window, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    """A second hash of windows, which chooses their part."""
-    return mix(h ^ np.uint64(0x94D049BB133111EB))
+def group_least(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows in order (keys, checks), the place of each row's among them, and the least id of each."""
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])) if len(k) else np.zeros(0, np.int64)
+    inverse = np.empty(len(k), np.int64)
+    inverse[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
+    return k[first], c[first], inverse, np.minimum.reduceat(ids[order], first) if len(k) else ids[:0]
 
 
 def extend(window: int, block: int, n_parts: int, whole_rows: bool):
@@ -126,10 +126,9 @@ def extend(window: int, block: int, n_parts: int, whole_rows: bool):
         at, h = w.windows(block)
         own, n, aligned = group_any(h, w.place[at] % block == 0)
         seed = (n > 1) & aligned
-        order, cut = part_bounds(own, n_parts)
-        for p, d in parts_of(held):
-            i = order[cut[p] : cut[p + 1]]
-            seed[i] |= member(own[i] & _LOW, d)
+        at_part = dict(by_part(own, n_parts))
+        for p, d in parts_of(held, "shared"):
+            seed[at_part[p]] |= member(own[at_part[p]] & _LOW, d)
         hits = np.zeros(len(w.hashes) + 1, np.int64)
         hits[at[seed[np.searchsorted(own, h)]] + 1] = 1
         hits = np.cumsum(hits)
@@ -143,38 +142,35 @@ def extend(window: int, block: int, n_parts: int, whole_rows: bool):
             yield rows([(key, key, "done", pack_rows(finish(batch.take(pa.array(done)), [w.split[i] for i in done], None, whole_rows)))])
         if touched.any():
             ids = least_ids(batch)
-            own, _, least = group_least(h, ids[w.doc[at]])
-            order, cut = part_bounds(spread(own), n_parts)
+            own, checks, _, least = group_least(h, check(w.hashes, window)[at], ids[w.doc[at]])
             # the same places among the words of the documents that go on
             kept = offsets(np.diff(w.bounds)[touched])[np.cumsum(touched)[w.doc[at]] - 1] + w.place[at]
             out = [(key, key, "rows", pack_rows(batch.take(pa.array(np.flatnonzero(touched))))), (key, key, "places", pack(kept.astype(np.uint64)))]
-            for p in np.flatnonzero(np.diff(cut)):
-                i = np.sort(order[cut[p] : cut[p + 1]])
-                out.append((int(p), key, "window", pack(own[i], least[i])))
+            out += [(p, key, "window", pack(own[i], checks[i], least[i])) for p, i in by_part(own, n_parts)]
             yield rows(out)
 
     return run
 
 
-def parts_of(held: list[tuple[int, str, bytes]]) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, hashes) of the answers to a batch; the part leads the blob."""
+def parts_of(held: list[tuple[int, str, bytes]], answer: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its answer to a batch); the part leads the blob."""
     for _, kind, d in held:
-        if kind == "shared":
+        if kind == answer:
             p, x = unpack(d)
             yield int(p[0]), x
 
 
 def smaller_elsewhere(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """For each batch, its windows that start in a smaller doc_id in another."""
+    """For each batch, which of its windows start in a smaller doc_id in another."""
     got = [(b, *unpack(d)) for b, kind, d in held if kind == "window"]
     for b, kind, d in held:
         if kind != "window":
             yield rows([(p, b, kind, d)])
     if got:
-        keys, _, least = group_least(np.concatenate([k for _, k, _ in got]), np.concatenate([m for _, _, m in got]))
-        out = [(p, b, "smaller", pack(k[smaller])) for b, k, m in got if (smaller := least[np.searchsorted(keys, k)] < m).any()]
-        if out:
-            yield rows(out)
+        ids = np.concatenate([x[3] for x in got])
+        _, _, inverse, least = group_least(*(np.concatenate([x[k] for x in got]) for k in (1, 2)), ids)
+        smaller, at = least[inverse] < ids, offsets([len(x[1]) for x in got])
+        yield rows([(p, b, "smaller", pack(np.array([p], np.int64), smaller[at[i] : at[i + 1]].astype(np.uint8))) for i, (b, *_) in enumerate(got)])
 
 
 def finish(batch: pa.RecordBatch, split: list[list[bytes]], gone: list[np.ndarray] | None, whole_rows: bool) -> pa.RecordBatch:
@@ -193,17 +189,16 @@ def finish(batch: pa.RecordBatch, split: list[list[bytes]], gone: list[np.ndarra
     return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def cover(window: int, whole_rows: bool):
+def cover(window: int, n_parts: int, whole_rows: bool):
     def run(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
         batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
         w = Words(batch, Memo(xxhash.xxh64_intdigest, 200_000))
         at = unpack(next(d for _, kind, d in held if kind == "places"))[0].astype(np.int64)
         h, ids = rolling(w.hashes, window)[at], least_ids(batch)[w.doc[at]]
-        own, inverse, least = group_least(h, ids)
-        elsewhere = np.zeros(len(own), bool)
-        for _, kind, d in held:
-            if kind == "smaller":
-                elsewhere |= member(own, unpack(d)[0])
+        own, _, inverse, least = group_least(h, check(w.hashes, window)[at], ids)
+        elsewhere, at_part = np.zeros(len(own), bool), dict(by_part(own, n_parts))
+        for p, smaller in parts_of(held, "smaller"):
+            elsewhere[at_part[p]] = smaller > 0
         bad = at[(least[inverse] < ids) | elsewhere[inverse]]
         edge = np.zeros(len(w.hashes) + 1, np.int64)
         np.add.at(edge, bad, 1)
@@ -219,21 +214,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> Da
     docs = docs if whole_rows else documents(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if whole_rows else "doc_id long, n_words long, n_removed long, kept_sha256 string"
     block, n_parts = (window + 1) // 2, parts(docs)
-    found = by_key(probes(docs, block, n_parts), "p", _led(shared_blocks), SCHEMA)
-    table = materialise(by_key(found, "batch", extend(window, block, n_parts, whole_rows), SCHEMA))
+    found = by_key(probes(docs, block, n_parts), "p", n_parts, shared_blocks, SCHEMA)
+    table = materialise(by_key(found, "batch", n_parts, extend(window, block, n_parts, whole_rows), SCHEMA))
     done = table.where("kind = 'done'").mapInArrow(_unpacked, schema)
-    looked_up = by_key(table.where("kind <> 'done'"), "p", smaller_elsewhere, SCHEMA)
-    return done.unionByName(by_key(looked_up, "batch", cover(window, whole_rows), schema))
-
-
-def _led(fn):
-    """Puts the part before the hashes of each answer, for it is not the row's key when a batch reads it."""
-
-    def run(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
-        for b in fn(p, held):
-            yield rows([(p, batch, kind, pack(np.array([p], np.int64)) + d if kind == "shared" else d) for batch, kind, d in zip(b.column("batch").to_pylist(), b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True)])
-
-    return run
+    looked_up = by_key(table.where("kind <> 'done'"), "p", n_parts, smaller_elsewhere, SCHEMA)
+    return done.unionByName(by_key(looked_up, "batch", n_parts, cover(window, n_parts, whole_rows), schema))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -148,50 +148,47 @@ def test_exchange_round_trip():
 
 def test_katz(documents, texts, monkeypatch):
     monkeypatch.setattr(katz, "BATCH_BYTES", 60_000)
-    most = 500
     tokens = [(i, t.encode().lower().split() + [b" "]) for i, t, _ in texts]
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in tokens}
     c = collections.Counter(w for i, ws in tokens if not held[i] for w in ws)
-    total, size = sum(c.values()) + 0.1 * (len(c) + 1), 0
-    step = lambda n: n if n <= 1024 else 1024 + math.floor(math.log2(n / 1024) * 256)
-    steps = collections.Counter(map(step, c.values()))
-    for least in sorted(steps, reverse=True):
-        if size + steps[least] > most:
-            break
-        size += steps[least]
-    head = {w for w, n in c.items() if step(n) > least}
-    cls = lambda w: w if w in head else None
+    total = sum(c.values()) + 0.1 * (len(c) + 1)
     pairs = collections.Counter()
     for i, ws in tokens:
         if not held[i]:
-            pairs.update(zip(["start", *map(cls, ws)], map(cls, ws), strict=False))
+            pairs.update(zip(["start", *ws], ws, strict=False))
     n = collections.Counter(pairs.values())
     d = katz.discounts(np.array([0] + [n[r] for r in range(1, 7)]))
-    prior = {w: (c[w] + 0.1) / total for w in head}
-    prior[None] = 1 - sum(prior.values())
+    prior = {w: (m + 0.1) / total for w, m in c.items()} | {None: 0.1 / total}  # None: any unknown word
     after = collections.defaultdict(dict)
     for (u, v), m in pairs.items():
         after[u][v] = m
 
-    def p(v, u):
-        seen = after[u]
+    def history(u):
+        seen = after.get(u)
         if not seen:
-            return prior[v]
+            return 0, 1.0
         count, freed, open_ = sum(seen.values()), sum(m * (1 - d[m]) for m in seen.values() if m <= 5), 1 - sum(prior[x] for x in seen)
-        alpha = freed / count / open_
-        if freed <= 0:
-            count, alpha = count + 1, 1 / (count + 1) / open_
-        m = seen.get(v, 0)
-        return (d[m] if m <= 5 else 1) * m / count if m else alpha * prior[v]
+        return (count, freed / count / open_) if freed > 0 else (count + 1, 1 / (count + 1) / open_)
+
+    weights = {u: history(u) for u in {"start", *(w for _, ws in tokens for w in ws)}}
+
+    def p(v, u):
+        m, (count, alpha) = after.get(u, {}).get(v, 0), weights[u]
+        return (d[m] if m <= 5 else 1) * m / count if m else alpha * prior[v if v in c else None]
 
-    for u in list(after)[:40]:
+    rooms = [u for u, seen in after.items() if min(seen.values()) > 5]
+    assert rooms  # histories that free nothing
+    for u in [*list(after)[:40], *rooms[:10]]:
         assert abs(sum(p(v, u) for v in prior) - 1) < 1e-9
-    got = {r.doc_id: r for r in katz.score(documents, most=most).collect()}
+    got = {r.doc_id: r for r in katz.score(documents).collect()}
+    unseen = 0
     for i, ws in tokens:
-        r, cs = got[i], [cls(w) for w in ws]
-        score = sum(math.log10(p(v, u)) + (0 if v is not None else math.log10((c[w] + 0.1) / total / prior[None])) for w, u, v in zip(ws, ["start", *cs], cs, strict=False))
+        r, us = got[i], ["start", *ws[:-1]]
+        unseen += sum(v not in after.get(u, {}) and u in after for u, v in zip(us, ws, strict=True))
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), sum(c.values()))
-        assert abs(r.base_score - sum(math.log10((c[w] + 0.1) / total) for w in ws)) < 1e-6 and abs(r.score - score) < 1e-6
+        assert abs(r.base_score - sum(math.log10(prior[w if w in c else None]) for w in ws)) < 1e-6
+        assert abs(r.score - sum(math.log10(p(v, u)) for u, v in zip(us, ws, strict=True))) < 1e-6
+    assert unseen > 100
 
 
 def test_lattice_sums_all_segmentations():
