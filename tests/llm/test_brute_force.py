@@ -237,24 +237,73 @@ def test_decontamination(documents, benchmark, texts):
     assert exact and exact <= got and len(got - exact) <= 1
 
 
+def index_of(benchmark):
+    items = decontamination.parsed_items(benchmark)
+    return decontamination.indexes(items.collect(), decontamination.postings(items).collect())
+
+
 def test_wand_retrieves_what_exhaustive_scoring_does(benchmark, texts):
-    items = [(r.item_id, r.text) for r in benchmark.collect()]
-    index = decontamination.Index(items)
+    (index,) = index_of(benchmark)
     rng = np.random.default_rng(3)
     some = 0
     for _ in range(200):
         words = set(rng.integers(0, len(index.terms), 40).tolist()) | {index.terms[w] for w in index.items[rng.integers(len(index.items))][1] if rng.random() < 0.75}
-        scores = collections.Counter()
+        scores, bound = collections.Counter(), np.zeros(index.n_blocks)
         for t in words:
-            for i, x in zip(*index.postings[t], strict=True):
-                scores[i] += x
-        bound = index.blocks[sorted(words)].sum(0)
+            for i, x in zip(index.item[index.start[t] : index.start[t + 1]], index.share[index.start[t] : index.start[t + 1]], strict=True):
+                scores[int(i)] += x
+            for k in range(index.block_start[t], index.block_start[t + 1]):
+                bound[index.block[k]] += index.most[k]
         got = {i for i, _ in index.wand(sorted(words), set(np.flatnonzero(bound >= decontamination.RETRIEVE).tolist()))}
         assert got == {i for i, s in scores.items() if s >= decontamination.RETRIEVE}
         some += len(got)
     assert some
 
 
+def exhaustive(docs, items):
+    """(doc, item) pairs: BM25 of every passage and item over the whole benchmark, then the overlap."""
+    d = decontamination
+    items = [(i, *d.parsed(t)) for i, t in items]
+    items = [(i, q, a) for i, q, a in items if q + a]
+    df = collections.Counter(w for _, q, a in items for w in set(q + a))
+    n, mean = len(items), sum(len(q + a) for _, q, a in items) / len(items)
+    longest = collections.defaultdict(lambda: d.LEAST)
+    for _, q, a in items:
+        c = d.length_class(len(q + a))
+        longest[c] = max(longest[c], len(q + a))
+    out = set()
+    for k, (item_id, q, a) in enumerate(items):
+        impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (d.K1 + 1) / (f + d.K1 * (1 - d.B + d.B * len(q + a) / mean)) for w, f in collections.Counter(q + a).items()}
+        own, size = sum(impact.values()), longest[d.length_class(len(q + a))]
+        for doc_id, text in docs:
+            words = [x for w in text.encode().split() if (x := d.term(w))]
+            for s in range(0, max(1, len(words) - size), size):
+                p = words[s : s + 2 * size]
+                if sum(impact.get(w, 0) for w in set(p)) / own >= d.RETRIEVE:
+                    sh = d.shingles(p)
+                    if d.overlap(d.shingles(q), sh, p) >= d.OVERLAP and d.overlap(d.shingles(a), sh, p) >= d.OVERLAP or d.overlap(d.shingles(q + a), sh, p) >= d.OVERLAP:
+                        out.add((doc_id, item_id))
+    return out
+
+
+def test_decontamination_by_exhaustive_scoring(spark, documents, benchmark, texts, monkeypatch):
+    by = {i: t for i, t, _ in texts}
+    long = by[max(by, key=lambda i: len(by[i]))].split()
+    # a long item and parts of it and of others, changed here and there
+    items = [(r.item_id, r.text) for r in benchmark.collect()] + [(10_001, " ".join(long[100:700]) + ". And so it ends."), (10_002, "..."), (10_003, None)]
+    base = [t for _, t in items[:40]]
+    extra = [(100_000 + i, f"some words before {t} and after".replace(" the ", " a ")) for i, t in enumerate(base)] + [(200_000, " ".join(long[:90] + long[150:720])), (200_001, " ".join(long[100:300])), (200_002, " ".join(base))]
+    docs = [(i, t) for i, t in by.items() if i % 4 == 0] + extra
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = exhaustive(docs, items)
+    rows = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(frame, bench).collect()}
+    assert set(rows) == want and (200_000, 10_001) in want and len(want) > 40
+    # the same, whatever the size of the parts it is searched in
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 6000)
+    again = {(r.doc_id, r.item_id): r.score for r in decontamination.leaks(frame, bench).collect()}
+    assert again.keys() == rows.keys() and all(abs(again[k] - x) < 1e-9 for k, x in rows.items())
+
+
 def test_pipeline_stages_by_brute_force(spark, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES:
