@@ -2,8 +2,8 @@
 
 Looking up something for each word of a corpus would shuffle a row for each word. Instead a task gathers documents into
 batches of about 4 MB, and sends each part of the key space one row with the batch's distinct keys (sorted, as differences,
-compressed), and gets one row back. The batch's own rows travel beside them, compressed, so whoever gets the answers has the
-texts at hand. A key occurs once for each batch, however often it occurs in the corpus, so frequent keys load no part
+compressed), and gets one row back. The documents are read a second time to meet the answers: batches follow the order of rows, so
+both reads must give the same rows in the same partitions, as a stored table does. A key occurs once for each batch, however often it occurs in the corpus, so frequent keys load no part
 more than others. A batch never has more of these rows than it has distinct keys.
 
 The parts follow the input: as many as shuffle partitions, or one for each PART_BYTES of text where that is more, so that
@@ -98,6 +98,22 @@ def batch_key(number: int) -> int:
     return (number << 32) + TaskContext.get().partitionId()
 
 
+def batches_of(docs: DataFrame, most: int) -> DataFrame:
+    """The rows of each batch of documents, packed. In a union with answers it comes first, for its partitions to keep their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(gather(batches, most)):
+            key = batch_key(number)
+            yield rows([(key, key, "rows", pack_rows(batch))])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), SCHEMA)
+
+
+def changed() -> ValueError:
+    return ValueError("the documents were not the same when they were read again: store them as a table first")
+
+
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of each of some 64-bit hashes, by its upper bits."""
     return (keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)

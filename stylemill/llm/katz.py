@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, map_batches, materialise, mix, offsets, segment_sum, texts
-from .exchange import SCHEMA, batch_key, by_key, by_part, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
+from .exchange import SCHEMA, batch_key, batches_of, by_key, by_part, changed, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
 
 CUTOFF, DELTA, BATCH_BYTES = 5, 0.1, 4_000_000
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -80,19 +80,14 @@ def requests(docs: DataFrame, folds: int, n_parts: int) -> DataFrame:
         memo = Memo(word_key, 200_000)
         for number, batch in enumerate(gather(batches, BATCH_BYTES)):
             t, key = Tokens(batch, folds, memo), batch_key(number)
-            yield rows([(key, key, "rows", pack_rows(batch)), *((p, key, "need", pack(t.keys[i], t.counts[i])) for p, i in by_part(t.keys, n_parts))])
+            yield rows([(p, key, "need", pack(t.keys[i], t.counts[i])) for p, i in by_part(t.keys, n_parts)])
 
     return map_batches(docs, run, SCHEMA)
 
 
 def totals(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
     """Adds up a part's table of n-grams; answers each batch with twice the total of each key, plus one if it leads for it."""
-    got = sorted((b, *unpack(d)) for b, kind, d in held if kind == "need")
-    for b, kind, d in held:
-        if kind != "need":
-            yield rows([(p, b, kind, d)])
-    if not got:
-        return
+    got = sorted(((b, *unpack(d)) for b, _, d in held), key=lambda x: x[0])
     keys, first, inverse = np.unique(np.concatenate([k for _, k, _ in got]), return_index=True, return_inverse=True)
     n = np.bincount(inverse, np.concatenate([c for _, _, c in got]), len(keys)).astype(np.int64)
     answer = 2 * n[inverse]
@@ -135,10 +130,15 @@ class Model:
 def first_scores(model: Model, folds: int, n_parts: int):
     def run(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
         key = held[0][0]
-        batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
+        packed = next((d for _, kind, d in held if kind == "rows"), None)
+        if packed is None:
+            raise changed()
+        batch = unpack_rows(packed)
         t = Tokens(batch, folds, Memo(word_key, 200_000))
-        answers = {int(x[0][0]): x[1] for _, kind, d in held if kind == "count" for x in [unpack(d)]}
-        n = np.concatenate([np.zeros(0, np.int64), *(answers[p] for p, _ in by_part(t.keys, n_parts))])
+        answers = {-1: np.zeros(0, np.int64)} | {int(x[0][0]): x[1] for _, kind, d in held if kind == "count" for x in [unpack(d)]}
+        n = np.concatenate([np.zeros(0, np.int64), *(answers.get(p, answers[-1]) for p, _ in by_part(t.keys, n_parts))])
+        if len(n) != len(t.keys):
+            raise changed()
         leads, n = n & 1 == 1, n >> 1
         c, cw, cu = n[t.bigram], n[t.word], n[t.history]
         word, seen = np.log10((cw + DELTA) / model.total), c > 0
@@ -210,6 +210,6 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     known = table.where("kind = 'total'").mapInArrow(unpacked, ", ".join(f"{c} long" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
     model = Model(known.tokens, known.types, list(known[2:]))
-    looked_up = by_key(table.where("kind in ('rows', 'count')"), "batch", n_parts, first_scores(model, folds, n_parts), SCHEMA)
+    looked_up = by_key(batches_of(docs, BATCH_BYTES).unionByName(table.where("kind = 'count'")), "batch", n_parts, first_scores(model, folds, n_parts), SCHEMA)
     weighed = by_key(looked_up, "p", n_parts, backoff_weights(model), SCHEMA)
     return by_key(weighed, "batch", n_parts, last_scores, RESULT)

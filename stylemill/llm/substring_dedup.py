@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, map_batches, materialise, offsets, rolling, texts
-from .exchange import SCHEMA, batch_key, by_key, by_part, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
+from .exchange import SCHEMA, batch_key, batches_of, by_key, by_part, changed, gather, pack, pack_rows, parts, rows, unpack, unpack_rows
 
 WINDOW, BATCH_BYTES = 13, 4_000_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -69,28 +69,19 @@ def probes(docs: DataFrame, block: int, n_parts: int) -> DataFrame:
             w, key = Words(batch, memo), batch_key(number)
             at, h = w.windows(block)
             own, _, aligned = group_any(h, w.place[at] % block == 0)
-            out = [(key, key, "rows", pack_rows(batch))]
-            for p, i in by_part(own, n_parts):
-                out.append((p, key, "probe", pack(np.unique((own[i] & _LOW) << np.uint64(1) | aligned[i]))))
-            yield rows(out)
+            yield rows([(p, key, "probe", pack(np.unique((own[i] & _LOW) << np.uint64(1) | aligned[i]))) for p, i in by_part(own, n_parts)])
 
     return map_batches(docs, run, SCHEMA)
 
 
 def shared_blocks(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
     """For each batch, its hashes that are a block in any batch and occur in two or more."""
-    got = [(b, unpack(d)[0]) for b, kind, d in held if kind == "probe"]
-    for b, kind, d in held:
-        if kind != "probe":
-            yield rows([(p, b, kind, d)])
-    if got:
-        own = [np.unique(x >> np.uint64(1)) for _, x in got]
-        keys, n = np.unique(np.concatenate(own), return_counts=True)
-        block = np.unique(np.concatenate([x[x & np.uint64(1) == 1] >> np.uint64(1) for _, x in got]))
-        hit = np.intersect1d(keys[n > 1], block, assume_unique=True)
-        out = [(p, b, "shared", pack(np.array([p], np.int64), x)) for (b, _), x in zip(got, (np.intersect1d(o, hit, assume_unique=True) for o in own), strict=True) if len(x)]
-        if out:
-            yield rows(out)
+    got = [(b, unpack(d)[0]) for b, _, d in held]
+    own = [np.unique(x >> np.uint64(1)) for _, x in got]
+    keys, n = np.unique(np.concatenate(own), return_counts=True)
+    block = np.unique(np.concatenate([x[x & np.uint64(1) == 1] >> np.uint64(1) for _, x in got]))
+    hit = np.intersect1d(keys[n > 1], block, assume_unique=True)
+    yield rows([(p, b, "shared", pack(np.array([p], np.int64), x)) for (b, _), x in zip(got, (np.intersect1d(o, hit, assume_unique=True) for o in own), strict=True) if len(x)])
 
 
 def member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -121,13 +112,18 @@ def group_least(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> tuple[
 def extend(window: int, block: int, n_parts: int, whole_rows: bool):
     def run(_: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
         key = held[0][0]
-        batch = unpack_rows(next(d for _, kind, d in held if kind == "rows"))
+        packed = next((d for _, kind, d in held if kind == "rows"), None)
+        if packed is None:
+            raise changed()
+        batch = unpack_rows(packed)
         w = Words(batch, Memo(xxhash.xxh64_intdigest, 200_000))
         at, h = w.windows(block)
         own, n, aligned = group_any(h, w.place[at] % block == 0)
         seed = (n > 1) & aligned
         at_part = dict(by_part(own, n_parts))
         for p, d in parts_of(held, "shared"):
+            if p not in at_part or not member(d, np.sort(own[at_part[p]] & _LOW)).all():
+                raise changed()
             seed[at_part[p]] |= member(own[at_part[p]] & _LOW, d)
         hits = np.zeros(len(w.hashes) + 1, np.int64)
         hits[at[seed[np.searchsorted(own, h)]] + 1] = 1
@@ -214,7 +210,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> Da
     docs = docs if whole_rows else documents(docs)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) if whole_rows else "doc_id long, n_words long, n_removed long, kept_sha256 string"
     block, n_parts = (window + 1) // 2, parts(docs)
-    found = by_key(probes(docs, block, n_parts), "p", n_parts, shared_blocks, SCHEMA)
+    found = batches_of(docs, BATCH_BYTES).unionByName(by_key(probes(docs, block, n_parts), "p", n_parts, shared_blocks, SCHEMA))
     table = materialise(by_key(found, "batch", n_parts, extend(window, block, n_parts, whole_rows), SCHEMA))
     done = table.where("kind = 'done'").mapInArrow(_unpacked, schema)
     looked_up = by_key(table.where("kind <> 'done'"), "p", n_parts, smaller_elsewhere, SCHEMA)
