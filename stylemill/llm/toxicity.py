@@ -6,8 +6,8 @@ mean embedding, guesses the language, learnt from the training rows' lang column
 language is calibrated on all labelled rows but those trained on, and shifts that language's logits so that 0.5 is its
 threshold.
 
-The fit uses a bounded sample: four fifths of at most SAMPLE labelled rows of each class, those with the least hash of their
-id. Calibration counts all others in bins of their logits, and weights each class so that it has its share of all labelled
+The fit uses a bounded sample: four fifths of at most SAMPLE labelled rows of each class and SAMPLE_BYTES of text, those with the
+least hash of their id; a row that would exceed the bytes is left out whole, so the driver's memory is bounded. Calibration counts all others in bins of their logits, and weights each class so that it has its share of all labelled
 rows. Texts are read once for the logits, partition by partition, without a shuffle; only those numbers meet the labels.
 
 Null and empty texts get the score of a text without words; labels with nulls teach nothing; repeated rows are scored
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, documents, fold, map_batches, materialise, offsets, texts
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, DECAY, SEED = 1 << 15, 12, (1, 2, 3), 8, 10, 32, 0.02, 1e-2, 11
 #: Width of the bins of logits that the thresholds are found in.
 BIN = 0.01
@@ -74,6 +74,7 @@ class Net:
             r[w] = tables[w][0][x]
             for k in range(1, w):
                 r[w][:-k] += tables[w][k][x[k:]]
+                r[w][bounds[1:] - k] = -np.inf  # these reach into the next text
         top = np.hstack([np.maximum.reduceat(r[w], bounds[:-1], axis=0) + self.p[f"b{w}"] for w in WIDTHS])
         lang = np.add.reduceat(tables["l"][x], bounds[:-1], axis=0) / np.diff(bounds)[:, None] + self.p["lc"]
         return np.maximum(top, 0) @ self.p["v"] + self.p["c"], lang, r
@@ -163,6 +164,16 @@ def fit(rows: list[tuple[np.ndarray, float, str | None]], seed: int = SEED) -> t
     return net, train
 
 
+def within(rows: list, most: int) -> list[tuple[int, int]]:
+    """doc_id, y of the rows (doc_id, y, bytes, h) that fit into half of `most` bytes for each class, in order of h."""
+    out, left = [], {0: most // 2, 1: most // 2}
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        if r.bytes <= left[int(r.y > 0)]:
+            left[int(r.y > 0)] -= r.bytes
+            out.append((r.doc_id, r.y))
+    return out
+
+
 def threshold(at: np.ndarray, toxic: np.ndarray, clean: np.ndarray, default: float = 0.0) -> float:
     """The logit with the best F1, in the middle of the gap it lies in; of logits `at`, with so many rows of each class."""
     if not toxic.sum() or not clean.sum():
@@ -210,10 +221,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
             rows = [encode_text(t, memo).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, pa.binary()), batch.column("y"), batch.column("lang")], names=["doc_id", "x", "y", "lang"])
 
-    # at most 2 x sample rows; the sampled ids are few, and their join keeps the texts of all others out of the shuffle
+    # at most 2 x sample ids, and their join keeps the texts of all others out of the shuffle
     few = F.broadcast(spark.createDataFrame(chosen.collect(), "doc_id long, y int"))
-    found = map_batches(documents(docs, "lang").join(few, "doc_id"), encode, "doc_id long, x binary, y int, lang string").collect()
-    found.sort(key=lambda r: r.doc_id)
+    sizes = documents(docs, "lang").join(few, "doc_id").groupBy("doc_id", "y").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    fitting = spark.createDataFrame(within(sizes.select("doc_id", "y", "bytes", F.xxhash64("doc_id").alias("h")).collect(), SAMPLE_BYTES), "doc_id long, y int")
+    found = map_batches(documents(docs, "lang").join(F.broadcast(fitting), "doc_id"), encode, "doc_id long, x binary, y int, lang string").collect()
+    found.sort(key=lambda r: (r.doc_id, bytes(r.x), r.lang or ""))
     rows = [(np.frombuffer(r.x, np.int32).reshape(-1, 1 + len(STEMS)), float(r.y), r.lang) for r in found]
     positive = sum(r[1] for r in rows)
     out = ["doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "lang_guess"]
