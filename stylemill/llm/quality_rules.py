@@ -76,22 +76,37 @@ def bands(text: bytes, zstd: zstandard.ZstdCompressor) -> tuple[float, int, int,
     return ratio, -(-len(text) // CHUNK), outside, inside and bad <= CHUNK_SHARE * len(text)
 
 
+class Judge:
+    """The parts of the verdict on a text."""
+
+    def __init__(self):
+        self.zstd, self.hashes = zstandard.ZstdCompressor(level=LEVEL), Memo(xxhash.xxh64_intdigest, 200_000)
+
+    def base(self, words: list[bytes]) -> tuple[int, bool]:
+        """n_repeat_words and base_failed."""
+        repeats = repeat_words(words, self.hashes)
+        return repeats, len(words) < 20 or 100 * repeats > 30 * len(words)
+
+    def keeps(self, text: bytes) -> bool:
+        return not self.base(text.split())[1] and bands(text, self.zstd)[3]
+
+    def __call__(self, text: bytes) -> tuple:
+        """SCHEMA without the doc_id."""
+        words = text.split()
+        repeats, failed = self.base(words)
+        ratio, chunks, outside, inside = bands(text, self.zstd)
+        joined = b"".join(words)
+        chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
+        return len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), dup_lines(text), repeats, failed, inside and not failed, ratio, chunks, outside
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """A row for each document: the base counts, the ratios and the verdict."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd, hashes = zstandard.ZstdCompressor(level=LEVEL), Memo(xxhash.xxh64_intdigest, 200_000)
+        judge = Judge()
         for batch in batches:
-            rows = []
-            for t in texts(batch):
-                words = t.split()
-                n, joined = len(words), b"".join(words)
-                repeats = repeat_words(words, hashes)
-                failed = n < 20 or 100 * repeats > 30 * n
-                ratio, chunks, outside, inside = bands(t, zstd)
-                # code points: bytes that don't continue a UTF-8 sequence
-                chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
-                rows.append((n, chars, len(t) - len(t.translate(None, SYMBOLS)), dup_lines(t), repeats, failed, inside and not failed, ratio, chunks, outside))
+            rows = [judge(t) for t in texts(batch)]
             cols = list(zip(*rows, strict=True)) or [()] * 10
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64())] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -104,14 +119,9 @@ def keep(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd, hashes = zstandard.ZstdCompressor(level=LEVEL), Memo(xxhash.xxh64_intdigest, 200_000)
+        judge = Judge()
         for batch in batches:
-            mask = []
-            for t in texts(batch):
-                words = t.split()
-                bad = len(words) < 20 or 100 * repeat_words(words, hashes) > 30 * len(words)
-                mask.append(not bad and bands(t, zstd)[3])
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            yield batch.filter(pa.array([judge.keeps(t) for t in texts(batch)], pa.bool_()))
 
     return map_batches(docs, run, schema)
 
