@@ -40,7 +40,7 @@ def naturalness(docs: DataFrame, weights: dict[str, float] | None = None) -> Dat
     own = P.measurements(docs, repetition=False).select("profile", "sentence", "function_words")
     whole = P.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.lit(1).alias("one"), F.col("sentence").alias("ts"), F.col("function_words").alias("tf"))
     near = own.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # a single row
-    near = near.select("profile", P.kl_divergence(F.col("function_words"), F.col("tf")).alias("kl"), P.raw_js_divergence(F.col("sentence"), F.col("ts")).alias("js"))
+    near = near.select("profile", M.r6(P.kl_divergence(F.col("function_words"), F.col("tf"))).alias("kl"), M.r6(P.raw_js_divergence(F.col("sentence"), F.col("ts"))).alias("js"))
     x = x.join(near, "profile").withColumn("repeat", (F.col("bigram_repeat_rate") + F.col("trigram_repeat_rate")) / 2)
     s = {
         "lexical_diversity": _share("ttr", 0.5), "herdan_c": _share("herdan_c", 0.9), "guiraud_r": _share("guiraud_r", 15.0), "maas_inverse": _inverse("maas", 0.15),

@@ -131,11 +131,11 @@ def overlay(baseline: DataFrame, chunks: DataFrame, quantiles: tuple[float, ...]
     return x.select("profile", "chunk_no", "metric", "q", "target", F.when(is_rate, F.greatest(F.lit(0.0), low)).otherwise(low).alias("low"), F.when(is_rate, F.least(F.lit(1.0), high)).otherwise(high).alias("high"))
 
 
-def out_of_band(observed: DataFrame, targets: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """Observed metrics (chunk_no, metric, value) beyond the band by more than a share of its width."""
-    x = observed.join(targets, ["chunk_no", "metric"])
+def out_of_band(observed: DataFrame, targets: DataFrame, tolerance: float = 0.1, keys: tuple[str, ...] = ("chunk_no", "metric")) -> DataFrame:
+    """Observed metrics (keys, value) beyond the band by more than a share of its width."""
+    x = observed.join(targets, list(keys))
     slack = (F.col("high") - F.col("low")) * tolerance
-    return x.where((F.col("value") < F.col("low") - slack) | (F.col("value") > F.col("high") + slack)).select("chunk_no", "metric", "value", "low", "high", F.when(F.col("value") < F.col("low"), "raise").otherwise("lower").alias("advice"))
+    return x.where((F.col("value") < F.col("low") - slack) | (F.col("value") > F.col("high") + slack)).select(*keys, "value", "low", "high", F.when(F.col("value") < F.col("low"), "raise").otherwise("lower").alias("advice"))
 
 
 def chunk_factor(sentence_stdev: Column, paragraph_burst: Column, stdev_ref: float = 18.0, burst_ref: float = 0.7, low: float = 0.6, high: float = 1.0) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import markdown, profile, rewrite, select, windows
+from ..operators import markdown, profile, rewrite, scores, select, windows
 from ..operators import measure as M
 from . import sql
 
@@ -25,6 +25,17 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("source").alias("profile"), "doc_id", "text")
 
 
+def grouped_corpus(spark: SparkSession, sf_dir: str, size: int = 10) -> DataFrame:
+    """Texts of several paragraphs: the documents of each source whose ids share all but the last digit, one below the other."""
+    texts = F.array_sort(F.collect_list(F.struct("doc_id", "text")))  # `size` documents
+    x = corpus(spark, sf_dir).groupBy("profile", F.floor(F.col("doc_id") / size).alias("g")).agg(F.min("doc_id").alias("doc_id"), texts.alias("t"))
+    return x.select("profile", "doc_id", F.array_join(F.transform("t", lambda r: r["text"]), "\n\n").alias("text"))
+
+
+def over_groups(fn: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf_dir: fn(grouped_corpus(spark, sf_dir), *args)
+
+
 def over_corpus(fn: Callable[..., DataFrame], *args) -> Query:
     return lambda spark, sf_dir: fn(corpus(spark, sf_dir), *args)
 
@@ -105,6 +116,50 @@ def kl_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("profile", M.r6(profile.kl_divergence(F.col("function_words"), F.col("q"))).alias("kl"))
 
 
+def with_whole(own: DataFrame, whole: DataFrame) -> DataFrame:
+    """Each row of `own` beside the single row of `whole`."""
+    return own.withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")
+
+
+def cosine_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source's function words and those of the whole corpus; and the divergence of its sentence lengths."""
+    docs = corpus(spark, sf_dir)
+    own = profile.measurements(docs, repetition=False).select("profile", "function_words", "sentence")
+    whole = profile.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.col("function_words").alias("q"), F.col("sentence").alias("s"))
+    return with_whole(own, whole).select(
+        "profile", M.r6(profile.cosine(F.col("function_words"), F.col("q"))).alias("cosine"), M.r6(profile.raw_js_divergence(F.col("sentence"), F.col("s"))).alias("sentence_js"),
+    )
+
+
+def function_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of its twenty most frequent function words a source shares with the whole corpus."""
+    docs = corpus(spark, sf_dir)
+    listed = lambda d, name: M.function_word_top(d).groupBy("profile").agg(F.collect_set("word").alias(name))
+    whole = listed(docs.withColumn("profile", F.lit("all")), "b").select("b")
+    return with_whole(listed(docs, "a"), whole).select("profile", M.r6(profile.jaccard(F.col("a"), F.col("b"))).alias("overlap"))
+
+
+def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document against its first four fifths."""
+    docs = corpus(spark, sf_dir)
+    x = scores.changes(docs, docs.withColumn("text", F.expr("substring(text, 1, cast(floor(length(text) * 0.8) as int))")))
+    return x.withColumn("warnings", F.array_join("warnings", ","))
+
+
+def baseline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The median of each measure of a source's windows, with the band around it, for each of its windows."""
+    docs = corpus(spark, sf_dir)
+    chunks = windows.baseline_windows(docs).select("profile", F.col("window_no").alias("chunk_no"))
+    x = windows.overlay(windows.baseline_quantiles(docs), chunks, quantiles=(0.5,))
+    return x.select("profile", "chunk_no", "metric", "target", *[F.round(c, 9).alias(c) for c in ("low", "high")])
+
+
+def windows_out_of_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.baseline_windows(corpus(spark, sf_dir)).withColumnRenamed("window_no", "chunk_no")
+    observed = rows.unpivot(["profile", "chunk_no"], rows.columns[2:], "metric", "value")
+    return windows.out_of_band(observed, baseline_targets(spark, sf_dir), keys=("profile", "chunk_no", "metric"))
+
+
 def same_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose prose is the same but for marks and case, with the least id that has it."""
     x = corpus(spark, sf_dir).select("doc_id", F.md5(T.prose_key("text")).alias("key"))
@@ -129,6 +184,8 @@ def british_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PRESENT = {"articles": ["the", "a", "la", "der"], "prepositions": ["of", "in", "de", "en"]}
+#: Openers that the tables' invented prose has, for the query on transitions to find some.
+OPENERS = ["the", "and", "in", "to", "i", "el", "la", "de", "der", "le"]
 QUERIES: dict[str, Query] = {
     "source_profile": source_profile,
     "doc_size_stats": over_corpus(M.document_sizes),
@@ -183,6 +240,18 @@ QUERIES: dict[str, Query] = {
     "worst_components": worst_components,
     "kl_function_words": kl_function_words,
     "near_duplicate_docs": same_prose,
+    "grouped_paragraph_hist": over_groups(M.paragraph_histogram),
+    "grouped_one_sentence_rate": over_groups(M.one_sentence_rate),
+    "grouped_paragraph_cadence": over_groups(M.paragraph_cadence),
+    "grouped_baseline_windows": over_groups(windows.baseline_windows),
+    "word_openers": over_corpus(M.transition_openers, 15, OPENERS),
+    "naturalness": over_corpus(scores.naturalness),
+    "cosine_function_words": cosine_function_words,
+    "function_word_overlap": function_word_overlap,
+    "document_changes": document_changes,
+    "document_diagnostics": over_corpus(scores.diagnostics),
+    "baseline_targets": baseline_targets,
+    "windows_out_of_band": windows_out_of_band,
     "chunk_plan": chunk_plan,
     "mask_round_trip": mask_round_trip,
     "british_spelling": british_spelling,

@@ -270,3 +270,103 @@ _TOTAL = f"round(total / {sum(L.SIMILARITY_WEIGHTS.values())!r}, 6) AS similarit
 MEASURES["profile_similarity_pairs"] = _PAIRS + f"SELECT a, b, {_TOTAL} FROM q"
 MEASURES["similarity_components"] = _PAIRS + "SELECT a, b, " + ", ".join(f"round({k}, 6) AS {k}" for k in _SIM) + f", {_TOTAL} FROM q"
 MEASURES["worst_components"] = _PAIRS + "SELECT a, b, CAST(rank - 1 AS INT) AS rank, component, value FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY value, component) AS rank FROM (" + " UNION ALL ".join(f"SELECT a, b, '{k}' AS component, round({k}, 6) AS value FROM q" for k in _SIM) + ")) WHERE rank <= 5"
+
+# texts of several paragraphs, put together from documents of one: what is measured by paragraph is the same
+MEASURES |= {f"grouped_{k}": MEASURES[k] for k in ("paragraph_hist", "one_sentence_rate", "paragraph_cadence", "baseline_windows")}
+OPENERS = ["the", "and", "in", "to", "i", "el", "la", "de", "der", "le"]
+MEASURES["word_openers"] = MEASURES["transition_openers"].replace(listed(L.TRANSITIONS), listed(OPENERS))
+
+
+def _share(v: str, whole: float) -> str:
+    return f"CASE WHEN {v} > 0 THEN least(1.0, {v} / CAST({whole} AS DOUBLE)) ELSE CAST(0.0 AS DOUBLE) END"
+
+
+def _less(v: str, whole: float, zero: float = 0.0) -> str:
+    return f"CASE WHEN {v} > 0 THEN greatest(0.0, 1.0 - least(1.0, {v} / CAST({whole} AS DOUBLE))) ELSE CAST({zero} AS DOUBLE) END"
+
+
+def _count(a: int, b: int | None) -> str:
+    return f"count(*) FILTER (WHERE words >= {a}" + (")" if b is None else f" AND words <= {b})")
+
+
+_BIN = [f"b{i}" for i in range(len(L.SENTENCE_BINS))]
+_JS = (
+    "hb AS (SELECT profile, " + ", ".join(f"{_count(*b)} AS {k}" for k, b in zip(_BIN, L.SENTENCE_BINS, strict=True)) + " FROM s GROUP BY profile), "
+    + "hw AS (SELECT " + ", ".join(f"sum({k}) AS {k}" for k in _BIN) + " FROM hb), "
+    + f"hs AS (SELECT profile, [{', '.join(f'hb.{k} / nullif(' + ' + '.join('hb.' + j for j in _BIN) + ', 0)' for k in _BIN)}] AS x, [{', '.join(f'hw.{k} / nullif(' + ' + '.join('hw.' + j for j in _BIN) + ', 0)' for k in _BIN)}] AS y FROM hb, hw), "
+    + "js AS (SELECT profile, round(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] * log2((p[1] + 1e-12) / ((p[1] + p[2]) / 2 + 1e-12)) + p[2] * log2((p[2] + 1e-12) / ((p[1] + p[2]) / 2 + 1e-12))) / 2)), 6) AS js FROM hs)"
+)
+_SCORES = {
+    "lexical_diversity": _share("ttr", 0.5), "herdan_c": _share("herdan_c", 0.9), "guiraud_r": _share("guiraud_r", 15.0), "maas_inverse": _less("maas", 0.15), "yule_k_inverse": _less("yule_k", 100.0),
+    "simpson_d_inverse": _less("simpson_d", 0.2), "repetition_inverse": _less("((bigram_repeat_rate + trigram_repeat_rate) / 2)", 0.2, 1.0), "sentence_burstiness": _share("sentence_burstiness", 1.0),
+    "paragraph_burstiness": _share("paragraph_burstiness", 1.0), "punctuation_variety": _share("variety", 8.0), "punctuation_entropy": _share("pe", 3.0), "function_word_entropy": _share("fe", 4.0),
+    "function_word_kl_inverse": _less("kl", 0.5, 1.0), "sentence_length_js_inverse": _less("js", 0.3, 1.0), "char_trigram_entropy": _share("te", 6.0),
+    "word_length": "CASE WHEN word_length > 0 THEN greatest(0.0, 1.0 - abs(word_length - 5.0) / CAST(3.0 AS DOUBLE)) ELSE CAST(0.0 AS DOUBLE) END",
+}
+MEASURES["naturalness"] = (
+    "WITH " + ",\n".join([D, S0, S, _JS, *(f"{n} AS ({MEASURES[q]})" for n, q in (("ld", "lexical_diversity"), ("bu", "burstiness"), ("re", "repetition_rates"), ("pr", "punct_rates"), ("kw", "kl_function_words")))])
+    + f",\npv AS (SELECT profile, CAST(count(*) FILTER (WHERE n > 0) AS DOUBLE) AS variety FROM pr GROUP BY profile),\n"
+    + ",\n".join(f"{n} AS (SELECT profile, entropy AS {n} FROM ({MEASURES[q]}))" for n, q in (("pe", "punct_entropy"), ("fe", "function_word_entropy"), ("te", "char_trigram_entropy")))
+    + ",\nx AS (SELECT ld.*, coalesce(sentence_burstiness, 0.0) AS sentence_burstiness, coalesce(paragraph_burstiness, 0.0) AS paragraph_burstiness, bigram_repeat_rate, trigram_repeat_rate, variety, coalesce(pe, 0.0) AS pe, coalesce(fe, 0.0) AS fe, coalesce(te, 0.0) AS te, kl, js"
+    + " FROM ld LEFT JOIN bu USING (profile) LEFT JOIN re USING (profile) LEFT JOIN pv USING (profile) LEFT JOIN pe USING (profile) LEFT JOIN fe USING (profile) LEFT JOIN te USING (profile) JOIN kw USING (profile) JOIN js USING (profile)),\n"
+    + "z AS (SELECT profile, " + ", ".join(f"{e} AS score_{k}" for k, e in _SCORES.items()) + " FROM x)\n"
+    + "SELECT profile, " + ", ".join(f"round(score_{k}, 6) AS score_{k}" for k in _SCORES) + f", round(({' + '.join('score_' + k for k in _SCORES)}) / CAST({len(_SCORES)} AS DOUBLE) * 100.0, 4) AS aggregate_100 FROM z"
+)
+MEASURES["cosine_function_words"] = with_(
+    D, WT, TOK, FWC, S0, S, _JS, "r AS (SELECT profile, word, n * 1000.0 / words AS p FROM f)", "q AS (SELECT word, sum(n) * 1000.0 / (SELECT sum(words) FROM wt) AS q FROM f GROUP BY word)",
+    "co AS (SELECT profile, round(least(1.0, greatest(0.0, sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q))))), 6) AS cosine FROM r JOIN q USING (word) GROUP BY profile)",
+    select="SELECT profile, coalesce(cosine, 0.0) AS cosine, js AS sentence_js FROM co JOIN js USING (profile)",
+)
+_TOP_ALL = "SELECT word FROM (SELECT word, sum(n) AS n, min(place) AS place FROM f GROUP BY word) ORDER BY n DESC, place LIMIT 20"
+MEASURES["function_word_overlap"] = with_(
+    D, WT, TOK, FWC, f"a AS ({top('f', 'word', 'n DESC, place', 20)})", f"b AS ({_TOP_ALL})",
+    select="SELECT profile, round(CAST(count(*) FILTER (WHERE word IN (SELECT word FROM b)) AS DOUBLE) / (count(*) + 20 - count(*) FILTER (WHERE word IN (SELECT word FROM b))), 6) AS overlap FROM a GROUP BY profile",
+)
+_SIZES = lambda t, p: f"len(string_split({t}, chr(10))) AS {p}lines, len({words(t)}) AS {p}words, len(list_filter(regexp_split_to_array({t}, '\\n\\s*\\n'), lambda x: trim(x) <> '')) AS {p}paragraphs"
+_PCT = lambda k: f"(b_{k} - a_{k}) / CAST(greatest(1, a_{k}) AS DOUBLE) * 100.0"
+_WARN = ", ".join(f"CASE WHEN abs({_PCT(k)}) >= 10.0 THEN '{k}' END" for k in ("lines", "words", "paragraphs"))
+MEASURES["document_changes"] = (
+    f"WITH t AS (SELECT doc_id, text, substr(text, 1, CAST(floor(length(text) * 0.8) AS BIGINT)) AS cut FROM documents), x AS (SELECT doc_id, {_SIZES('text', 'a_')}, {_SIZES('cut', 'b_')} FROM t)\n"
+    + "SELECT doc_id, " + ", ".join(f"round({_PCT(k)}, 6) AS {k}_pct" for k in ("lines", "words", "paragraphs")) + f", concat_ws(',', {_WARN}) AS warnings FROM x"
+)
+MEASURES["document_diagnostics"] = with_(
+    D, f"s AS (SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS t FROM (SELECT doc_id, {sentences('text')} AS s FROM d))", f"a AS (SELECT doc_id, 'sentence' AS kind, len({words('t')}) AS n, substr(t, 1, 280) AS text, pos FROM s WHERE len({words('t')}) >= 20)",
+    f"w AS (SELECT doc_id, {words('lower(text)')} AS w FROM d)", "g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS text FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2))",
+    "b AS (SELECT doc_id, 'bigram' AS kind, count(*) AS n, text, 0 AS pos FROM g GROUP BY doc_id, text HAVING count(*) >= 3)",
+    select="SELECT doc_id, kind, CAST(rank AS INT) AS rank, CAST(n AS INT) AS n, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, pos, text) AS rank FROM (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)) WHERE rank <= 3",
+)
+_BAND = "least(CAST(5.0 AS DOUBLE), greatest(CAST(0.05 AS DOUBLE), abs(p50) * CAST(0.1 AS DOUBLE)))"
+_TARGETS = (
+    f"SELECT w.profile, w.window_no AS chunk_no, metric, p50 AS target, round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN greatest(0.0, p50 - {_BAND}) ELSE p50 - {_BAND} END, 9) AS low, "
+    + f"round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN least(1.0, p50 + {_BAND}) ELSE p50 + {_BAND} END, 9) AS high FROM bw w JOIN bq USING (profile)"
+)
+_BASE = f"WITH bw AS ({MEASURES['baseline_windows']}),\nbq AS ({MEASURES['baseline_quantiles']})"
+MEASURES["baseline_targets"] = _BASE + "\n" + _TARGETS
+_SLACK = "(high - low) * CAST(0.1 AS DOUBLE)"
+MEASURES["windows_out_of_band"] = (
+    _BASE + f",\nt AS ({_TARGETS}),\no AS (SELECT profile, window_no AS chunk_no, metric, value FROM (UNPIVOT bw ON {', '.join(_ALL)} INTO NAME metric VALUE value))\n"
+    + f"SELECT profile, chunk_no, metric, value, low, high, CASE WHEN value < low THEN 'raise' ELSE 'lower' END AS advice FROM o JOIN t USING (profile, chunk_no, metric) WHERE value < low - {_SLACK} OR value > high + {_SLACK}"
+)
+
+
+def _masked() -> str:
+    """The masks of a page: each kind's matches in what the kinds before it left. A citation's year is looked for in its own match."""
+    from ..operators.markdown import MASKS
+
+    plain = MASKS["CITATION"].split(r"|\((?=")[0]
+    steps, last, n = [], "html", []
+    for i, (kind, pattern) in enumerate((k, p) for k, p in MASKS.items() if k != "CITATION"):
+        q = pattern.replace("'", "''")
+        steps.append(f"regexp_replace({last}, '{q}', '[[{kind}_1]]', 'g') AS t{i}, len(regexp_extract_all({last}, '{q}')) AS n{i}")
+        last = f"t{i}"
+        n.append(f"n{i}")
+    ctes, source = [], "pages"
+    for i, s in enumerate(steps):
+        ctes.append(f"m{i} AS (SELECT *, {s} FROM {source})")
+        source = f"m{i}"
+    either = plain.replace("'", "''") + r"|\([^()]{1,80}\)"
+    cited = f"len(list_filter(regexp_extract_all({last}, '{either}'), lambda x: x[1:1] = '[' OR regexp_matches(x, '\\b(?:19|20)\\d{{2}}')))"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT page_id, CAST({' + '.join(n)} + {cited} AS INT) AS masks, true AS same FROM {source}"
+
+
+MEASURES["mask_round_trip"] = _masked()

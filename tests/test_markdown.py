@@ -194,3 +194,10 @@ def test_drift(spark, tmp_path):
     q.stop()
     got = {str(r.start): (r.texts, r.words, r.sentences, r.comma_rate) for r in spark.table("drift_test").collect()}
     assert got == {"2024-01-01 00:00:00": (2, 5, 3, 0.2), "2024-01-01 02:00:00": (1, 2, 1, 0)}
+
+
+def test_masks_leave_placeholders_of_the_text_alone(spark):
+    text = "see [[HTML_1]] and <b>bold</b>, [[HTML_7]] or `x` and [[INLINE_CODE_2]]"
+    x = spark.createDataFrame([(text,)], "t string").select("t", md.mask("t").alias("m"))
+    r = x.select("m", md.restore("m.text", "m.originals").alias("back")).first()
+    assert r.back == text and r.m.originals == {"[[HTML_8]]": "<b>", "[[HTML_9]]": "</b>", "[[INLINE_CODE_3]]": "`x`"}
