@@ -356,7 +356,7 @@ def rare_words(docs: DataFrame, k: int = 40) -> DataFrame:
     most = word_totals(docs).select("profile", "words", F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("words") * 0.0001))).alias("most"))
     t = F.col("token")
     ok = ~t.isin(L.STOP_WORDS) & t.rlike("^[a-z]{4,}$") & ~t.rlike("^[ivxlcdm]+$") & ~t.rlike(r"^(?=.{8})(.{3,})\1+$") & ~t.rlike("^(?=.{12})[^aeiouy]{5}")
-    x = counted.where(ok).join(F.broadcast(most), "profile").where(F.col("n") <= F.col("most"))
+    x = counted.where(ok).join(most, "profile").where(F.col("n") <= F.col("most"))
     x = x.withColumn("cap", F.col("caps") / F.col("n")).withColumn("h", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"))
     by_initial = W.partitionBy("profile", F.substring("token", 1, 1)).orderBy("n", "cap", "h", "token")
     x = x.withColumn("round", F.row_number().over(by_initial)).where(F.col("round") <= k)
