@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A join's key is hot if it has more than one in HOT of all rows.
 HOT = 2000
+#: Words of 64 bits in the table of `maybe`, which bounds what is broadcast.
+SIEVE = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,19 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, how: str =
     return there.unionByName(rest.select(*rows.columns, *others))
 
 
+def maybe(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with `_maybe`, false where `key` is surely none of the ids; ids should be a stored table.
+
+    A bit for each id's hash, in at most SIEVE words, is broadcast, so that rows without a partner need no shuffle in a join
+    that follows. Where there are more ids than bits can tell apart, more rows are true; the join decides.
+    """
+    h = f"xxhash64(`{key}`, 7L)"
+    slot, bit = F.expr(f"pmod({h}, {SIEVE}L)"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({h}, 32), 64L) as int))")
+    bits = ids.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    both = rows.withColumn("_slot", slot).join(F.broadcast(bits), "_slot", "left")
+    return both.select(*rows.columns, F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)).alias("_maybe"))
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(tidy(fn), schema)
