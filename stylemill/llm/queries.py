@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_formatting, decontamination, katz, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
+from . import chat_formatting, decontamination, hard_negatives, katz, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -54,10 +54,15 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.op12(spark, sf_dir)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op13(spark, sf_dir)
+
+
 _ALL = (
     op1_quality_classifier, op2_simhash, op3_token_counts, op4_language_id, op5_substring_dedup,
     op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op9_katz, op10_decontamination, op12_chat_formatting,
+    op13_hard_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Hash functions, classifiers, tokenizers, samplers and BM25 retrieval have no SQL; those queries are tested by brute force.
-ORACLES: dict[str, str] = {"op5_substring_dedup": substring_dedup.ORACLE, "op12_chat_formatting": chat_formatting.ORACLE}
+ORACLES: dict[str, str] = {"op5_substring_dedup": substring_dedup.ORACLE, "op12_chat_formatting": chat_formatting.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
