@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_formatting, decontamination, hard_negatives, katz, language_id, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
+from . import chat_formatting, decontamination, hard_negatives, katz, language_id, lexical_search, quality_classifier, quality_rules, sampled_segmentation, simhash, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.op11(spark, sf_dir)
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_formatting.op12(spark, sf_dir)
 
@@ -60,9 +64,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_quality_classifier, op2_simhash, op3_token_counts, op4_language_id, op5_substring_dedup,
-    op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op9_katz, op10_decontamination, op12_chat_formatting,
-    op13_hard_negatives,
+    op6_quality_rules, op7_toxicity, op8_sampled_segmentation, op9_katz, op10_decontamination,
+    op11_lexical_search, op12_chat_formatting, op13_hard_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Hash functions, classifiers, tokenizers, samplers and BM25 retrieval have no SQL; those queries are tested by brute force.
-ORACLES: dict[str, str] = {"op5_substring_dedup": substring_dedup.ORACLE, "op12_chat_formatting": chat_formatting.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": substring_dedup.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op12_chat_formatting": chat_formatting.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE,
+}
