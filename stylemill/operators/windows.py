@@ -2,52 +2,42 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.stored import stored
 from . import measure as M
+from .spans import block_of, chain, prefix_sums, steps
 
 WINDOW, STRIDE, LEAST, MOST = 800, 400, 250, 200
 MARKS = {"commas": ",", "semicolons": ";", "colons": ":", "exclamations": "!", "questions": "?", "open": "(", "close": ")", "double": '"', "single": "'", "em_dashes": "—"}
 
 
-def membership(docs: DataFrame, window: int = WINDOW, stride: int = STRIDE, least: int = LEAST, most: int = MOST) -> DataFrame:
+def membership(docs: DataFrame, window: int = WINDOW, stride: int = STRIDE, least: int = LEAST, most: int | None = MOST) -> DataFrame:
     """Profile, window_no, doc_id, para_no of each paragraph of each window.
 
-    A window takes paragraphs until it has `window` words, and the next one starts `stride` words on; a last window of
-    fewer than `least` words is none. At most `most` windows are a feature of the baseline. They can't reach beyond the
-    first most * stride + window paragraphs that have a word, so that many rows of two numbers are all a profile's task reads.
+    A window takes paragraphs until it has `window` words, and the next one starts `stride` words on; a window of fewer than
+    `least` words is none, and ends the profile's. At most `most` windows are a feature of the baseline; None takes them all.
+    Paragraphs are placed by prefix sums over blocks of documents, starts of windows follow each other as a chain of steps, and
+    paragraphs meet the windows that reach over them in buckets of a window's size, so no task reads a profile.
     """
-    window, stride, least, most = max(50, window), max(25, stride), max(50, least), max(10, most)
+    window, stride, least, most = max(50, window), max(25, stride), max(50, least), most if most is None else max(10, most)
     p = docs.select("profile", "doc_id", F.posexplode(T.paragraphs("text")).alias("para_no", "paragraph"))
-    p = p.select("profile", "doc_id", "para_no", T.word_count("paragraph").alias("n")).where("n > 0")
-    first = W.partitionBy("profile").orderBy("doc_id", "para_no")
-    p = p.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most * stride + window)
-
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        n, out, start, count = rows["n"].tolist(), [], 0, 0
-        while start < len(n) and count < most:
-            end = total = 0
-            end = start
-            while end < len(n) and total < window:
-                total += n[end]
-                end += 1
-            if total < least:
-                break
-            out.append(rows.iloc[start:end][["profile", "doc_id", "para_no"]].assign(window_no=count))
-            count += 1
-            moved = 0
-            while start < len(n) and moved < stride:
-                moved += n[start]
-                start += 1
-        return pd.concat(out) if out else rows.iloc[:0][["profile", "doc_id", "para_no"]].assign(window_no=0)
-
-    return p.groupBy("profile").applyInPandas(walk, "profile string, doc_id long, para_no int, window_no int")
+    p = stored(p.select("profile", "doc_id", "para_no", T.word_count("paragraph").cast("long").alias("n")).where("n > 0"))
+    # the first `most` windows can't reach beyond so many paragraphs of a word or more
+    p = stored(prefix_sums(p, ["profile"], block_of(docs), ["doc_id", "para_no"], "n", None if most is None else most * stride + window))
+    first = chain(steps(p, ["profile"], stride), ["profile"], most)
+    starts = p.join(first.withColumnsRenamed({"profile": "_p", "at": "_at"}), F.col("profile").eqNullSafe(F.col("_p")) & (F.col("at") == F.col("_at"))).select("profile", F.col("k").cast("int").alias("window_no"), F.col("start").alias("begin"))
+    reached = F.explode(F.array(F.floor(F.col("begin") / window), F.floor(F.col("begin") / window) + 1)).alias("bucket")
+    w = starts.select(F.col("profile").alias("_p"), "window_no", "begin", reached)
+    p = p.withColumn("_bucket", F.floor(F.col("start") / window))
+    rows = p.join(w, F.col("profile").eqNullSafe(F.col("_p")) & (F.col("_bucket") == F.col("bucket"))).where((F.col("start") >= F.col("begin")) & (F.col("start") < F.col("begin") + window))
+    rows = stored(rows.select("profile", "window_no", "doc_id", "para_no", "n"))
+    short = rows.groupBy("profile", "window_no").agg(F.sum("n").alias("n")).where(F.col("n") < least).groupBy("profile").agg(F.min("window_no").alias("end"))
+    short = short.withColumnRenamed("profile", "_p")
+    whole = rows.join(short, F.col("profile").eqNullSafe(F.col("_p")), "left").where("end is null or window_no < end")
+    return whole.select("profile", "doc_id", "para_no", "window_no")
 
 
 def window_texts(docs: DataFrame, **sizes: int) -> DataFrame:
@@ -96,13 +86,19 @@ def metrics(texts: DataFrame) -> DataFrame:
 
 
 def baseline_windows(docs: DataFrame, **sizes: int) -> DataFrame:
-    rows = metrics(window_texts(docs, **sizes))
+    return rounded(metrics(window_texts(docs, **sizes)))
+
+
+def rounded(rows: DataFrame) -> DataFrame:
     return rows.select("profile", "window_no", *[M.r6(F.col(c)).alias(c) for c in rows.columns[2:]])
 
 
 def baseline_quantiles(docs: DataFrame, **sizes: int) -> DataFrame:
     """The range, mean, deviation and quantiles of each measure over a profile's windows."""
-    rows = metrics(window_texts(docs, **sizes))
+    return quantiles(metrics(window_texts(docs, **sizes)))
+
+
+def quantiles(rows: DataFrame) -> DataFrame:
     long = rows.unpivot(["profile"], [c for c in rows.columns if c not in ("profile", "window_no")], "metric", "value")
     q = F.percentile("value", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
     x = long.groupBy("profile", "metric").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stdev"), q.alias("q"), F.count("*").alias("n"))
@@ -121,9 +117,10 @@ def at_quantile(q: Column) -> Column:
 def overlay(baseline: DataFrame, chunks: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75), share: float = 0.1, narrow: float = 0.05, wide: float = 5.0, seed: int = 0) -> DataFrame:
     """For each chunk (profile, chunk_no) and metric a target from the baseline and a band around it.
 
-    The quantile is drawn by a hash of seed, chunk and metric, so that the draw doesn't depend on partitioning.
+    The quantile is drawn by the MD5 of seed, chunk and metric, so that the draw doesn't depend on partitioning.
     """
-    q = F.element_at(F.array(*map(F.lit, quantiles)), (1 + F.pmod(F.xxhash64(F.lit(seed), "chunk_no", "metric"), F.lit(len(quantiles)))).cast("int"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(seed), "chunk_no", "metric")), 1, 8), 16, 10).cast("long") % len(quantiles)
+    q = F.element_at(F.array(*map(F.lit, quantiles)), (1 + draw).cast("int"))
     x = chunks.join(baseline, "profile").withColumn("q", q).withColumn("target", at_quantile(F.col("q")))
     band = F.least(F.lit(wide), F.greatest(F.lit(narrow), F.abs("target") * share))
     low, high = F.col("target") - band, F.col("target") + band

@@ -11,6 +11,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import markdown, profile, rewrite, scores, select, windows
 from ..operators import measure as M
+from ..sources.stored import stored
 from . import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,18 +147,27 @@ def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("warnings", F.array_join("warnings", ","))
 
 
+#: Quantiles of the draw of targets: one on a knot, the others on the lines between knots and beyond the last.
+DRAWN = (0.2, 0.5, 0.85, 0.95)
+
+
 def baseline_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median of each measure of a source's windows, with the band around it, for each of its windows."""
-    docs = corpus(spark, sf_dir)
-    chunks = windows.baseline_windows(docs).select("profile", F.col("window_no").alias("chunk_no"))
-    x = windows.overlay(windows.baseline_quantiles(docs), chunks, quantiles=(0.5,))
-    return x.select("profile", "chunk_no", "metric", "target", *[F.round(c, 9).alias(c) for c in ("low", "high")])
+    """For each measure of each of a source's windows a quantile drawn from all its windows, with the band around it."""
+    return targets(stored(windows.metrics(windows.window_texts(corpus(spark, sf_dir)))))
+
+
+def targets(rows: DataFrame) -> DataFrame:
+    chunks = rows.select("profile", F.col("window_no").alias("chunk_no"))
+    x = windows.overlay(windows.quantiles(rows), chunks, quantiles=DRAWN)
+    return x.select("profile", "chunk_no", "metric", *[F.round(c, 9).alias(c) for c in ("q", "target", "low", "high")])
 
 
 def windows_out_of_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.baseline_windows(corpus(spark, sf_dir)).withColumnRenamed("window_no", "chunk_no")
-    observed = rows.unpivot(["profile", "chunk_no"], rows.columns[2:], "metric", "value")
-    return windows.out_of_band(observed, baseline_targets(spark, sf_dir), keys=("profile", "chunk_no", "metric"))
+    """Measures of a source's windows that miss the drawn band; the windows are measured once."""
+    rows = stored(windows.metrics(windows.window_texts(corpus(spark, sf_dir))))
+    x = windows.rounded(rows).withColumnRenamed("window_no", "chunk_no")
+    observed = x.unpivot(["profile", "chunk_no"], x.columns[2:], "metric", "value")
+    return windows.out_of_band(observed, targets(rows).drop("q", "target"), keys=("profile", "chunk_no", "metric"))
 
 
 def same_prose(spark: SparkSession, sf_dir: str) -> DataFrame:

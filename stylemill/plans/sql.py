@@ -335,10 +335,14 @@ MEASURES["document_diagnostics"] = with_(
     "b AS (SELECT doc_id, 'bigram' AS kind, count(*) AS n, text, 0 AS pos FROM g GROUP BY doc_id, text HAVING count(*) >= 3)",
     select="SELECT doc_id, kind, CAST(rank AS INT) AS rank, CAST(n AS INT) AS n, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY n DESC, pos, text) AS rank FROM (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)) WHERE rank <= 3",
 )
-_BAND = "least(CAST(5.0 AS DOUBLE), greatest(CAST(0.05 AS DOUBLE), abs(p50) * CAST(0.1 AS DOUBLE)))"
+_DRAWN = (0.2, 0.5, 0.85, 0.95)
+_KNOTS = [(0.1, "p10"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.9, "p90")]
+_AT = "CASE WHEN q <= 0.1 THEN p10 " + " ".join(f"WHEN q <= {b} THEN {x} + ({y} - {x}) * (q - {a}) / (CAST({b} AS DOUBLE) - {a})" for (a, x), (b, y) in zip(_KNOTS, _KNOTS[1:], strict=False)) + " ELSE p90 END"
+_DRAW = f"CAST([{', '.join(map(str, _DRAWN))}][CAST('0x' || substr(md5('0 ' || window_no || ' ' || metric), 1, 8) AS BIGINT) % {len(_DRAWN)} + 1] AS DOUBLE)"
+_BAND = "least(CAST(5.0 AS DOUBLE), greatest(CAST(0.05 AS DOUBLE), abs(target) * CAST(0.1 AS DOUBLE)))"
 _TARGETS = (
-    f"SELECT w.profile, w.window_no AS chunk_no, metric, p50 AS target, round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN greatest(0.0, p50 - {_BAND}) ELSE p50 - {_BAND} END, 9) AS low, "
-    + f"round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN least(1.0, p50 + {_BAND}) ELSE p50 + {_BAND} END, 9) AS high FROM bw w JOIN bq USING (profile)"
+    f"SELECT profile, chunk_no, metric, q, round(target, 9) AS target, round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN greatest(0.0, target - {_BAND}) ELSE target - {_BAND} END, 9) AS low, "
+    + f"round(CASE WHEN metric LIKE '%!_rate' ESCAPE '!' THEN least(1.0, target + {_BAND}) ELSE target + {_BAND} END, 9) AS high FROM (SELECT *, {_AT} AS target FROM (SELECT *, window_no AS chunk_no, {_DRAW} AS q FROM bw JOIN bq USING (profile)))"
 )
 _BASE = f"WITH bw AS ({MEASURES['baseline_windows']}),\nbq AS ({MEASURES['baseline_quantiles']})"
 MEASURES["baseline_targets"] = _BASE + "\n" + _TARGETS
