@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import markdown, profile, rewrite, scores, select, windows
+from ..operators import lines, markdown, profile, rewrite, scores, select, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql
+from . import sql, sql_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,10 +60,50 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voice_filtered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = read(spark, sf_dir, "pages").select("page_id", markdown.voice_filter("html").alias("text"))
+    x = lines.voice_filter(read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id")
     return x.select("page_id", T.word_count("text").cast("long").alias("words"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
+def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: the documents dressed as Markdown, each sentence as one of twelve kinds of lines, in turn."""
+
+    def dressed(x: Column, i: Column) -> Column:
+        kinds = [
+            F.concat(F.repeat(F.lit("#"), F.lit(1) + F.floor(i / 12).cast("int") % 3), F.lit(" "), x), x, F.concat(F.lit("```\n"), x, F.lit("\n```")), F.concat(F.lit("> "), x), F.concat(F.lit("- "), x), F.concat(F.lit("- "), x),
+            F.concat(F.lit("\n"), x), F.concat(F.lit("[^"), (i + 1).cast("string"), F.lit("]: "), x, F.lit("\n    "), x), F.concat(F.lit("## References\n"), x), F.concat(x, F.lit("\n\n~~~\n```\n"), x, F.lit("\n~~~")), F.concat(x, F.lit("\n---")), F.concat(F.lit("  - "), x),
+        ]
+        out = F.when(i % 12 == 0, kinds[0])
+        for k, e in enumerate(kinds[1:], 1):
+            out = out.when(i % 12 == k, e)
+        return out
+
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(T.sentences("text"), dressed), "\n").alias("text"))
+
+
+def _digest(df: DataFrame) -> DataFrame:
+    return df.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"))
+
+
+def markdown_unfenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(markdown_corpus(spark, sf_dir).select("doc_id", lines.without_fences("text").alias("text")))
+
+
+def markdown_apparatus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(lines.without_apparatus(markdown_corpus(spark, sf_dir).select("doc_id", lines.without_fences("text").alias("text"))))
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.blocks(markdown_corpus(spark, sf_dir)).select("doc_id", F.col("block_no").cast("int").alias("block_no"), "code", F.md5("text").alias("text_md5"))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.sections(markdown_corpus(spark, sf_dir)).withColumn("block_md5", F.md5("block")).drop("block")
+
+
+def markdown_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.group_lists(markdown_corpus(spark, sf_dir), run=2).select("doc_id", F.md5("text").alias("text_md5"), "merged")
+
+
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the voice filter that is a chain of expressions: mathematics, tags and entities."""
     x = read(spark, sf_dir, "pages").select("page_id", T.strip_entities(T.strip_html(T.strip_latex(T.strip_inline_code("html")))).alias("text"))
@@ -262,8 +302,13 @@ QUERIES: dict[str, Query] = {
     "document_diagnostics": over_corpus(scores.diagnostics),
     "baseline_targets": baseline_targets,
     "windows_out_of_band": windows_out_of_band,
+    "markdown_unfenced": markdown_unfenced,
+    "markdown_apparatus": markdown_apparatus,
+    "markdown_blocks": markdown_blocks,
+    "markdown_sections": markdown_sections,
+    "markdown_lists": markdown_lists,
     "chunk_plan": chunk_plan,
     "mask_round_trip": mask_round_trip,
     "british_spelling": british_spelling,
 }
-ORACLES: dict[str, str] = dict(sql.MEASURES)
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES
