@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import lines, markdown, profile, rewrite, scores, select, windows
+from ..operators import lines, markdown, profile, rewrite, scores, select, spelling, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql, sql_lines
+from . import sql, sql_lines, sql_spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -228,6 +228,18 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", F.size("m.originals").alias("masks"), (markdown.restore("m.text", "m.originals") == F.col("html")).alias("same"))
 
 
+def english_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: documents with an English phrase after each sentence, in turn."""
+    phrases = F.array(*map(F.lit, sql_spelling.PHRASES))
+    said = F.transform(T.sentences("text"), lambda x, i: F.concat_ws(" ", x, F.element_at(phrases, i % len(sql_spelling.PHRASES) + 1)))
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(said, " ").alias("text"))
+
+
+def local_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = spelling.localise(english_corpus(spark, sf_dir), spelling.rule_rows(spark, sql_spelling.RULES), sql_spelling.LOCALE)
+    return x.select("doc_id", F.md5("text").alias("text_md5"), "replaced")
+
+
 def british_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     swap = markdown.rows(lambda t: rewrite.guarded_spelling(t, "british"))
     return corpus(spark, sf_dir).select("doc_id", F.md5(swap("text")).alias("text_md5"))
@@ -310,5 +322,6 @@ QUERIES: dict[str, Query] = {
     "chunk_plan": chunk_plan,
     "mask_round_trip": mask_round_trip,
     "british_spelling": british_spelling,
+    "local_spelling": local_spelling,
 }
-ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | {"local_spelling": sql_spelling.SPELLING}
