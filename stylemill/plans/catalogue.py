@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import lines, markdown, profile, rewrite, scores, select, spelling, windows
+from ..operators import lines, markdown, profile, rewrite, scores, select, sequences, spelling, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql, sql_lines, sql_spelling
+from . import sql, sql_lines, sql_sequences, sql_spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -319,9 +319,13 @@ QUERIES: dict[str, Query] = {
     "markdown_blocks": markdown_blocks,
     "markdown_sections": markdown_sections,
     "markdown_lists": markdown_lists,
+    "bigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 2),
+    "trigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 3),
+    "repetition_corpus": over_corpus(sequences.corpus_repetition),
+    "openers_corpus": over_corpus(sequences.top_openers),
     "chunk_plan": chunk_plan,
     "mask_round_trip": mask_round_trip,
     "british_spelling": british_spelling,
     "local_spelling": local_spelling,
 }
-ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | {"local_spelling": sql_spelling.SPELLING}
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | {"local_spelling": sql_spelling.SPELLING}
