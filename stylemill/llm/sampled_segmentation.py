@@ -20,12 +20,13 @@ round_trip is false. Repeated rows get equal samples; a null doc_id is a key lik
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -37,7 +38,7 @@ SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 600_000, 80.0
 #: The lattices held are started anew when they have so many edges.
 EDGES = 6_000_000
 _M = lattice.MARK
-_PRE = re.compile(rf"{_M}*(?:[^\W\d_]+|(?:[^\w{_M}\n]|[\d_])+)|{_M}+|\n")
+_PRE = regex.compile(rf"{_M}*(?:\p{{L}}+|[^\p{{L}}{_M}\n]+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
 
@@ -48,6 +49,16 @@ def pre_tokens(text: str) -> list[str]:
     return _PRE.findall(lattice.MARK + text.replace(" ", lattice.MARK))
 
 
+@cache
+def vocabulary(path: str = lattice.MODEL) -> lattice.Vocabulary:
+    """The vocabulary, of which no piece goes across the end of a pre-token."""
+    v = lattice.vocabulary(path)
+    across = [p for p in v.pieces if len(_PRE.findall(p)) != 1]
+    if across:
+        raise ValueError(f"pre-tokens would cut the pieces {across[:5]}")
+    return v
+
+
 class Nodes(dict):
     """word -> its number, and the edges of all nodes of the words met so far with their conditional probabilities.
 
@@ -288,7 +299,7 @@ def encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, with_ids: bool =
     schema = SCHEMA + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = lattice.vocabulary()
+        v = vocabulary()
         codec, nodes = Codec(v), Nodes(v)
         for batch in batches:
             doc_ids, at = batch.column("doc_id").to_pylist(), 0

@@ -12,8 +12,9 @@ half of 1 + d + d(d-1)/2 runs at depth d.) Below, a tree over a run keeps in eac
 shares; a search accumulates a query's differences from them on the way down and prunes whole groups once they exceed the
 distance. A task holds one run, whose visitors stream past in batches; of each, only a spanning forest is passed on.
 
-Null and empty texts have the fingerprint zero and are linked like any other; a null doc_id never represents a group;
-repeated rows are repeated in the result.
+Null and empty texts have the fingerprint zero and are linked like any other. Links are between fingerprints: a row without a
+doc_id links others and gets the least doc_id that it reaches; a group in which no row has one has a null component_id.
+Repeated rows are repeated in the result.
 """
 
 from __future__ import annotations
@@ -150,8 +151,7 @@ def upper_depth(nodes: DataFrame) -> int:
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """nodes: fp, rep (distinct fingerprints and the least doc_id of each). Links (a, b) between reps that span all groups."""
-    nodes = nodes.where("rep is not null")
+    """nodes: fp, rep (distinct fingerprints and a number for each). Links (a, b) between reps that span all groups."""
     depth = upper_depth(nodes)
     # the upper nodes a code may have a partner below: its differences from their bits are within the distance. Of two codes
     # the one with the larger prefix goes to the other's node.
@@ -199,9 +199,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable) for each document."""
     fps = materialise(fingerprints(docs))
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = components(links(nodes.select("fp", "rep"), distance))
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "n")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), distance))
+    # components are of fingerprints, so that rows without an id link like any other; each is then named by its least id
+    placed = materialise(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    distinct, total = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = join_hot(placed.withColumnRenamed("n", "rows"), least, "component", distinct).select("fp", "component_id", F.col("rows").alias("n"))
     return join_hot(fps, named, "fp", total).select("doc_id", "fp", "component_id")
 
 
