@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .lines import blocks
+from .spans import block_of, packed, prefix_sums
 
 
 def voice_score(p: str | Column) -> Column:
@@ -39,6 +41,24 @@ def excerpts(docs: DataFrame, budget: int = 6000, least: int = 200, most: int =
     return p.select("profile", "rank", "doc_id", "para_no", F.round("score", 6).alias("score"), F.expr(f"substring(paragraph, 1, {budget} - cast(before as int))").alias("excerpt"))
 
 
+def batches(docs: DataFrame, budget: int = 4096, base: int = 0) -> DataFrame:
+    """Profile, doc_id, tokens, batch: a profile's texts in order of doc_id, as many to a prompt as its budget leaves beside `base`."""
+    x = docs.select("profile", "doc_id", T.token_estimate("text").alias("tokens"))
+    placed = prefix_sums(x, ["profile"], block_of(docs), ["doc_id"], "tokens")
+    return packed(placed, ["profile"], "tokens", max(1, budget - base)).select("profile", "doc_id", "tokens", "batch")
+
+
+def chunk_bounds(docs: DataFrame, tokens: int = 256, key: str = "doc_id") -> DataFrame:
+    """G1: key, chunk, first and last block, chars: Markdown blocks in order, as many to a chunk as four characters a token hold.
+
+    Blocks are joined by blank lines and never cut; one that is larger is a chunk alone, for `chunks` to take apart.
+    """
+    x = blocks(docs, key).select(key, "block_no", (F.length("text").cast("long") + 2).alias("size"))
+    placed = prefix_sums(x, [key], F.lit(0), ["block_no"], "size")
+    x = packed(placed, [key], "size", 4 * tokens + 2).groupBy(key, F.col("batch").alias("chunk"))
+    return x.agg(F.min("block_no").alias("first"), F.max("block_no").alias("last"), (F.sum("size") - 2).alias("chars"))
+
+
 def sampled_sentences(docs: DataFrame, parts: int = 24) -> DataFrame:
     """Every n-th sentence of a document, so that about `parts` are taken."""
     s = docs.select("doc_id", T.sentences("text").alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("sent_no", "sentence"))

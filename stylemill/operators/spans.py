@@ -65,6 +65,39 @@ def steps(rows: DataFrame, groups: list[str], step: int) -> DataFrame:
     return both.select(*groups, F.inline(pairs))
 
 
+def fills(rows: DataFrame, groups: list[str], size: str, budget: int) -> DataFrame:
+    """groups, at, next: the first row that no longer fits if rows from `at` on are taken while their sizes come to `budget` at most.
+
+    A row larger than that is taken alone. rows: of `prefix_sums`, of sizes of 1 or more. The row sought is the first that ends
+    beyond start + budget: it is among the ends of the bucket after that of the start, or follows them, or follows the row itself.
+    """
+    step = budget + 1
+    ends = rows.groupBy(*groups, F.floor((F.col("start") + F.col(size)) / step).alias("bucket")).agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.col(size)).alias("end"), "at"))).alias("ends"))
+    begins = rows.groupBy(*groups, F.floor(F.col("start") / step).alias("bucket")).agg(F.collect_list(F.struct("start", "at")).alias("own"))
+
+    def beside(left: DataFrame, off: int, name: str) -> DataFrame:
+        right = ends.select(*[F.col(k).alias(f"{k}_") for k in groups], (F.col("bucket") - off).alias("bucket_"), F.col("ends").alias(name))
+        return left.join(right, [*[left[k].eqNullSafe(right[f"{k}_"]) for k in groups], left["bucket"] == right["bucket_"]], "left").drop("bucket_", *[f"{k}_" for k in groups])
+
+    both = beside(beside(begins, 0, "here"), 1, "after")
+    past = F.element_at(F.coalesce("after", "here"), -1)["at"] + 1
+    found = lambda x: F.coalesce(F.get(F.filter("after", lambda y: y["end"] >= x["start"] + step), F.lit(0))["at"], past)
+    pairs = F.transform("own", lambda x: F.struct(x["at"].alias("at"), F.greatest(x["at"] + 1, F.coalesce(found(x), x["at"] + 1)).alias("next")))
+    return both.select(*groups, F.inline(pairs))
+
+
+def packed(rows: DataFrame, groups: list[str], size: str, budget: int) -> DataFrame:
+    """Rows (of `prefix_sums`) with `batch`: rows of a group in their order, each batch as many as fit into `budget`, one at least."""
+    rows = stored(rows)
+    pointers = stored(fills(rows, groups, size, budget))
+    first = chain(pointers, groups).withColumnsRenamed({k: f"{k}_" for k in groups})
+    heads = pointers.join(first.withColumnRenamed("at", "at_"), [*[F.col(k).eqNullSafe(F.col(f"{k}_")) for k in groups], F.col("at") == F.col("at_")])
+    # a batch has `budget` rows at most, for each has a size; the last pointer may lead past the end
+    places = heads.select(*[F.col(k).alias(f"{k}_") for k in groups], F.col("k").alias("batch"), F.explode(F.sequence("at", F.col("next") - 1)).alias("at_"))
+    both = rows.join(places, [*[rows[k].eqNullSafe(places[f"{k}_"]) for k in groups], rows["at"] == places["at_"]])
+    return both.drop("at_", *[f"{k}_" for k in groups])
+
+
 def chain(pointers: DataFrame, groups: list[str], most: int | None = None) -> DataFrame:
     """groups, at, k: the rows on the way from row 0 (k = 0) to next, and on; the first `most` of them.
 

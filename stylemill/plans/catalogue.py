@@ -228,6 +228,10 @@ def mask_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("page_id", F.size("m.originals").alias("masks"), (markdown.restore("m.text", "m.originals") == F.col("html")).alias("same"))
 
 
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.chunk_bounds(markdown_corpus(spark, sf_dir), tokens=64)
+
+
 def english_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text: documents with an English phrase after each sentence, in turn."""
     phrases = F.array(*map(F.lit, sql_spelling.PHRASES))
@@ -323,6 +327,8 @@ QUERIES: dict[str, Query] = {
     "trigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 3),
     "repetition_corpus": over_corpus(sequences.corpus_repetition),
     "openers_corpus": over_corpus(sequences.top_openers),
+    "document_batches": over_corpus(select.batches, 4096, 512),
+    "chunk_bounds": chunk_bounds,
     "chunk_plan": chunk_plan,
     "mask_round_trip": mask_round_trip,
     "british_spelling": british_spelling,

@@ -33,9 +33,12 @@ ap AS (SELECT {key}, {_TRIM("regexp_replace(coalesce(string_agg(line, chr(10) OR
 
 
 #: Parts of a text in order: prose and fences by turns. A part's lines are those before its last line feed.
-_PARTS = f"""pt AS (SELECT doc_id, unnest(range(len(p))) AS part, unnest(p) AS prose, unnest(list_concat(c, [''])) AS code FROM
+PARTS = f"""pt AS (SELECT doc_id, unnest(range(len(p))) AS part, unnest(p) AS prose, unnest(list_concat(c, [''])) AS code FROM
   (SELECT doc_id, string_split(regexp_replace(text, '{FENCE}', chr(1), 'g'), chr(1)) AS p, regexp_extract_all(text, '{FENCE}') AS c FROM md)),
 pc AS (SELECT doc_id, part, 0 AS kind, prose AS t FROM pt WHERE prose <> '' UNION ALL SELECT doc_id, part, 1, code FROM pt WHERE code <> '')"""
+BLOCKS = """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, kind, j) - 1)::INT AS block_no, kind = 1 AS code, t FROM
+  (SELECT doc_id, part, kind, unnest(range(len(x))) AS j, unnest(x) AS t FROM (SELECT *, CASE WHEN kind = 1 THEN [regexp_replace(t, '\\n$', '')]
+  ELSE list_filter(list_transform(regexp_split_to_array(t, '\\n(?:[ \\t]*\\n)+'), lambda y: regexp_replace(y, '^\\n+|\\n+$', '', 'g')), lambda y: trim(y) <> '') END AS x FROM pc))"""
 _NUMBERED = "ln AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, kind, j) - 1 AS n FROM (SELECT doc_id, part, kind, unnest(range(len(x))) AS j, unnest(x) AS line FROM (SELECT *, string_split(regexp_replace(t, '\\n$', ''), chr(10)) AS x FROM pc)))"
 
 _MONTHS = "'january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'"
@@ -64,10 +67,8 @@ v AS (SELECT page_id, trim({chained(_TRIM(chained("text", ("[ " + chr(92) + "t]{
 LINES: dict[str, str] = {
     "markdown_unfenced": f"WITH {MD} SELECT doc_id, md5({_UNFENCED}) AS text_md5, CAST(length({_UNFENCED}) AS BIGINT) AS chars FROM md",
     "markdown_apparatus": f"WITH {MD}, u AS (SELECT doc_id, {_UNFENCED} AS text FROM md),\n{apparatus('u', 'doc_id')}\nSELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS chars FROM ap",
-    "markdown_blocks": f"""WITH {MD},\n{_PARTS},
-b AS (SELECT doc_id, part, kind, unnest(range(len(x))) AS j, unnest(x) AS t FROM (SELECT *, CASE WHEN kind = 1 THEN [regexp_replace(t, '\\n$', '')] ELSE list_filter(list_transform(regexp_split_to_array(t, '\\n(?:[ \\t]*\\n)+'), lambda y: regexp_replace(y, '^\\n+|\\n+$', '', 'g')), lambda y: trim(y) <> '') END AS x FROM pc))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, kind, j) - 1)::INT AS block_no, kind = 1 AS code, md5(t) AS text_md5 FROM b""",
-    "markdown_sections": f"""WITH {MD},\n{_PARTS},\n{_NUMBERED},
+    "markdown_blocks": f"WITH {MD},\n{PARTS},\nb AS ({BLOCKS})\nSELECT doc_id, block_no, code, md5(t) AS text_md5 FROM b",
+    "markdown_sections": f"""WITH {MD},\n{PARTS},\n{_NUMBERED},
 hd AS (SELECT *, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS stop FROM ln WHERE kind = 0 AND regexp_matches(line, '{ATX}'))
 SELECT hd.doc_id, hd.n::INT AS start_line, trim(regexp_extract(any_value(hd.line), '{ATX}', 2)) AS title, {_KEY("trim(regexp_extract(any_value(hd.line), '" + ATX + "', 2))")} AS title_key, length(regexp_extract(any_value(hd.line), '{ATX}', 1))::INT AS level,
   (max(ln.n) + 1)::INT AS end_line, md5(string_agg(ln.line, chr(10) ORDER BY ln.n)) AS block_md5 FROM hd JOIN ln ON ln.doc_id = hd.doc_id AND ln.n >= hd.n AND ln.n < coalesce(stop, 1000000000) GROUP BY hd.doc_id, hd.n""",

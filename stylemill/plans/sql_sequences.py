@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicons as L
 from .sql import D, listed, sentences, top, with_, words
+from .sql_lines import BLOCKS, MD, PARTS
 
 _T = f"tk AS (SELECT profile, doc_id, unnest(range(len(w))) AS i, unnest(w) AS t FROM (SELECT profile, doc_id, {words('lower(text)')} AS w FROM d))"
 
@@ -32,3 +33,24 @@ SEQUENCES: dict[str, str] = {
         select=top("c", "phrase", "n DESC, first", 20),
     ),
 }
+
+
+def packing(source: str, group: str, budget: int) -> str:
+    """A walk over the rows (group, r, size) of `source`, one after the other: group, r, batch."""
+    return f"""walk AS (
+  SELECT {group}, r, size AS used, 0 AS batch FROM {source} WHERE r = 1
+  UNION ALL SELECT n.{group}, n.r, CASE WHEN used + n.size > {budget} THEN n.size ELSE used + n.size END, CASE WHEN used + n.size > {budget} THEN batch + 1 ELSE batch END
+  FROM walk JOIN {source} n ON n.{group} = walk.{group} AND n.r = walk.r + 1
+)"""
+
+
+SEQUENCES["document_batches"] = f"""WITH RECURSIVE {D},
+s AS (SELECT profile, doc_id, CAST(greatest(1, (length(text) + 3) // 4) AS BIGINT) AS size, row_number() OVER (PARTITION BY profile ORDER BY doc_id) AS r FROM d),
+{packing("s", "profile", 4096 - 512)}
+SELECT profile, doc_id, size AS tokens, batch FROM walk JOIN s USING (profile, r)"""
+SEQUENCES["chunk_bounds"] = f"""WITH RECURSIVE {MD},
+{PARTS},
+b AS ({BLOCKS}),
+s AS (SELECT doc_id, block_no, length(t) + 2 AS size, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS r FROM b),
+{packing("s", "doc_id", 4 * 64 + 2)}
+SELECT doc_id, batch AS chunk, min(block_no) AS first, max(block_no) AS last, sum(size)::BIGINT - 2 AS chars FROM walk JOIN s USING (doc_id, r) GROUP BY doc_id, batch"""

@@ -54,6 +54,19 @@ def test_steps_and_chains(spark, sizes, step, most):
     assert {tuple(r) for r in spans.chain(nexts, ["g"], most).collect()} == first
 
 
+@pytest.mark.parametrize("budget", [1, 60, 350, 100_000])
+def test_packing(spark, sizes, budget):
+    want = {}
+    for w in walks(sizes):
+        used = batch = 0
+        for k, (g, i, n, _, _) in enumerate(w):
+            if k and used + n > budget:
+                batch, used = batch + 1, 0
+            used += n
+            want[g, i] = batch
+    assert {(r.g, r.id): r.batch for r in spans.packed(placed(spark, sizes), ["g"], "n", budget).collect()} == want
+
+
 def test_empty(spark):
     assert spans.chain(spans.steps(placed(spark, []), ["g"], 10), ["g"]).count() == 0
 
