@@ -261,8 +261,8 @@ def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
     return docs.select("profile").distinct().join(one(2, "bigram_repeat_rate"), "profile", "left").join(one(3, "trigram_repeat_rate"), "profile", "left").na.fill(0.0)
 
 
-def document_repetition(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    """A23 where each profile is one document: its n-grams are sorted within the row, so nothing is shuffled.
+def document_repetition(docs: DataFrame, *keep: str, stop: list[str] | None = None) -> DataFrame:
+    """A23 where each profile is one document: its n-grams are sorted within the row, so nothing is shuffled. keep: further columns.
 
     In sorted order, an n-gram occurs three times or more if one of the runs of three around it is all alike.
     """
@@ -281,8 +281,8 @@ def document_repetition(docs: DataFrame, stop: list[str] | None = None) -> DataF
         places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
         return r6(F.size(F.filter(places, thrice)) / F.greatest(F.lit(1), F.size(s)))
 
-    x = docs.select("profile", T.lower_words("text").alias("w")).select("profile", sorted_grams(2).alias("two"), sorted_grams(3).alias("three"))
-    return x.select("profile", share("two").alias("bigram_repeat_rate"), share("three").alias("trigram_repeat_rate"))
+    x = docs.select("profile", *keep, T.lower_words("text").alias("w")).select("profile", *keep, sorted_grams(2).alias("two"), sorted_grams(3).alias("three"))
+    return x.select("profile", *keep, share("two").alias("bigram_repeat_rate"), share("three").alias("trigram_repeat_rate"))
 
 
 def lexical_diversity(docs: DataFrame) -> DataFrame:

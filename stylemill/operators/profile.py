@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.stored import stored
 from . import measure as M
 
 SECTIONS = ("sentence", "paragraph", "one_sentence", "punctuation", "orthography", "stance", "rhetoric_moves", "epistemic_profile", "paragraph_cadence", "syntax_texture", "lexical_avoidance", "discourse_markers", "repetition")
@@ -34,18 +35,18 @@ def _total(values: str, square: bool = False) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + (x * x if square else x))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """profile and the additive counts of each document, by name."""
+def counts(docs: DataFrame, *keep: str) -> DataFrame:
+    """profile, the columns to keep, and the additive counts of each document, by name."""
     listed = sorted({t for lexicon in (L.STANCE, L.EPISTEMIC, L.AVOIDANCE, {"": L.SUBORDINATORS}) for terms in lexicon.values() for t in terms})
     some = lambda text, terms: reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
     # each step computes once what the next one uses many times
-    x = docs.select("profile", "text", F.lower("text").alias("low"), T.lower_words("text").alias("w"), T.sentences("text").alias("s"), T.paragraphs("text").alias("p"))
+    x = docs.select("profile", *keep, "text", F.lower("text").alias("low"), T.lower_words("text").alias("w"), T.sentences("text").alias("s"), T.paragraphs("text").alias("p"))
     x = x.select(
-        "profile", "text", "low", F.size("w").alias("nw"), F.filter("w", lambda t: t.isin(listed)).alias("w"),
+        "profile", *keep, "text", "low", F.size("w").alias("nw"), F.filter("w", lambda t: t.isin(listed)).alias("w"),
         F.transform("s", lambda s: F.struct(F.lower(s).alias("low"), T.lower_words(s).alias("w"))).alias("s"), F.transform("p", T.sentences).alias("ps"),
     )
     x = x.select(
-        "profile", "text", "low", "nw", "w", "ps", F.transform("s", lambda s: F.size(s["w"]).cast("long")).alias("len"),
+        "profile", *keep, "text", "low", "nw", "w", "ps", F.transform("s", lambda s: F.size(s["w"]).cast("long")).alias("len"),
         F.transform("s", lambda s: F.struct(s["low"], F.size(s["w"]).alias("n"), F.array_join(F.slice(s["w"], 1, 3), " ").alias("start"), F.array_join(F.slice(s["w"], 2, F.greatest(F.size(s["w"]) - 1, F.lit(0))), " ").alias("rest"))).alias("s"),
     )
     size = lambda s: T.word_count(s).cast("long")
@@ -70,7 +71,12 @@ def counts(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("s", lambda s: some(s["low"], terms)))
 
     named |= {f"rh_{k}": marked(t) for k, t in L.RHETORIC.items()}
-    return x.select("profile", *[c.cast("long").alias(k) for k, c in named.items()])
+    return x.select("profile", *keep, *[c.cast("long").alias(k) for k, c in named.items()])
+
+
+def summed(counted: DataFrame) -> DataFrame:
+    """One row of counts for each profile."""
+    return counted.groupBy("profile").agg(*[F.sum(k).alias(k) for k, kind in counted.dtypes if kind == "bigint" and k not in ("profile", "doc_id")])
 
 
 def _deviation(n: str, s1: str, s2: str) -> Column:
@@ -82,16 +88,14 @@ def _share(keys: list[str]) -> Column:
     return F.array(*[F.when(total > 0, F.col(k) / total).otherwise(0.0) for k in keys])
 
 
-def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False) -> DataFrame:
-    """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row."""
-    c = counts(docs)
-    x = c.groupBy("profile").agg(*[F.sum(k).alias(k) for k in c.columns if k != "profile"])
+def vectors(counted: DataFrame, *keep: str) -> DataFrame:
+    """profile, the columns to keep, words and an array<double> for each section that counts give, of each row of counts."""
     words = F.col("words")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     rates = lambda keys: F.array(*[M.rate(F.col(k), words) for k in keys])
     paren = (F.col("pu_parentheses_open") + F.col("pu_parentheses_close")).alias("par")
-    x = x.select("*", paren).select(
-        "profile", "words", _share([f"sh{i}" for i in range(5)]).alias("sentence"), _share([f"ph{i}" for i in range(5)]).alias("paragraph"),
+    x = counted.select("*", paren).select(
+        "profile", *keep, "words", _share([f"sh{i}" for i in range(5)]).alias("sentence"), _share([f"ph{i}" for i in range(5)]).alias("paragraph"),
         F.array(F.col("one") / F.greatest(F.lit(1), "paragraphs")).alias("one_sentence"), rates([f"pu_{k}" for k in L.PUNCTUATION]).alias("punctuation"),
         F.array(F.col("contractions") / F.greatest(F.lit(1), words), F.col("comma_ands") / F.greatest(F.lit(1), "ands")).alias("orthography"),
         rates([f"st_{k}" for k in L.STANCE]).alias("stance"),
@@ -102,16 +106,58 @@ def measurements(docs: DataFrame, repetition: bool = True, function_words: bool
         rates(["starts", "mids"]).alias("discourse_markers"),
         ratio("len1", "sentences").alias("sentence_mean"), _deviation("sentences", "len1", "len2").alias("sentence_stdev"),
     )
+    if "fw" in counted.columns:
+        x = x.withColumn("function_words", F.transform("fw", lambda n: M.rate(n, F.col("words")))).drop("fw")
+    return x
+
+
+def totals(docs: DataFrame, function_words: bool = True) -> DataFrame:
+    """A stored row of counts for each profile, from which `vectors` and `whole` are read; fw: those of the function words, in their order."""
+    x = summed(counts(docs))
     if function_words:
         listed = F.array_sort(F.collect_list(F.struct("place", "n")))  # a row for each word of the list
-        fw = M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw"))
-        x = x.join(fw, "profile").withColumn("function_words", F.transform("fw", lambda n: M.rate(n, F.col("words")))).drop("fw")
+        x = x.join(M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw")), "profile")
+    return stored(x)
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """The counts of all profiles together, from those of each: the profile `all`."""
+    x = summed(rows.withColumn("profile", F.lit("all")))
+    if "fw" in rows.columns:
+        each = rows.select(F.posexplode("fw").alias("place", "n")).groupBy("place").agg(F.sum("n").alias("n"))
+        fw = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "n"))), lambda r: r["n"]).alias("fw")).withColumn("profile", F.lit("all"))
+        x = x.join(fw, "profile")
+    return x
+
+
+def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False) -> DataFrame:
+    """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row."""
+    c = summed(counts(docs))
+    if function_words:
+        listed = F.array_sort(F.collect_list(F.struct("place", "n")))
+        c = c.join(M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw")), "profile")
+    x = vectors(c, *(["fw"] if function_words else []))
     if not repetition:
         return x
-    r = (M.document_repetition if single else M.repetition_rates)(docs).select("profile", F.array("bigram_repeat_rate", "trigram_repeat_rate").alias("repetition"))
+    return with_repetition(x, (M.document_repetition if single else M.repetition_rates)(docs))
+
+
+def with_repetition(x: DataFrame, rates: DataFrame) -> DataFrame:
+    r = rates.select("profile", F.array("bigram_repeat_rate", "trigram_repeat_rate").alias("repetition"))
     return x.join(r, "profile", "left").withColumn("repetition", F.coalesce("repetition", F.array(F.lit(0.0), F.lit(0.0))))
 
 
+def documents_and_profiles(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, profile, sections) of each document, and the sections of each profile: one pass counts both; docs: profile, doc_id, text.
+
+    Profiles' counts are sums of their documents'; only repetition needs the n-grams of a whole profile.
+    """
+    rates = ("bigram_repeat_rate", "trigram_repeat_rate")
+    counted = stored(counts(M.document_repetition(docs, "doc_id", "text"), "doc_id", *rates))
+    own = vectors(counted, "doc_id", *rates).withColumn("repetition", F.array(*rates)).withColumn("id", F.col("doc_id").cast("string"))
+    return own.drop("doc_id", *rates), with_repetition(vectors(summed(counted)), M.repetition_rates(docs))
+
+
 def _fold(a: Column, b: Column, fn) -> Column:
     return F.aggregate(F.zip_with(a, b, fn), F.lit(0.0), lambda s, x: s + x)
 
@@ -226,18 +272,27 @@ def match_probability(scored: DataFrame, threshold: float = 0.59, slope: float =
 def similarity(profiles: DataFrame, weights: dict[str, float] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Each pair of profiles (a, b) with its components and their weighted mean.
 
-    pairs: rows (a, b) of names; without it all pairs a < b of at most 500 profiles. Names alone are paired, rows are joined.
+    pairs: rows (a, b) of names; without it all pairs a < b, which are what is asked for, dealt by pairs of blocks of profiles.
     """
-    spark = profiles.sparkSession
+    profiles = stored(profiles)
     if pairs is None:
-        names = sorted(r.profile for r in profiles.select("profile").limit(501).collect())
-        if len(names) > 500:
-            raise ValueError("over 500 profiles: name the pairs to compare")
-        pairs = spark.createDataFrame([(x, y) for i, x in enumerate(names) for y in names[i + 1 :]], "a string, b string")
+        pairs = all_pairs(profiles)
     a, b = (profiles.select(F.col("profile").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in profiles.columns]) for p in "ab")
     return similarity_of(pairs.join(a, "a").join(b, "b"), L.SIMILARITY_WEIGHTS | (weights or {}))
 
 
+def all_pairs(profiles: DataFrame, block: int = 256) -> DataFrame:
+    """a, b: each pair of names a < b once. A profile goes to the pairs of its block with every block, and meets its partners there."""
+    blocks = -(-profiles.count() // block) or 1
+    own = F.pmod(F.xxhash64("profile"), F.lit(blocks))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
+    x = profiles.select("profile", own.alias("own"), F.explode(every).alias("other")).select("profile", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    l, r = x.select("lo", "hi", F.col("profile").alias("a")), x.select("lo", "hi", F.col("profile").alias("b"))
+    # two of one block meet in its pair with itself alone
+    l, r = (d.join(profiles.select(F.col("profile").alias(c), own.alias(f"own_{c}")), c) for d, c in ((l, "a"), (r, "b")))
+    return l.join(r, ["lo", "hi"]).where((F.col("a") < F.col("b")) & ((F.col("own_a") != F.col("own_b")) | (F.col("lo") == F.col("hi")))).select("a", "b")
+
+
 def similarity_of(pairs: DataFrame, w: dict[str, float] | None = None) -> DataFrame:
     """The same for given pairs: rows with the columns of two profiles, prefixed a_ and b_."""
     w = w or L.SIMILARITY_WEIGHTS

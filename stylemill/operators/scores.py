@@ -37,8 +37,9 @@ def naturalness(docs: DataFrame, weights: dict[str, float] | None = None) -> Dat
         [M.burstiness(docs), M.repetition_rates(docs), marks, named(M.punctuation_entropy(docs), "punct_entropy"), named(M.function_word_entropy(docs), "fw_entropy"), named(M.char_trigram_entropy(docs), "tri_entropy")],
         words,
     ).na.fill(0.0)
-    own = P.measurements(docs, repetition=False).select("profile", "sentence", "function_words")
-    whole = P.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.lit(1).alias("one"), F.col("sentence").alias("ts"), F.col("function_words").alias("tf"))
+    counted = P.totals(docs)
+    own = P.vectors(counted, "fw").select("profile", "sentence", "function_words")
+    whole = P.vectors(P.whole(counted), "fw").select(F.lit(1).alias("one"), F.col("sentence").alias("ts"), F.col("function_words").alias("tf"))
     near = own.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # a single row
     near = near.select("profile", M.r6(P.kl_divergence(F.col("function_words"), F.col("tf"))).alias("kl"), M.r6(P.raw_js_divergence(F.col("sentence"), F.col("ts"))).alias("js"))
     x = x.join(near, "profile").withColumn("repeat", (F.col("bigram_repeat_rate") + F.col("trigram_repeat_rate")) / 2)

@@ -121,10 +121,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the profile of its source."""
-    docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False, single=True).withColumnRenamed("profile", "id")
-    own = own.join(docs.select(F.col("doc_id").cast("string").alias("id"), "profile"), "id")
-    return profile.compliance(own, profile.measurements(docs, function_words=False))
+    return profile.compliance(*profile.documents_and_profiles(corpus(spark, sf_dir)))
 
 
 def compliance_doc_vs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,10 +147,9 @@ def worst_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kl_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source's function words from those of the whole corpus."""
-    docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs, repetition=False).select("profile", "function_words")
-    whole = profile.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.col("function_words").alias("q"))
-    x = own.withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one")  # a single row
+    counted = profile.totals(corpus(spark, sf_dir))
+    own = profile.vectors(counted, "fw").select("profile", "function_words")
+    x = with_whole(own, profile.vectors(profile.whole(counted), "fw").select(F.col("function_words").alias("q")))
     return x.select("profile", M.r6(profile.kl_divergence(F.col("function_words"), F.col("q"))).alias("kl"))
 
 
@@ -164,9 +160,9 @@ def with_whole(own: DataFrame, whole: DataFrame) -> DataFrame:
 
 def cosine_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source's function words and those of the whole corpus; and the divergence of its sentence lengths."""
-    docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs, repetition=False).select("profile", "function_words", "sentence")
-    whole = profile.measurements(docs.withColumn("profile", F.lit("all")), repetition=False).select(F.col("function_words").alias("q"), F.col("sentence").alias("s"))
+    counted = profile.totals(corpus(spark, sf_dir))
+    own = profile.vectors(counted, "fw").select("profile", "function_words", "sentence")
+    whole = profile.vectors(profile.whole(counted), "fw").select(F.col("function_words").alias("q"), F.col("sentence").alias("s"))
     return with_whole(own, whole).select(
         "profile", M.r6(profile.cosine(F.col("function_words"), F.col("q"))).alias("cosine"), M.r6(profile.raw_js_divergence(F.col("sentence"), F.col("s"))).alias("sentence_js"),
     )

@@ -180,3 +180,15 @@ def test_phrase_filter(docs, spark):
     phrases = spark.createDataFrame([("a", "anna bell"), ("a", "old mill"), ("a", "in march"), ("a", "mill stood")], "profile string, phrase string")
     kept = {r.phrase for r in select.drop_names(phrases, M.capitalisation(d), ["mill stood"]).collect()}
     assert kept == {"old mill"}
+
+
+def test_all_pairs_of_blocks_of_profiles(spark):
+    names = [f"p{i:03d}" for i in range(90)]
+    pairs = P.all_pairs(spark.createDataFrame([(n,) for n in names], "profile string"), block=8).collect()
+    assert len(pairs) == len({(r.a, r.b) for r in pairs}) == 90 * 89 // 2 and all(r.a < r.b for r in pairs)
+
+
+def test_whole_is_the_sum_of_its_profiles(docs):
+    d = docs("The cat may sleep, and it does; we must go.", "Now what? The end of it.").withColumn("profile", F.col("doc_id").cast("string"))
+    one = P.measurements(d.withColumn("profile", F.lit("all")), repetition=False).drop("fw").first()
+    assert P.vectors(P.whole(P.totals(d)), "fw").select(*one.__fields__).first() == one
