@@ -8,13 +8,14 @@ import tarfile
 import unicodedata
 import xml.etree.ElementTree as ElementTree
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.lines import voice_filter
 
 TEXT_SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".rtf", ".html", ".htm", ".tex", ".csv")
 TAR_SUFFIXES = (".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")
@@ -41,24 +42,25 @@ def docx_text(raw: bytes) -> str:
 
 
 def members(path: str, raw: bytes, most: int = MOST_BYTES) -> Iterator[tuple[str, bytes]]:
-    """Names and leading bytes of an archive's files."""
+    """Names and leading bytes of an archive's files; DOCX files are whole, for a part of one can't be read."""
+    cut = lambda name: -1 if name.lower().endswith(".docx") else most
     low = path.lower()
     if low.endswith(".zip"):
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
             for i in sorted(z.infolist(), key=lambda i: i.filename):
                 if not i.is_dir():
                     with z.open(i) as f:
-                        yield i.filename, f.read(most)
+                        yield i.filename, f.read(cut(i.filename))
     elif low.endswith(TAR_SUFFIXES):
         with tarfile.open(fileobj=io.BytesIO(raw)) as t:
             for m in sorted((m for m in t.getmembers() if m.isfile()), key=lambda m: m.name):
-                yield m.name, t.extractfile(m).read(most)
+                yield m.name, t.extractfile(m).read(cut(m.name))
     else:
         raise ValueError(f"not an archive: {path}")
 
 
-def read_corpus(spark: SparkSession, path: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, least: int = LEAST_CHARS) -> DataFrame:
-    """Path, text of the text and DOCX files under a folder, inside archives too, cleaned.
+def read_corpus(spark: SparkSession, path: str, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, least: int = LEAST_CHARS, voiced: bool = False) -> DataFrame:
+    """Path, text of the text and DOCX files under a folder, inside archives too, cleaned; voiced: by the voice filter as well.
 
     Files that can't be read and texts of under `least` characters are left out; of the rest the first `most_files` by path.
     """
@@ -68,7 +70,7 @@ def read_corpus(spark: SparkSession, path: str, most_files: int = MOST_FILES, mo
             for p, raw in zip(batch["path"], batch["content"], strict=True):
                 out = []
                 try:
-                    files = list(members(p, raw, most_bytes)) if p.lower().endswith((".zip", *TAR_SUFFIXES)) else [("", raw[:most_bytes])]
+                    files = list(members(p, raw, most_bytes)) if p.lower().endswith((".zip", *TAR_SUFFIXES)) else [("", raw if p.lower().endswith(".docx") else raw[:most_bytes])]
                 except (zipfile.BadZipFile, tarfile.TarError, OSError):
                     continue
                 for name, data in files:
@@ -84,7 +86,9 @@ def read_corpus(spark: SparkSession, path: str, most_files: int = MOST_FILES, mo
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     rows = raw.mapInPandas(texts, "path string, text string")
-    rows = rows.select("path", T.strip_base64_images(T.normalize("text")).alias("text")).where(F.length("text") >= least)
+    rows = rows.select("path", T.strip_base64_images(T.normalize("text")).alias("text"))
+    # a text's length counts once its filters are through
+    rows = (voice_filter(rows, "path") if voiced else rows).where(F.length("text") >= least)
     return rows.orderBy("path").limit(most_files)
 
 
@@ -100,6 +104,39 @@ def read_common_words(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy("word").agg(F.max("zipf").alias("zipf"))
 
 
+_ANY = "struct<any:array<string>>"
+_RULES = (
+    "rules struct<direct_variants:array<struct<variants:map<string,string>>>,suffix_variants:array<struct<variants:map<string,string>,suffixes:array<string>>>,"
+    f"context_variants:array<struct<variants:map<string,string>,apply_if:{_ANY},avoid_if:{_ANY},block_if:{_ANY},window:int>>,double_l_inflection:struct<bases:array<string>,suffixes:array<string>>>"
+)
+
+
+def read_spelling_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules of a JSON file as rows of `operators.spelling.RULES`; the bases that double their l are a variant each."""
+    x = spark.read.schema(_RULES).option("multiLine", True).json(path).select("rules.*")
+    none = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(c, none)
+
+    def rows(kind: str, items: Column, variants: Callable[[Column], Column], **more: Callable[[Column], Column]) -> DataFrame:
+        each = x.select(F.posexplode(items).alias("rank", "r"), "double_l_inflection")
+        columns = [more[c](F.col("r")).alias(c) if c in more else none.alias(c) for c in ("suffixes", "apply_any", "avoid_any", "block_any")]
+        near = F.coalesce(more["near"](F.col("r")), F.lit(6)) if "near" in more else F.lit(6)
+        return each.select("rank", F.lit(kind).alias("kind"), variants(F.col("r")).alias("variants"), *columns, near.alias("near"))
+
+    own = lambda r: r["variants"]
+    listed = {f"{k}_any": lambda r, k=k: words(r[f"{k}_if"]["any"]) for k in ("apply", "avoid", "block")}
+    out = rows("direct", F.col("direct_variants"), own).unionByName(rows("suffix", F.col("suffix_variants"), own, suffixes=lambda r: words(r["suffixes"])))
+    out = out.unionByName(rows("context", F.col("context_variants"), own, near=lambda r: r["window"], **listed))
+    return out.unionByName(rows("double", F.col("double_l_inflection.bases"), lambda r: F.create_map(F.lit("us"), r), suffixes=lambda r: words(F.col("double_l_inflection.suffixes"))))
+
+
+def read_emoji(spark: SparkSession, path: str) -> DataFrame:
+    """Emoji, replacement, description of a JSON object with an entry for each emoji."""
+    entry = "map<string,struct<replacement:string,description:string>>"
+    x = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", entry)).alias("emoji", "x"))
+    return x.select("emoji", "x.replacement", "x.description")
+
+
 def plain_name(name: str) -> str:
     """Letters and digits without accents."""
     t = "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
