@@ -147,17 +147,6 @@ def with_repetition(x: DataFrame, rates: DataFrame) -> DataFrame:
     return x.join(r, "profile", "left").withColumn("repetition", F.coalesce("repetition", F.array(F.lit(0.0), F.lit(0.0))))
 
 
-def documents_and_profiles(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, profile, sections) of each document, and the sections of each profile: one pass counts both; docs: profile, doc_id, text.
-
-    Profiles' counts are sums of their documents'; only repetition needs the n-grams of a whole profile.
-    """
-    rates = ("bigram_repeat_rate", "trigram_repeat_rate")
-    counted = stored(counts(M.document_repetition(docs, "doc_id", "text"), "doc_id", *rates))
-    own = vectors(counted, "doc_id", *rates).withColumn("repetition", F.array(*rates)).withColumn("id", F.col("doc_id").cast("string"))
-    return own.drop("doc_id", *rates), with_repetition(vectors(summed(counted)), M.repetition_rates(docs))
-
-
 def _fold(a: Column, b: Column, fn) -> Column:
     return F.aggregate(F.zip_with(a, b, fn), F.lit(0.0), lambda s, x: s + x)
 
