@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import lines, markdown, profile, rewrite, scores, select, sequences, spelling, windows
+from ..operators import lines, markdown, profile, repeats, rewrite, scores, select, sequences, spelling, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql, sql_lines, sql_sequences, sql_spelling
+from . import sql, sql_lines, sql_repeats, sql_sequences, sql_spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,21 @@ def markdown_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.group_lists(markdown_corpus(spark, sf_dir), run=2).select("doc_id", F.md5("text").alias("text_md5"), "merged")
 
 
+def prose_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as paragraphs, some of which come again, with a word or a mark more; without those."""
+
+    def said(s: Column) -> Column:
+        def here(x: Column, i: Column) -> Column:
+            n = i + 1
+            return F.when(n % 3 == 0, F.array(x, F.concat(F.get(s, i - 2), F.lit(" so.")))).when(n % 5 == 0, F.array(x, F.concat(x, F.lit(" !")))).otherwise(F.array(x))
+
+        return F.flatten(F.transform(s, here))
+
+    flat = F.transform(T.sentences("text"), lambda x: F.regexp_replace(x, r"\s+", " "))
+    x = read(spark, sf_dir, "documents").select("doc_id", flat.alias("s")).select("doc_id", F.array_join(said(F.col("s")), "\n\n").alias("text"))
+    return repeats.drop_repeated_blocks(x, **sql_repeats.RULE).select("doc_id", F.md5("text").alias("text_md5"), "dropped")
+
+
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the voice filter that is a chain of expressions: mathematics, tags and entities."""
     x = read(spark, sf_dir, "pages").select("page_id", T.strip_entities(T.strip_html(T.strip_latex(T.strip_inline_code("html")))).alias("text"))
@@ -322,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "markdown_blocks": markdown_blocks,
     "markdown_sections": markdown_sections,
     "markdown_lists": markdown_lists,
+    "prose_repeats": prose_repeats,
     "bigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 2),
     "trigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 3),
     "repetition_corpus": over_corpus(sequences.corpus_repetition),
@@ -333,4 +349,4 @@ QUERIES: dict[str, Query] = {
     "british_spelling": british_spelling,
     "local_spelling": local_spelling,
 }
-ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | {"local_spelling": sql_spelling.SPELLING}
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | sql_repeats.REPEATS | {"local_spelling": sql_spelling.SPELLING}
