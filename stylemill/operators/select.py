@@ -75,21 +75,3 @@ def extractive_summary(docs: DataFrame, k: int = 2, stop: list[str] | None = Non
     score = c.join(freq, ["doc_id", "token"]).groupBy("doc_id", "sent_no").agg(F.sum(F.col("n") * F.col("f")).alias("score"))
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "sent_no")
     return score.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("doc_id", "sent_no", "score", "rank")
-
-
-def drop_names(phrases: DataFrame, ratios: DataFrame, entities: list[str] | None = None) -> DataFrame:
-    """Phrases (profile, phrase, ...) without those that look like names, dates or listed entities.
-
-    ratios: capitalisation of the profile's tokens (measure.capitalisation).
-    """
-    months = "january february march april may june july august september october november december".split()
-    titles = "mr mrs ms dr prof sir lady lord saint st".split()
-    listed = {e.lower() for e in entities or []}
-    w = F.split("phrase", " ")
-    dated = F.exists(w, lambda x: x.isin(months) | x.rlike(r"^(?:19|20)\d{2}$")) | F.exists(w, lambda x: x.isin(titles))
-    spans = F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda n: F.array_join(F.slice(w, i, n), " ")))
-    named = F.exists(F.flatten(spans), lambda x: x.isin(list(listed))) if listed else F.lit(False)
-    kept = phrases.where(~dated & ~named)
-    t = kept.select("profile", "phrase", F.explode(F.split("phrase", " ")).alias("token")).join(ratios.select("profile", "token", "cap_ratio"), ["profile", "token"])
-    caps = t.groupBy("profile", "phrase").agg(F.max("cap_ratio").alias("m"), F.count_if(F.col("cap_ratio") >= 0.4).alias("c")).where((F.col("m") >= 0.6) | (F.col("c") >= 2))
-    return kept.join(caps.select("profile", "phrase"), ["profile", "phrase"], "left_anti")

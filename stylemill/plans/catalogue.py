@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import lines, markdown, profile, repeats, rewrite, scores, select, sequences, spelling, windows
+from ..operators import entities, lines, markdown, profile, repeats, rewrite, scores, select, sequences, spelling, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql, sql_lines, sql_repeats, sql_sequences, sql_spelling
+from . import sql, sql_entities, sql_lines, sql_repeats, sql_sequences, sql_spelling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +119,25 @@ def prose_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeated_blocks(x, **sql_repeats.RULE).select("doc_id", F.md5("text").alias("text_md5"), "dropped")
 
 
+def clauses(docs: DataFrame, text: str) -> DataFrame:
+    """docs with `clause`: what stands between marks and ends of lines."""
+    return docs.withColumn("clause", F.explode(F.split(text, r"[.,;:!?\n]+"))).withColumn("clause", F.trim("clause")).where("clause <> ''")
+
+
+def unnamed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of each source, without those that look like names or dates or hold a clause of a page's title."""
+    docs = corpus(spark, sf_dir)
+    phrases = clauses(docs, "text").groupBy("profile", F.lower("clause").alias("phrase")).agg(F.count("*").alias("n"))
+    names = clauses(page_titles(spark, sf_dir), "title").select("clause")
+    return entities.drop_names(phrases, M.capitalisation(docs), names)
+
+
+def named_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of all documents that hold a clause of a page's title."""
+    names = entities.listed_names(clauses(page_titles(spark, sf_dir), "title"), "clause")
+    return entities.holding(clauses(corpus(spark, sf_dir), "text").select(F.lower("clause").alias("phrase")), names)
+
+
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the voice filter that is a chain of expressions: mathematics, tags and entities."""
     x = read(spark, sf_dir, "pages").select("page_id", T.strip_entities(T.strip_html(T.strip_latex(T.strip_inline_code("html")))).alias("text"))
@@ -338,6 +357,8 @@ QUERIES: dict[str, Query] = {
     "markdown_sections": markdown_sections,
     "markdown_lists": markdown_lists,
     "prose_repeats": prose_repeats,
+    "named_phrases": named_phrases,
+    "unnamed_phrases": unnamed_phrases,
     "bigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 2),
     "trigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 3),
     "repetition_corpus": over_corpus(sequences.corpus_repetition),
@@ -349,4 +370,4 @@ QUERIES: dict[str, Query] = {
     "british_spelling": british_spelling,
     "local_spelling": local_spelling,
 }
-ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | sql_repeats.REPEATS | {"local_spelling": sql_spelling.SPELLING}
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | sql_repeats.REPEATS | sql_entities.ENTITIES | {"local_spelling": sql_spelling.SPELLING}

@@ -175,13 +175,6 @@ def test_excerpts_fit_the_budget(docs):
     assert rows[0].doc_id == 1 and sum(len(r.excerpt) for r in rows) == 500
 
 
-def test_phrase_filter(docs, spark):
-    d = docs("Anna Bell met Anna Bell in March. The old mill stood. the old mill fell.")
-    phrases = spark.createDataFrame([("a", "anna bell"), ("a", "old mill"), ("a", "in march"), ("a", "mill stood")], "profile string, phrase string")
-    kept = {r.phrase for r in select.drop_names(phrases, M.capitalisation(d), ["mill stood"]).collect()}
-    assert kept == {"old mill"}
-
-
 def test_all_pairs_of_blocks_of_profiles(spark):
     names = [f"p{i:03d}" for i in range(90)]
     pairs = P.all_pairs(spark.createDataFrame([(n,) for n in names], "profile string"), block=8).collect()
