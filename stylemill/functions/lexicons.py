@@ -12,6 +12,9 @@ STOP_WORDS = (
     "the a an and or but if then to of in on for with as is are was were be been it that this these those i you he "
     "she they we me him her them my your our their at by"
 ).split()
+# Where a text is held against a profile, its own n-grams have a shorter list, and three marks are not counted.
+RATED_STOP_WORDS = "the a an and or but if then to of in on for with as".split()
+UNRATED = {"punctuation": ["hyphen_dashes", "quotes_double", "quotes_single"]}
 STANCE = {
     "hedge": "may might perhaps likely possibly seems appears suggests tends".split(),
     "booster": "clearly obviously certainly undoubtedly indeed surely".split(),

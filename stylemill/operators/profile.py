@@ -20,6 +20,31 @@ from . import measure as M
 SECTIONS = ("sentence", "paragraph", "one_sentence", "punctuation", "orthography", "stance", "rhetoric_moves", "epistemic_profile", "paragraph_cadence", "syntax_texture", "lexical_avoidance", "discourse_markers", "repetition")
 
 
+#: The names of the metrics of each section, in the order of its vector, and where a stored profile holds them.
+METRICS = {
+    "punctuation": list(L.PUNCTUATION), "orthography": ["contractions_rate", "oxford_comma_signal"], "stance": [f"{k}_rate" for k in L.STANCE],
+    "rhetoric_moves": [*[f"{k}_rate" for k in L.RHETORIC], "claim_evidence_ratio"], "epistemic_profile": [f"{k}_rate" for k in L.EPISTEMIC],
+    "paragraph_cadence": ["opening_sentence_length_mean", "opening_sentence_length_stdev", "closing_sentence_length_mean", "closing_sentence_length_stdev"],
+    "syntax_texture": ["subordinate_clause_rate", "parenthetical_rate", "appositive_rate"], "lexical_avoidance": list(L.AVOIDANCE),
+    "discourse_markers": ["start_rate_per_1000w", "mid_rate_per_1000w"], "repetition": ["bigram_repeat_rate", "trigram_repeat_rate"],
+}
+PATHS = {
+    "sentence_length_histogram": "sentence.length_words.histogram_p", "paragraph_length_histogram": "paragraph.length_sentences_histogram_p",
+    "one_sentence_paragraph_rate": "paragraph.one_sentence_paragraph_rate", "punctuation": "punctuation.rates_per_1000w", "orthography": "orthography_signals",
+    "stance": "stance_signals", "rhetoric_moves": "rhetoric_moves", "epistemic_profile": "epistemic_profile", "paragraph_cadence": "paragraph_cadence",
+    "syntax_texture": "syntax_texture", "lexical_avoidance": "lexical_avoidance.category_rates_per_1000w",
+    "discourse_markers": "templates_signals.transition_marker_positions", "repetition": "repetition",
+}
+#: What a writer can change about each section.
+ADVICE = {
+    "sentence_length_histogram": "split long sentences or join short ones", "paragraph_length_histogram": "move sentences between paragraphs",
+    "one_sentence_paragraph_rate": "join or part paragraphs of one sentence", "punctuation": "punctuate as the author does", "orthography": "contractions and commas before and",
+    "stance": "hedges, boosters and pronouns", "rhetoric_moves": "the balance of claims, evidence and concessions", "epistemic_profile": "how certain the text sounds",
+    "paragraph_cadence": "how long paragraphs open and close", "syntax_texture": "subordinate clauses, asides and appositions", "lexical_avoidance": "words the author keeps away from",
+    "discourse_markers": "where transitions stand", "repetition": "phrases that come again",
+}
+
+
 def _among(terms: list[str]) -> Column:
     return F.size(F.filter("w", lambda x: x.isin(terms)))
 
@@ -130,8 +155,11 @@ def whole(rows: DataFrame) -> DataFrame:
     return x
 
 
-def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False) -> DataFrame:
-    """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row."""
+def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False, stop: list[str] | None = None) -> DataFrame:
+    """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row.
+
+    stop: the words that no n-gram may consist of but for one, where profiles are single documents.
+    """
     c = summed(counts(docs))
     if function_words:
         listed = F.array_sort(F.collect_list(F.struct("place", "n")))
@@ -139,7 +167,7 @@ def measurements(docs: DataFrame, repetition: bool = True, function_words: bool
     x = vectors(c, *(["fw"] if function_words else []))
     if not repetition:
         return x
-    return with_repetition(x, (M.document_repetition if single else M.repetition_rates)(docs))
+    return with_repetition(x, M.document_repetition(docs, stop=stop) if single else M.repetition_rates(docs))
 
 
 def with_repetition(x: DataFrame, rates: DataFrame) -> DataFrame:
@@ -211,20 +239,27 @@ def _mean(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
 
 
-def compliance(measured: DataFrame, profiles: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def compliance(measured: DataFrame, profiles: DataFrame, weights: dict[str, float] | None = None, without: dict[str, list[str]] | None = None) -> DataFrame:
     """How well each row of `measured` (id, profile, sections) matches the profile of that name: id, profile, score, deltas.
 
-    deltas: the metrics that are off by more than their tolerance, as section[index].
+    deltas: the metrics that are off by more than their tolerance, with how far, and the values of both sides (histograms: of each bin).
+    without: metrics by section that are not compared, because one side doesn't measure them.
     """
-    weights = weights or {}
+    weights, without = weights or {}, without or {}
     target = profiles.select("profile", *[F.col(s).alias(f"t_{s}") for s in SECTIONS])
     x = measured.join(target, "profile")
 
     rates = [s for s in SECTIONS if s not in ("sentence", "paragraph", "one_sentence", "orthography")]
+    used_at = {s: [i for i, m in enumerate(METRICS[s]) if m not in without.get(s, [])] for s in (*rates, "orthography")}
+
+    def differences(s: str) -> Column:
+        every = F.zip_with(F.col(s), F.col(f"t_{s}"), relative_difference)
+        return every if len(used_at[s]) == len(METRICS[s]) else F.filter(every, lambda _, i: i.isin(used_at[s]))
+
     # how far each section is off, once; then the score and the deltas read it
-    off = {s: F.zip_with(F.col(s), F.col(f"t_{s}"), relative_difference).alias(f"off_{s}") for s in (*rates, "orthography")}
+    off = {s: differences(s).alias(f"off_{s}") for s in used_at}
     x = x.select(
-        "id", "profile", "words", *off.values(), F.abs(F.col("one_sentence")[0] - F.col("t_one_sentence")[0]).alias("one"),
+        "id", "profile", "words", *SECTIONS, *[f"t_{s}" for s in SECTIONS], *off.values(), F.abs(F.col("one_sentence")[0] - F.col("t_one_sentence")[0]).alias("one"),
         *[(l1(F.col(s), F.col(f"t_{s}")) / 2.0).alias(f"half_{s}") for s in ("sentence", "paragraph")],
     )
 
@@ -236,18 +271,36 @@ def compliance(measured: DataFrame, profiles: DataFrame, weights: dict[str, floa
     used = {s: float(weights.get(s, 1.0)) for s in score if float(weights.get(s, 1.0)) > 0}
     value = reduce(lambda a, b: a + b, [score[s] * w for s, w in used.items()]) / sum(used.values()) if used else F.lit(1.0)
 
-    def single(metric: str, diff: str, limit: float) -> Column:
-        return F.when(F.col(diff) > limit, F.array(F.struct(F.lit(metric).alias("metric"), F.col(diff).alias("diff")))).otherwise(F.array().cast("array<struct<metric:string,diff:double>>"))
+    def delta(metric: Column, diff: Column, actual: Column, target: Column) -> Column:
+        return F.struct(metric.alias("metric"), diff.alias("diff"), actual.alias("actual"), target.alias("target"))
+
+    def single(metric: str, diff: str, section: str, limit: float) -> Column:
+        return F.when(F.col(diff) > limit, F.array(delta(F.lit(metric), F.col(diff), F.col(section), F.col(f"t_{section}")))).otherwise(F.array().cast("array<struct<metric:string,diff:double,actual:array<double>,target:array<double>>>"))
 
     def listed(section: str, limit: float) -> Column:
-        named = F.transform(f"off_{section}", lambda d, i: F.struct(F.concat(F.lit(section + "["), i.cast("string"), F.lit("]")).alias("metric"), d.alias("diff")))
+        names, places = (F.array(*map(F.lit, v)) for v in ([f"{section}.{METRICS[section][i]}" for i in used_at[section]], used_at[section]))
+        value = lambda side, i: F.array(F.get(F.col(side), F.get(places, i)))
+        named = F.transform(f"off_{section}", lambda d, i: delta(F.get(names, i), d, value(section, i), value(f"t_{section}", i)))
         return F.filter(named, lambda r: r["diff"] > limit)
 
-    deltas = [single("sentence_length_histogram", "half_sentence", 0.15), single("paragraph_length_histogram", "half_paragraph", 0.15), single("one_sentence_paragraph_rate", "one", 0.1)]
+    deltas = [single("sentence_length_histogram", "half_sentence", "sentence", 0.15), single("paragraph_length_histogram", "half_paragraph", "paragraph", 0.15), single("one_sentence_paragraph_rate", "one", "one_sentence", 0.1)]
     deltas += [listed(s, 0.5 if s in ("punctuation", "orthography") else 0.6) for s in (*rates, "orthography")]
     return x.select("id", "profile", "words", value.alias("score"), F.concat(*deltas).alias("deltas"))
 
 
+def feedback(scored: DataFrame, k: int = 5) -> DataFrame:
+    """C11: of each row of `compliance`, the k deltas that are most off, the first listed of equal ones: what to change, and which way.
+
+    path: where a stored profile holds the metric; actual and target: its values; change: less or more, null for histograms.
+    """
+    place = F.transform("deltas", lambda d, i: F.struct((-d["diff"]).alias("by"), i.alias("place"), d.alias("d")))
+    x = scored.select("id", "profile", "score", F.posexplode(F.slice(F.array_sort(place), 1, k)).alias("rank", "x")).select("id", "profile", "score", "rank", "x.d.*")
+    section, name = F.substring_index("metric", ".", 1), F.when(F.contains("metric", F.lit(".")), F.substring_index("metric", ".", -1))
+    look = lambda table: F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), section)
+    one = F.when(F.size("actual") == 1, F.when(F.col("actual")[0] > F.col("target")[0], "less").otherwise("more"))
+    return x.select("id", "profile", "score", "rank", "metric", "diff", F.concat_ws(".", look(PATHS), name).alias("path"), "actual", "target", one.alias("change"), look(ADVICE).alias("advice"))
+
+
 def match_probability(scored: DataFrame, threshold: float = 0.59, slope: float = 0.12, evidence: int = 250) -> DataFrame:
     """A logistic curve of the score, drawn to one half for short texts, with its interval."""
     raw = 1.0 / (1.0 + F.exp(-(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))) - threshold) / max(1e-6, slope)))
@@ -283,27 +336,38 @@ def all_pairs(profiles: DataFrame, block: int = 256) -> DataFrame:
 
 
 def similarity_of(pairs: DataFrame, w: dict[str, float] | None = None) -> DataFrame:
-    """The same for given pairs: rows with the columns of two profiles, prefixed a_ and b_."""
+    """The same for given pairs: rows with the columns of two profiles, prefixed a_ and b_.
+
+    A component of which either profile lacks the section (null, empty or no such column) is null; the others' weights are what the
+    mean is over, and coverage is their share. Profiles without lexicons agree in having none.
+    """
     w = w or L.SIMILARITY_WEIGHTS
     c = lambda s: (F.col(f"a_{s}"), F.col(f"b_{s}"))
-    apart = lambda s: F.greatest(F.lit(0.0), 1.0 - js_divergence(*c(s)))
-    close = lambda s: _mean(F.zip_with(*c(s), relative_similarity))
     has = lambda s: f"a_{s}" in pairs.columns
+
+    def both(s: str, value: Column) -> Column:
+        return F.when((F.size(f"a_{s}") > 0) & (F.size(f"b_{s}") > 0), value)
+
+    apart = lambda s: both(s, F.greatest(F.lit(0.0), 1.0 - js_divergence(*c(s)))) if has(s) else F.lit(None).cast("double")
+    close = lambda s: both(s, _mean(F.zip_with(*c(s), relative_similarity))) if has(s) else F.lit(None).cast("double")
+    words = lambda s: jaccard(*[F.coalesce(v, F.array().cast("array<string>")) for v in c(s)]) if has(s) else F.lit(1.0)
     parts = {
         "function_words_distribution": apart("function_words"), "sentence_histogram": apart("sentence"), "paragraph_histogram": apart("paragraph"),
         "punctuation_rates": close("punctuation"), "stance_signals": close("stance"), "rhetoric_moves": close("rhetoric_moves"), "syntax_texture": close("syntax_texture"),
         "paragraph_cadence": close("paragraph_cadence"), "repetition": close("repetition"),
-        "lexicon_preferred_overlap": jaccard(*c("preferred")) if has("preferred") else F.lit(1.0), "lexicon_avoid_overlap": jaccard(*c("avoid")) if has("avoid") else F.lit(1.0),
+        "lexicon_preferred_overlap": words("preferred"), "lexicon_avoid_overlap": words("avoid"),
     }
-    total = sum(w.values())
-    overall = reduce(lambda x, y: x + y, [F.least(F.lit(1.0), v) * (w[k] / total) for k, v in parts.items()])
-    least = F.least("a_words", "b_words")
-    sure = F.least(F.lit(1.0), F.lit(0.6) + 0.4 * (1.0 - F.exp(-least / 20000.0)))
-    return pairs.select(F.col("a_profile").alias("a"), F.col("b_profile").alias("b"), *[M.r6(v).alias(k) for k, v in parts.items()], M.r6(overall).alias("similarity"), M.r6(sure).alias("confidence"))
+    add = lambda cs: reduce(lambda x, y: x + y, cs)
+    x = pairs.select(F.col("a_profile").alias("a"), F.col("b_profile").alias("b"), *[v.alias(k) for k, v in parts.items()], F.least("a_words", "b_words").alias("least"))
+    used = add([F.when(F.col(k).isNotNull(), w[k]).otherwise(0.0) for k in parts])
+    overall = F.when(used > 0, add([F.when(F.col(k).isNotNull(), F.least(F.lit(1.0), F.col(k)) * w[k]).otherwise(0.0) for k in parts]) / used).otherwise(0.0)
+    coverage = used / sum(w.values())
+    sure = F.least(F.lit(1.0), 0.6 * coverage + 0.4 * (1.0 - F.exp(-F.coalesce("least", F.lit(0)) / 20000.0)))
+    return x.select("a", "b", *[M.r6(F.col(k)).alias(k) for k in parts], M.r6(overall).alias("similarity"), M.r6(sure).alias("confidence"), M.r6(coverage).alias("coverage"))
 
 
 def worst(pairs: DataFrame, k: int = 5) -> DataFrame:
     """O3: the k components in which each pair differs most."""
-    rows = pairs.unpivot(["a", "b"], list(L.SIMILARITY_WEIGHTS), "component", "value")
+    rows = pairs.unpivot(["a", "b"], list(L.SIMILARITY_WEIGHTS), "component", "value").where("value is not null")
     best = F.slice(F.array_sort(F.collect_list(F.struct("value", "component"))), 1, k)  # eleven rows for each pair
     return rows.groupBy("a", "b").agg(best.alias("x")).select("a", "b", F.posexplode("x").alias("rank", "x")).select("a", "b", "rank", "x.component", "x.value")

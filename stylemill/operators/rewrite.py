@@ -190,23 +190,6 @@ def group_lists(text: str, run: int = 6, size: int = 2) -> str:
     return "\n".join(out)
 
 
-_PERSONS = {w: p for p, ws in {"first": "i me my mine myself we us our ours ourselves", "second": "you your yours yourself yourselves", "third": "he him his himself she her hers herself it its itself they them their theirs themselves one"}.items() for w in ws.split()}
-
-
-def pronoun_violations(text: str, allowed: str) -> int:
-    """Sentences whose subject pronoun, at the start of a clause, is of another person than the one allowed."""
-    n = 0
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        words = re.findall(r"[A-Za-z']+", s.lower())
-        for i, w in enumerate(words):
-            person = _PERSONS.get(re.sub(r"'(?:m|re|ve|ll|d|s)$", "", w))
-            opens = i == 0 or words[i - 1] in ("and", "but", "or", "so", "because", "although", "though", "while", "when", "if", "that")
-            if person and opens and w not in ("it", "its") and person != allowed:
-                n += 1
-                break
-    return n
-
-
 def first_json(reply: str) -> str | None:
     """P25: the first balanced JSON object or array of a model's reply."""
     t = re.sub(r"^\s*```\w*\s*\n|\n\s*```\s*$", "", reply or "")

@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicons as L
 from ..operators import markdown, profile, rewrite, scores
 from ..sources import files
 
 
 def make(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """A profile, with an id, of each author (profile, doc_id, text); stored under path if one is given."""
-    out = profile.measurements(docs).withColumn("id", F.uuid())
+    """A profile, with an id that its name gives, of each author (profile, doc_id, text); stored under path if one is given."""
+    out = profile.measurements(docs).withColumn("id", F.regexp_replace(F.md5("profile"), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"))
     if path is None:
         return out
     files.save_profiles(out, path)
@@ -30,9 +31,9 @@ def rate(texts: DataFrame, profiles: DataFrame, filtered: bool = False, top: int
     filtered: the texts' voice is filtered first, as it is when a profile is built from files.
     """
     t = texts.withColumn("text", markdown.voice_filter("text")) if filtered else texts
-    own = profile.measurements(t.select(F.col("id").alias("profile"), F.monotonically_increasing_id().alias("doc_id"), "text"), function_words=False, single=True)
+    own = profile.measurements(t.select(F.col("id").alias("profile"), F.monotonically_increasing_id().alias("doc_id"), "text"), function_words=False, single=True, stop=L.RATED_STOP_WORDS)
     own = own.withColumnRenamed("profile", "id").join(texts.select("id", "profile"), "id")
-    scored = profile.compliance(own, profiles)
+    scored = profile.compliance(own, profiles, without=L.UNRATED)
     return profile.match_probability(scored).join(scored.select("id", F.slice("deltas", 1, top).alias("deltas")), "id")
 
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import entities, lines, markdown, profile, repeats, rewrite, scores, select, sequences, spelling, windows
+from ..operators import entities, lines, markdown, profile, repeats, rewrite, scores, select, sequences, spelling, voice, windows
 from ..operators import measure as M
 from ..sources.stored import stored
-from . import sql, sql_entities, sql_lines, sql_repeats, sql_sequences, sql_spelling
+from . import sql, sql_entities, sql_lines, sql_profiles, sql_repeats, sql_sequences, sql_spelling, sql_voice
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,16 +149,45 @@ def conversation_role_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.totals(x).join(M.comma_density(x), "profile").join(M.sentence_lengths(x).select("profile", "mean", "stdev"), "profile")
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, text: the turns, a phrase with pronouns after each sentence, in turn."""
+    phrases = F.array(*map(F.lit, sql_voice.PHRASES))
+    said = F.transform(T.sentences("text"), lambda x, i: F.concat_ws(" ", x, F.element_at(phrases, i % len(sql_voice.PHRASES) + 1)))
+    return read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.array_join(said, " ").alias("text"))
+
+
+def turn_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pronouns of the third person and subjects of others in each turn, with marks seen and unseen."""
+    both = [voice.voice(spoken(spark, sf_dir), "third", "at", marks).withColumn("marks", F.lit(marks)) for marks in (False, True)]
+    return both[0].union(both[1]).select("at.conv_id", "at.turn", "marks", "allowed", "violations", "other")
+
+
+def voice_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voice.repaired(spoken(spark, sf_dir), "third", "at").select("at.conv_id", "at.turn", F.md5("text").alias("text_md5"), "repairs")
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.measurements(corpus(spark, sf_dir))
 
 
-def compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compliance(spark: SparkSession, sf_dir: str, stop: list[str] | None = None, without: dict[str, list[str]] | None = None) -> DataFrame:
     """Each document against the profile of its source."""
     docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False, single=True).withColumnRenamed("profile", "id")
+    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False, single=True, stop=stop).withColumnRenamed("profile", "id")
     own = own.join(docs.select(F.col("doc_id").cast("string").alias("id"), "profile"), "id")
-    return profile.compliance(own, profile.measurements(docs, function_words=False))
+    return profile.compliance(own, profile.measurements(docs, function_words=False), without=without)
+
+
+def compliance_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the marks and the list of words that a text is rated by."""
+    x = compliance(spark, sf_dir, L.RATED_STOP_WORDS, L.UNRATED)
+    return x.select(F.col("id").cast("long").alias("doc_id"), "profile", M.r6("score").alias("score"), F.size("deltas").alias("deltas"))
+
+
+def compliance_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to change about each document, the metrics that are most off first; of a histogram, its first bin."""
+    first = [M.r6(F.col(c)[0]).alias(c) for c in ("actual", "target")]
+    return profile.feedback(compliance(spark, sf_dir)).select(F.col("id").cast("long").alias("doc_id"), "profile", "rank", "metric", "path", M.r6("diff").alias("diff"), *first, "change", "advice")
 
 
 def compliance_doc_vs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +200,15 @@ def match_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.similarity(profiles(spark, sf_dir))
+    return profile.similarity(profiles(spark, sf_dir)).drop("coverage")
+
+
+def partial_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources of which some lack sections, by their numbers."""
+    no, x = F.substring("profile", 4, 9).cast("int"), profiles(spark, sf_dir)
+    for section, every in sql_profiles.LACKING.items():
+        x = x.withColumn(section, F.when(no % every != 0, F.col(section)))
+    return profile.similarity(x)
 
 
 def profile_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,6 +396,11 @@ QUERIES: dict[str, Query] = {
     "prose_repeats": prose_repeats,
     "named_phrases": named_phrases,
     "unnamed_phrases": unnamed_phrases,
+    "compliance_rated": compliance_rated,
+    "compliance_feedback": compliance_feedback,
+    "partial_similarity": partial_similarity,
+    "turn_voices": turn_voices,
+    "voice_repairs": voice_repairs,
     "bigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 2),
     "trigrams_corpus": over_corpus(sequences.top_corpus_ngrams, 3),
     "repetition_corpus": over_corpus(sequences.corpus_repetition),
@@ -370,4 +412,4 @@ QUERIES: dict[str, Query] = {
     "british_spelling": british_spelling,
     "local_spelling": local_spelling,
 }
-ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | sql_repeats.REPEATS | sql_entities.ENTITIES | {"local_spelling": sql_spelling.SPELLING}
+ORACLES: dict[str, str] = sql.MEASURES | sql_lines.LINES | sql_sequences.SEQUENCES | sql_repeats.REPEATS | sql_entities.ENTITIES | sql_profiles.PROFILES | sql_voice.VOICE | {"local_spelling": sql_spelling.SPELLING}
