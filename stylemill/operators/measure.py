@@ -145,7 +145,7 @@ def category_rates(docs: DataFrame, categories: dict[str, list[str]]) -> DataFra
         wide = x.groupBy("profile").agg(F.sum("words").alias("words"), *[hits_of(t).alias(c) for c, t in categories.items()])
         x = wide.unpivot(["profile", "words"], list(categories), "category", "hits")
     else:
-        found = x.select("profile", F.explode("w").alias("token")).join(lexicon(docs, categories), "token").groupBy("profile", "category").agg(F.count("*").alias("hits"))
+        found = x.select("profile", F.explode_outer("w").alias("token")).join(lexicon(docs, categories), "token").groupBy("profile", "category").agg(F.count("*").alias("hits"))
         names = F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
         base = word_totals(docs).select("profile", "words", names)
         x = base.join(found, ["profile", "category"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
@@ -236,9 +236,9 @@ def paragraph_cadence(docs: DataFrame) -> DataFrame:
 def ngrams(docs: DataFrame, n: int, stop: list[str] | None = None) -> DataFrame:
     """T4: profile, phrase for each n-gram of a document with fewer than n - 1 stop words."""
     stop = L.STOP_WORDS if stop is None else stop
-    w = docs.select("profile", T.lower_words("text").alias("w")).where(F.size("w") >= n)
-    shifted = [F.slice("w", k + 1, F.size("w") - (n - 1)).alias(f"w{k}") for k in range(n)]
-    g = w.select("profile", F.arrays_zip(*shifted).alias("g")).select("profile", F.inline("g"))
+    w = docs.select("profile", T.lower_words("text").alias("w"))
+    shifted = [F.slice("w", k + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))).alias(f"w{k}") for k in range(n)]
+    g = w.select("profile", F.inline(F.arrays_zip(*shifted)))  # of an expression: for a column, Spark would cut the words again to see that there are some
     few = sum((F.col(f"w{k}").isin(stop).cast("int") for k in range(n)), F.lit(0)) < n - 1
     return g.where(few).select("profile", F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("phrase"))
 
@@ -251,37 +251,60 @@ def top_ngrams(docs: DataFrame, n: int, k: int = 30) -> DataFrame:
     return top(ngram_counts(docs, n), k, F.desc("n"), F.asc("phrase")).select("profile", "phrase", "n", "rank")
 
 
-def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
-    """The share of n-grams that occur at least three times."""
+def _hashed(words: Column, stop: list[str]) -> Column:
+    """63 bits of each word's hash, and a last bit that is set for stop words."""
+    return F.transform(words, lambda t: F.xxhash64(t).bitwiseAND(F.lit(-2)).bitwiseOR(t.isin(stop).cast("long")))
+
+
+def _shifted(w: str) -> Column:
+    """An array of (h0, h1, h2): each hash and the two that follow it, null beyond the end."""
+    after = lambda k: F.slice(w, k + 1, F.greatest(F.size(w) - k, F.lit(0))).alias(f"h{k}")
+    return F.arrays_zip(F.col(w).alias("h0"), after(1), after(2))
 
-    def one(n: int, name: str) -> DataFrame:
-        x = ngram_counts(docs, n).groupBy("profile").agg(F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("r"), F.sum("n").alias("t"))
-        return x.select("profile", r6(F.col("r") / F.greatest(F.lit(1), "t")).alias(name))
 
-    return docs.select("profile").distinct().join(one(2, "bigram_repeat_rate"), "profile", "left").join(one(3, "trigram_repeat_rate"), "profile", "left").na.fill(0.0)
+def _few(hashes: list[Column]) -> Column:
+    """Whether a bigram has no stop word, a trigram one at most; null where it would end beyond the text."""
+    return reduce(lambda a, b: a + b, [h.bitwiseAND(F.lit(1)) for h in hashes]) < len(hashes) - 1
+
+
+def gram_repeats(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
+    """profile, size, n: how often each bigram and trigram of `ngrams` occurs, from one reading of the words.
+
+    They are counted by 96 bits of their words' hashes, of which two alike are not to be expected below some 10^14 n-grams.
+    """
+    w = docs.select("profile", T.lower_words("text").alias("w")).select("profile", _hashed(F.col("w"), L.STOP_WORDS if stop is None else stop).alias("w"))
+    g = w.select("profile", F.inline_outer(_shifted("w")))
+    h = [F.col(f"h{k}") for k in range(3)]
+    both = F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(*h[:n]).alias("a"), F.hash(*h[:n]).alias("b"), _few(h[:n]).alias("few")) for n in (2, 3)])
+    return g.select("profile", F.inline(both)).where("few").groupBy("profile", "size", "a", "b").agg(F.count("*").alias("n")).select("profile", "size", "n")
+
+
+def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
+    """The share of n-grams that occur at least three times."""
+    x = gram_repeats(docs).groupBy("profile").agg(*[
+        F.sum(F.when((F.col("size") == n) & ok, F.col("n")).otherwise(0)).alias(f"{k}{n}") for n in (2, 3) for k, ok in (("r", F.col("n") >= least), ("t", F.lit(True)))
+    ])
+    rates = x.select("profile", *[r6(F.col(f"r{n}") / F.greatest(F.lit(1), f"t{n}")).alias(name) for n, name in ((2, "bigram_repeat_rate"), (3, "trigram_repeat_rate"))])
+    return docs.select("profile").distinct().join(rates, "profile", "left").na.fill(0.0)
 
 
 def document_repetition(docs: DataFrame, *keep: str, stop: list[str] | None = None) -> DataFrame:
-    """A23 where each profile is one document: its n-grams are sorted within the row, so nothing is shuffled. keep: further columns.
+    """A23 where each profile is one document: its n-grams' hashes are sorted within the row, so nothing is shuffled. keep: further columns.
 
-    In sorted order, an n-gram occurs three times or more if one of the runs of three around it is all alike.
+    In sorted order, a run of r >= 3 equal n-grams has r - 2 places where the next but one is alike.
     """
     stop = L.STOP_WORDS if stop is None else stop
 
     def sorted_grams(n: int) -> Column:
-        parts = [F.slice("w", k + 1, F.greatest(F.size("w") - (n - 1), F.lit(0))) for k in range(n)]
-        words = F.transform(F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)]), lambda g: F.array(*[g[f"w{k}"] for k in range(n)]))
-        return F.array_sort(F.transform(F.filter(words, lambda g: F.size(F.filter(g, lambda x: x.isin(stop))) < n - 1), lambda g: F.array_join(g, " ")))
+        h = lambda g: [g[f"h{k}"] for k in range(n)]
+        return F.sort_array(F.array_compact(F.transform("g", lambda g: F.when(_few(h(g)), F.xxhash64(*h(g))))))
 
     def share(s: str) -> Column:
-        def thrice(i: Column) -> Column:
-            at = lambda k: F.get(F.col(s), i + k)
-            return F.coalesce(at(0) == at(2), F.lit(False)) | F.coalesce(at(-1) == at(1), F.lit(False)) | F.coalesce(at(-2) == at(0), F.lit(False))
-
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        return r6(F.size(F.filter(places, thrice)) / F.greatest(F.lit(1), F.size(s)))
+        runs = F.array_compact(F.zip_with(s, F.slice(s, 3, F.greatest(F.size(s) - 2, F.lit(0))), lambda a, b: F.when(a == b, a)))
+        return r6((F.size(runs) + 2 * F.size(F.array_distinct(runs))) / F.greatest(F.lit(1), F.size(s)))
 
-    x = docs.select("profile", *keep, T.lower_words("text").alias("w")).select("profile", *keep, sorted_grams(2).alias("two"), sorted_grams(3).alias("three"))
+    x = docs.select("profile", *keep, _hashed(T.lower_words("text"), stop).alias("w")).select("profile", *keep, _shifted("w").alias("g"))
+    x = x.select("profile", *keep, sorted_grams(2).alias("two"), sorted_grams(3).alias("three"))
     return x.select("profile", *keep, share("two").alias("bigram_repeat_rate"), share("three").alias("trigram_repeat_rate"))
 
 

@@ -155,12 +155,12 @@ def whole(rows: DataFrame) -> DataFrame:
     return x
 
 
-def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False, stop: list[str] | None = None) -> DataFrame:
+def measurements(docs: DataFrame, repetition: bool = True, function_words: bool = True, single: bool = False, stop: list[str] | None = None, counted: DataFrame | None = None) -> DataFrame:
     """profile, words and an array<double> for each section. single: each profile is one document, so n-grams stay in the row.
 
-    stop: the words that no n-gram may consist of but for one, where profiles are single documents.
+    stop: the words that no n-gram may consist of but for one, where profiles are single documents. counted: `counts` of docs, if there.
     """
-    c = summed(counts(docs))
+    c = summed(counts(docs) if counted is None else counted)
     if function_words:
         listed = F.array_sort(F.collect_list(F.struct("place", "n")))
         c = c.join(M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw")), "profile")

@@ -134,7 +134,7 @@ def unnamed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def named_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of all documents that hold a clause of a page's title."""
-    names = entities.listed_names(clauses(page_titles(spark, sf_dir), "title"), "clause")
+    names = stored(entities.listed_names(clauses(page_titles(spark, sf_dir), "title"), "clause"))
     return entities.holding(clauses(corpus(spark, sf_dir), "text").select(F.lower("clause").alias("phrase")), names)
 
 
@@ -172,10 +172,12 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compliance(spark: SparkSession, sf_dir: str, stop: list[str] | None = None, without: dict[str, list[str]] | None = None) -> DataFrame:
     """Each document against the profile of its source."""
-    docs = corpus(spark, sf_dir)
-    own = profile.measurements(docs.select(F.col("doc_id").cast("string").alias("profile"), "doc_id", "text"), function_words=False, single=True, stop=stop).withColumnRenamed("profile", "id")
-    own = own.join(docs.select(F.col("doc_id").cast("string").alias("id"), "profile"), "id")
-    return profile.compliance(own, profile.measurements(docs, function_words=False), without=without)
+    docs, each = corpus(spark, sf_dir), F.col("doc_id").cast("string")
+    counted = stored(profile.counts(docs, "doc_id"))
+    alone = docs.select(each.alias("profile"), "doc_id", "text")
+    own = profile.measurements(alone, function_words=False, single=True, stop=stop, counted=counted.withColumn("profile", each)).withColumnRenamed("profile", "id")
+    own = own.join(counted.select(each.alias("id"), "profile"), "id")
+    return profile.compliance(own, profile.measurements(docs, function_words=False, counted=counted), without=without)
 
 
 def compliance_rated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,36 @@ def test_lexicons_are_compared(both):
 def test_ids_of_profiles_stay(both):
     made = api.make(both)
     assert {r.id for r in made.collect()} == {r.id for r in made.collect()} and all(len(r.id) == 36 for r in made.collect())
+
+
+def test_documents_are_counted_once(spark, monkeypatch):
+    """Compliance takes both sides from one pass of counts; n-grams of both sizes come from one reading of the words."""
+    from stylemill.operators import measure, profile
+    from stylemill.plans import catalogue
+
+    calls, counts = [], profile.counts
+    monkeypatch.setattr(profile, "counts", lambda *a: calls.append(a) or counts(*a))
+    assert catalogue.compliance(spark, "/root/testdata/sf0.001").count() == 200 and len(calls) == 1
+    docs = catalogue.corpus(spark, "/root/testdata/sf0.001")
+    assert measure.repetition_rates(docs)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+
+
+def test_repetition_against_a_count(spark):
+    import random
+    from collections import Counter
+
+    from stylemill.functions import lexicons as L
+    from stylemill.operators import measure
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "ab", "cd", "it's", "x"], k=n)) for n in (0, 1, 2, 3, 5, 40, 200)] + [None]
+
+    def rate(w, n):
+        g = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        c = Counter(x for x in g if sum(t in L.STOP_WORDS for t in x) < n - 1)
+        return round(sum(v for v in c.values() if v >= 3) / max(1, sum(c.values())), 6)
+
+    docs = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "profile string, doc_id long, text string")
+    want = {str(i): (rate((t or "").split(), 2), rate((t or "").split(), 3)) for i, t in enumerate(texts)}
+    for fn in (measure.repetition_rates, measure.document_repetition):
+        assert {r.profile: (r.bigram_repeat_rate, r.trigram_repeat_rate) for r in fn(docs).collect()} == want
