@@ -1,7 +1,7 @@
 """Phrases that hold a listed name, and the filter of phrases that look like names or dates.
 
 The list is a table of any size: phrases are cut into runs of as many tokens as names have, and the runs are joined with the
-names on equality. A run that many phrases share is looked up once.
+names on equality. Runs that surely are no name don't leave their task: bits of the names' hashes, of a bounded number, tell.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 # Words that mark a title of persons or a date, and capitalised words that mark no name.
 HONORIFICS = "mr mrs ms dr sir madam lord lady duke emir imam saint st president prime minister governor senator rep mp king queen prince princess".split()
 MONTHS = "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec".split()
 GENERIC = "United States World Bank European Union Congress Parliament".split()
 DATES = r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b|\b\d{8}\b"
 ORDINAL = r"\b\d{1,2}(?:st|nd|rd|th)\b"
+#: Words of 64 bits in the table of `sieve`, which bounds what is broadcast.
+SIEVE = 1 << 19
 #: Shares of capitals from which a token alone, or two of them, make a phrase a name.
 ALONE, TWO = 0.6, 0.4
 
@@ -39,48 +43,89 @@ def listed_names(entities: DataFrame, column: str = "name") -> DataFrame:
     return x.where("name <> ''").distinct()
 
 
-def holding(phrases: DataFrame, names: DataFrame) -> DataFrame:
-    """Phrase, each once, of the phrases that hold one of the names (of `listed_names`) as a run of tokens.
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """_slot, _bits: a bit for each key's hash, in at most SIEVE words, so that what `passes` broadcasts is bounded."""
+    slot, bit = _place(*columns)
+    return keys.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def _place(*columns: str) -> tuple[Column, Column]:
+    h = f"xxhash64(7, {', '.join(columns)})"
+    return F.expr(f"pmod({h}, {SIEVE}L)"), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({h}, 32), 64L) as int))")
+
+
+def passes(rows: DataFrame, bits: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose key may be one of those of `bits`; the others are none, and need no shuffle in the join that follows."""
+    slot, bit = _place(*columns)
+    return rows.withColumn("_slot", slot).join(F.broadcast(bits), "_slot").where(F.col("_bits").bitwiseAND(bit) != 0).drop("_slot", "_bits")
 
-    The lengths of names come to the driver: numbers, no more than the longest name has tokens.
+
+def holding(phrases: DataFrame, names: DataFrame, key: str = "phrase") -> DataFrame:
+    """The key, each once, of the phrases that hold one of the names (of `listed_names`) as a run of tokens.
+
+    A run is looked up only where its first two tokens (or its single one) may begin a name, by bits that are broadcast; what is
+    left is joined. The lengths of names come to the driver: numbers, no more than the longest name has tokens.
     """
-    sizes = [r[0] for r in names.select(F.size(F.split("name", " "))).distinct().collect()]
+    sizes = sorted(r[0] for r in names.select(F.size(F.split("name", " "))).distinct().collect())
     if not sizes:
-        return phrases.select("phrase").limit(0)
-    x = phrases.select("phrase").distinct().withColumn("w", name_tokens("phrase"))
-    starts = lambda n: F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.transform(starts(n), lambda i: F.array_join(F.slice("w", i, n), " "))))
-    runs = x.select("phrase", F.explode(F.array_distinct(runs)).alias("name"))
-    return runs.join(names, "name", "left_semi").select("phrase").distinct()
+        return phrases.select(key).limit(0)
+    bits = sieve(names.select(F.substring_index("name", " ", 2).alias("begin")), "begin")
+    own = list(dict.fromkeys([key, "phrase"]))
+    x = phrases.select(*own, name_tokens("phrase").alias("w")).where(F.size("w") >= sizes[0])
+    starts = x.select(*own, "w", F.posexplode("w").alias("i", "one")).withColumn("two", F.concat("one", F.lit(" "), F.get("w", F.col("i") + 1)))
+    runs = []
+    if sizes[0] == 1:
+        runs.append(passes(starts.select(key, F.col("one").alias("name")), bits, "name"))
+    longer = [n for n in sizes if n > 1]
+    if longer:
+        more = passes(starts.where("two is not null").select(*own, "i", F.col("two").alias("begin")), bits, "begin").withColumn("w", name_tokens("phrase"))
+        fit = F.filter(F.array(*map(F.lit, longer)), lambda n: F.col("i") + n <= F.size("w"))
+        runs.append(more.select(key, F.explode(F.transform(fit, lambda n: F.array_join(F.slice("w", F.col("i") + 1, n), " "))).alias("name")))
+        runs[-1] = passes(runs[-1], sieve(names, "name"), "name")
+    found = runs[0] if len(runs) == 1 else runs[0].unionByName(runs[1])
+    return found.distinct().join(names, "name", "left_semi").select(key).distinct()
 
 
 def is_dated(phrase: str | Column) -> Column:
     """A month with a number or an ordinal, or digits in the form of a date."""
-    w = name_tokens(phrase)
-    month = F.exists(w, lambda t: t.isin(MONTHS))
-    return (month & (F.exists(w, lambda t: t.rlike("^[0-9]+$")) | F.lower(phrase).rlike(ORDINAL))) | F.lower(phrase).rlike(DATES)
+    low = F.lower(phrase)
+    token = lambda p: low.rlike(f"(?<![a-z0-9])(?:{p})(?![a-z0-9])")
+    return (token("|".join(MONTHS)) & (token("[0-9]+") | low.rlike(ORDINAL))) | (low.rlike("[0-9]") & low.rlike(DATES))
 
 
 def is_titled(phrase: str | Column) -> Column:
     """A title of persons, two capitalised words, or one that is no generic word."""
-    w = _all(phrase, "[A-Za-z][A-Za-z'-]*")
+    p = F.col(phrase) if isinstance(phrase, str) else phrase
+    w = _all(p, "[A-Za-z][A-Za-z'-]*")
     caps = F.filter(w, lambda t: t.rlike("^[A-Z]"))
-    return F.exists(w, lambda t: F.lower(t).isin(HONORIFICS)) | (F.size(caps) >= 2) | ((F.size(caps) == 1) & ~F.get(caps, F.lit(0)).isin(GENERIC))
+    named = (F.size(caps) >= 2) | ((F.size(caps) == 1) & ~F.get(caps, F.lit(0)).isin(GENERIC))
+    titled = F.exists(w, lambda t: F.lower(t).isin(HONORIFICS))
+    # words are cut only where a pattern leaves the question open
+    may = p.rlike(f"(?i)(?<![A-Za-z])(?:{'|'.join(HONORIFICS)})(?![A-Za-z'-])")
+    return F.when(may, titled).otherwise(False) | F.when(p.rlike("[A-Z]"), named).otherwise(False)
 
 
 def drop_names(phrases: DataFrame, ratios: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Phrases (profile, phrase, ...) without those that look like names, titles or dates, or hold a listed name.
 
     ratios: capitalisation of the profile's tokens (measure.capitalisation). entities: names, one a row. A phrase without a letter
-    of A-Z stays; null phrases go. Phrases that occur in several rows are judged once and stay or go together within a profile.
+    of A-Z stays; null phrases go. Phrases that occur in several rows stay or go together within a profile. The rows are stored
+    with a number, so that what is looked up carries the number and no phrase.
     """
     lettered = F.col("phrase").rlike("[A-Za-z]")
     kept = phrases.where(F.col("phrase").isNotNull() & (~lettered | ~(is_dated("phrase") | is_titled("phrase"))))
-    if entities is not None:
-        kept = kept.join(holding(kept.where(lettered), listed_names(entities, entities.columns[0])), "phrase", "left_anti").select(phrases.columns)
-    if ratios is None:
+    if entities is None and ratios is None:
         return kept
-    t = kept.select("profile", "phrase").distinct().select("profile", "phrase", F.explode(_all(F.lower("phrase"), "[a-z][a-z'-]*")).alias("token"))
-    t = t.join(ratios.select("profile", "token", "cap_ratio").where(F.col("cap_ratio") >= TWO), ["profile", "token"])
-    named = t.groupBy("profile", "phrase").agg(F.max("cap_ratio").alias("m"), F.count("*").alias("n")).where((F.col("m") >= ALONE) | (F.col("n") >= 2))
-    return kept.join(named, ["profile", "phrase"], "left_anti").select(phrases.columns)
+    kept = stored(kept.withColumn("_row", F.monotonically_increasing_id()))
+    gone = []
+    if entities is not None:
+        gone.append(holding(kept.where(lettered), stored(listed_names(entities, entities.columns[0])), "_row"))
+    if ratios is not None:
+        high = stored(ratios.select("profile", "token", "cap_ratio").where(F.col("cap_ratio") >= TWO))
+        t = kept.select("_row", "profile", F.explode(_all(F.lower("phrase"), "[a-z][a-z'-]*")).alias("token"))
+        t = passes(t, sieve(high, "profile", "token"), "profile", "token").join(high, ["profile", "token"])
+        named = t.groupBy("_row").agg(F.max("cap_ratio").alias("m"), F.count("*").alias("n")).where((F.col("m") >= ALONE) | (F.col("n") >= 2))
+        gone.append(named.select("_row"))
+    for g in gone:
+        kept = kept.join(g, "_row", "left_anti")
+    return kept.select(phrases.columns)

@@ -55,3 +55,21 @@ def test_phrase_filter(docs, spark):
     # `the` has capitals in half of its places: once it is no name, twice it is
     assert kept.columns == phrases.columns and sorted(r.phrase for r in kept.collect()) == ["12 34", "2020-01-31", "old mill", "old mill", "the mill"]
     assert E.drop_names(phrases).where(F.col("phrase") == "mill stood").count() == 1
+
+
+def test_runs_that_are_no_name_stay_where_they_are(spark):
+    """Phrases of 60 tokens against names of 1 to 9: what is shuffled follows the runs that may be names, not all runs."""
+    names = [" ".join(f"n{i}x{j}" for j in range(i)) for i in range(1, 10)]
+    x = spark.range(2000).selectExpr("concat_ws(' ', transform(sequence(1, 60), k -> concat('w', id, 'y', k))) as phrase", "id as n", "'a' as profile")
+    named = spark.createDataFrame([(f"the {n} is", 1, "a") for n in names], "phrase string, n long, profile string")
+    listed = E.listed_names(spark.createDataFrame([(n,) for n in names], "name string"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sieve", "")
+    found = E.holding(x.unionByName(named), listed)
+    assert sorted(r.phrase for r in found.collect()) == sorted(f"the {n} is" for n in names)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    store, written = spark.sparkContext._jsc.sc().statusStore(), 0
+    for job in tracker.getJobIdsForGroup("sieve"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            written += store.lastStageAttempt(stage).shuffleWriteRecords()
+    assert 0 < written < 10_000  # all runs of 1 to 9 tokens are a million
