@@ -65,9 +65,13 @@ def test_runs_that_are_no_name_stay_where_they_are(spark):
     listed = E.listed_names(spark.createDataFrame([(n,) for n in names], "name string"))
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("sieve", "")
-    found = E.holding(x.unionByName(named), listed)
-    assert sorted(r.phrase for r in found.collect()) == sorted(f"the {n} is" for n in names)
-    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a long list
+    try:
+        found = [r.phrase for r in E.holding(x.unionByName(named), listed).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(found) == sorted(f"the {n} is" for n in names)
     store, written = spark.sparkContext._jsc.sc().statusStore(), 0
     for job in tracker.getJobIdsForGroup("sieve"):
         for stage in tracker.getJobInfo(job).stageIds:
