@@ -35,8 +35,8 @@ from .common import documents, map_batches, mix, offsets, texts
 from .toxicity import by_size
 
 SAMPLES, SEED, GROUP, LIGHT = 2, 2024, 600_000, 80.0
-#: The lattices held are started anew when they have so many edges.
-EDGES = 6_000_000
+#: The lattices held are started anew when they have so many edges, of 23 bytes each, or so many words.
+EDGES, WORDS = 2_500_000, 75_000
 _M = lattice.MARK
 _PRE = regex.compile(rf"{_M}*(?:\p{{L}}+|[^\p{{L}}{_M}\n]+)|{_M}+|\n")
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -68,7 +68,7 @@ class Nodes(dict):
     #: base and size by word; first by node; the others by edge
     KINDS = {"base": np.int64, "size": np.int64, "first": np.int64, "node": np.int32, "length": np.uint8, "piece": np.uint16, "cum": np.float64, "log": np.float64}
 
-    def __init__(self, v: lattice.Vocabulary, most: int = 150_000):
+    def __init__(self, v: lattice.Vocabulary, most: int = WORDS):
         super().__init__()
         self.v, self.most = v, most
         self.restart()
