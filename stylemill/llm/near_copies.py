@@ -1,8 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same shingles are one node. Candidates come from MinHash: BANDS bands of ROWS minima each; nodes that agree on a
-whole band are candidates, which a pair of similarity 0.8 misses with a probability of 0.0007, a closer one with less. Each
-candidate component is then searched exactly: a breadth-first search by an inverted index of its shingles compares every node
+Texts with the same shingles are one node. Candidates come from SimHash, by op2's index: nodes whose fingerprints over their
+shingles reach each other by steps of at most simhash.DISTANCE bits. Pairs of similarity 0.8 differ in about ten bits, which no index of
+fingerprints finds, so MinHash adds candidates: BANDS bands of ROWS minima each; nodes that agree on a whole band, which a pair of
+similarity 0.8 misses with a probability of 0.0007, a closer one with less. Each candidate component is then searched exactly: a breadth-first search by an inverted index of its shingles compares every node
 reached with all that are left, so the links within it are those of the true similarities, whatever the candidates were.
 
 Words are split at ASCII spaces, A-Z lower-cased; a text of fewer words is one shingle. Null and empty texts are alike. Links are
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import Memo, documents, join_hot, map_batches, materialise, maybe, mix, offsets, release, rolling, small_batches, texts, tidy
 from .graph import components
 
@@ -60,7 +62,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, s (a hash of the set of shingles), size (their number), keys (those of the bands)."""
+    """doc_id, s (a hash of the set of shingles), size (their number), fp (their fingerprint), keys (those of the bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
@@ -69,7 +71,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(sets).view(np.int64).ravel()))
             size = pa.array([len(x) for x in sets], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s), size, keys], names=["doc_id", "s", "size", "keys"])
+            fp = pa.array(np.array([simhash.majority(x) for x in sets], np.uint64).view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s), size, fp, keys], names=["doc_id", "s", "size", "fp", "keys"])
 
         for batch in batches:
             ids, sets, size = [], [], 0
@@ -83,7 +86,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             if ids:
                 yield flush(ids, sets)
 
-    return map_batches(documents(docs), run, "doc_id long, s long, size long, keys array<long>")
+    return map_batches(documents(docs), run, "doc_id long, s long, size long, fp long, keys array<long>")
 
 
 def nameless_texts(docs: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def candidates_apart(entries: DataFrame, named: DataFrame, total: int) -> DataFr
     """The rows of named (s, label, ...) whose node agrees on a band with one of another label; entries: k, s."""
     held = materialise(entries.join(named.select("s", "label"), "s"))
     mixed = held.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    return named.join(join_hot(held, mixed, "k", BANDS * total).select("s").distinct(), "s", "left_semi")
+    return named.join(join_hot(held, mixed, "k", (BANDS + 1) * total).select("s").distinct(), "s", "left_semi")
 
 
 def split_groups(held: DataFrame, large: DataFrame, entries: DataFrame, total: int, block: int) -> DataFrame:
@@ -242,16 +245,28 @@ def split_groups(held: DataFrame, large: DataFrame, entries: DataFrame, total: i
     return join_hot(done, least, "label", total).select("s", "own")
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """k, s: a key that nodes (s, fp) share if the links of op2's index join their fingerprints; none for a node without a partner."""
+    codes = materialise(nodes.groupBy("fp").agg(F.count("*").alias("n")))
+    linked = simhash.components(simhash.links(codes.select("fp", F.col("fp").alias("rep"))))
+    of = codes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    # a fingerprint that others lead to is no node of theirs
+    least = linked.select(F.col("component").alias("fp")).distinct().withColumn("led_to", F.lit(True))
+    of = of.join(least, "fp", "left").where("n > 1 or component is not null or led_to")
+    keyed = materialise(of.select("fp", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("k"), "n"))
+    return materialise(join_hot(nodes.select("s", "fp"), keyed, "fp", nodes.count()).select("k", "s"))
+
+
 def near_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, group (the least doc_id of its near copies, of theirs and so on) of each document; block: shingles a task holds."""
     found = materialise(sketches(docs))
-    # size and keys are those of the set, whichever row they come from
+    # size, fp and keys are those of the set, whichever row they come from
     rep = F.coalesce(F.min("doc_id"), F.lit(NOBODY)).alias("rep")
-    nodes = materialise(found.groupBy("s").agg(rep, F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n")).select("s", "rep", "size", "keys", "n"))
-    entries = nodes.select(F.explode("keys").alias("k"), "s")
+    nodes = materialise(found.groupBy("s").agg(rep, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count("*").alias("n")))
+    entries = nodes.select(F.explode("keys").alias("k"), "s").unionByName(alike(nodes))
     least = entries.groupBy("k").agg(F.min("s").alias("b"), F.count("*").alias("n")).where("n > 1")
     total = nodes.count()
-    links = join_hot(entries.withColumnRenamed("s", "a"), least, "k", BANDS * total).where("a <> b").select("a", "b").distinct()
+    links = join_hot(entries.withColumnRenamed("s", "a"), least, "k", (BANDS + 1) * total).where("a <> b").select("a", "b").distinct()
     linked = components(links)
     inside = linked.select(F.col("node").alias("s"), "component").unionByName(linked.select(F.col("component").alias("s"), "component").distinct())
     inside = materialise(inside.join(nodes.select("s", "rep", "size"), "s").select("s", "rep", "size", "component"))

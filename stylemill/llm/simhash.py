@@ -49,7 +49,11 @@ def shingle_hashes(text: bytes, n: int = SHINGLE) -> np.ndarray:
 
 
 def fingerprint(text: bytes) -> int:
-    h = shingle_hashes(text)
+    return majority(shingle_hashes(text))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of these hashes; 0 for none."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)

@@ -143,3 +143,19 @@ def test_rows_without_an_id_link_others(spark):
     assert sorted((r.doc_id or 0, r.group or 0) for r in got) == [(0, 0), (0, 0), (0, 5), (5, 5), (9, 5)]
     kept_rows = near_copies.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id or 0 for r in kept_rows) == [0, 0, 0, 5]
+
+
+def test_fingerprints_bring_candidates_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 20_000)]
+    fingerprint = lambda t: near_copies.simhash.majority(near_copies.shingles(t.encode(), near_copies.word_hashes()))
+    changed = (" ".join(["x" if i % 5 == 0 and i < 5 * k else w for i, w in enumerate(words)]) for k in range(1, 200))
+    other = next(t for t in changed if fingerprint(t) != fingerprint(" ".join(words)))
+    rows = [(7, " ".join(words)), (4, other), (2, " ".join(words[::-1]))]
+    near = [fingerprint(t) for _, t in rows]
+    assert (near[0] ^ near[1]).bit_count() <= near_copies.simhash.DISTANCE < (near[0] ^ near[2]).bit_count()
+    # without a band that agrees, the index of fingerprints alone brings the two together
+    apart = lambda sets: np.array([[int(x.sum()) + b for b in range(24)] for x in sets], np.uint64)
+    monkeypatch.setattr(near_copies, "band_keys", apart)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.group for r in near_copies.near_copies(docs).collect()} == {7: 4, 4: 4, 2: 2}
