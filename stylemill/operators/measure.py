@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from .hashed import gram_hashes
 
 
 def rate(count: Column, total: Column) -> Column:
@@ -268,15 +269,12 @@ def _few(hashes: list[Column]) -> Column:
 
 
 def gram_repeats(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
-    """profile, size, n: how often each bigram and trigram of `ngrams` occurs, from one reading of the words.
+    """profile, size, n: how often each bigram and trigram of `ngrams` occurs, counted by hashes of their words.
 
-    They are counted by 96 bits of their words' hashes, of which two alike are not to be expected below some 10^14 n-grams.
+    They are dealt out before they are counted: most occur once, and counting them twice would be in vain.
     """
-    w = docs.select("profile", T.lower_words("text").alias("w")).select("profile", _hashed(F.col("w"), L.STOP_WORDS if stop is None else stop).alias("w"))
-    g = w.select("profile", F.inline_outer(_shifted("w")))
-    h = [F.col(f"h{k}") for k in range(3)]
-    both = F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(*h[:n]).alias("a"), F.hash(*h[:n]).alias("b"), _few(h[:n]).alias("few")) for n in (2, 3)])
-    return g.select("profile", F.inline(both)).where("few").groupBy("profile", "size", "a", "b").agg(F.count("*").alias("n")).select("profile", "size", "n")
+    g = gram_hashes(docs, (2, 3), L.STOP_WORDS if stop is None else stop).repartition("profile", "a")
+    return g.groupBy("profile", "a", "b").agg(F.sum("n").alias("n")).select("profile", (F.col("b").bitwiseAND(F.lit(1)) + 2).alias("size"), "n")
 
 
 def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
