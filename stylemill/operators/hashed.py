@@ -20,6 +20,8 @@ from ..functions import text as T
 
 #: Rows and bytes of one batch of texts, and words whose hashes a task holds.
 BATCH_ROWS, BATCH_BYTES, HELD = 1000, 8 << 20, 400_000
+#: What stands for a null doc_id, which comes before all others.
+NO_ID = -(1 << 63)
 _WORD = re.compile(T.WORD)
 
 
@@ -46,10 +48,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_keys(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two keys of each n-gram of these words with fewer than n - 1 stop words; doc: the document of each word, for none crosses two.
+def gram_keys(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two keys of each n-gram of these words with fewer than n - 1 stop words, and where it begins; doc: the document of each word, for none crosses two.
 
-    The last bit of the second is 0 for n = 2 and 1 for others.
+    The last bit of the second key is 0 for n = 2 and 1 for others.
     """
     m = max(0, len(h) - n + 1)
     a, b, stops = np.full(m, n, np.uint64), np.full(m, n + 7919, np.uint64), np.zeros(m, np.uint64)
@@ -58,33 +60,66 @@ def gram_keys(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         a, b = mix((a ^ w) * np.uint64(0x9E3779B97F4A7C15)), mix((b + w) * np.uint64(0xD6E8FEB86659FD93))
         stops += w & np.uint64(1)
     some = (stops < n - 1) & (doc[:m] == doc[len(doc) - m :])
-    return a[some], b[some] & ~np.uint64(1) | np.uint64(n != 2)
+    return a[some], b[some] & ~np.uint64(1) | np.uint64(n != 2), np.flatnonzero(some)
 
 
-def gram_hashes(docs: DataFrame, sizes: tuple[int, ...], stop: list[str]) -> DataFrame:
+def gram_hashes(docs: DataFrame, sizes: tuple[int, ...], stop: list[str], ids: bool = False) -> DataFrame:
     """profile, a, b, n: n-grams of these sizes within documents, by two keys; a row for most of those that are alike in a batch.
 
-    sizes: 2 and one other at most. Rows of one n-gram are to be added up.
+    sizes: 2 and one other at most. Rows of one n-gram are to be added up. ids: with doc_id, the least that has it, NO_ID for null.
     """
+    names = ["profile", "a", "b", "n"] + ["doc_id"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(stop)
         for batch in batches:
             of: dict = {}
-            for p, t in zip(batch.column("profile").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                of.setdefault(p, []).append(_WORD.findall(t or ""))
-            for p, texts in of.items():
+            for i, (p, t) in enumerate(zip(batch.column("profile").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                of.setdefault(p, []).append((i, _WORD.findall(t or "")))
+            own = batch.column("doc_id").fill_null(NO_ID).to_numpy() if ids else None
+            for p, rows in of.items():
+                at, texts = zip(*rows, strict=True)
                 h = hashes.of(chain.from_iterable(texts))
-                doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                a, b = (np.concatenate(x) for x in zip(*[gram_keys(h, doc, n) for n in sizes], strict=True))
+                doc = np.repeat(np.array(at), [len(t) for t in texts])
+                a, b, begin = (np.concatenate(x) for x in zip(*[gram_keys(h, doc, n) for n in sizes], strict=True))
                 order = np.argsort(a)
                 a, b = a[order], b[order]
                 first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
                 name = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(first), np.int32)), pa.array([p], pa.string())).cast(pa.string())
-                n = np.diff(np.append(first, len(a)))
-                yield pa.RecordBatch.from_arrays([name, pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n)], names=["profile", "a", "b", "n"])
+                cols = [name, pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.diff(np.append(first, len(a))))]
+                if ids:
+                    cols.append(pa.array(np.minimum.reduceat(own[doc[begin[order]]], first) if len(first) else own[:0]))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return in_batches(docs).mapInArrow(run, "profile string, a long, b long, n long")
+    return in_batches(docs, *["doc_id"] * ids).mapInArrow(run, "profile string, a long, b long, n long" + ", doc_id long" * ids)
+
+
+def gram_places(docs: DataFrame, n: int, stop: list[str]) -> DataFrame:
+    """profile, doc_id, a, b, at, phrase of every n-gram within documents. docs: profile, doc_id, text, first (the place of a text's first word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(stop)
+        for batch in batches:
+            for p, i, at, t in zip(*(batch.column(c).to_pylist() for c in ("profile", "doc_id", "first", "text")), strict=True):
+                w = _WORD.findall(t or "")
+                a, b, begin = gram_keys(hashes.of(w), np.zeros(len(w), np.int64), n)
+                phrases = [" ".join(w[j : j + n]) for j in begin.tolist()]
+                cols = [pa.array([p] * len(a), pa.string()), pa.array([i] * len(a), pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(begin + at), pa.array(phrases, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["profile", "doc_id", "a", "b", "at", "phrase"])
+
+    return in_batches(docs, "doc_id", "first").mapInArrow(run, "profile string, doc_id long, a long, b long, at long, phrase string")
+
+
+def word_edges(docs: DataFrame, n: int) -> DataFrame:
+    """profile, doc_id, n (how many words), head, tail: the first and last n words of each document that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_WORD.findall(t or "") for t in batch.column("text").to_pylist()]
+            cols = [batch.column("profile"), batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), *(pa.array(x, pa.list_(pa.string())) for x in ([w[:n] for w in words], [w[-n:] for w in words]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["profile", "doc_id", "n", "head", "tail"])
+
+    return in_batches(docs, "doc_id").mapInArrow(run, "profile string, doc_id long, n long, head array<string>, tail array<string>").where("n > 0")
 
 
 def in_batches(docs: DataFrame, *keep: str) -> DataFrame:

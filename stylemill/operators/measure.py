@@ -273,13 +273,22 @@ def gram_repeats(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
 
     They are dealt out before they are counted: most occur once, and counting them twice would be in vain.
     """
-    g = gram_hashes(docs, (2, 3), L.STOP_WORDS if stop is None else stop).repartition("profile", "a")
+    return repeats_of(gram_hashes(docs, (2, 3), L.STOP_WORDS if stop is None else stop))
+
+
+def repeats_of(grams: DataFrame) -> DataFrame:
+    """profile, size, n of each n-gram of `gram_hashes`."""
+    g = grams.repartition("profile", "a")
     return g.groupBy("profile", "a", "b").agg(F.sum("n").alias("n")).select("profile", (F.col("b").bitwiseAND(F.lit(1)) + 2).alias("size"), "n")
 
 
 def repetition_rates(docs: DataFrame, least: int = 3) -> DataFrame:
     """The share of n-grams that occur at least three times."""
-    x = gram_repeats(docs).groupBy("profile").agg(*[
+    return repeat_shares(docs, gram_repeats(docs), least)
+
+
+def repeat_shares(docs: DataFrame, repeats: DataFrame, least: int) -> DataFrame:
+    x = repeats.groupBy("profile").agg(*[
         F.sum(F.when((F.col("size") == n) & ok, F.col("n")).otherwise(0)).alias(f"{k}{n}") for n in (2, 3) for k, ok in (("r", F.col("n") >= least), ("t", F.lit(True)))
     ])
     rates = x.select("profile", *[r6(F.col(f"r{n}") / F.greatest(F.lit(1), f"t{n}")).alias(name) for n, name in ((2, "bigram_repeat_rate"), (3, "trigram_repeat_rate"))])

@@ -3,7 +3,10 @@
 An n-gram may begin in one document and end in a later one. Those inside a document are made in its row. For the others, the
 first and last n - 1 words of each document are enough: documents with a word are numbered by prefix sums over blocks, each
 sends its first words to the n - 1 documents before it, and the n-grams that cross are made where they arrive. What occurs
-first is the least of (document, word), a minimum that is aggregated like the count, so no profile is ever put in order.
+first is the least of (document, word), so no profile is ever put in order.
+
+Counting takes the hashes of `hashed`, with the least document of each n-gram, a number. Only for those that may be among the
+first k are place and words read from that document.
 
 Documents are in order of doc_id; a null doc_id comes first. Ids should be unique.
 """
@@ -12,10 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..sources.stored import stored
 from . import measure as M
+from .hashed import NO_ID, gram_hashes, gram_places, word_edges
 from .spans import block_of, prefix_sums
 
 
@@ -26,12 +32,17 @@ def _grams(words: Column, n: int, first: int | Column = 0) -> Column:
     return F.transform(rows, lambda g, i: F.struct(F.array(*[g[f"w{k}"] for k in range(n)]).alias("w"), (i + first).cast("long").alias("at")))
 
 
-def crossing(docs: DataFrame, n: int) -> DataFrame:
-    """profile, doc_id, g: the n-grams that begin in a document and end in a later one."""
-    w = docs.select("profile", "doc_id", T.lower_words("text").alias("w")).where(F.size("w") > 0)
-    tail = F.least(F.size("w"), F.lit(n - 1))
-    edges = w.select("profile", "doc_id", F.size("w").cast("long").alias("n"), F.slice("w", 1, n - 1).alias("head"), F.slice("w", F.size("w") - tail + 1, tail).alias("tail"))
-    edges = prefix_sums(edges, ["profile"], block_of(docs), ["doc_id", "head"], "n")
+def edges_of(docs: DataFrame, n: int) -> DataFrame:
+    """profile, doc_id, n, head, tail and the block of each document with a word: what `crossing` needs for n-grams of n words or fewer."""
+    return stored(word_edges(docs, n - 1).withColumn("block", block_of(docs)))
+
+
+def crossing(docs: DataFrame, n: int, edges: DataFrame | None = None) -> DataFrame:
+    """profile, doc_id, g: the n-grams that begin in a document and end in a later one. edges: of `edges_of`, if there."""
+    edges = edges_of(docs, n) if edges is None else edges
+    most = F.least(F.size("tail"), F.lit(n - 1))
+    edges = edges.withColumns({"head": F.slice("head", 1, n - 1), "tail": F.slice("tail", F.size("tail") - most + 1, most)})
+    edges = prefix_sums(edges, ["profile"], F.col("block"), ["doc_id", "head"], "n")
     own = edges.select("profile", "at", F.lit(0).alias("off"), "doc_id", "n", F.col("tail").alias("part"))
     sent = edges.select("profile", "at", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("off"), "head").where("off <= at")
     sent = sent.select("profile", (F.col("at") - F.col("off")).alias("at"), "off", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.col("head").alias("part"))
@@ -51,22 +62,37 @@ def corpus_ngrams(docs: DataFrame, n: int, stop: list[str] | None = None) -> Dat
     return every.groupBy("profile", F.array_join("g.w", " ").alias("phrase")).agg(F.count("*").alias("n"), first)
 
 
-def top_corpus_ngrams(docs: DataFrame, n: int, k: int = 30) -> DataFrame:
-    """O2: the k most frequent n-grams; of equals, those that occur first."""
-    return M.top(corpus_ngrams(docs, n), k, F.desc("n"), F.asc("first")).select("profile", "phrase", "n", "rank")
+def _as_texts(grams: DataFrame) -> DataFrame:
+    """Rows of `crossing` as texts of one n-gram each."""
+    return grams.select("profile", "doc_id", F.array_join("g.w", " ").alias("text"), F.col("g.at").alias("first"))
 
 
-def corpus_repetition(docs: DataFrame, least: int = 3) -> DataFrame:
+def top_corpus_ngrams(docs: DataFrame, n: int, k: int = 30, stop: list[str] | None = None) -> DataFrame:
+    """O2: the k most frequent n-grams; of equals, those that occur first."""
+    stop = L.STOP_WORDS if stop is None else stop
+    across = stored(_as_texts(crossing(docs, n)))
+    g = gram_hashes(docs, (n,), stop, ids=True).unionByName(gram_hashes(across, (n,), stop, ids=True))
+    g = g.repartition("profile", "a").groupBy("profile", "a", "b").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"))
+    # of those that equal the k-th in number and document, the places decide
+    may = F.rank().over(W.partitionBy("profile").orderBy(F.desc("n"), "doc_id"))
+    found = stored(g.withColumn("rank", may).where(F.col("rank") <= k).drop("rank"))
+    homes = found.select(F.col("profile").alias("profile_"), F.col("doc_id").alias("doc_id_")).distinct()
+    texts = docs.select("profile", "doc_id", "text", F.lit(0).cast("long").alias("first")).unionByName(across)
+    home = F.coalesce("doc_id", F.lit(NO_ID))
+    texts = texts.join(homes, F.col("profile").eqNullSafe(F.col("profile_")) & (home == F.col("doc_id_")), "left_semi")
+    places = gram_places(texts, n, stop).withColumn("doc_id", home).withColumnsRenamed({c: f"{c}_" for c in ("profile", "doc_id", "a", "b")})
+    same = [F.col("profile").eqNullSafe(F.col("profile_")), *[F.col(c) == F.col(f"{c}_") for c in ("doc_id", "a", "b")]]
+    first = found.join(places, same).groupBy("profile", "a", "b", "n", "doc_id").agg(F.min(F.struct("at", "phrase")).alias("x"))
+    return M.top(first.select("profile", "n", "doc_id", "x.*"), k, F.desc("n"), F.asc("doc_id"), F.asc("at")).select("profile", "phrase", "n", "rank")
+
+
+def corpus_repetition(docs: DataFrame, least: int = 3, stop: list[str] | None = None) -> DataFrame:
     """A23 over the whole corpus: the share of its n-grams that occur at least three times."""
-
-    def share(n: int, name: str) -> DataFrame:
-        x = corpus_ngrams(docs, n).groupBy("profile").agg(F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("r"), F.sum("n").alias("t"))
-        return x.select("profile", M.r6(F.col("r") / F.greatest(F.lit(1), "t")).alias(name))
-
-    rows = docs.select("profile").distinct()
-    for n, name in ((2, "bigram_repeat_rate"), (3, "trigram_repeat_rate")):
-        rows = rows.join(share(n, name), "profile", "left")
-    return rows.na.fill(0.0)
+    stop, edges = L.STOP_WORDS if stop is None else stop, edges_of(docs, 3)
+    g = gram_hashes(docs, (2, 3), stop)
+    for n in (2, 3):
+        g = g.unionByName(gram_hashes(_as_texts(crossing(docs, n, edges)), (n,), stop))
+    return M.repeat_shares(docs, M.repeats_of(g), least)
 
 
 def top_openers(docs: DataFrame, k: int = 20, stop: list[str] | None = None) -> DataFrame:

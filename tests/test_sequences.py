@@ -36,3 +36,12 @@ def test_no_profile_is_put_in_order(spark):
     plan = sequences.corpus_ngrams(docs, 3)._jdf.queryExecution().executedPlan().toString()
     over = [line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "windowspecdefinition(" in line and "doc_id" in line]
     assert over and all("_block" in x.split("ASC")[0] for x in over)
+
+
+def test_counting_shuffles_numbers_alone(spark):
+    """Phrases are read again for the first k; what is counted are hashes, by an aggregate of numbers."""
+    docs = spark.createDataFrame([("a", 1, "x y x"), (None, 2, "x y z"), ("a", None, "y x"), ("a", 3, "y")], "profile string, doc_id long, text string")
+    got = sequences.top_corpus_ngrams(docs, 2, 2)
+    assert {(r.profile, r["rank"], r.phrase, r.n) for r in got.collect()} == {("a", 1, "y x", 2), ("a", 2, "x y", 2), (None, 1, "x y", 1), (None, 2, "y z", 1)}
+    plan = sequences.corpus_repetition(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join(w#" not in plan and "min(struct" not in plan and "MapInArrow" in plan
