@@ -158,10 +158,7 @@ def parts_of(held: list[tuple[int, str, bytes]], answer: str) -> Iterator[tuple[
 
 def smaller_elsewhere(p: int, held: list[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
     """For each batch, which of its windows start in a smaller doc_id in another."""
-    got = [(b, *unpack(d)) for b, kind, d in held if kind == "window"]
-    for b, kind, d in held:
-        if kind != "window":
-            yield rows([(p, b, kind, d)])
+    got = [(b, *unpack(d)) for b, _, d in held]
     if got:
         ids = np.concatenate([x[3] for x in got])
         _, _, inverse, least = group_least(*(np.concatenate([x[k] for x in got]) for k in (1, 2)), ids)
@@ -213,8 +210,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, whole_rows: bool = False) -> Da
     found = batches_of(docs, BATCH_BYTES).unionByName(by_key(probes(docs, block, n_parts), "p", n_parts, shared_blocks, SCHEMA))
     table = materialise(by_key(found, "batch", n_parts, extend(window, block, n_parts, whole_rows), SCHEMA))
     done = table.where("kind = 'done'").mapInArrow(_unpacked, schema)
-    looked_up = by_key(table.where("kind <> 'done'"), "p", n_parts, smaller_elsewhere, SCHEMA)
-    return done.unionByName(by_key(looked_up, "batch", n_parts, cover(window, n_parts, whole_rows), schema))
+    # texts and places wait in the table: only the windows are dealt out by part
+    looked_up = by_key(table.where("kind = 'window'"), "p", n_parts, smaller_elsewhere, SCHEMA)
+    waiting = table.where("kind in ('rows', 'places')").unionByName(looked_up)
+    return done.unionByName(by_key(waiting, "batch", n_parts, cover(window, n_parts, whole_rows), schema))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
