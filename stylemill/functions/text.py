@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .lexicons import LIGATURES
 
-WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
-SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9\"'(\[])"
+WORD = r"[A-Za-z0-9]++(?:'[A-Za-z0-9]++)?+"
+#: Runs of white space that are not one plain space, and where a squeezed text has the end of a sentence.
+SPACES = r"(?U) \s+|[\s&&[^ ]]\s*"
+SENTENCE_BREAK = r" (?<=[.!?] )(?=[A-Z0-9\"'(\[])"
 
 
 def _col(text: str | Column) -> Column:
@@ -29,7 +31,7 @@ def word_count(text: str | Column) -> Column:
 
 
 def squeeze(text: str | Column) -> Column:
-    return F.trim(F.regexp_replace(_col(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_col(text), SPACES, " "))
 
 
 def sentences(text: str | Column) -> Column:

@@ -105,17 +105,26 @@ def _trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def with_blocks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `blocks`, an array of code and text of each block, made within the row: no line leaves it.
+
+    Prose between two fences has no line in common with them, and white space from one line feed to the last of a run parts its blocks.
+    """
+    x = docs.withColumn("_t", F.regexp_replace(text, BREAK, "\n"))
+    x = x.withColumns({"_p": F.split("_t", FENCE, -1), "_c": F.regexp_extract_all("_t", F.lit(FENCE), F.lit(0))}).drop("_t")
+    block = lambda code: lambda b: F.struct(F.lit(code).alias("code"), b.alias("text"))
+    # without the blank lines that open and close it, prose has no blank block
+    inner = F.transform("_p", lambda p: F.regexp_replace(p, r"(?U)\A\s*\n|\n\s*\z", ""))
+    prose = F.transform(inner, lambda p: F.transform(F.filter(F.split(p, r"(?U)\n\s*\n", -1), lambda b: b.rlike(r"(?U)\S")), block(False)))
+    code = F.transform("_c", lambda c: F.array(block(True)(F.regexp_replace(c, r"\n\z", ""))))
+    both = F.zip_with(prose, code, lambda p, c: F.concat(p, F.coalesce(c, F.slice(p, 1, 0))))
+    return x.withColumn("blocks", F.flatten(both)).drop("_p", "_c")
+
+
 def blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Key, block_no, code, text of each block: lines between blank lines, or a fence with all its lines."""
-    w = _all_of(key)
-    x = lines(docs, key).where("line is not null")
-    blank = F.col("fence").isNull() & (_trimmed(F.col("line")) == "")
-    x = x.withColumn("blank", blank)
-    before = F.lag(F.struct("blank", "fence")).over(w)
-    opens = ~F.col("blank") & F.coalesce(before["blank"] | ~before["fence"].eqNullSafe(F.col("fence")), F.lit(True))
-    x = x.withColumn("block_no", F.sum(opens.cast("int")).over(w) - 1).where(~F.col("blank"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
-    return x.groupBy(key, "block_no").agg(F.max(F.col("fence").isNotNull()).alias("code"), text.alias("text"))
+    x = with_blocks(docs.select(key, "text")).select(key, F.posexplode("blocks").alias("block_no", "b"))
+    return x.select(key, F.col("block_no").cast("long").alias("block_no"), "b.code", "b.text")
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from .lines import blocks
+from .lines import with_blocks
 from .spans import block_of, packed, prefix_sums
 
 
@@ -51,12 +51,22 @@ def batches(docs: DataFrame, budget: int = 4096, base: int = 0) -> DataFrame:
 def chunk_bounds(docs: DataFrame, tokens: int = 256, key: str = "doc_id") -> DataFrame:
     """G1: key, chunk, first and last block, chars: Markdown blocks in order, as many to a chunk as four characters a token hold.
 
-    Blocks are joined by blank lines and never cut; one that is larger is a chunk alone, for `chunks` to take apart.
+    Blocks are joined by blank lines and never cut; one that is larger is a chunk alone, for `chunks` to take apart. The fold over a
+    text's blocks stays in its row.
     """
-    x = blocks(docs, key).select(key, "block_no", (F.length("text").cast("long") + 2).alias("size"))
-    placed = prefix_sums(x, [key], F.lit(0), ["block_no"], "size")
-    x = packed(placed, [key], "size", 4 * tokens + 2).groupBy(key, F.col("batch").alias("chunk"))
-    return x.agg(F.min("block_no").alias("first"), F.max("block_no").alias("last"), (F.sum("size") - 2).alias("chars"))
+    x = with_blocks(docs.select(key, "text")).select(key, F.transform("blocks", lambda b: F.length(b["text"]).cast("long") + 2).alias("sizes"))
+    of = lambda first, last, size: F.struct(first.alias("first"), last.alias("last"), (size - 2).alias("chars"))
+    state = lambda at, first, size, done: F.struct(at.alias("at"), first.alias("first"), size.alias("size"), done.alias("done"))
+    zero = F.lit(0).cast("long")
+    empty = state(zero, zero, zero, F.array().cast("array<struct<first:bigint,last:bigint,chars:bigint>>"))
+
+    def step(s: Column, size: Column) -> Column:
+        fits = (s["size"] == 0) | (s["size"] + size <= 4 * tokens + 2)
+        more = state(s["at"] + 1, s["first"], s["size"] + size, s["done"])
+        return F.when(fits, more).otherwise(state(s["at"] + 1, s["at"], size, F.array_append(s["done"], of(s["first"], s["at"] - 1, s["size"]))))
+
+    chunks = F.aggregate("sizes", empty, step, lambda s: F.when(s["at"] > 0, F.array_append(s["done"], of(s["first"], s["at"] - 1, s["size"]))).otherwise(s["done"]))
+    return x.select(key, F.posexplode(chunks).alias("chunk", "x")).select(key, F.col("chunk").cast("long").alias("chunk"), "x.first", "x.last", "x.chars")
 
 
 def sampled_sentences(docs: DataFrame, parts: int = 24) -> DataFrame:
