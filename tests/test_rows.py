@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stylemill.operators import lines, repeats, select
+from stylemill.functions import lexicons as L
+from stylemill.operators import lines, profile, repeats, select
+from stylemill.operators import measure as M
 
 
 def exchanges(df):
@@ -60,3 +62,28 @@ def test_chunk_bounds_in_the_row(texts):
     got = select.chunk_bounds(texts, tokens=8)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert exchanges(got) == 0
+
+
+def test_repeats_in_the_row(texts):
+    got = repeats.drop_repeated_blocks(texts, least=3)
+    assert got.count() == texts.count() and got.where(F.col("doc_id") == 302).first().text == "\x1c"
+    assert exchanges(got) == 0
+
+
+def test_alike_needs_a_piece(spark):
+    """The piece that is looked for is there in every pair that edits allow."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        a = "".join(rng.choices("abc ", k=rng.randint(1, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        rows.append((i, a, "".join(b)))
+    x = spark.createDataFrame(rows, "i long, a string, b string")
+    e = repeats.edits_allowed(F.col("a"), F.col("b"), 0.8)
+    x = x.withColumn("near", F.call_function("levenshtein", "a", "b", e) >= 0).withColumn("got", repeats.alike(F.col("a"), F.col("b"), 0.8))
+    assert x.where("near <> got").count() == 0 and 0 < x.where("near").count() < 400
+    pair = spark.createDataFrame([("the mill stood by the river", "far fields had every autumn")], "a string, b string")
+    assert not pair.select(repeats.shares_piece(F.col("a"), F.col("b"), F.lit(3))).first()[0]
