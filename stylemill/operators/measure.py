@@ -191,8 +191,15 @@ def rhetoric_moves(docs: DataFrame, markers: dict[str, list[str]] | None = None)
     return x.select("profile", *[r6(rate(F.col(m), F.col("words"))).alias(f"{m}_rate") for m in markers], r6(F.col("claim") / F.greatest(F.lit(1), "evidence")).alias("claim_evidence_ratio"))
 
 
-def _openings(docs: DataFrame) -> DataFrame:
-    return sentence_rows(docs).select("profile", T.lower_words("sentence").alias("w")).where(F.size("w") > 0)
+#: As much of a text as holds its first three words.
+_THREE = rf"^[^A-Za-z0-9]*+{T.WORD}(?:[^A-Za-z0-9]++{T.WORD}){{0,2}}+"
+
+
+def _openings(docs: DataFrame, first: bool = False) -> DataFrame:
+    """profile, w: the words of each sentence that has one, or the first three; made once, before rows are."""
+    cut = (lambda s: T.words(F.regexp_extract(F.lower(s), _THREE, 0))) if first else T.lower_words
+    w = F.filter(F.transform(T.sentences("text"), cut), lambda w: F.size(w) > 0)
+    return docs.select("profile", F.explode(w).alias("w"))
 
 
 def _joined(w: str, n: int) -> Column:
@@ -202,7 +209,7 @@ def _joined(w: str, n: int) -> Column:
 def transition_openers(docs: DataFrame, k: int = 15, terms: list[str] | None = None) -> DataFrame:
     """Transitions that open sentences, the longest first."""
     listed = [F.when((F.size("w") >= n) & _joined("w", n).isin(terms or L.TRANSITIONS), _joined("w", n)) for n in (3, 2, 1)]
-    found = _openings(docs).select("profile", F.coalesce(*listed).alias("phrase")).where("phrase is not null").groupBy("profile", "phrase").agg(F.count("*").alias("n"))
+    found = _openings(docs, True).select("profile", F.coalesce(*listed).alias("phrase")).where("phrase is not null").groupBy("profile", "phrase").agg(F.count("*").alias("n"))
     return top(found, k, F.desc("n"), F.asc("phrase")).select("profile", "phrase", "n", "rank")
 
 
@@ -223,7 +230,7 @@ def _stops(grams: Column, stop: list[str]) -> Column:
 
 def sentence_openers(docs: DataFrame, k: int = 20, stop: list[str] | None = None) -> DataFrame:
     """The first three (or two) words of sentences, with one stop word at most."""
-    o = _openings(docs).where(F.size("w") >= 2).select("profile", F.slice("w", 1, 3).alias("o")).where(_stops(F.col("o"), stop or L.STOP_WORDS) <= 1)
+    o = _openings(docs, True).where(F.size("w") >= 2).select("profile", F.slice("w", 1, 3).alias("o")).where(_stops(F.col("o"), stop or L.STOP_WORDS) <= 1)
     found = o.groupBy("profile", F.array_join("o", " ").alias("phrase")).agg(F.count("*").alias("n"))
     return top(found, k, F.desc("n"), F.asc("phrase")).select("profile", "phrase", "n", "rank")
 

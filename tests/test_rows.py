@@ -87,3 +87,10 @@ def test_alike_needs_a_piece(spark):
     assert x.where("near <> got").count() == 0 and 0 < x.where("near").count() < 400
     pair = spark.createDataFrame([("the mill stood by the river", "far fields had every autumn")], "a string, b string")
     assert not pair.select(repeats.shares_piece(F.col("a"), F.col("b"), F.lit(3))).first()[0]
+
+
+def test_openings_hold_three_words(docs):
+    x = docs("One two three four. \"It's\" a''b'c d. ... !? 5 x. İs Kelvin K one. Ka b.", "", None, "?")
+    whole, first = ([list(r.w) for r in M._openings(x, f).collect()] for f in (False, True))
+    assert first == [w[:3] for w in whole] and len(first) == 3
+    assert "regexp_extract_all" not in str(M._openings(x, True).where(F.size("w") > 1)._jdf.queryExecution().optimizedPlan()).split("Generate")[0]
