@@ -132,7 +132,7 @@ def vectors(counted: DataFrame, *keep: str) -> DataFrame:
         ratio("len1", "sentences").alias("sentence_mean"), _deviation("sentences", "len1", "len2").alias("sentence_stdev"),
     )
     if "fw" in counted.columns:
-        x = x.withColumn("function_words", F.transform("fw", lambda n: M.rate(n, F.col("words")))).drop("fw")
+        x = x.withColumn("function_words", _word_rates()).drop("fw")
     return x
 
 
@@ -145,6 +145,28 @@ def totals(docs: DataFrame, function_words: bool = True) -> DataFrame:
     return stored(x)
 
 
+def word_use(docs: DataFrame, sentences: bool = False) -> DataFrame:
+    """A stored row for each profile of the counts that need no more than words: words, fw, and the bins of the sentences' lengths."""
+    listed = F.array_sort(F.collect_list(F.struct("place", "n")))
+    fw = M.function_words(docs).groupBy("profile").agg(F.transform(listed, lambda r: r["n"]).alias("fw"))
+    x = M.word_totals(docs)
+    if sentences:
+        lens = docs.select("profile", F.transform(T.sentences("text"), T.word_count).alias("len"))
+        bins = lens.select("profile", *[c.alias(f"sh{i}") for i, c in enumerate(_in_bins("len", L.SENTENCE_BINS))])
+        x = x.join(bins.groupBy("profile").agg(*[F.sum(f"sh{i}").alias(f"sh{i}") for i in range(len(L.SENTENCE_BINS))]), "profile")
+    return stored(x.join(fw, "profile"))
+
+
+def use_vectors(rows: DataFrame) -> DataFrame:
+    """profile, function_words and sentence (if its bins are there), of rows of `word_use`."""
+    bins = [f"sh{i}" for i in range(len(L.SENTENCE_BINS)) if f"sh{i}" in rows.columns]
+    return rows.select("profile", _word_rates(), *([_share(bins).alias("sentence")] if bins else []))
+
+
+def _word_rates() -> Column:
+    return F.transform("fw", lambda n: M.rate(n, F.col("words"))).alias("function_words")
+
+
 def whole(rows: DataFrame) -> DataFrame:
     """The counts of all profiles together, from those of each: the profile `all`."""
     x = summed(rows.withColumn("profile", F.lit("all")))

@@ -114,8 +114,8 @@ def prose_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return F.flatten(F.transform(s, here))
 
-    flat = F.transform(T.sentences("text"), lambda x: F.regexp_replace(x, r"\s+", " "))
-    x = read(spark, sf_dir, "documents").select("doc_id", flat.alias("s")).select("doc_id", F.array_join(said(F.col("s")), "\n\n").alias("text"))
+    # sentences have no white space but single spaces
+    x = read(spark, sf_dir, "documents").select("doc_id", T.sentences("text").alias("s")).select("doc_id", F.array_join(said(F.col("s")), "\n\n").alias("text"))
     return repeats.drop_repeated_blocks(x, **sql_repeats.RULE).select("doc_id", F.md5("text").alias("text_md5"), "dropped")
 
 
@@ -223,9 +223,8 @@ def worst_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kl_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source's function words from those of the whole corpus."""
-    counted = profile.totals(corpus(spark, sf_dir))
-    own = profile.vectors(counted, "fw").select("profile", "function_words")
-    x = with_whole(own, profile.vectors(profile.whole(counted), "fw").select(F.col("function_words").alias("q")))
+    counted = profile.word_use(corpus(spark, sf_dir))
+    x = with_whole(profile.use_vectors(counted), profile.use_vectors(profile.whole(counted)).select(F.col("function_words").alias("q")))
     return x.select("profile", M.r6(profile.kl_divergence(F.col("function_words"), F.col("q"))).alias("kl"))
 
 
@@ -236,9 +235,8 @@ def with_whole(own: DataFrame, whole: DataFrame) -> DataFrame:
 
 def cosine_function_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source's function words and those of the whole corpus; and the divergence of its sentence lengths."""
-    counted = profile.totals(corpus(spark, sf_dir))
-    own = profile.vectors(counted, "fw").select("profile", "function_words", "sentence")
-    whole = profile.vectors(profile.whole(counted), "fw").select(F.col("function_words").alias("q"), F.col("sentence").alias("s"))
+    counted = profile.word_use(corpus(spark, sf_dir), sentences=True)
+    own, whole = profile.use_vectors(counted), profile.use_vectors(profile.whole(counted)).select(F.col("function_words").alias("q"), F.col("sentence").alias("s"))
     return with_whole(own, whole).select(
         "profile", M.r6(profile.cosine(F.col("function_words"), F.col("q"))).alias("cosine"), M.r6(profile.raw_js_divergence(F.col("sentence"), F.col("s"))).alias("sentence_js"),
     )

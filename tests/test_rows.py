@@ -94,3 +94,11 @@ def test_openings_hold_three_words(docs):
     whole, first = ([list(r.w) for r in M._openings(x, f).collect()] for f in (False, True))
     assert first == [w[:3] for w in whole] and len(first) == 3
     assert "regexp_extract_all" not in str(M._openings(x, True).where(F.size("w") > 1)._jdf.queryExecution().optimizedPlan()).split("Generate")[0]
+
+
+def test_word_use_counts_words_alone(spark, docs):
+    x = docs("The mill of the town. And the river!", "of a")
+    plan = profile.word_use(x, sentences=True)
+    assert set(plan.columns) == {"profile", "words", "fw", *[f"sh{i}" for i in range(5)]}
+    r = plan.first()
+    assert r.words == 10 and sum(r[f"sh{i}"] for i in range(5)) == 3 and r.fw[L.FUNCTION_WORDS.index("the")] == 3
