@@ -78,10 +78,10 @@ def sampled_sentences(docs: DataFrame, parts: int = 24) -> DataFrame:
 def extractive_summary(docs: DataFrame, k: int = 2, stop: list[str] | None = None) -> DataFrame:
     """The k sentences with the most frequent terms of their document, in their order."""
     stop = stop or L.STOP_WORDS
-    s = docs.select("doc_id", F.posexplode(T.sentences("text")).alias("sent_no", "sentence"))
+    # texts are dealt out once, by document; terms, frequencies and scores stay where their text is
+    s = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(T.sentences("text")).alias("sent_no", "sentence"))
     t = s.select("doc_id", "sent_no", F.explode(T.lower_words("sentence")).alias("token")).where(~F.col("token").isin(stop) & (F.length("token") > 2))
-    c = t.groupBy("doc_id", "sent_no", "token").agg(F.count("*").alias("n"))
-    freq = c.groupBy("doc_id", "token").agg(F.sum("n").alias("f"))
-    score = c.join(freq, ["doc_id", "token"]).groupBy("doc_id", "sent_no").agg(F.sum(F.col("n") * F.col("f")).alias("score"))
+    freq = F.count("*").over(W.partitionBy("doc_id", "token"))
+    score = t.withColumn("f", freq).groupBy("doc_id", "sent_no").agg(F.sum("f").alias("score"))
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "sent_no")
     return score.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("doc_id", "sent_no", "score", "rank")

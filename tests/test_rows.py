@@ -96,6 +96,13 @@ def test_openings_hold_three_words(docs):
     assert "regexp_extract_all" not in str(M._openings(x, True).where(F.size("w") > 1)._jdf.queryExecution().optimizedPlan()).split("Generate")[0]
 
 
+def test_summary_deals_texts_once(docs):
+    x = docs("The mill ran. A mill is by the river mill. River and mill and river.", "", None)
+    df = select.extractive_summary(x)
+    assert [(r.doc_id, r.sent_no, r.score) for r in df.orderBy("doc_id", "rank").collect()] == [(0, 1, 11), (0, 2, 10)]
+    assert exchanges(df) == 1
+
+
 def test_word_use_counts_words_alone(spark, docs):
     x = docs("The mill of the town. And the river!", "of a")
     plan = profile.word_use(x, sentences=True)
