@@ -28,7 +28,7 @@ def _all(text: str | Column, pattern: str) -> Column:
 
 
 def name_tokens(text: str | Column) -> Column:
-    return _all(F.lower(text), "[a-z0-9]+")
+    return _all(F.lower(text), "[a-z0-9]++")
 
 
 def plain_letters(text: str | Column) -> Column:
@@ -71,8 +71,10 @@ def holding(phrases: DataFrame, names: DataFrame, key: str = "phrase") -> DataFr
         return phrases.select(key).limit(0)
     bits = sieve(names.select(F.substring_index("name", " ", 2).alias("begin")), "begin")
     own = list(dict.fromkeys([key, "phrase"]))
-    x = phrases.select(*own, name_tokens("phrase").alias("w")).where(F.size("w") >= sizes[0])
-    starts = x.select(*own, "w", F.posexplode("w").alias("i", "one")).withColumn("two", F.concat("one", F.lit(" "), F.get("w", F.col("i") + 1)))
+    x = phrases.select(*own, name_tokens("phrase").alias("w"))
+    # each row has a token and the next one, not all; no filter on the tokens, which would cut them once more
+    pairs = F.arrays_zip(F.col("w").alias("one"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))
+    starts = x.select(*own, F.posexplode(pairs).alias("i", "x")).select(*own, "i", "x.one", F.concat("x.one", F.lit(" "), "x.next").alias("two"))
     runs = []
     if sizes[0] == 1:
         runs.append(passes(starts.select(key, F.col("one").alias("name")), bits, "name"))

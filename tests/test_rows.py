@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stylemill.functions import lexicons as L
-from stylemill.operators import lines, profile, repeats, select
+from stylemill.operators import entities, lines, profile, repeats, select
 from stylemill.operators import measure as M
 
 
@@ -109,3 +109,12 @@ def test_word_use_counts_words_alone(spark, docs):
     assert set(plan.columns) == {"profile", "words", "fw", *[f"sh{i}" for i in range(5)]}
     r = plan.first()
     assert r.words == 10 and sum(r[f"sh{i}"] for i in range(5)) == 3 and r.fw[L.FUNCTION_WORDS.index("the")] == 3
+
+
+def test_tokens_are_cut_once_for_each_size(spark):
+    """A phrase of one token, its last token and a run at its end are found; no filter cuts tokens again."""
+    phrases = spark.createDataFrame([("mill",), ("by the mill",), ("old town hall",), ("town",), ("",), ("!",)], "phrase string")
+    names = spark.createDataFrame([("mill",), ("town hall",)], "name string")
+    x = entities.holding(phrases, names)
+    assert {r.phrase for r in x.collect()} == {"mill", "by the mill", "old town hall"}
+    assert str(x._jdf.queryExecution().optimizedPlan()).count("regexp_extract_all") == 3
