@@ -1,15 +1,22 @@
 """Phrases that hold a listed name, and the filter of phrases that look like names or dates.
 
-The list is a table of any size: phrases are cut into runs of as many tokens as names have, and the runs are joined with the
-names on equality. Runs that surely are no name don't leave their task: bits of the names' hashes, of a bounded number, tell.
+The list is a table of any size. A bounded number of names, those of the fewest tokens, are looked up within the tasks by two
+keys of 64 bits, made of hashes of their tokens in batches, so that a phrase that holds one is settled there. For the others phrases
+are cut into runs of as many tokens as names have, and the runs are joined with the names on equality; runs that surely are no
+name don't leave their task: bits of the names' hashes, of a bounded number, tell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
+from .hashed import BATCH_BYTES, mix, tokens_in
 
 # Words that mark a title of persons or a date, and capitalised words that mark no name.
 HONORIFICS = "mr mrs ms dr sir madam lord lady duke emir imam saint st president prime minister governor senator rep mp king queen prince princess".split()
@@ -19,8 +26,11 @@ DATES = r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b|
 ORDINAL = r"\b\d{1,2}(?:st|nd|rd|th)\b"
 #: Words of 64 bits in the table of `sieve`, which bounds what is broadcast.
 SIEVE = 1 << 19
+#: Names that tasks hold keys of, and phrases of a batch.
+HELD_NAMES, BATCH_PHRASES = 1 << 21, 1 << 16
 #: Shares of capitals from which a token alone, or two of them, make a phrase a name.
 ALONE, TWO = 0.6, 0.4
+_TOKEN = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _all(text: str | Column, pattern: str) -> Column:
@@ -88,6 +98,132 @@ def holding(phrases: DataFrame, names: DataFrame, key: str = "phrase") -> DataFr
     return found.distinct().join(names, "name", "left_semi").select(key).distinct()
 
 
+def _longer(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of runs that are a token longer."""
+    return mix((a ^ w) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _second(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Another key of the runs of n tokens that begin at these places."""
+    b = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        b = mix((b + h[at + k]) * np.uint64(0xD6E8FEB86659FD93))
+    return b
+
+
+def _name_keys(names: DataFrame) -> DataFrame:
+    """a, b, begin: the two keys of each name, and the first key of its first two tokens, null for a name of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, _, sizes = tokens_in(batch.column("name"), _TOKEN)
+            first = np.cumsum(sizes) - sizes
+            a, b, begin = (np.zeros(len(sizes), np.uint64) for _ in range(3))
+            for k in range(sizes.max(initial=0)):
+                more, own = np.flatnonzero(sizes > k), np.flatnonzero(sizes == k + 1)
+                a[more] = _longer(a[more], h[first[more] + k])
+                if k == 1:
+                    begin[more] = a[more]
+                b[own] = _second(h, first[own], k + 1)
+            cols = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(begin.view(np.int64), mask=sizes < 2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "begin"])
+
+    return names.select("name").mapInArrow(run, "a long, b long, begin long")
+
+
+class Marks:
+    """Bits for keys, by which most others are told apart."""
+
+    def __init__(self, keys: np.ndarray):
+        width = max(10, (8 * len(keys)).bit_length())
+        self.shift, self.there = np.uint64(64 - width), np.zeros(1 << width, bool)
+        self.there[keys >> self.shift] = True
+
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these may be one of them."""
+        return np.flatnonzero(self.there[keys >> self.shift])
+
+
+class HeldNames:
+    """Names by their keys. a, b, begin: of `_name_keys`, begin without nulls; sizes: how many tokens names have."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, begin: np.ndarray, sizes: list[int]):
+        order = np.argsort(a)
+        self.a, self.b, self.whole, self.begins = a[order], b[order], Marks(a), Marks(begin)
+        self.sizes = sizes
+
+    def within(self, phrases: pa.Array) -> np.ndarray:
+        """Whether each of these phrases holds a name."""
+        h, own, n = tokens_in(phrases, _TOKEN)
+        end = np.cumsum(n)[own]  # of each token's phrase
+        found, at, a = np.zeros(len(n), bool), np.arange(len(h)), np.zeros(len(h), np.uint64)
+        for k in range(self.sizes[-1] if self.sizes else 0):
+            on = np.flatnonzero((at + k < end[at]) & ~found[own[at]])
+            if not len(on):
+                break
+            at = at[on]
+            a = _longer(a[on], h[at + k])
+            if k == 1:
+                on = self.begins.among(a)
+                at, a = at[on], a[on]
+            if k + 1 in self.sizes:
+                on = self.whole.among(a)
+                place = np.minimum(np.searchsorted(self.a, a[on]), len(self.a) - 1)
+                same = self.a[place] == a[on]
+                if same.any():
+                    on, place = on[same], place[same]
+                    found[own[at[on[self.b[place] == _second(h, at[on], k + 1)]]]] = True
+        return found
+
+
+def split_names(names: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]] | None, DataFrame | None]:
+    """What HeldNames takes of the names of the fewest tokens, HELD_NAMES at most, and the other names; None for none.
+
+    How many names have how many tokens comes to the driver: no more numbers than the longest name has tokens.
+    """
+    size = F.size(F.split("name", " "))
+    held, total, counts = [], 0, sorted(tuple(r) for r in names.groupBy(size).count().collect())
+    for tokens, n in counts:
+        total += n
+        if total > HELD_NAMES:
+            break
+        held.append(tokens)
+    most = held[-1] if held else 0
+    rest = names.where(size > most) if len(held) < len(counts) else None
+    if not held:
+        return None, rest
+    keys = _name_keys(names.where(size <= most)).toArrow()
+    a, b, begin = (keys[c].drop_null().to_numpy().view(np.uint64) for c in ("a", "b", "begin"))
+    return (a, b, np.unique(begin), held), rest
+
+
+def _in_batches(rows: DataFrame) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PHRASES))
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows
+
+
+def naming(phrases: DataFrame, names: DataFrame) -> DataFrame:
+    """As `holding` by phrase, but only phrases that hold none of the names of the fewest tokens are cut into runs for a join."""
+    held, rest = split_names(names)
+    if held is None:
+        return holding(phrases, names) if rest is not None else phrases.select("phrase").limit(0)
+    shared = phrases.sparkSession.sparkContext.broadcast(held)
+
+    def those(there: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = HeldNames(*shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array(known.within(batch.column("phrase")) == there))
+
+        return _in_batches(phrases.select("phrase")).mapInArrow(run, "phrase string")
+
+    found = those(True)
+    if rest is not None:
+        found = found.unionByName(holding(those(False), rest))
+    return found.distinct()
+
+
 def is_dated(phrase: str | Column) -> Column:
     """A month with a number or an ordinal, or digits in the form of a date."""
     low = F.lower(phrase)

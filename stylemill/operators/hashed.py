@@ -23,6 +23,10 @@ BATCH_ROWS, BATCH_BYTES, HELD = 1000, 8 << 20, 400_000
 #: What stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 _WORD = re.compile(T.WORD)
+#: Bytes in lower case, and letters beyond ASCII that are, or begin with, one of its letters there.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ASCII_BELOW = "\u212a\u0130"
 
 
 class WordHashes(dict):
@@ -122,6 +126,60 @@ def word_edges(docs: DataFrame, n: int) -> DataFrame:
     return in_batches(docs, "doc_id").mapInArrow(run, "profile string, doc_id long, n long, head array<string>, tail array<string>").where("n > 0")
 
 
+def lowered(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings with A-Z in lower case, eight zeros after them, and where each string begins and the last one ends.
+
+    Of other letters, those that have an ASCII letter in their lower case are brought to it.
+    """
+    strings = strings.cast(pa.string())
+    at = np.frombuffer(strings.buffers()[1] or bytes(4), np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    data = memoryview(data)[at[0] : at[-1]] if data else memoryview(b"")
+    raw = bytes(data)
+    if any(x.encode() in raw for x in _ASCII_BELOW):
+        return lowered(pa.array([x and x.lower() for x in strings.to_pylist()], pa.string()))
+    return _LOWER[np.frombuffer(raw + bytes(8), np.uint8)], at - at[0]
+
+
+def tokens_in(strings: pa.Array, marks: str, first: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the longest runs of `marks` (ASCII) in each lower-cased string, from the first mark of `first` on, the string of each, and how many a string has."""
+    data, at = lowered(strings)
+    begin, end = _runs(data, at, marks, first)
+    n = np.diff(np.searchsorted(begin, at))
+    return _hashes(data, begin, end), np.repeat(np.arange(len(n)), n), n
+
+
+def _runs(data: np.ndarray, at: np.ndarray, marks: str, first: str | None) -> tuple[np.ndarray, np.ndarray]:
+    table = np.zeros(256, bool)
+    table[list(marks.encode())] = True
+    there = table[data]
+    before, after = np.append(False, there[:-1]), np.append(there[1:], False)
+    before[at], after[at[1:] - 1] = False, False  # no run goes on in another string
+    begin, end = np.flatnonzero(there & ~before), np.flatnonzero(there & ~after) + 1
+    if first is not None:
+        table[:] = False
+        table[list(first.encode())] = True
+        can = np.append(np.flatnonzero(table[data]), len(data))
+        begin = can[np.searchsorted(can, begin)]
+        some = begin < end
+        begin, end = begin[some], end[some]
+    return begin, end
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each of these runs of bytes, eight of them at a time; runs of eight bytes or fewer without zeros have one each."""
+    eight = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))
+    h, left, on = np.zeros(len(begin), np.uint64), end - begin, np.arange(len(begin))
+    while len(on):
+        some = np.minimum(left[on], 8).astype(np.uint64)
+        x = eight[begin[on]] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * some))
+        h[on] = mix((h[on] ^ x) * np.uint64(0x9E3779B97F4A7C15))
+        left[on] -= 8
+        on = on[left[on] > 0]
+        begin = begin + 8
+    return h
+
+
 def in_batches(docs: DataFrame, *keep: str) -> DataFrame:
     """The lower-cased texts, to be read in batches of bounded size."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -135,7 +135,7 @@ def unnamed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of all documents that hold a clause of a page's title."""
     names = stored(entities.listed_names(clauses(page_titles(spark, sf_dir), "title"), "clause"))
-    return entities.holding(clauses(corpus(spark, sf_dir), "text").select(F.lower("clause").alias("phrase")), names)
+    return entities.naming(clauses(corpus(spark, sf_dir), "text").select(F.lower("clause").alias("phrase")), names)
 
 
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

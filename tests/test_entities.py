@@ -1,11 +1,13 @@
 """Phrases that hold names, against sets of runs; the rules on titles and dates one by one."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from stylemill.operators import entities as E
 from stylemill.operators import measure as M
+from stylemill.plans import catalogue
 
 
 def rows(spark, *phrases):
@@ -77,3 +79,49 @@ def test_runs_that_are_no_name_stay_where_they_are(spark):
         for stage in tracker.getJobInfo(job).stageIds:
             written += store.lastStageAttempt(stage).shuffleWriteRecords()
     assert 0 < written < 10_000  # all runs of 1 to 9 tokens are a million
+
+
+def test_names_held_by_tasks_and_others(spark, monkeypatch):
+    """As runs of tokens say, whether all names are held by the tasks, those of the fewest tokens, or none."""
+    rng = random.Random(6)
+    letters = ["ab", "cd", "ef", "abcdefgh", "abcdefghi", "abcdefghabcdefghi", "K1", "i12"]
+    names = [" ".join(rng.choices(letters, k=rng.randint(1, 4))) for _ in range(12)] + ["K1 ab"]
+    phrases = [rng.choice([" ", "é", "\n", "."]).join(rng.choices([*letters, "AB", "K1", "İ1"], k=rng.randint(0, 7))) for _ in range(400)] + ["", None]
+    listed = E.listed_names(spark.createDataFrame([(n,) for n in names], "name string"))
+    known = {r.name for r in listed.collect()}
+
+    def holds(p):
+        w = re.findall("[a-z0-9]+", (p or "").lower())
+        return any(" ".join(w[i:j]) in known for i in range(len(w)) for j in range(i + 1, len(w) + 1))
+
+    want = sorted({p for p in phrases if holds(p)})
+    sizes = sorted(len(n.split()) for n in known)
+    for most in (len(known), sizes.count(1) + sizes.count(2), 0):
+        monkeypatch.setattr(E, "HELD_NAMES", most)
+        assert sorted(r.phrase for r in E.naming(rows(spark, *phrases, *phrases).repartition(3), listed).collect()) == want
+    assert E.naming(rows(spark, "ab"), listed.limit(0)).count() == 0
+
+
+def shuffled(spark, run):
+    """Rows that a run writes for shuffles, without broadcast joins, as for long lists."""
+    tracker, store, group = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), f"rows{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return out, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_a_phrase_with_many_names_is_shuffled_once(spark, tmp_path):
+    """500 clauses that hold 30 names each: a row for each, not one for each name in it."""
+    names = [f"name{i}" for i in range(30)]
+    texts = [(i, "a", ". ".join(f"{' '.join(names)} clause{i}x{j}" for j in range(5))) for i in range(100)]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"<title>{n}</title>") for i, n in enumerate(names)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found, n = shuffled(spark, lambda: catalogue.named_phrases(spark, str(tmp_path)).collect())
+    assert len({r.phrase for r in found}) == len(found) == 500
+    assert n < 1500  # with each name 15,000
