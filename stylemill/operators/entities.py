@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
-from .hashed import BATCH_BYTES, mix, tokens_in
+from .hashed import BATCH_BYTES, BATCH_TEXTS, mix, tokens_in
 
 # Words that mark a title of persons or a date, and capitalised words that mark no name.
 HONORIFICS = "mr mrs ms dr sir madam lord lady duke emir imam saint st president prime minister governor senator rep mp king queen prince princess".split()
@@ -26,8 +27,8 @@ DATES = r"\b\d{4}[-/.]\d{1,2}[-/.]\d{1,2}\b|\b\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}\b|
 ORDINAL = r"\b\d{1,2}(?:st|nd|rd|th)\b"
 #: Words of 64 bits in the table of `sieve`, which bounds what is broadcast.
 SIEVE = 1 << 19
-#: Names that tasks hold keys of, and phrases of a batch.
-HELD_NAMES, BATCH_PHRASES = 1 << 21, 1 << 16
+#: Names that tasks hold keys of.
+HELD_NAMES = 1 << 21
 #: Shares of capitals from which a token alone, or two of them, make a phrase a name.
 ALONE, TWO = 0.6, 0.4
 _TOKEN = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -197,31 +198,42 @@ def split_names(names: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray, np.ndar
     return (a, b, np.unique(begin), held), rest
 
 
-def _in_batches(rows: DataFrame) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_PHRASES))
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return rows
+def _told(phrases: DataFrame, held: tuple, there: bool, lettered: bool = False) -> DataFrame:
+    """The rows whose phrase holds one of the held names, or those of which it does not; lettered: a phrase without a letter of A-Z counts as one without names."""
+    shared = phrases.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = HeldNames(*shared.value)
+        for batch in batches:
+            found = known.within(batch.column("phrase"))
+            if lettered:
+                found &= pc.match_substring_regex(batch.column("phrase"), "[A-Za-z]").fill_null(False).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found == there))
+
+    phrases.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_TEXTS))
+    phrases.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return phrases.mapInArrow(run, phrases.schema)
 
 
 def naming(phrases: DataFrame, names: DataFrame) -> DataFrame:
     """As `holding` by phrase, but only phrases that hold none of the names of the fewest tokens are cut into runs for a join."""
     held, rest = split_names(names)
+    phrases = phrases.select("phrase")
     if held is None:
-        return holding(phrases, names) if rest is not None else phrases.select("phrase").limit(0)
-    shared = phrases.sparkSession.sparkContext.broadcast(held)
+        return holding(phrases, names) if rest is not None else phrases.limit(0)
+    found = _told(phrases, held, True)
+    if rest is not None:
+        found = found.unionByName(holding(_told(phrases, held, False), rest))
+    return found.distinct()
 
-    def those(there: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = HeldNames(*shared.value)
-            for batch in batches:
-                yield batch.filter(pa.array(known.within(batch.column("phrase")) == there))
 
-        return _in_batches(phrases.select("phrase")).mapInArrow(run, "phrase string")
+def without_held(phrases: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose phrase holds none of the names of the fewest tokens, or has no letter, and the names still to be looked for; None for none.
 
-    found = those(True)
-    if rest is not None:
-        found = found.unionByName(holding(those(False), rest))
-    return found.distinct()
+    Nothing is shuffled for it, so it may come before phrases are counted.
+    """
+    held, rest = split_names(names)
+    return (_told(phrases, held, False, lettered=True) if held else phrases), rest
 
 
 def is_dated(phrase: str | Column) -> Column:
@@ -246,7 +258,8 @@ def is_titled(phrase: str | Column) -> Column:
 def drop_names(phrases: DataFrame, ratios: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """Phrases (profile, phrase, ...) without those that look like names, titles or dates, or hold a listed name.
 
-    ratios: capitalisation of the profile's tokens (measure.capitalisation). entities: names, one a row. A phrase without a letter
+    ratios: capitalisation of the profile's tokens (measure.capitalisation). entities: names, one a row; those that hold one of the names
+    of the fewest tokens go first, in their tasks. A phrase without a letter
     of A-Z stays; null phrases go. Phrases that occur in several rows stay or go together within a profile. The rows are stored
     with a number, so that what is looked up carries the number and no phrase.
     """
@@ -254,10 +267,15 @@ def drop_names(phrases: DataFrame, ratios: DataFrame | None = None, entities: Da
     kept = phrases.where(F.col("phrase").isNotNull() & (~lettered | ~(is_dated("phrase") | is_titled("phrase"))))
     if entities is None and ratios is None:
         return kept
+    rest = None
+    if entities is not None:
+        kept, rest = without_held(kept, stored(listed_names(entities, entities.columns[0])))
+        if rest is None and ratios is None:
+            return kept
     kept = stored(kept.withColumn("_row", F.monotonically_increasing_id()))
     gone = []
-    if entities is not None:
-        gone.append(holding(kept.where(lettered), stored(listed_names(entities, entities.columns[0])), "_row"))
+    if rest is not None:
+        gone.append(holding(kept.where(lettered), rest, "_row"))
     if ratios is not None:
         high = stored(ratios.select("profile", "token", "cap_ratio").where(F.col("cap_ratio") >= TWO))
         t = kept.select("_row", "profile", F.explode(_all(F.lower("phrase"), "[a-z][a-z'-]*")).alias("token"))

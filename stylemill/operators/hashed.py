@@ -20,6 +20,8 @@ from ..functions import text as T
 
 #: Rows and bytes of one batch of texts, and words whose hashes a task holds.
 BATCH_ROWS, BATCH_BYTES, HELD = 1000, 8 << 20, 400_000
+#: Rows of a batch of short texts.
+BATCH_TEXTS = 1 << 16
 #: What stands for a null doc_id, which comes before all others.
 NO_ID = -(1 << 63)
 _WORD = re.compile(T.WORD)
@@ -132,38 +134,29 @@ def lowered(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Of other letters, those that have an ASCII letter in their lower case are brought to it.
     """
     strings = strings.cast(pa.string())
-    at = np.frombuffer(strings.buffers()[1] or bytes(4), np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    data = strings.buffers()[2]
-    data = memoryview(data)[at[0] : at[-1]] if data else memoryview(b"")
-    raw = bytes(data)
+    _, ends, data = strings.buffers()
+    at = np.frombuffer(ends or bytes(4), np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    raw = bytes(memoryview(data)[at[0] : at[-1]]) if data else b""
     if any(x.encode() in raw for x in _ASCII_BELOW):
         return lowered(pa.array([x and x.lower() for x in strings.to_pylist()], pa.string()))
     return _LOWER[np.frombuffer(raw + bytes(8), np.uint8)], at - at[0]
 
 
-def tokens_in(strings: pa.Array, marks: str, first: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the longest runs of `marks` (ASCII) in each lower-cased string, from the first mark of `first` on, the string of each, and how many a string has."""
+def tokens_in(strings: pa.Array, marks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the longest runs of `marks` (ASCII) in each lower-cased string, the string of each, and how many a string has."""
     data, at = lowered(strings)
-    begin, end = _runs(data, at, marks, first)
+    begin, end = _runs(data, at, marks)
     n = np.diff(np.searchsorted(begin, at))
     return _hashes(data, begin, end), np.repeat(np.arange(len(n)), n), n
 
 
-def _runs(data: np.ndarray, at: np.ndarray, marks: str, first: str | None) -> tuple[np.ndarray, np.ndarray]:
+def _runs(data: np.ndarray, at: np.ndarray, marks: str) -> tuple[np.ndarray, np.ndarray]:
     table = np.zeros(256, bool)
     table[list(marks.encode())] = True
     there = table[data]
     before, after = np.append(False, there[:-1]), np.append(there[1:], False)
     before[at], after[at[1:] - 1] = False, False  # no run goes on in another string
-    begin, end = np.flatnonzero(there & ~before), np.flatnonzero(there & ~after) + 1
-    if first is not None:
-        table[:] = False
-        table[list(first.encode())] = True
-        can = np.append(np.flatnonzero(table[data]), len(data))
-        begin = can[np.searchsorted(can, begin)]
-        some = begin < end
-        begin, end = begin[some], end[some]
-    return begin, end
+    return np.flatnonzero(there & ~before), np.flatnonzero(there & ~after) + 1
 
 
 def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -127,9 +127,11 @@ def clauses(docs: DataFrame, text: str) -> DataFrame:
 def unnamed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses of each source, without those that look like names or dates or hold a clause of a page's title."""
     docs = corpus(spark, sf_dir)
-    phrases = clauses(docs, "text").groupBy("profile", F.lower("clause").alias("phrase")).agg(F.count("*").alias("n"))
-    names = clauses(page_titles(spark, sf_dir), "title").select("clause")
-    return entities.drop_names(phrases, M.capitalisation(docs), names)
+    names = stored(entities.listed_names(clauses(page_titles(spark, sf_dir), "title"), "clause"))
+    # most clauses hold a name of few tokens: they go before the others are counted
+    phrases, rest = entities.without_held(clauses(docs, "text").select("profile", F.lower("clause").alias("phrase")), names)
+    phrases = phrases.groupBy("profile", "phrase").agg(F.count("*").alias("n"))
+    return entities.drop_names(phrases, M.capitalisation(docs), rest)
 
 
 def named_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,26 @@ def test_a_phrase_with_many_names_is_shuffled_once(spark, tmp_path):
     found, n = shuffled(spark, lambda: catalogue.named_phrases(spark, str(tmp_path)).collect())
     assert len({r.phrase for r in found}) == len(found) == 500
     assert n < 1500  # with each name 15,000
+
+
+def test_names_are_dropped_whether_held_or_not(docs, spark, monkeypatch):
+    d = docs("Anna Bell met Anna Bell in March. The old mill stood. the old mill fell.")
+    said = ["anna bell", "old mill", "mill stood", "a by mill stood x", "of wood", "the mill", "12 34", "12 34 wood", None, "old mill"]
+    phrases = spark.createDataFrame([("a", p, i) for i, p in enumerate(said)], "profile string, phrase string, name long")
+    names = spark.createDataFrame([("Mill Stood!",), ("wood",), ("12 34",)], "any string")
+    for most in (3, 1, 0):
+        monkeypatch.setattr(E, "HELD_NAMES", most)
+        kept = E.drop_names(phrases, M.capitalisation(d), names)
+        assert kept.columns == phrases.columns and sorted(r.phrase for r in kept.collect()) == ["12 34", "old mill", "old mill", "the mill"]
+        kept = E.drop_names(phrases, None, names)
+        assert sorted(r.phrase for r in kept.collect()) == ["12 34", "anna bell", "old mill", "old mill", "the mill"]
+
+
+def test_clauses_with_names_are_not_shuffled_to_be_counted(spark, tmp_path):
+    """500 clauses that hold a name, and one that holds none: what is shuffled doesn't follow the 500."""
+    texts = [(i, "a", ". ".join(f"of mill {i}x{j}" for j in range(5)) + ". by the by") for i in range(100)]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "<title>Mill</title>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found, n = shuffled(spark, lambda: catalogue.unnamed_phrases(spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in found] == [("a", "by the by", 100)]
+    assert n < 200
